@@ -7,6 +7,11 @@ LATIN1 = "ISO-8859-1"
 MARK = "Ā"
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``, which may refer to it many times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def to_latin1(data: Column) -> Column:
     return F.decode(data, LATIN1)
 
@@ -34,14 +39,15 @@ def split_literal(text: Column, separator: Column) -> Column:
 
 
 def non_empty(data: Column) -> Column:
-    return F.when(F.octet_length(data) > 0, data)
+    return let(data, lambda d: F.when(F.octet_length(d) > 0, d))
 
 
 def decode_hex(col: Column) -> Column:
     """Hex text with optional colons, blanks and 0x prefix; an odd last digit is dropped."""
     digits = F.regexp_replace(F.regexp_replace(col, r"[:\s]", ""), "^0[xX]", "")
-    even = F.substring(digits, F.lit(1), F.length(digits) - F.length(digits) % 2)
-    return F.when((F.length(col) > 0) & even.rlike("^[0-9a-fA-F]*$"), F.unhex(even))
+    even = let(digits, lambda d: F.substring(d, F.lit(1), F.length(d) - F.length(d) % 2))
+    data = let(even, lambda e: F.when(e.rlike("^[0-9a-fA-F]*$"), F.unhex(e)))
+    return F.when(F.length(col) > 0, data)
 
 
 def sha256(data: Column) -> Column:

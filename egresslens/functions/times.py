@@ -40,7 +40,7 @@ def cyclic_columns(ts: Column) -> dict[str, Column]:
 def encode_cyclic(df, timestamp_col: str = "timestamp"):
     """Replace the timestamp column by its cyclic columns."""
     kind = dict(df.dtypes)[timestamp_col]
-    ts = F.col(timestamp_col) if kind.startswith("timestamp") else parse_timestamp(F.col(timestamp_col))
+    ts = F.col(timestamp_col).cast("timestamp") if kind.startswith("timestamp") else parse_timestamp(F.col(timestamp_col))
     return df.withColumns(cyclic_columns(ts)).drop(timestamp_col)
 
 

@@ -7,7 +7,7 @@ detector never adds a scan. They hold no state and work the same on batch and st
 from pyspark.sql import Column, DataFrame, functions as F
 
 from egresslens import constants as C
-from egresslens.functions.binary import to_latin1
+from egresslens.functions.binary import let, to_latin1
 from egresslens.functions.mime import disposition_filename, mail_attachments, smtp_body
 from egresslens.functions.text import blank_to_null, dns_name, human_bytes, strip
 from egresslens.operators.filters import destination, is_dns_query, source
@@ -102,10 +102,12 @@ def smb_write(host: str, threshold: int = C.LARGE_UPLOAD_BYTES) -> Column:
 def large_smtp(host: str, threshold: int = C.LARGE_UPLOAD_BYTES) -> Column:
     """Large message without attachment; the bound itself is not large."""
     body = smtp_body(F.col("smtp"), F.col("tcp"), F.col("data"))
-    size = F.octet_length(body)
-    bare = F.size(mail_attachments(to_latin1(body))) == 0
-    return _hit(F.col("smtp").isNotNull() & (source() == host) & (size > threshold) & bare,
-                "SMTP", C.NOTE_SMTP_LARGE, size=size)
+    # The size of a large message without attachment, else NULL.
+    bare = lambda b: F.when(
+        (F.octet_length(b) > threshold) & (F.size(mail_attachments(to_latin1(b))) == 0), F.octet_length(b))
+    sender = F.col("smtp").isNotNull() & (source() == host)
+    return let(F.when(sender, let(body, bare)), lambda size: _hit(
+        size.isNotNull(), "SMTP", C.NOTE_SMTP_LARGE, size=size))
 
 
 def long_dns_name(limit: int = C.LONG_QNAME_CHARS) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from egresslens.plans import traffic_queries  # noqa: F401  (registers)
+from egresslens.plans import text_queries, traffic_queries  # noqa: F401  (they register)
 from egresslens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

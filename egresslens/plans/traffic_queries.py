@@ -235,9 +235,9 @@ def _(spark, sf):
 _MAIL = r"""
     SELECT frame_no, src, dst, CASE WHEN conv_id % 2 = 0 THEN role || '.eml' END AS named,
       CASE WHEN conv_id % 2 = 0 THEN encode(regexp_replace(text, '^[\r\n]+|[\r\n]+$', '', 'g'))
-           WHEN length(to_base64(encode(text))) > 100 THEN encode(text)
-           ELSE encode(to_base64(encode(text))) END AS payload
-    FROM b_mime WHERE turn % 4 = 3"""
+           WHEN length(b64) > 98 THEN encode(text)
+           ELSE encode(CASE WHEN length(b64) > 76 THEN substr(b64, 1, 76) || chr(13) || chr(10) || substr(b64, 77) ELSE b64 END) END AS payload
+    FROM (SELECT *, to_base64(encode(text)) AS b64 FROM b_mime) x WHERE turn % 4 = 3"""
 
 
 @query("d11_smtp_attachment", f"""
