@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType, StringType
 
 # Fixed values of the piecewise hash.
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -172,7 +173,7 @@ def locality_digest(content: bytes, table: np.ndarray) -> str | None:
 
 
 def _over(fn, minimum: int):
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def digest(content: pd.Series) -> pd.Series:
         return content.map(lambda b: fn(bytes(b)) if b is not None and len(b) >= minimum else None)
     return digest
@@ -214,7 +215,7 @@ def common_subsequence(left: pd.Series, right: pd.Series) -> np.ndarray:
     return np.bitwise_count(~row).astype(np.int64)
 
 
-@pandas_udf("bigint")
+@pandas_udf(LongType())
 def indel_score(left: pd.Series, right: pd.Series, block: pd.Series) -> pd.Series:
     """Score 0..100 of two signatures by insertions and deletions, bounded for small blocks."""
     len_a, len_b = left.str.len().to_numpy(np.int64), right.str.len().to_numpy(np.int64)
