@@ -268,8 +268,11 @@ _LCS = """len(list_filter(range(0, 64), lambda k: (list_reduce(list_prepend(CAST
     pre AS (SELECT a.d AS file_digest, b.d AS target_digest, a.x AS x, b.x AS y FROM c a JOIN c b
       ON CAST(floor(a.doc_id / 10) AS BIGINT) = CAST(floor(b.doc_id / 10) AS BIGINT) AND a.doc_id % 5 <> 0 AND b.doc_id % 5 = 0),
     l AS (SELECT DISTINCT file_digest, target_digest, length(x) + length(y) AS n, {_LCS} AS common FROM pre)
-    SELECT file_digest, target_digest, CAST(100 - 100 * ((n - 2 * common) * 64 // n) // 64 AS BIGINT) AS score FROM l
-    WHERE 100 - 100 * ((n - 2 * common) * 64 // n) // 64 >= 90""")
+    SELECT file_digest, target_digest, max(score) AS score FROM (
+      SELECT file_digest, target_digest, CAST(100 - 100 * ((n - 2 * common) * 64 // n) // 64 AS BIGINT) AS score FROM l
+      UNION ALL SELECT a.d, b.d, 100 FROM s a JOIN s b ON string_split(a.d, ':')[3] = string_split(b.d, ':')[3]
+        AND a.doc_id % 5 <> 0 AND b.doc_id % 5 = 0) u
+    WHERE score >= 90 GROUP BY file_digest, target_digest""")
 def ssdeep_scores(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.expr(_ssdeep_sql("spark")).alias("ssdeep"))
     return fuzzy.ssdeep_scores(docs.filter("doc_id % 5 <> 0"), docs.filter("doc_id % 5 = 0"))
