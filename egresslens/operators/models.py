@@ -12,6 +12,7 @@ from egresslens import constants as C
 from egresslens.functions.times import encode_cyclic
 from egresslens.operators import encode, stats
 from egresslens.operators.detect import finding
+from egresslens.session import materialize
 
 
 @dataclass
@@ -33,6 +34,13 @@ class Preprocessor:
         self.encoders = [encode.TargetEncoder.fit(train, c, label, key) for c in self.categorical]
         return self
 
+    def materialized(self) -> "Preprocessor":
+        """The same with its statistics written to tables, so that they are computed once."""
+        self.scaler.moments = materialize(self.scaler.moments, "scaler")
+        for encoder in self.encoders:
+            encoder.stats = materialize(encoder.stats, "encoder")
+        return self
+
     def transform(self, df: DataFrame, training: bool = False) -> DataFrame:
         out = self.scaler.transform(df)
         for encoder in self.encoders:
@@ -79,7 +87,7 @@ def score(model: PipelineModel, features: DataFrame, keep, out: str) -> DataFram
 def learning_curve(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Loss after each boosting round."""
     assembled = model.stages[0].transform(df)
-    losses = model.stages[-1].evaluateEachIteration(assembled, "logistic")
+    losses = model.stages[-1].evaluateEachIteration(assembled)
     return df.sparkSession.createDataFrame(
         [(i + 1, float(v)) for i, v in enumerate(losses)], "round int, loss double")
 

@@ -1,0 +1,340 @@
+"""Registered queries over distributions, encoding, evaluation, models and streams."""
+
+from functools import cache
+
+from pyspark.sql import functions as F
+
+from egresslens import constants as C
+from egresslens.operators import dns, encode, models, stats
+from egresslens.operators.objects import extract_objects
+from egresslens.plans import training
+from egresslens.plans.bridges import HOST, bridge, packets, table, tftp_packets
+from egresslens.plans.registry import query
+from egresslens.session import work_path
+from egresslens.sources.readers import stream_packets
+from egresslens.schemas import PACKETS
+from egresslens.streaming import flows
+
+S = "b_scores"
+
+
+def _scores(spark, sf):
+    return bridge(spark, sf, S)
+
+
+# --- distributions -----------------------------------------------------------------------------
+
+@query("a05_class_distribution", "SELECT CASE WHEN frame_no % 5 <> 0 THEN y END AS y, CAST(count(*) AS BIGINT) AS n FROM b_scores GROUP BY 1")
+def _(spark, sf):
+    gaps = _scores(spark, sf).withColumn("y", F.when(F.col("frame_no") % 5 != 0, F.col("y")))
+    return stats.class_distribution(gaps, "y")
+
+
+@query("a10_column_profile", """
+    SELECT * FROM (VALUES ('frame_no', 'numeric', (SELECT count(*) FROM b_scores)), ('y', 'numeric', (SELECT count(*) FROM b_scores)),
+      ('p1', 'numeric', (SELECT count(*) FROM b_scores)), ('p2', 'numeric', (SELECT count(p2) FROM b_scores)),
+      ('lang', 'categorical', (SELECT count(*) FROM b_scores)), ('source', 'categorical', (SELECT count(*) FROM b_scores)),
+      ('chars', 'numeric', (SELECT count(*) FROM b_scores))) t("column", kind, non_null)""")
+def _(spark, sf):
+    return stats.column_profile(_scores(spark, sf))
+
+
+@query("a11_probability_summary", "SELECT min(p2) AS min_p, max(p2) AS max_p, round(avg(p2), 9) AS mean_p, FALSE AS any_nan, FALSE AS any_inf FROM b_scores")
+def _(spark, sf):
+    return stats.probability_summary(_scores(spark, sf), "p2").withColumn("mean_p", F.round("mean_p", 9))
+
+
+@query("a12_class_weight", "SELECT count(*) FILTER (WHERE y = 0) / count(*) FILTER (WHERE y = 1) AS weight FROM b_scores")
+def _(spark, sf):
+    return stats.class_weight(_scores(spark, sf))
+
+
+@query("u02_dedup_rows", "SELECT DISTINCT y, lang, source FROM b_scores")
+def _(spark, sf):
+    return encode.dedup_rows(_scores(spark, sf).select("y", "lang", "source"))
+
+
+# --- evaluation --------------------------------------------------------------------------------
+
+_CUM = """WITH s AS (SELECT p1 AS threshold, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM b_scores GROUP BY 1),
+    c AS (SELECT threshold, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS ap, sum(neg) OVER () AS an
+          FROM s WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
+    r AS (SELECT threshold, tp / ap AS tpr, fp / an AS fpr, tp / ap - fp / an AS j FROM c) """
+
+
+def _counts(spark, sf):
+    return stats.roc_counts(_scores(spark, sf), "p1")
+
+
+@query("w04_roc_counts", _CUM + "SELECT threshold, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM c")
+def _(spark, sf):
+    return _counts(spark, sf)
+
+
+@query("n10_roc_curve", _CUM + "SELECT threshold, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr, round(j, 9) AS j FROM r")
+def roc(spark, sf):
+    return stats.roc_curve(_counts(spark, sf)).select("threshold", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "j")])
+
+
+_BEST = _CUM + "SELECT threshold, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr, round(j, 9) AS j FROM r ORDER BY r.j DESC, threshold DESC LIMIT 1"
+
+
+@query("n11_youden_threshold", _BEST)
+def _(spark, sf):
+    best = stats.youden_threshold(stats.roc_curve(_counts(spark, sf)))
+    return best.select("threshold", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "j")])
+
+
+@query("t07_best_point", _CUM + "SELECT threshold FROM r ORDER BY j DESC, threshold DESC LIMIT 1")
+def _(spark, sf):
+    return models.choose_threshold(_scores(spark, sf), "p1").select("threshold")
+
+
+@query("n12_roc_auc", """
+    SELECT round(sum(CASE WHEN a.p1 > b.p1 THEN 1.0 WHEN a.p1 = b.p1 THEN 0.5 ELSE 0 END) / count(*), 9) AS auc
+    FROM b_scores a, b_scores b WHERE a.y = 1 AND b.y = 0""")
+def _(spark, sf):
+    return stats.roc_auc(_counts(spark, sf)).select(F.round("auc", 9).alias("auc"))
+
+
+def _judged(spark, sf):
+    return _scores(spark, sf).withColumn("pred", stats.predicted(F.col("p1"), F.lit(0.5)))
+
+
+@query("n13_confusion", """
+    SELECT CAST(count(*) FILTER (WHERE y = 1 AND p1 >= 0.5) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE y = 0 AND p1 >= 0.5) AS BIGINT) AS fp,
+      CAST(count(*) FILTER (WHERE y = 1 AND p1 < 0.5) AS BIGINT) AS fn, CAST(count(*) FILTER (WHERE y = 0 AND p1 < 0.5) AS BIGINT) AS tn FROM b_scores""")
+def _(spark, sf):
+    return stats.confusion(_judged(spark, sf))
+
+
+@query("n13_accuracy", "SELECT round(avg(CAST((p1 >= 0.5) = (y = 1) AS INT)), 9) AS accuracy FROM b_scores")
+def _(spark, sf):
+    return stats.accuracy(_judged(spark, sf)).select(F.round("accuracy", 9).alias("accuracy"))
+
+
+@query("n13_class_report", """
+    WITH q AS (SELECT y, CAST(p1 >= 0.5 AS INT) AS p FROM b_scores), k AS (SELECT unnest([0, 1]) AS c),
+    m AS (SELECT c, count(*) FILTER (WHERE y = c) AS support, count(*) FILTER (WHERE p = c) AS called, count(*) FILTER (WHERE y = c AND p = c) AS hit FROM k, q GROUP BY c),
+    r AS (SELECT CAST(c AS STRING) AS label, coalesce(hit / nullif(called, 0), 0) AS precision, coalesce(hit / nullif(support, 0), 0) AS recall, support FROM m),
+    f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM r),
+    u AS (SELECT label, precision, recall, f1, support FROM f UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM f
+      UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM f)
+    SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, CAST(support AS BIGINT) AS support FROM u""")
+def _(spark, sf):
+    report = stats.classification_report(_judged(spark, sf))
+    return report.select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+# --- encoding ----------------------------------------------------------------------------------
+
+@query("n03_standard_scaling", """
+    SELECT frame_no, round((chars - avg(chars) OVER ()) / stddev_pop(chars) OVER (), 8) AS chars, round((p1 - avg(p1) OVER ()) / stddev_pop(p1) OVER (), 8) AS p1 FROM b_scores""")
+def _(spark, sf):
+    df = _scores(spark, sf).select("frame_no", "chars", "p1")
+    return encode.Scaler.fit(df, ["chars", "p1"]).transform(df).select("frame_no", F.round("chars", 8).alias("chars"), F.round("p1", 8).alias("p1"))
+
+
+@query("n04_target_encoding", """
+    SELECT frame_no, round((sum(y) OVER (PARTITION BY source) + 20 * avg(y) OVER ()) / (count(*) OVER (PARTITION BY source) + 20), 9) AS source FROM b_scores""")
+def _(spark, sf):
+    df = _scores(spark, sf)
+    return encode.TargetEncoder.fit(df, "source", "y", "frame_no").transform(df).select("frame_no", F.round("source", 9).alias("source"))
+
+
+@query("n04_out_of_fold_encoding")
+def _(spark, sf):
+    df = _scores(spark, sf)
+    return encode.TargetEncoder.fit(df, "source", "y", "frame_no").transform_training(df).select("frame_no", "source")
+
+
+_SHARE = "(CAST('0x' || substr(md5(CAST(frame_no AS STRING) || '-42'), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+@query("n05_split", f"""
+    SELECT frame_no, y, CASE WHEN {_SHARE} < 0.7 THEN 'train' WHEN {_SHARE} < 0.9 THEN 'val' ELSE 'test' END AS part FROM b_scores""")
+def _(spark, sf):
+    part = encode.split_name(F.col("frame_no"), encode.STATELESS_SPLIT)
+    return _scores(spark, sf).select("frame_no", "y", part.alias("part"))
+
+
+@query("w07_sequential_slices", f"""
+    SELECT frame_no, CASE WHEN {_SHARE} < 40000 / 60000.0 THEN 'train' WHEN {_SHARE} < 50000 / 60000.0 THEN 'val' ELSE 'test' END AS part FROM b_scores""")
+def _(spark, sf):
+    return _scores(spark, sf).select("frame_no", encode.sequential_slices(F.col("frame_no"), C.SYNTHETIC_ROWS).alias("part"))
+
+
+@query("t06_seeded_order", "SELECT frame_no FROM b_scores")
+def _(spark, sf):
+    return encode.seeded_order(_scores(spark, sf), "frame_no").select("frame_no")
+
+
+@query("w08_label_encoding", "SELECT frame_no, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INT) AS code FROM b_scores")
+def _(spark, sf):
+    return encode.encode_labels(_scores(spark, sf), "lang", "code").select("frame_no", "code")
+
+
+@query("w08_label_codes", "SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INT) AS code FROM (SELECT DISTINCT lang FROM b_scores) d")
+def _(spark, sf):
+    return encode.label_codes(_scores(spark, sf), "lang").select("lang", "code")
+
+
+@query("n08_class_weighting", "SELECT frame_no, CASE y WHEN 1 THEN (SELECT count(*) FILTER (WHERE y = 0) / count(*) FILTER (WHERE y = 1) FROM b_scores) ELSE 1.0 END AS weight FROM b_scores")
+def _(spark, sf):
+    return encode.weighted(_scores(spark, sf), "y").select("frame_no", "weight")
+
+
+@query("n09_synthetic_rows")
+def _(spark, sf):
+    minority = _scores(spark, sf).filter("y = 1")
+    return encode.synthetic_rows(minority, ["chars", "p1"], 1000, "frame_no")
+
+
+@query("j07_score_pairing", "SELECT frame_no, p1, p2 FROM b_scores")
+def _(spark, sf):
+    both = _scores(spark, sf)
+    return models.pair_scores(both.select("frame_no", "p1"), both.select("frame_no", "p2").dropna())
+
+
+_VERDICT = "CASE WHEN abs(p1 - 0.5) <= 0.15 AND p2 IS NOT NULL THEN p2 >= 0.6 ELSE p1 >= 0.5 END"
+
+
+@query("n14_verdict", f"SELECT frame_no, CASE WHEN {_VERDICT} THEN 'exfiltration' ELSE 'benign' END AS classification FROM b_scores")
+def _(spark, sf):
+    return models.verdicts(_scores(spark, sf), 0.5, 0.6).select("frame_no", "classification")
+
+
+@query("d16_model_findings", f"SELECT frame_no, round(p1, 4) AS p1, round(p2, 4) AS p2, '{C.NOTE_DNS_MODEL}' AS note FROM b_scores WHERE {_VERDICT}")
+def _(spark, sf):
+    return models.verdict_findings(models.verdicts(_scores(spark, sf), 0.5, 0.6)).select("frame_no", "p1", "p2", "note")
+
+
+@query("s12_thresholds", _BEST.replace("SELECT threshold, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr, round(j, 9) AS j", "SELECT threshold AS t1, threshold AS t2"))
+def _(spark, sf):
+    value = models.choose_threshold(_scores(spark, sf), "p1").first()["threshold"]
+    path = work_path(spark, "thresholds")
+    models.save_thresholds(value, value, spark, path)
+    return models.load_thresholds(spark, path)
+
+
+# --- models ------------------------------------------------------------------------------------
+
+def _lexical(spark, sf):
+    """Lexical features of names made of the labelled documents."""
+    docs = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    name = F.concat(F.regexp_replace(F.substring("text", 1, 40), r"\s+", "."), F.lit("."), F.col("source"), F.lit(".com"))
+    named = docs.select(F.col("doc_id").alias("frame_no"), F.timestamp_seconds("doc_id").alias("ts"), name.alias("qname"),
+                        F.col("toxic").alias("class"))
+    return dns.lexical_features(named, name="qname", keep=("frame_no", "class"))
+
+
+def _response(spark, sf):
+    """Response features of the order packets, labelled by their records."""
+    features = dns.response_features(packets(spark, sf, "b_rr"))
+    return features.withColumn("class", (F.col("ttl_mean") > 30).cast("int"))
+
+
+# Trained once per session and folder; its inputs and outputs are tables in the shared folder.
+@cache
+def _first_stage(spark, sf):
+    return training.train_first(_lexical(spark, sf), epochs=10)
+
+
+@cache
+def _second_stage(spark, sf):
+    return training.train_second(_response(spark, sf), rounds=4, synthetic=1000)
+
+
+@query("n06_first_stage")
+def first_stage(spark, sf):
+    """Trained net, judged on the test split."""
+    return _first_stage(spark, sf).evaluate()["report"]
+
+
+@query("n07_second_stage")
+def second_stage(spark, sf):
+    return _second_stage(spark, sf).evaluate()["report"]
+
+
+@query("n16_learning_curve")
+def _(spark, sf):
+    stage = _second_stage(spark, sf)
+    return models.learning_curve(stage.model, stage.val.withColumn("weight", F.lit(1.0)))
+
+
+@query("n15_batch_scoring")
+def _(spark, sf):
+    stage = _first_stage(spark, sf)
+    return stage.scores(stage.test, ["frame_no"])
+
+
+@query("k09_saved_model")
+def _(spark, sf):
+    from pyspark.ml import PipelineModel
+    stage = _first_stage(spark, sf)
+    path = work_path(spark, "model")
+    stage.model.write().overwrite().save(path)
+    return models.score(PipelineModel.load(path), stage.test, ["frame_no"], "p")
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+def _streamed(spark, df, name, schema=PACKETS, files: int = 4):
+    """A stream over a table, written in several files."""
+    path = work_path(spark, name)
+    df.repartition(files).write.parquet(path)
+    return stream_packets(spark, path, "parquet", schema, files_per_trigger=2)
+
+
+@query("r01_streaming_findings", f"""
+    SELECT frame_no, note FROM (SELECT frame_no, '{C.NOTE_HTTP_LARGE}' AS note FROM b_http WHERE src = '{HOST}' AND TRY_CAST(content_length AS BIGINT) >= {C.LARGE_UPLOAD_BYTES}) a
+    UNION ALL SELECT frame_no, CASE WHEN upper(request_command) = 'STOR' AND src = '{HOST}' THEN '{C.NOTE_FTP_STOR}' ELSE '{C.NOTE_FTP_SEEN}' END
+      FROM b_ftp WHERE upper(request_command) IN ('STOR', 'RETR')""")
+def streaming_findings(spark, sf):
+    both = packets(spark, sf, "b_http").unionByName(packets(spark, sf, "b_ftp"))
+    found = flows.stream_findings(_streamed(spark, both, "stream-in"), HOST)
+    return flows.run_available(found.select("frame_no", "note"), "stream-findings").drop("batch")
+
+
+@query("r02_running_outbound", f"SELECT dst, CAST(sum(length) AS BIGINT) AS bytes FROM b_packets WHERE src = '{HOST}' GROUP BY dst")
+def streaming_outbound(spark, sf):
+    stream = _streamed(spark, packets(spark, sf), "stream-in")
+    out = flows.run_available(flows.running_outbound(stream, HOST), "stream-outbound", "complete")
+    last = out.agg(F.max("batch").alias("b")).scalar()
+    return out.filter(F.col("batch") == last).drop("batch")
+
+
+@query("r02_windowed_outbound", f"""
+    SELECT make_timestamp(CAST(floor(epoch(ts) / 2592000) AS BIGINT) * 2592000 * 1000000) AS start, dst, CAST(sum(length) AS BIGINT) AS bytes
+    FROM b_packets WHERE src = '{HOST}' GROUP BY 1, 2""")
+def _(spark, sf):
+    stream = _streamed(spark, packets(spark, sf), "stream-in")
+    windows = flows.windowed_outbound(stream, HOST, "30 days", "1 day")
+    out = flows.run_available(windows, "stream-windows", "complete")
+    last = out.agg(F.max("batch").alias("b")).scalar()
+    return out.filter(F.col("batch") == last).select(F.col("start").cast("timestamp_ntz").alias("start"), "dst", "bytes")
+
+
+@query("r03_streaming_transfers")
+def streaming_transfers(spark, sf):
+    stream = _streamed(spark, tftp_packets(spark, sf), "stream-in", files=1)
+    return flows.run_available(flows.stream_transfers(stream), "stream-tftp").drop("batch", "payload")
+
+
+@query("r04_streaming_scores")
+def _(spark, sf):
+    stage = _first_stage(spark, sf)
+    path = work_path(spark, "stream-features")
+    columns = ["frame_no", *stage.preprocessor.features]
+    stage.test.select(*columns).write.parquet(path)
+    features = spark.readStream.schema(stage.test.select(*columns).schema).parquet(path)
+    return flows.run_available(flows.stream_scores(features, stage.model), "stream-scores").drop("batch")
+
+
+@query("r05_streaming_matches", """
+    SELECT frame_no, sha256(text) AS sha256 FROM b_mime WHERE turn % 4 = 0 AND conv_id % 2 = 0""")
+def _(spark, sf):
+    carried = extract_objects(_streamed(spark, packets(spark, sf, "b_mime"), "stream-in"), "multipart").drop("payload")
+    known = bridge(spark, sf, "b_mime").filter("conv_id % 2 = 0").select(F.sha2("text", 256).alias("sha256"))
+    matched = flows.stream_matches(carried, known)
+    return flows.run_available(matched.select("frame_no", "sha256"), "stream-matches").drop("batch")

@@ -5,6 +5,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from egresslens.constants import TFTP_BLOCK_BYTES
@@ -123,4 +124,5 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state")
              .foreachBatch(write).trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "int")).parquet(f"{path}/data")
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    return spark.read.schema(schema).parquet(f"{path}/data")
