@@ -2,16 +2,13 @@
 
 from pyspark.sql import Column, functions as F
 
+from egresslens.functions.text import let
+
 LATIN1 = "ISO-8859-1"
 # A character no Latin-1 text can hold; splitting on it needs no quoting of the separator.
 MARK = "Ā"
 
 
-def let(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``, which may refer to it many times."""
-    return F.transform(F.array(value), use)[0]
-
-
 def to_latin1(data: Column) -> Column:
     return F.decode(data, LATIN1)
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, functions as F
 
 from egresslens import constants as C
 from egresslens.functions.binary import (
-    decode_hex, from_latin1, latin1_to_utf8, let, non_empty, sha256, split_literal, utf8_to_latin1,
+    decode_hex, from_latin1, latin1_to_utf8, non_empty, sha256, split_literal, utf8_to_latin1,
 )
-from egresslens.functions.text import blank_to_null, strip
+from egresslens.functions.text import blank_to_null, let, strip
 
 CRLF2, LF2 = "\r\n\r\n", "\n\n"
 LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"

@@ -3,6 +3,11 @@
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``, which may refer to it many times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def blank_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
@@ -14,16 +19,13 @@ def strip(col: Column) -> Column:
 
 def entropy(col: Column, digits: int = 10) -> Column:
     """Shannon entropy (bits) of the characters; 0 for an empty text."""
-    total = F.length(col)
-    probability = lambda ch: (total - F.length(F.replace(col, ch))) / total
-    bits = F.aggregate(
-        F.array_distinct(F.split(col, "")),
-        F.lit(0.0),
-        lambda acc, ch: acc - probability(ch) * F.log2(probability(ch)),
-    )
-    return F.when(col.isNull() | (total == 0), F.lit(0.0)).otherwise(
-        F.round(bits, digits) + F.lit(0.0)
-    )
+    # Each distinct character is cut out once; what the text loses is its count.
+    def add(acc: Column, ch: Column) -> Column:
+        share = (F.length(col) - F.length(F.replace(col, ch))) / F.length(col)
+        return acc - let(share, lambda p: p * F.log2(p))
+
+    bits = F.aggregate(F.array_distinct(F.split(col, "")), F.lit(0.0), add)
+    return F.when(col.isNull() | (col == ""), F.lit(0.0)).otherwise(F.round(bits, digits) + F.lit(0.0))
 
 
 def human_bytes(col: Column) -> Column:

@@ -1,9 +1,13 @@
-"""Detectors: each is a column expression giving a finding or NULL.
+"""Detectors: a condition on a packet and the finding it gives.
 
-``findings`` evaluates any number of them in one projection over the packets, so adding a
-detector never adds a scan. They hold no state and work the same on batch and stream.
+``findings`` evaluates any number of them in one pass over the packets, so adding a detector
+never adds a scan; packets no condition holds for are dropped before any finding is built. They
+hold no state and work the same on batch and stream.
 """
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from egresslens import constants as C
@@ -21,26 +25,32 @@ def finding(**values) -> Column:
     ])
 
 
-def _hit(condition: Column, proto, note, **values) -> Column:
+@dataclass
+class Detector:
+    condition: Column
+    finding: Column
+
+
+def _hit(condition: Column, proto, note, **values) -> Detector:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     base = dict(proto=as_col(proto), note=as_col(note), src=source(), dst=destination(),
                 frame_no=F.col("frame_no"))
     base.update({name: as_col(v) for name, v in values.items()})
-    return F.when(condition, finding(**base))
+    return Detector(condition, finding(**base))
 
 
 def _int(expression: str) -> Column:
     return F.expr(f"try_cast({expression} AS bigint)")
 
 
-def large_http(host: str, threshold: int = C.LARGE_UPLOAD_BYTES) -> Column:
+def large_http(host: str, threshold: int = C.LARGE_UPLOAD_BYTES) -> Detector:
     size = _int("trim(http.content_length)")
     method = F.upper(F.col("http.request_method"))
     return _hit(method.isNotNull() & (source() == host) & (size >= threshold),
                 "HTTP", C.NOTE_HTTP_LARGE, method=method, content_length=size)
 
 
-def disposition_seen() -> Column:
+def disposition_seen() -> Detector:
     """A file name in a disposition header, recorded whether or not a body was saved."""
     name = disposition_filename(F.col("http.content_disposition"))
     return _hit(name.isNotNull(), "HTTP", C.NOTE_HTTP_DISPOSITION, filename=name)
@@ -50,12 +60,12 @@ def _ftp_command() -> Column:
     return F.upper(F.col("ftp.request_command"))
 
 
-def ftp_upload(host: str) -> Column:
+def ftp_upload(host: str) -> Detector:
     return _hit((_ftp_command() == "STOR") & (source() == host), "FTP", C.NOTE_FTP_STOR,
                 command="STOR", filename=F.col("ftp.request_arg"))
 
 
-def ftp_filename(host: str) -> Column:
+def ftp_filename(host: str) -> Detector:
     from_host = F.coalesce(source() == host, F.lit(False))
     seen = (_ftp_command() == "RETR") | ((_ftp_command() == "STOR") & ~from_host)
     return _hit(seen, "FTP", C.NOTE_FTP_SEEN, command=_ftp_command(),
@@ -69,12 +79,12 @@ def tftp_filename() -> Column:
         blank_to_null(strip(F.col("tftp.destination_file"))), blank_to_null(rendered))
 
 
-def tftp_write(host: str) -> Column:
+def tftp_write(host: str) -> Detector:
     return _hit((_int("tftp.opcode") == 2) & (source() == host), "TFTP", C.NOTE_TFTP_WRQ,
                 command="WRQ", filename=tftp_filename())
 
 
-def smb_write(host: str, threshold: int = C.LARGE_UPLOAD_BYTES) -> Column:
+def smb_write(host: str, threshold: int = C.LARGE_UPLOAD_BYTES) -> Detector:
     """Create and write commands from the host; the older protocol wins when both are present."""
     is_smb = F.col("smb").isNotNull()
     cmd = F.when(is_smb, F.concat(F.lit("1:"), F.col("smb.cmd"))).otherwise(
@@ -99,31 +109,32 @@ def smb_write(host: str, threshold: int = C.LARGE_UPLOAD_BYTES) -> Column:
                 filename=name, content_length=F.when(large, size))
 
 
-def large_smtp(host: str, threshold: int = C.LARGE_UPLOAD_BYTES) -> Column:
+def large_smtp(host: str, threshold: int = C.LARGE_UPLOAD_BYTES) -> Detector:
     """Large message without attachment; the bound itself is not large."""
     body = smtp_body(F.col("smtp"), F.col("tcp"), F.col("data"))
     # The size of a large message without attachment, else NULL.
     bare = lambda b: F.when(
         (F.octet_length(b) > threshold) & (F.size(mail_attachments(to_latin1(b))) == 0), F.octet_length(b))
-    sender = F.col("smtp").isNotNull() & (source() == host)
-    return let(F.when(sender, let(body, bare)), lambda size: _hit(
-        size.isNotNull(), "SMTP", C.NOTE_SMTP_LARGE, size=size))
+    size = let(body, bare)
+    return _hit(F.col("smtp").isNotNull() & (source() == host) & size.isNotNull(),
+                "SMTP", C.NOTE_SMTP_LARGE, size=size)
 
 
-def long_dns_name(limit: int = C.LONG_QNAME_CHARS) -> Column:
+def long_dns_name(limit: int = C.LONG_QNAME_CHARS) -> Detector:
     name = dns_name(F.col("dns.qname"))
     return _hit(is_dns_query() & (F.length(name) > limit), "DNS", C.NOTE_DNS_LONG, qname=name)
 
 
-def stateless_detectors(host: str) -> list[Column]:
+def stateless_detectors(host: str) -> list[Detector]:
     return [large_http(host), disposition_seen(), ftp_upload(host), ftp_filename(host),
             tftp_write(host), smb_write(host), large_smtp(host), long_dns_name()]
 
 
-def findings(packets: DataFrame, *detectors: Column) -> DataFrame:
+def findings(packets: DataFrame, *detectors: Detector) -> DataFrame:
     """Findings of all given detectors in one pass over the packets."""
-    hits = F.filter(F.array(*detectors), lambda f: f.isNotNull())
-    return packets.select(F.explode(hits).alias("f")).select("f.*")
+    any_holds = reduce(lambda a, b: a | b, [d.condition for d in detectors])
+    hits = F.filter(F.array(*[F.when(d.condition, d.finding) for d in detectors]), lambda f: f.isNotNull())
+    return packets.filter(any_holds).select(F.explode(hits).alias("f")).select("f.*")
 
 
 def flow_finding(totals: DataFrame, threshold_mb: float = C.FLOW_THRESHOLD_MB) -> DataFrame:

@@ -91,19 +91,21 @@ def record_type_counts(rr: Column) -> dict[str, Column]:
 
 
 def _mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(F.size(values) > 0, F.round(total / F.size(values), 10)).otherwise(0.0)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
+    return X.let(values, lambda v: F.when(F.size(v) > 0, F.round(total(v) / F.size(v), 10)).otherwise(0.0))
 
 
 def ttl_moments(ttls: Column) -> tuple[Column, Column]:
     """Mean and sample variance of integers, from exact sums."""
     wide = "decimal(38,0)"
+    exact = lambda t: t.cast("decimal(19,0)")
     zero = F.lit(0).cast(wide)
-    n = F.size(ttls)
-    total = F.aggregate(ttls, zero, lambda acc, t: (acc + t.cast("decimal(19,0)")).cast(wide))
-    squares = F.aggregate(ttls, zero, lambda acc, t: (
-        acc + (t.cast("decimal(19,0)") * t.cast("decimal(19,0)")).cast(wide)).cast(wide))
-    spread = (squares * n).cast(wide) - (total * total).cast(wide)
+    start = F.struct(zero.alias("sum"), zero.alias("squares"))
+    sums = F.aggregate(ttls, start, lambda acc, t: F.struct(
+        (acc["sum"] + exact(t)).cast(wide).alias("sum"),
+        (acc["squares"] + (exact(t) * exact(t)).cast(wide)).cast(wide).alias("squares")))
+    n, total = F.size(ttls), sums["sum"]
+    spread = (sums["squares"] * n).cast(wide) - (total * total).cast(wide)
     mean = F.when(n > 0, F.round(total.cast("double") / n, 10)).otherwise(0.0)
     variance = F.when(n > 1, F.round(spread.cast("double") / (n * (n - 1)), 10)).otherwise(0.0)
     return mean, variance
@@ -130,18 +132,21 @@ def response_features(packets: DataFrame, ranges: DataFrame | None = None, keep=
     rr = F.col("rr")
     names = F.filter(F.transform(rr, lambda r: X.dns_name(r["name"])), lambda n: n.isNotNull())
     ttls = F.filter(F.transform(rr, lambda r: r["ttl"]), lambda t: t.isNotNull())
-    counts = record_type_counts(rr)
-    a, aaaa = counts["A_frequency"], counts["AAAA_frequency"]
-    mean, variance = ttl_moments(ttls)
+    # Arrays used more than once are columns of their own.
+    staged = joined.select(
+        *keep, "ips", "countries", "asns", "domains", F.size(rr).cast("bigint").alias("rr_count"),
+        names.alias("names"), ttls.alias("ttls"), type_names(rr).alias("types"),
+        *[c.alias(n) for n, c in record_type_counts(rr).items()])
+    a, aaaa = F.col("A_frequency"), F.col("AAAA_frequency")
+    mean, variance = ttl_moments(F.col("ttls"))
     listed = lambda name: X.as_json(F.coalesce(F.col(name), F.array().cast("array<string>")))
-    return joined.select(
+    return staged.select(
         *keep, F.when(a + aaaa > 0, F.round(a / (a + aaaa), 10)).otherwise(0.0).alias("rr"),
-        *[c.alias(n) for n, c in counts.items()], X.as_json(type_names(rr)).alias("rr_type"),
-        F.size(rr).cast("bigint").alias("rr_count"),
-        _mean(F.transform(names, lambda n: X.entropy(n, 15))).alias("rr_name_entropy"),
-        _mean(F.transform(names, lambda n: F.length(n).cast("double"))).alias("rr_name_length"),
-        counts["NS_frequency"].alias("distinct_ns"), F.size("ips").cast("bigint").alias("distinct_ip"),
+        *[f"{n}_frequency" for n in C.RR_TYPES.values()], X.as_json(F.col("types")).alias("rr_type"),
+        "rr_count", _mean(F.transform("names", lambda n: X.entropy(n, 15))).alias("rr_name_entropy"),
+        _mean(F.transform("names", lambda n: F.length(n).cast("double"))).alias("rr_name_length"),
+        F.col("NS_frequency").alias("distinct_ns"), F.size("ips").cast("bigint").alias("distinct_ip"),
         listed("countries").alias("unique_country"), listed("asns").alias("unique_asn"),
         listed("domains").alias("distinct_domains"), F.lit("unknown").alias("reverse_dns"),
-        a.alias("a_records"), X.as_json(F.array_distinct(ttls)).alias("unique_ttl"),
+        a.alias("a_records"), X.as_json(F.array_distinct("ttls")).alias("unique_ttl"),
         mean.alias("ttl_mean"), variance.alias("ttl_variance"))

@@ -5,6 +5,7 @@ digests only when they share a key that every match must share: nothing is lost.
 """
 
 from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -81,36 +82,34 @@ def ssdeep_matches(files: DataFrame, targets: DataFrame,
 
 # --- locality digests --------------------------------------------------------------------------
 
+_WORDS = ["w0", "w1", "w2", "w3"]
+_PACKED = ["head", *_WORDS]
+_EVEN_BITS = 0x5555555555555555
+_MAX_BUDGET = 3
+
+
 def _number(text: Column) -> Column:
     return F.conv(text, 16, 10).cast("bigint")
 
 
-def _planes(body: Column) -> dict[str, Column]:
-    """The 128 two-bit codes as unary bits: plane k holds, per code, whether it is at least k."""
-    evens = F.lit(0x55555555).cast("bigint")
-    words = [_number(F.substring(body, 1 + 8 * i, 8)) for i in range(8)]
-    low = [w.bitwiseAND(evens) for w in words]
-    high = [F.shiftright(w, 1).bitwiseAND(evens) for w in words]
-    plane = {
-        1: [h.bitwiseOR(l) for h, l in zip(high, low)], 2: high,
-        3: [h.bitwiseAND(l) for h, l in zip(high, low)],
-    }
-    pack = lambda w: (w[0].bitwiseOR(F.shiftleft(w[1], 1)).bitwiseOR(F.shiftleft(w[2], 32))
-                      .bitwiseOR(F.shiftleft(w[3], 33)))
-    return {f"g{k}{half}": pack(plane[k][start:start + 4])
-            for k in plane for half, start in (("a", 0), ("b", 4))}
-
-
-def _parsed(df: DataFrame, column: str) -> DataFrame:
-    """Distinct valid digests with header numbers, body text and code planes."""
+def _word(text: Column, start: int) -> Column:
+    """Sixteen hex digits as the 64 bits of a number."""
+    half = lambda at: _number(F.substring(text, at, 8))
+    return F.shiftleft(half(start), 32).bitwiseOR(half(start + 8))
+
+
+def _packed(df: DataFrame, column: str) -> DataFrame:
+    """Distinct valid digests as five numbers: the header and the 128 two-bit codes."""
     bare = F.upper(F.regexp_replace(column, "^T1", ""))
     rows = df.select(F.col(column).alias("digest"), bare.alias("hex")).dropna().distinct().filter(
         F.col("hex").rlike("^[0-9A-F]{70}$"))
-    digit = lambda *at: _number(F.concat(*[F.substring("hex", i, 1) for i in at]))
-    body = rows.select(
-        "digest", digit(1, 2).alias("check"), digit(4, 3).alias("len"), digit(5).alias("q1"),
-        digit(6).alias("q2"), F.substring("hex", 7, _HEX_BODY).alias("body"))
-    return body.select("*", *[c.alias(n) for n, c in _planes(F.col("body")).items()])
+    return rows.select("digest", F.substring("hex", 7, _HEX_BODY).alias("body"),
+                       _number(F.substring("hex", 1, 6)).alias("head"),
+                       *[_word(F.col("hex"), 7 + 16 * i).alias(w) for i, w in enumerate(_WORDS)])
+
+
+def _nibble(head: Column, position: int) -> Column:
+    return F.shiftright(head, 4 * (6 - position)).bitwiseAND(F.lit(15))
 
 
 def _ring(a: Column, b: Column, size: int) -> Column:
@@ -119,70 +118,96 @@ def _ring(a: Column, b: Column, size: int) -> Column:
 
 
 def tlsh_distance(left: DataFrame, right: DataFrame) -> Column:
-    """Distance of two parsed digests as an expression over both sides of a join."""
-    length = _ring(left["len"], right["len"], 256)
-    quartile = lambda q: (lambda gap: F.when(gap <= 1, gap).otherwise((gap - 1) * 12))(
-        _ring(left[q], right[q], 16))
-    header = (F.when(length <= 1, length).otherwise(length * 12) + quartile("q1") + quartile("q2")
-              + (left["check"] != right["check"]).cast("bigint"))
-    body = F.lit(0)
-    for half in "ab":
-        x = [left[f"g{k}{half}"].bitwiseXOR(right[f"g{k}{half}"]) for k in (1, 2, 3)]
+    """Distance of two packed digests as an expression over both sides of a join."""
+    a, b = left["head"], right["head"]
+    long = lambda h: _nibble(h, 4) * 16 + _nibble(h, 3)
+    length = _ring(long(a), long(b), 256)
+    quartile = lambda at: (lambda gap: F.when(gap <= 1, gap).otherwise((gap - 1) * 12))(
+        _ring(_nibble(a, at), _nibble(b, at), 16))
+    checksum = (F.shiftright(a, 16) != F.shiftright(b, 16)).cast("bigint")
+    header = F.when(length <= 1, length).otherwise(length * 12) + quartile(5) + quartile(6) + checksum
+    evens, body = F.lit(_EVEN_BITS), F.lit(0)
+    for word in _WORDS:
+        # A code in unary: whether it is at least 1, 2, 3. Differing bits add up to the difference.
+        def unary(side: DataFrame) -> list[Column]:
+            low = side[word].bitwiseAND(evens)
+            high = F.shiftrightunsigned(side[word], 1).bitwiseAND(evens)
+            return [high.bitwiseOR(low), high, high.bitwiseAND(low)]
+        x = [p.bitwiseXOR(q) for p, q in zip(unary(left), unary(right))]
         # A difference of three weighs six, any other its own size.
         body += sum(F.bit_count(p) for p in x) + 3 * F.bit_count(x[0].bitwiseAND(x[1]).bitwiseAND(x[2]))
     return header + body
 
 
-def _pieces(threshold: int) -> list[tuple[int, int]]:
+def _pieces(threshold: int, budget: int) -> list[tuple[int, int]]:
     """Start and length (hex digits) of the pieces of a body.
 
-    With n pieces, two bodies within the threshold agree up to ``threshold // n`` in at least one.
+    With n pieces, two bodies within the threshold differ by at most ``threshold // n`` in at
+    least one of them.
     """
-    n = min(_HEX_BODY, threshold // 3 + 1)
+    n = threshold // (budget + 1) + 1
+    if n > _HEX_BODY:
+        raise ValueError(f"distance {threshold} needs a budget above {budget}")
     cuts = [_HEX_BODY * i // n for i in range(n + 1)]
     return [(a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _neighbours(value: Column, codes: int, budget: int) -> Column:
-    """All values of a piece whose codes differ from ``value`` by at most ``budget``."""
-    start = F.array(F.struct(value.alias("v"), F.lit(0).alias("used")))
+def _changes(spark, widths, budget: int) -> DataFrame:
+    """Ways to change up to ``budget`` codes of a piece of each width by a total of ``budget``."""
+    rows = []
+    for width in widths:
+        for size in range(budget + 1):
+            for where in combinations(range(2 * width), size):
+                for by in product([d for d in range(-budget, budget + 1) if d], repeat=size):
+                    if sum(6 if abs(d) == 3 else abs(d) for d in by) <= budget:
+                        slots = [(2 * w, d) for w, d in zip(where, by)] + [(0, 0)] * (budget - size)
+                        rows.append((width, *[x for slot in slots for x in slot]))
+    names = ", ".join(f"shift{k} int, by{k} int" for k in range(budget))
+    return spark.createDataFrame(rows, f"width int, {names}")
 
-    def widen(found: Column, i: Column) -> Column:
-        shift = i * 2
 
-        def at(s: Column) -> Column:
-            code = F.call_function("shiftright", s["v"], shift).bitwiseAND(F.lit(3))
-            options = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.struct(
-                (s["v"] + F.call_function("shiftleft", c.cast("bigint") - code, shift)).alias("v"),
-                (s["used"] + F.when(F.abs(c - code) == 3, 6).otherwise(F.abs(c - code)).cast("int")).alias("used")))
-            return F.filter(options, lambda o: o["used"] <= budget)
-        return F.flatten(F.transform(found, at))
-
-    reached = F.aggregate(F.sequence(F.lit(0), F.lit(codes - 1)), start, widen)
-    return F.transform(reached, lambda s: s["v"])
+def _near_values(targets: DataFrame, pieces, budget: int) -> DataFrame:
+    """Targets under every value of each piece that differs by at most the budget."""
+    value = lambda start, size: _number(F.substring("body", start, size))
+    cut = targets.select(*_PACKED, F.posexplode(F.array(*[
+        F.struct(value(s, n).alias("value"), F.lit(n).alias("width")) for s, n in pieces])).alias("piece", "p"))
+    changes = _changes(targets.sparkSession, sorted({n for _, n in pieces}), budget)
+    rows = cut.select(*_PACKED, "piece", "p.value", "p.width").join(changes, "width")
+    shift = lambda name, value, k: F.call_function(name, value, F.col(f"shift{k}"))
+    code = lambda k: shift("shiftright", F.col("value"), k).bitwiseAND(F.lit(3)) + F.col(f"by{k}")
+    valid = reduce(lambda x, y: x & y, [code(k).between(0, 3) for k in range(budget)])
+    moved = sum((shift("shiftleft", F.col(f"by{k}").cast("bigint"), k) for k in range(budget)), F.col("value"))
+    return rows.filter(valid).select(*_PACKED, "piece", moved.alias("value"))
 
 
 def tlsh_distances(files: DataFrame, targets: DataFrame, max_distance: int = C.TLSH_MAX_DISTANCE,
-                   column: str = "tlsh") -> DataFrame:
+                   column: str = "tlsh", budget: int = 2) -> DataFrame:
     """``(file_digest, target_digest, distance)`` of all pairs within the distance.
 
     Each body is cut into pieces; two bodies within the distance have a piece that is almost
     equal. Targets are listed under every almost equal value of each piece, files under their own
     values, and the exact distance is part of the join condition, so only matches leave the join.
+    A larger budget (up to 3) lists each target more often and compares fewer pairs: use it for
+    large inventories.
     """
-    pieces = _pieces(max_distance)
-    budget = max_distance // len(pieces)
+    if not 1 <= budget <= _MAX_BUDGET:
+        raise ValueError(f"budget must be 1..{_MAX_BUDGET}")
+    pieces = _pieces(max_distance, budget)
+    a, b = _packed(files, column), _packed(targets, column)
     value = lambda start, size: _number(F.substring("body", start, size))
-    left = _parsed(files, column).select("*", F.posexplode(F.array(
-        *[value(s, n) for s, n in pieces])).alias("piece", "value")).alias("l")
-    right = _parsed(targets, column).select("*", F.posexplode(F.array(
-        *[_neighbours(value(s, n), 2 * n, budget) for s, n in pieces])).alias("piece", "values"))
-    right = right.select(*[c for c in right.columns if c != "values"], F.explode("values").alias("value")).alias("r")
+    left = a.select(*_PACKED, F.posexplode(F.array(*[value(s, n) for s, n in pieces])).alias("piece", "value"))
+    right = _near_values(b, pieces, budget)
     distance = tlsh_distance(left, right)
     same = (left["piece"] == right["piece"]) & (left["value"] == right["value"])
-    return left.join(right, same & (distance <= max_distance)).select(
-        left["digest"].alias("file_digest"), right["digest"].alias("target_digest"),
+    found = left.join(right, same & (distance <= max_distance)).select(
+        *[left[c].alias(f"a_{c}") for c in _PACKED], *[right[c].alias(f"b_{c}") for c in _PACKED],
         distance.cast("bigint").alias("distance")).distinct()
+    # The five numbers are the digest, so they lead back to its text.
+    named = lambda df, side, name: df.select(
+        F.col("digest").alias(name), *[F.col(c).alias(f"{side}_{c}") for c in _PACKED])
+    return (found.join(named(a, "a", "file_digest"), [f"a_{c}" for c in _PACKED])
+            .join(named(b, "b", "target_digest"), [f"b_{c}" for c in _PACKED])
+            .select("file_digest", "target_digest", "distance"))
 
 
 def tlsh_matches(files: DataFrame, targets: DataFrame,
