@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from egresslens import constants as C
 from egresslens.functions.digests import DIGEST_CHARS, WINDOW, indel_score
+from egresslens.session import materialize
 
 _HEX_BODY = 64
 
@@ -52,7 +53,7 @@ def ssdeep_scores(files: DataFrame, targets: DataFrame, min_score: int = C.SSDEE
     A pair scores only when two signatures of equal block size share seven characters in a row,
     which is the join key. Signatures too different in length are dropped inside the join.
     """
-    left, right = _signatures(files, column), _signatures(targets, column)
+    left, right = (materialize(_signatures(df, column), "signatures") for df in (files, targets))
     lg = _grams(left).withColumnRenamed("sig", "sig_a")
     rg = _grams(right).withColumnRenamed("sig", "sig_b")
     total = F.length("sig_a") + F.length("sig_b")
@@ -82,61 +83,70 @@ def ssdeep_matches(files: DataFrame, targets: DataFrame,
 
 # --- locality digests --------------------------------------------------------------------------
 
-_WORDS = ["w0", "w1", "w2", "w3"]
-_PACKED = ["head", *_WORDS]
-_EVEN_BITS = 0x5555555555555555
+_PLANES = ["g1a", "g1b", "g2a", "g2b", "g3a", "g3b"]
+_PACKED = ["id", "check", "len", "q1", "q2", *_PLANES]
+_EVEN_BITS = 0x55555555
 _MAX_BUDGET = 3
 
 
 def _number(text: Column) -> Column:
-    return F.conv(text, 16, 10).cast("bigint")
+    """Hex digits as a number, never NULL: that keeps the join condition short."""
+    return F.coalesce(F.conv(text, 16, 10).cast("bigint"), F.lit(0))
 
 
-def _word(text: Column, start: int) -> Column:
-    """Sixteen hex digits as the 64 bits of a number."""
-    half = lambda at: _number(F.substring(text, at, 8))
-    return F.shiftleft(half(start), 32).bitwiseOR(half(start + 8))
+def _planes(body: Column) -> dict[str, Column]:
+    """The 128 two-bit codes in unary: plane k holds, per code, whether it is at least k."""
+    evens = F.lit(_EVEN_BITS).cast("bigint")
+    words = [_number(F.substring(body, 1 + 8 * i, 8)) for i in range(8)]
+    low = [w.bitwiseAND(evens) for w in words]
+    high = [F.shiftright(w, 1).bitwiseAND(evens) for w in words]
+    plane = {1: [h.bitwiseOR(l) for h, l in zip(high, low)], 2: high,
+             3: [h.bitwiseAND(l) for h, l in zip(high, low)]}
+    pack = lambda w: (w[0].bitwiseOR(F.shiftleft(w[1], 1)).bitwiseOR(F.shiftleft(w[2], 32))
+                      .bitwiseOR(F.shiftleft(w[3], 33)))
+    return {f"g{k}{half}": pack(plane[k][start:start + 4])
+            for k in plane for half, start in (("a", 0), ("b", 4))}
 
 
 def _packed(df: DataFrame, column: str) -> DataFrame:
-    """Distinct valid digests as five numbers: the header and the 128 two-bit codes."""
+    """Distinct valid digests as numbers: checksum, length and quartile codes, and code planes.
+
+    The table is written once, with a number per digest that stands for it in the join.
+    """
     bare = F.upper(F.regexp_replace(column, "^T1", ""))
     rows = df.select(F.col(column).alias("digest"), bare.alias("hex")).dropna().distinct().filter(
         F.col("hex").rlike("^[0-9A-F]{70}$"))
-    return rows.select("digest", F.substring("hex", 7, _HEX_BODY).alias("body"),
-                       _number(F.substring("hex", 1, 6)).alias("head"),
-                       *[_word(F.col("hex"), 7 + 16 * i).alias(w) for i, w in enumerate(_WORDS)])
+    digits = lambda *at: _number(F.concat(*[F.substring("hex", i, 1) for i in at])).cast("int")
+    cut = rows.select(
+        "digest", digits(1, 2).alias("check"), digits(4, 3).alias("len"), digits(5).alias("q1"),
+        digits(6).alias("q2"), F.substring("hex", 7, _HEX_BODY).alias("body"))
+    planes = [c.alias(n) for n, c in _planes(F.col("body")).items()]
+    return materialize(cut.select(F.monotonically_increasing_id().alias("id"), "*", *planes), "packed")
+
 
+def _body_distance(left: DataFrame, right: DataFrame) -> Column:
+    """Sum of the code differences; one of three weighs six, any other its own size."""
+    total = F.lit(0)
+    for half in "ab":
+        x = [left[f"g{k}{half}"].bitwiseXOR(right[f"g{k}{half}"]) for k in (1, 2, 3)]
+        total += sum(F.bit_count(p) for p in x) + 3 * F.bit_count(x[0].bitwiseAND(x[1]).bitwiseAND(x[2]))
+    return total
 
-def _nibble(head: Column, position: int) -> Column:
-    return F.shiftright(head, 4 * (6 - position)).bitwiseAND(F.lit(15))
 
+def _header_distance(left: DataFrame, right: DataFrame) -> Column:
+    def ring(name: str, size: int) -> Column:
+        gap = F.abs(left[name] - right[name])
+        return F.least(gap, size - gap)
 
-def _ring(a: Column, b: Column, size: int) -> Column:
-    gap = F.abs(a - b)
-    return F.least(gap, size - gap)
+    length = ring("len", 256)
+    quartile = lambda name: F.when(ring(name, 16) <= 1, ring(name, 16)).otherwise((ring(name, 16) - 1) * 12)
+    return (F.when(length <= 1, length).otherwise(length * 12) + quartile("q1") + quartile("q2")
+            + (left["check"] != right["check"]).cast("int"))
 
 
 def tlsh_distance(left: DataFrame, right: DataFrame) -> Column:
     """Distance of two packed digests as an expression over both sides of a join."""
-    a, b = left["head"], right["head"]
-    long = lambda h: _nibble(h, 4) * 16 + _nibble(h, 3)
-    length = _ring(long(a), long(b), 256)
-    quartile = lambda at: (lambda gap: F.when(gap <= 1, gap).otherwise((gap - 1) * 12))(
-        _ring(_nibble(a, at), _nibble(b, at), 16))
-    checksum = (F.shiftright(a, 16) != F.shiftright(b, 16)).cast("bigint")
-    header = F.when(length <= 1, length).otherwise(length * 12) + quartile(5) + quartile(6) + checksum
-    evens, body = F.lit(_EVEN_BITS), F.lit(0)
-    for word in _WORDS:
-        # A code in unary: whether it is at least 1, 2, 3. Differing bits add up to the difference.
-        def unary(side: DataFrame) -> list[Column]:
-            low = side[word].bitwiseAND(evens)
-            high = F.shiftrightunsigned(side[word], 1).bitwiseAND(evens)
-            return [high.bitwiseOR(low), high, high.bitwiseAND(low)]
-        x = [p.bitwiseXOR(q) for p, q in zip(unary(left), unary(right))]
-        # A difference of three weighs six, any other its own size.
-        body += sum(F.bit_count(p) for p in x) + 3 * F.bit_count(x[0].bitwiseAND(x[1]).bitwiseAND(x[2]))
-    return header + body
+    return _header_distance(left, right) + _body_distance(left, right)
 
 
 def _pieces(threshold: int, budget: int) -> list[tuple[int, int]]:
@@ -198,16 +208,13 @@ def tlsh_distances(files: DataFrame, targets: DataFrame, max_distance: int = C.T
     left = a.select(*_PACKED, F.posexplode(F.array(*[value(s, n) for s, n in pieces])).alias("piece", "value"))
     right = _near_values(b, pieces, budget)
     distance = tlsh_distance(left, right)
+    close = (_body_distance(left, right) <= max_distance) & (distance <= max_distance)
     same = (left["piece"] == right["piece"]) & (left["value"] == right["value"])
-    found = left.join(right, same & (distance <= max_distance)).select(
-        *[left[c].alias(f"a_{c}") for c in _PACKED], *[right[c].alias(f"b_{c}") for c in _PACKED],
-        distance.cast("bigint").alias("distance")).distinct()
-    # The five numbers are the digest, so they lead back to its text.
-    named = lambda df, side, name: df.select(
-        F.col("digest").alias(name), *[F.col(c).alias(f"{side}_{c}") for c in _PACKED])
-    return (found.join(named(a, "a", "file_digest"), [f"a_{c}" for c in _PACKED])
-            .join(named(b, "b", "target_digest"), [f"b_{c}" for c in _PACKED])
-            .select("file_digest", "target_digest", "distance"))
+    found = left.join(right, same & close).select(
+        left["id"].alias("a"), right["id"].alias("b"), distance.cast("bigint").alias("distance")).distinct()
+    named = lambda df, key, name: df.select(F.col("id").alias(key), F.col("digest").alias(name))
+    return found.join(named(a, "a", "file_digest"), "a").join(named(b, "b", "target_digest"), "b").select(
+        "file_digest", "target_digest", "distance")
 
 
 def tlsh_matches(files: DataFrame, targets: DataFrame,

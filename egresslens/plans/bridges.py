@@ -13,6 +13,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 HOST = "10.0.0.1"
 CRLF = "chr(13) || chr(10)"
+START = 1_600_000_000
 
 BRIDGES = {
     "b_packets": """
@@ -217,10 +218,10 @@ def tftp_packets(spark, sf_dir, shared: bool = False) -> DataFrame:
     request = conform(
         blocks.groupBy("conv_id", "src", "dst", "srcport", "filename").agg(F.min("frame_no").alias("first")),
         PACKETS, frame_no=F.col("first") - 1, ip=_ip(), udp=udp,
-        ts=F.timestamp_seconds(F.col("first") - 1), length=F.lit(60),
+        ts=F.timestamp_seconds(F.col("first") + START - 1), length=F.lit(60),
         tftp=layer("tftp", opcode=F.lit("2"), filename=F.col("filename")))
     data = conform(
-        blocks, PACKETS, ip=_ip(), udp=udp, ts=F.timestamp_seconds("frame_no"), length=F.octet_length("text"),
+        blocks, PACKETS, ip=_ip(), udp=udp, ts=F.timestamp_seconds(F.col("frame_no") + START), length=F.octet_length("text"),
         tftp=layer("tftp", opcode=F.lit("3"), block=F.col("block").cast("string"), data=F.hex("text")))
     return request.unionByName(data)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from egresslens import constants as C
 from egresslens.operators import filters, fuzzy, match
+from egresslens.session import materialize
 from egresslens.sources import sinks
 
 
@@ -46,5 +47,7 @@ def run(files: DataFrame, targets: DataFrame, objects: DataFrame, usb: DataFrame
     scanned = filters.non_empty_files(files)
     if usb_sources is not None:
         scanned = filters.without_usb_files(scanned, usb_sources)
-    typed = filters.type_prefix_filter(scanned, targets)
+    # Hashing reads whole contents, so the described inventory is written once and used from there.
+    typed = materialize(filters.type_prefix_filter(scanned, targets), "inventory")
+    targets = materialize(targets, "targets")
     return DiskTriage(typed, match_files(typed, targets, **options), match.network_matches(objects, targets), usb)

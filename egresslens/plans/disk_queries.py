@@ -14,7 +14,7 @@ from egresslens.plans import disk
 from egresslens.plans.bridges import bridge, contents, packets, table
 from egresslens.plans.registry import query
 from egresslens.schemas import FILES, conform, require_columns
-from egresslens.session import work_path
+from egresslens.session import materialize, work_path
 from egresslens.sources import readers, sinks
 
 _COLUMNS = ["path", "size", "sha256", "md5", "deleted", "partition_offset", "ftype"]
@@ -294,13 +294,15 @@ def _(spark, sf):
 
 @query("j03_ssdeep_content_match")
 def ssdeep_content(spark, sf):
-    digest = lambda df: df.select("doc_id", "path", ctph(F.col("content"), C.SSDEEP_MIN_BYTES).alias("ssdeep"))
+    digest = lambda df: materialize(df.select(
+        "doc_id", "path", ctph(F.col("content"), C.SSDEEP_MIN_BYTES).alias("ssdeep")), "digests")
     return fuzzy.ssdeep_matches(digest(_content(spark, sf, "doc_id % 5 <> 0")), digest(_content(spark, sf, "doc_id % 5 = 0")))
 
 
 @query("j04_tlsh_content_match")
 def tlsh_content(spark, sf):
-    digest = lambda df: df.select("doc_id", "path", locality(F.col("content"), C.TLSH_MIN_BYTES).alias("tlsh"))
+    digest = lambda df: materialize(df.select(
+        "doc_id", "path", locality(F.col("content"), C.TLSH_MIN_BYTES).alias("tlsh")), "digests")
     return fuzzy.tlsh_matches(digest(_content(spark, sf, "doc_id % 5 <> 0")), digest(_content(spark, sf, "doc_id % 5 = 0")))
 
 
