@@ -125,9 +125,14 @@ def long_dns_name(limit: int = C.LONG_QNAME_CHARS) -> Detector:
     return _hit(is_dns_query() & (F.length(name) > limit), "DNS", C.NOTE_DNS_LONG, qname=name)
 
 
-def stateless_detectors(host: str) -> list[Detector]:
+def header_detectors(host: str) -> list[Detector]:
+    """The detectors that read no bodies."""
     return [large_http(host), disposition_seen(), ftp_upload(host), ftp_filename(host),
-            tftp_write(host), smb_write(host), large_smtp(host), long_dns_name()]
+            tftp_write(host), smb_write(host), long_dns_name()]
+
+
+def stateless_detectors(host: str) -> list[Detector]:
+    return [*header_detectors(host), large_smtp(host)]
 
 
 def findings(packets: DataFrame, *detectors: Detector) -> DataFrame:

@@ -40,6 +40,10 @@ def dedup_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def fold_of(key: str, folds: int) -> Column:
+    return F.floor(hash_share(F.col(key), "fold") * folds).cast("int")
+
+
 @dataclass
 class Scaler:
     """Means and population deviations as one row."""
@@ -72,8 +76,7 @@ class TargetEncoder:
     @classmethod
     def fit(cls, df: DataFrame, column: str, label: str, key: str, folds: int = 5,
             smoothing: float = C.TARGET_ENCODING_SMOOTHING) -> "TargetEncoder":
-        fold = F.pmod(F.xxhash64(F.col(key)), F.lit(folds)).cast("int")
-        stats = df.groupBy(F.col(column).cast("string").alias("category"), fold.alias("fold")).agg(
+        stats = df.groupBy(F.col(column).cast("string").alias("category"), fold_of(key, folds).alias("fold")).agg(
             F.sum(F.col(label).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
         encoder = cls(column, stats, smoothing)
         encoder.key, encoder.folds = key, folds
@@ -102,7 +105,7 @@ class TargetEncoder:
         per_category = self.stats.groupBy("category").agg(
             F.sum("s").alias("ts"), F.sum("n").alias("tn"),
             F.map_from_entries(F.collect_list(F.struct("fold", F.struct("s", "n")))).alias("own"))
-        fold = F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.folds)).cast("int")
+        fold = fold_of(self.key, self.folds)
         per_fold = self.stats.groupBy("fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
         # One entry per fold: the overall mean of the other folds.
         total = self.stats.agg(F.sum("s").alias("s"), F.sum("n").alias("n"))

@@ -56,9 +56,9 @@ def _(spark, sf):
 
 
 @query("j10_prefix_join", """
-    SELECT path, ftype FROM b_files f WHERE EXISTS (SELECT 1 FROM b_targets t WHERE t.doc_id % 10 = 0 AND starts_with(f.ftype, substr(t.ftype, 1, 6)))""")
+    SELECT path, ftype FROM b_files f WHERE EXISTS (SELECT 1 FROM b_targets t WHERE starts_with(f.ftype, substr(t.ftype, 1, 6)))""")
 def _(spark, sf):
-    wanted = bridge(spark, sf, "b_targets").filter("doc_id % 10 = 0").select(F.substring("ftype", 1, 6).alias("ftype"))
+    wanted = bridge(spark, sf, "b_targets").select(F.substring("ftype", 1, 6).alias("ftype"))
     return filters.type_prefix_filter(_files(spark, sf), wanted).select("path", "ftype")
 
 
@@ -196,10 +196,10 @@ def _(spark, sf):
 
 @query("u07_combined_targets", """
     SELECT path, sha256, md5, ftype FROM b_targets UNION ALL
-    SELECT path, sha256, md5, ftype FROM b_files WHERE doc_id % 2 = 0""")
+    SELECT path, sha256, md5, ftype FROM b_files""")
 def _(spark, sf):
     first = _targets(spark, sf).select("path", "sha256", "md5", "ftype")
-    second = bridge(spark, sf, "b_files").filter("doc_id % 2 = 0").select("path", "sha256", "md5", "ftype")
+    second = bridge(spark, sf, "b_files").select("path", "sha256", "md5", "ftype")
     return match.combined_targets(first, second.unionByName(first.withColumn("md5", F.lit("late"))))
 
 

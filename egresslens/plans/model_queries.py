@@ -142,10 +142,17 @@ def _(spark, sf):
     return encode.TargetEncoder.fit(df, "source", "y", "frame_no").transform(df).select("frame_no", F.round("source", 9).alias("source"))
 
 
-@query("n04_out_of_fold_encoding")
+_FOLD = "CAST(floor(CAST('0x' || substr(md5(CAST(frame_no AS STRING) || '-fold'), 1, 8) AS BIGINT) / 4294967296.0 * 5) AS INT)"
+
+
+@query("n04_out_of_fold_encoding", f"""
+    WITH f AS (SELECT frame_no, source, y, {_FOLD} AS fold FROM b_scores),
+    o AS (SELECT a.frame_no, a.source, sum(b.y) AS s, count(b.y) AS n, (SELECT avg(c.y) FROM f c WHERE c.fold <> a.fold) AS m
+          FROM f a LEFT JOIN f b ON a.source = b.source AND a.fold <> b.fold GROUP BY a.frame_no, a.source, a.fold)
+    SELECT frame_no, round((coalesce(s, 0) + 20 * m) / (n + 20), 9) AS source FROM o""")
 def _(spark, sf):
     df = _scores(spark, sf)
-    return encode.TargetEncoder.fit(df, "source", "y", "frame_no").transform_training(df).select("frame_no", "source")
+    return encode.TargetEncoder.fit(df, "source", "y", "frame_no").transform_training(df).select("frame_no", F.round("source", 9).alias("source"))
 
 
 _SHARE = "(CAST('0x' || substr(md5(CAST(frame_no AS STRING) || '-42'), 1, 8) AS BIGINT) / 4294967296.0)"
@@ -222,7 +229,7 @@ def _(spark, sf):
 def _lexical(spark, sf):
     """Lexical features of names made of the labelled documents."""
     docs = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
-    name = F.concat(F.regexp_replace(F.substring("text", 1, 40), r"\s+", "."), F.lit("."), F.col("source"), F.lit(".com"))
+    name = F.concat(F.md5("text"), F.lit("-"), F.col("lang"), F.lit("."), F.col("source"), F.lit(".com"))
     named = docs.select(F.col("doc_id").alias("frame_no"), F.timestamp_seconds("doc_id").alias("ts"), name.alias("qname"),
                         F.col("toxic").alias("class"))
     return dns.lexical_features(named, name="qname", keep=("frame_no", "class"))
