@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from egresslens import constants as C
 from egresslens.functions.digests import DIGEST_CHARS, WINDOW, indel_score
+from egresslens.operators.skew import ROWS_PER_TASK, spread_hot_keys
 from egresslens.session import materialize
 
 _HEX_BODY = 64
@@ -47,19 +48,20 @@ def _identical(files: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def ssdeep_scores(files: DataFrame, targets: DataFrame, min_score: int = C.SSDEEP_MIN_SCORE,
-                  column: str = "ssdeep") -> DataFrame:
+                  column: str = "ssdeep", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(file_digest, target_digest, score)`` of all pairs that reach the score.
 
     A pair scores only when two signatures of equal block size share seven characters in a row,
     which is the join key. Signatures too different in length are dropped inside the join.
     """
     left, right = (materialize(_signatures(df, column), "signatures") for df in (files, targets))
-    lg = _grams(left).withColumnRenamed("sig", "sig_a")
-    rg = _grams(right).withColumnRenamed("sig", "sig_b")
+    lg, rg = spread_hot_keys(_grams(left).withColumnRenamed("sig", "sig_a"),
+                             _grams(right).withColumnRenamed("sig", "sig_b"), ["block", "gram"], rows_per_task)
     total = F.length("sig_a") + F.length("sig_b")
     reach = total * ((101 - min_score) / 100 + 1 / DIGEST_CHARS)
     near = F.abs(F.length("sig_a") - F.length("sig_b")) <= reach
-    pairs = lg.join(rg, (lg["block"] == rg["block"]) & (lg["gram"] == rg["gram"]) & near).select(
+    same = (lg["block"] == rg["block"]) & (lg["gram"] == rg["gram"]) & (lg["salt"] == rg["salt"])
+    pairs = lg.join(rg, same & near).select(
         lg["block"], "sig_a", "sig_b").distinct()
     scored = pairs.withColumn("score", indel_score("sig_a", "sig_b", "block")).filter(
         F.col("score") >= min_score)
@@ -191,7 +193,7 @@ def _near_values(targets: DataFrame, pieces, budget: int) -> DataFrame:
 
 
 def tlsh_distances(files: DataFrame, targets: DataFrame, max_distance: int = C.TLSH_MAX_DISTANCE,
-                   column: str = "tlsh", budget: int = 2) -> DataFrame:
+                   column: str = "tlsh", budget: int = 2, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(file_digest, target_digest, distance)`` of all pairs within the distance.
 
     Each body is cut into pieces; two bodies within the distance have a piece that is almost
@@ -206,10 +208,11 @@ def tlsh_distances(files: DataFrame, targets: DataFrame, max_distance: int = C.T
     a, b = _packed(files, column), _packed(targets, column)
     value = lambda start, size: _number(F.substring("body", start, size))
     left = a.select(*_PACKED, F.posexplode(F.array(*[value(s, n) for s, n in pieces])).alias("piece", "value"))
-    right = _near_values(b, pieces, budget)
+    left, right = spread_hot_keys(left, _near_values(b, pieces, budget), ["piece", "value"], rows_per_task)
     distance = tlsh_distance(left, right)
     close = (_body_distance(left, right) <= max_distance) & (distance <= max_distance)
-    same = (left["piece"] == right["piece"]) & (left["value"] == right["value"])
+    same = ((left["piece"] == right["piece"]) & (left["value"] == right["value"])
+            & (left["salt"] == right["salt"]))
     found = left.join(right, same & close).select(
         left["id"].alias("a"), right["id"].alias("b"), distance.cast("bigint").alias("distance")).distinct()
     named = lambda df, key, name: df.select(F.col("id").alias(key), F.col("digest").alias(name))

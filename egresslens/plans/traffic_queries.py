@@ -324,6 +324,13 @@ def _(spark, sf):
     return blocks.select("conv_id", sha256(ordered_concat(F.col("blocks"))).alias("sha256"))
 
 
+@query("t03_sorted_blocks", """
+    SELECT conv_id, CAST(to_json(list(block ORDER BY block)) AS STRING) AS blocks FROM b_tftp GROUP BY conv_id""")
+def _(spark, sf):
+    blocks = bridge(spark, sf, "b_tftp").groupBy("conv_id").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    return blocks.select("conv_id", F.to_json("blocks").alias("blocks"))
+
+
 @query("d15_tftp_reconstructed", _TRANSFERS + f"""
     SELECT 'TFTP' AS proto, CASE WHEN stop IS NULL THEN 'incomplete_' ELSE '' END || filename AS filename,
            CASE WHEN stop IS NULL THEN opened ELSE last_frame END AS frame_no, '{C.NOTE_TFTP_REBUILT}' AS note FROM whole""")
