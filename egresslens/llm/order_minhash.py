@@ -69,8 +69,8 @@ def labelled_kmers(words: np.ndarray) -> np.ndarray:
         starts = np.flatnonzero(fresh)
         number = np.arange(len(ranked)) - np.repeat(starts, np.diff(np.append(starts, len(ranked))))
         labelled = np.empty_like(kmers)
-        labelled[order] = ranked + number.astype(np.uint64) * THIRD
-        kmers = _mixed(labelled)
+        labelled[order] = ranked + number.astype(np.uint64) * THIRD  # the first of its kind keeps its value
+        kmers = labelled
     return kmers
 
 
