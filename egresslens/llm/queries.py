@@ -5,8 +5,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from egresslens.llm import byte_bpe, decontaminate, language_id, order_minhash, quality_classifier
+from egresslens.llm import (byte_bpe, decontaminate, host_reputation, language_id, order_minhash,
+                            quality_classifier, quality_rules, shard_table, warc)
 from egresslens.llm.common import held_out, table
+from egresslens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +104,74 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+POLICY = "v1"
+OP1_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, row_number() OVER () AS r FROM documents),
+w AS (SELECT doc_id, r, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
+spots AS (SELECT r, i, array_to_string(w[i + 1:i + 8], ' ') AS phrase
+          FROM w, LATERAL (SELECT unnest(range(0, len(w) - 7)) AS i) WHERE len(w) >= 8),
+twice AS (SELECT r, i FROM spots QUALIFY count(*) OVER (PARTITION BY r, phrase) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         length(regexp_replace(x, '\P{L}+', '', 'g')) AS letters, length(regexp_replace(x, '\P{Lu}+', '', 'g')) AS uppers
+  FROM w LEFT JOIN covered USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 5 * n_symbols > n_words OR (2 * uppers > letters AND letters > 0)) AS kept
+FROM m
+"""
+
+
+@query("op1_quality_rules", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = materialize(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes(POLICY).alias("kept"))
+
+
+ALLOW = ["com/", "www.example.com/en/"]
+BLOCK = ["example.com/en/", "net/es/", "net/fr/"]
+
+
+@query("op3_host_reputation")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return host_reputation.judge(pages, outcomes, ALLOW, BLOCK).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY sha1(b)) AS first FROM p),
+bits AS (SELECT *, list_reduce(list_transform(range(0, 4), lambda i: lpad(bin(CAST('0x' || substr(h, 1 + 10 * i, 10) AS UBIGINT)), 40, '0')),
+                               lambda a, c: a || c) AS s FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST(list_reduce(list_transform(range(0, 5), lambda k: CAST(substr(s, 1 + 5 * i + k, 1) AS INTEGER)),
+                              lambda a, c: 2 * a + c) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits
+"""
+
+
+@query("op6_warc", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SHARDS = [f"shard-{i:03d}" for i in range(128)]
+
+
+@query("op8_shard_table")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_table.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS).select("doc_id", "slot", "shard")
