@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from egresslens.llm import (byte_bpe, decontaminate, host_reputation, language_id, order_minhash,
+from egresslens.llm import (byte_bpe, decontaminate, gru_lm, host_reputation, language_id, order_minhash,
                             quality_classifier, quality_rules, shard_table, warc)
 from egresslens.llm.common import held_out, table
 from egresslens.session import materialize
@@ -14,7 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Folds of the key's checksum; documents of remainder 0 are held out.
-LABEL_FOLDS, LANGUAGE_FOLDS = 5, 5
+LABEL_FOLDS, LANGUAGE_FOLDS, MODEL_FOLDS = 5, 5, 10
 KEEP_SCORE = 0.3
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -175,3 +175,8 @@ SHARDS = [f"shard-{i:03d}" for i in range(128)]
 @query("op8_shard_table")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS).select("doc_id", "slot", "shard")
+
+
+@query("op4_language_model")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.language_model_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(MODEL_FOLDS))
