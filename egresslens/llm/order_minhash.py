@@ -29,8 +29,8 @@ from egresslens.session import materialize
 
 KMER = 5
 FIRST, SECOND, THIRD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-#: K-mers hashed in one go.
-WIDE = 1 << 21
+#: K-mers hashed in one go; cells of a band that are held at once.
+WIDE, DENSE = 1 << 21, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -181,17 +181,50 @@ def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     a, b = a[:len(a) - tail], b[:len(b) - tail]
     if not len(a) or not len(b):
         return len(a) + len(b) if len(a) + len(b) <= limit else None
-    if _bags_apart(a, b) > limit or _runs_apart(a, b) > limit:
-        return None
-    width = 8
+    width, bounded = 16, False
     while True:
         width = min(width, limit)
-        edits = _banded(a, b, width)
+        wide = (2 * width + 1) * len(a) > DENSE
+        edits = _banded(a, b, width) if wide else _furthest(a, b, width)
         if edits <= width:
             return edits
         if width >= limit:
             return None
-        width *= 2
+        if not bounded and (_bags_apart(a, b) > limit or _runs_apart(a, b) > limit):
+            return None
+        bounded, width = True, 2 * width
+
+
+def _furthest(a: np.ndarray, b: np.ndarray, width: int) -> int:
+    """As ``_banded``, by the furthest place that each diagonal of the band reaches with 0, 1, 2, ... edits.
+
+    Where the next mismatch of every diagonal lies is worked out for the whole band at once, so the
+    work beyond that grows with the edits, not with the texts.
+    """
+    n, m = len(a), len(b)
+    goal = m - n + width
+    if not 0 <= goal <= 2 * width:
+        return width + 1
+    padded = np.full(max(m + width, n + width) + width, -1, np.int64)
+    padded[width:width + m] = b
+    near = np.lib.stride_tricks.sliding_window_view(padded, n)[:2 * width + 1]
+    stops = np.full((2 * width + 1, n + 1), n, np.int32)
+    stops[:, :n] = np.where(near != a, np.arange(n, dtype=np.int32), np.int32(n))
+    stops = np.minimum.accumulate(stops[:, ::-1], axis=1)[:, ::-1]
+    diagonals = np.arange(2 * width + 1)
+    ends = np.minimum(n, m - (diagonals - width))
+    reach = np.full(2 * width + 1, -1)
+    reach[width] = stops[width, 0]
+    edits = 0
+    while reach[goal] < n and edits < width:
+        edits += 1
+        low, high = width - edits, width + edits + 1  # diagonals in reach by now
+        step = np.where(reach >= 0, reach + 1, -1)
+        step[1:] = np.maximum(step[1:], reach[:-1])
+        step[:-1] = np.maximum(step[:-1], np.where(reach[1:] >= 0, reach[1:] + 1, -1))
+        step = np.minimum(step, ends)[low:high]
+        reach[low:high] = np.where(step >= 0, stops[diagonals[low:high], step], -1)
+    return edits if reach[goal] >= n else width + 1
 
 
 def _banded(a: np.ndarray, b: np.ndarray, width: int) -> int:
