@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from egresslens.llm.common import map_batches
+from egresslens.session import materialize
 
 ORDER = 4
 UNIT, BLANK, OTHER = 16, 32, 0xFFFF
@@ -175,7 +176,8 @@ class Model:
 def _sampled(documents: DataFrame, params: Params) -> DataFrame:
     """(lang, text, calibrating) of about ``params.sample`` texts of each language, by a hash of the id."""
     rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    # written first, so that Spark knows its size and need not deal the texts out by language
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")), "languages")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     return (rows.select("lang", "text", draw.alias("__draw")).join(sizes, "lang")
             .filter(F.col("__draw") < params.sample / F.col("__n"))
