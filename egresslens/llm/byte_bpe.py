@@ -211,7 +211,9 @@ def round_trip(documents: DataFrame, vocabulary: bytes, pattern: str) -> DataFra
 
 
 def _per_text(df: DataFrame, vocabulary: bytes, pattern: str, fn, schema: str, column: str = "text") -> DataFrame:
+    """``fn`` adds the columns of ``schema``, in place of any of the same names."""
     spark: SparkSession = df.sparkSession
+    df = df.drop(*(field.split(" ")[0] for field in schema.split(", ")))
     shared = spark.sparkContext.broadcast(vocabulary)
     place = df.columns.index(column)
 

@@ -347,7 +347,8 @@ def train(documents: DataFrame, lex: Lexicon, params: Params) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"w": [fitted(texts, None).tobytes()]})
 
     one = sample.filter("shard = 0").repartition(1).sortWithinPartitions("draw").select("text")
-    weights = np.frombuffer(map_batches(one, base, "w binary").first()["w"], np.float32)
+    row = map_batches(one, base, "w binary").first()
+    weights = np.frombuffer(row["w"], np.float32) if row else flat(fresh_weights(params))
     if shards == 1:
         return weights
     begun = context.broadcast(weights)

@@ -245,7 +245,8 @@ def train(documents: DataFrame, params: Params = Params()) -> Model:
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """Add ``lang_pred``, ``score``, ``cross_entropy`` and ``rejected`` to every row."""
+    """Add ``lang_pred``, ``score``, ``cross_entropy`` and ``rejected``, in place of any columns of these names."""
+    documents = documents.drop("lang_pred", "score", "cross_entropy", "rejected")
     shared = documents.sparkSession.sparkContext.broadcast(model)
     place = documents.columns.index("text")
 

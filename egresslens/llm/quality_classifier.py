@@ -88,7 +88,8 @@ def train(labelled: DataFrame, params: Params = Params()) -> np.ndarray:
 
     ordered = (labelled.select(F.coalesce("text", F.lit("")).alias("text"), "label", "doc_id")
                .repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "label"))
-    return np.frombuffer(map_batches(ordered, run, "weights binary").first()["weights"], np.float32)
+    row = map_batches(ordered, run, "weights binary").first()
+    return np.frombuffer(row["weights"], np.float32) if row else fit([], params)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
@@ -103,11 +104,12 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, params: Params = Pa
 
 
 def score(documents: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Add ``score`` (0 to 1) to every row. The weights have a fixed size and travel as a broadcast variable."""
+    """Add ``score`` (0 to 1) to every row, in place of any column of that name. The weights have a fixed size and travel as a broadcast variable."""
     shared = documents.sparkSession.sparkContext.broadcast(weights)
     bits = (len(weights) - 1).bit_length() - 1
-    place = documents.columns.index("text")
     name = "score"
+    documents = documents.drop(name)
+    place = documents.columns.index("text")
 
     def run(batches):
         w, features = shared.value, Features(bits)
