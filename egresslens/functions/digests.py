@@ -195,7 +195,9 @@ def locality(content: Column, minimum: int = 1, table: np.ndarray | None = None)
 def _codes(texts: pd.Series, fill: int) -> np.ndarray:
     grid = np.full((len(texts), DIGEST_CHARS), fill, dtype=np.uint8)
     for row, text in enumerate(texts):
-        raw = np.frombuffer(text.encode("latin-1", "replace")[:DIGEST_CHARS], dtype=np.uint8)
+        raw = np.frombuffer(text.encode("ascii"), dtype=np.uint8)
+        if len(raw) > DIGEST_CHARS:
+            raise ValueError("a signature has at most 64 characters")
         grid[row, : len(raw)] = raw
     return grid
 

@@ -21,7 +21,8 @@ _HEX_BODY = 64
 
 def _signatures(df: DataFrame, column: str) -> DataFrame:
     """``(digest, block, sig)``: both signatures of each distinct digest, long runs cut to three."""
-    pattern = r"^(\d+):([^:]*):([^:,]*)"
+    # anything else, signatures over 64 characters included, is no digest and gives no row
+    pattern = r"^(\d+):([A-Za-z0-9+/]{0,64}):([A-Za-z0-9+/]{0,64})(?:,.*)?$"
     cut = lambda group: F.regexp_replace(
         F.regexp_extract(column, pattern, group), r"(.)\1{3,}", "$1$1$1")
     block = F.expr(f"try_cast(regexp_extract({column}, '^([0-9]+):', 1) AS bigint)")

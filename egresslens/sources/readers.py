@@ -11,13 +11,16 @@ from pyspark.sql.types import StructType
 
 from egresslens import constants as C
 from egresslens.functions.binary import (
-    content_md5, content_sha256, from_latin1, sha256, to_latin1,
+    content_md5, content_sha256, from_latin1, lossy_utf8, sha256, to_latin1,
 )
 from egresslens.functions.digests import ctph, locality
 from egresslens.functions.filetype import detect_type, signature_type
 from egresslens.functions.mime import peel
 from egresslens.schemas import FILES, NETWORK_MATCH, RAW_PACKETS, REPORT, TARGETS, conform
 
+#: Where a log text is cut into lines.
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
 
 def read_packets(spark: SparkSession, path: str, fmt: str = "json", schema: StructType = RAW_PACKETS) -> DataFrame:
     return normalize_packets(spark.read.schema(schema).format(fmt).load(path))
@@ -44,15 +47,26 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
 def load_labelled(spark: SparkSession, paths, label: str) -> DataFrame:
     """CSV files of one class; ``class`` is added, or its gaps are filled. Damaged files are skipped.
 
-    The files below one path or pattern share a header; several paths are united by column name.
+    Columns are found by name: the first line of each file is its header, files with the same header
+    are read together, and all are united by column name. Files without a line are skipped.
     """
-    def load(path: str) -> DataFrame:
+    def headers(path: str) -> list[list[str]]:
+        line = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+        first = (spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(path)
+                 .select(F.col("_metadata.file_path").alias("file"), "value", line.alias("at"))
+                 .groupBy("file").agg(F.min_by("value", "at").alias("header"))
+                 .groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header"))
+        return [row["files"] for row in first.collect()]
+
+    def load(files: list[str]) -> DataFrame:
         df = (spark.read.option("header", True).option("inferSchema", True)
-              .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).csv(path))
+              .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).csv(files))
         given = F.col("class").cast("string") if "class" in df.columns else F.lit(None)
         return df.withColumn("class", F.coalesce(given, F.lit(label)))
 
-    loaded = [load(p) for p in ([paths] if isinstance(paths, str) else paths)]
+    loaded = [load(files) for p in ([paths] if isinstance(paths, str) else paths) for files in headers(p)]
+    if not loaded:
+        return spark.createDataFrame([], "class string")
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), loaded)
 
 
@@ -157,13 +171,14 @@ def parse_report_files(report: DataFrame) -> DataFrame:
 
 def log_lines(texts: DataFrame) -> DataFrame:
     """``(file, line_no, line)`` of whole log texts ``(file, text)``; line numbers count from 0."""
-    return texts.select("file", F.posexplode(F.split("text", "\r\n|[\n\r]")).alias("line_no", "line")).withColumn(
+    return texts.select("file", F.posexplode(F.split("text", LINE_ENDS)).alias("line_no", "line")).withColumn(
         "line_no", F.col("line_no").cast("bigint"))
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return log_lines(whole.select(F.input_file_name().alias("file"), F.col("value").alias("text")))
+    """Lines of log files; bytes that are not UTF-8 are dropped."""
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return log_lines(whole.select(F.col("path").alias("file"), lossy_utf8(F.col("content")).alias("text")))
 
 
 def preview(df: DataFrame, k: int = 5) -> DataFrame:

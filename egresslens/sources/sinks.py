@@ -46,9 +46,11 @@ EXPORTS = {
 
 
 def long_report(totals: DataFrame, outbound: DataFrame, findings: DataFrame, parsed: DataFrame,
-                exported: dict[str, DataFrame] | None = None) -> DataFrame:
-    """All results as ``(Section, Key, Value)`` rows of text."""
-    top = outbound.orderBy(F.desc("bytes"), "dst").limit(C.REPORT_TOP_DESTINATIONS).select(
+                exported: dict[str, DataFrame] | None = None,
+                destinations: int | None = C.REPORT_TOP_DESTINATIONS) -> DataFrame:
+    """All results as ``(Section, Key, Value)`` rows of text; ``destinations`` None keeps all of them."""
+    ranked = outbound.orderBy(F.desc("bytes"), "dst")
+    top = (ranked if destinations is None else ranked.limit(destinations)).select(
         F.lit("TopDest").alias("Section"), F.col("dst").alias("Key"), F.col("bytes").cast("string").alias("Value"))
     parts = [totals_rows(totals), top, _count_row(findings, "SuspiciousRequests"), finding_rows(findings)]
     for channel, objects in (exported or {}).items():
