@@ -34,7 +34,7 @@ class Detector:
 def _hit(condition: Column, proto, note, **values) -> Detector:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     base = dict(proto=as_col(proto), note=as_col(note), src=source(), dst=destination(),
-                frame_no=F.col("frame_no"))
+                capture_id=F.col("capture_id"), frame_no=F.col("frame_no"))
     base.update({name: as_col(v) for name, v in values.items()})
     return Detector(condition, finding(**base))
 
@@ -161,6 +161,6 @@ def rejects(packets: DataFrame) -> DataFrame:
 
 
 def sample_findings(found: DataFrame, k: int = C.SUMMARY_FINDINGS) -> DataFrame:
-    return found.orderBy("frame_no", "proto", "note").limit(k)
+    return found.orderBy("capture_id", "frame_no", "proto", "note").limit(k)
 
 

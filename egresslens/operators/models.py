@@ -12,6 +12,7 @@ from egresslens import constants as C
 from egresslens.functions.times import encode_cyclic
 from egresslens.operators import encode, stats
 from egresslens.operators.detect import finding
+from egresslens.operators.ordered import left_join_on
 from egresslens.session import materialize
 
 
@@ -101,9 +102,14 @@ def choose_threshold(scores: DataFrame, score_col: str = "p", label: str = "y")
     return stats.youden_threshold(stats.roc_curve(stats.roc_counts(scores, score_col, label)))
 
 
-def pair_scores(first: DataFrame, second: DataFrame, key: str = "frame_no") -> DataFrame:
+def packet_key(*tables: DataFrame) -> list[str]:
+    """The columns that tell packets apart in all of the tables."""
+    return [*(["capture_id"] if all("capture_id" in t.columns for t in tables) else []), "frame_no"]
+
+
+def pair_scores(first: DataFrame, second: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Both scores of a packet side by side; the second may be missing."""
-    return first.join(second, key, "left")
+    return left_join_on(first, second, keys or packet_key(first, second))
 
 
 def is_exfiltration(t1, t2, margin: float = C.UNCERTAINTY_MARGIN) -> Column:
@@ -124,7 +130,7 @@ def verdict_findings(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("classification") == "exfiltration").select(finding(
         proto=F.lit("DNS"), classification=F.col("classification"), p1=F.round("p1", 4),
         p2=F.round("p2", 4), subdomain=extra("subdomain"), entropy=extra("entropy"),
-        note=F.lit(C.NOTE_DNS_MODEL), frame_no=F.col("frame_no"),
+        note=F.lit(C.NOTE_DNS_MODEL), capture_id=extra("capture_id"), frame_no=F.col("frame_no"),
     ).alias("f")).select("f.*")
 
 

@@ -14,7 +14,7 @@ DEFAULT_WIDTH = 100_000
 _CUT = "__stretch"
 
 
-def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def left_join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join that treats NULL keys as equal."""
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                            *[c for c in right.columns if c not in keys])
@@ -46,7 +46,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
         *parts,
         *[F.sum(f"__s_{n}").over(before).alias(f"__c_{n}") for n in sums],
         *[F.last(f"__s_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in lasts])
-    joined = _join_on(local, carried, parts)
+    joined = left_join_on(local, carried, parts)
     combined = (
         {n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0)) for n in sums}
         | {n: F.coalesce(F.col(n), F.col(f"__c_{n}")) for n in lasts})

@@ -290,7 +290,7 @@ def _streamed(spark, df, name, schema=PACKETS, files: int = 4):
     """A stream over a table, written in several files."""
     path = work_path(spark, name)
     df.repartition(files).write.parquet(path)
-    return stream_packets(spark, path, "parquet", schema, files_per_trigger=2)
+    return stream_packets(spark, path, "parquet", schema, files_per_trigger=2, capture_per_file=False)
 
 
 @query("r01_streaming_findings", f"""

@@ -37,19 +37,21 @@ _LAYERS = dict(
     data=strings("data"),
 )
 
-PACKETS = struct(frame_no=LONG, ts=TS, length=LONG, **_LAYERS)
+#: Frames are numbered within a capture; a packet is known by ``capture_id`` and ``frame_no``. Packets
+#: without a ``capture_id`` form one capture.
+PACKETS = struct(capture_id=STR, frame_no=LONG, ts=TS, length=LONG, **_LAYERS)
 # As exported by a capture tool: the frame length is text and may be damaged.
-RAW_PACKETS = struct(frame_no=LONG, ts=TS, length=STR, **_LAYERS)
+RAW_PACKETS = struct(capture_id=STR, frame_no=LONG, ts=TS, length=STR, **_LAYERS)
 
 FINDING = struct(
     proto=STR, command=STR, method=STR, src=STR, dst=STR, filename=STR, saved_as=STR,
     saved_path=STR, content_length=LONG, size=LONG, qname=STR, classification=STR, p1=DBL,
-    p2=DBL, subdomain=INT, entropy=DBL, note=STR, frame_no=LONG,
+    p2=DBL, subdomain=INT, entropy=DBL, note=STR, capture_id=STR, frame_no=LONG,
 )
 
 PACKET_INFO = strings("src", "dst", "method", "proto")
 OBJECT = struct(
-    frame_no=LONG, part_no=INT, original_filename=STR, size=LONG, sha256=STR, filetype=STR,
+    capture_id=STR, frame_no=LONG, part_no=INT, original_filename=STR, size=LONG, sha256=STR, filetype=STR,
     proto=STR, note=STR, pkt=PACKET_INFO, payload=BIN,
 )
 
@@ -84,6 +86,11 @@ def conform(df: DataFrame, schema: StructType, **columns) -> DataFrame:
     return df.select(*picked)
 
 
+def capture_of(df: DataFrame):
+    """The capture of each row; NULL, the unnamed capture, where the table names none."""
+    return (F.col("capture_id") if "capture_id" in df.columns else F.lit(None).cast("string")).alias("capture_id")
+
+
 def layer(name: str, schema: StructType = PACKETS, **values):
     """A packet layer struct with the given fields set and the others NULL."""
     fields = schema[name].dataType.fields

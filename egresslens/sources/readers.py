@@ -16,22 +16,33 @@ from egresslens.functions.binary import (
 from egresslens.functions.digests import ctph, locality
 from egresslens.functions.filetype import detect_type, signature_type
 from egresslens.functions.mime import peel
-from egresslens.schemas import FILES, NETWORK_MATCH, RAW_PACKETS, REPORT, TARGETS, conform
+from egresslens.schemas import FILES, NETWORK_MATCH, RAW_PACKETS, REPORT, TARGETS, capture_of, conform
 
 #: Where a log text is cut into lines.
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
-def read_packets(spark: SparkSession, path: str, fmt: str = "json", schema: StructType = RAW_PACKETS) -> DataFrame:
-    return normalize_packets(spark.read.schema(schema).format(fmt).load(path))
+def read_packets(spark: SparkSession, path: str, fmt: str = "json", schema: StructType = RAW_PACKETS,
+                 capture_per_file: bool = True) -> DataFrame:
+    """Packets of exported captures.
+
+    A packet that names no capture belongs to the one its file is named for. Where one capture lies
+    in several files, name it in the rows or set ``capture_per_file`` to False.
+    """
+    return normalize_packets(_named_captures(spark.read.schema(schema).format(fmt).load(path), capture_per_file))
 
 
 def stream_packets(spark: SparkSession, path: str, fmt: str = "json", schema: StructType = RAW_PACKETS,
-                   files_per_trigger: int | None = None) -> DataFrame:
+                   files_per_trigger: int | None = None, capture_per_file: bool = True) -> DataFrame:
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return normalize_packets(reader.load(path))
+    return normalize_packets(_named_captures(reader.load(path), capture_per_file))
+
+
+def _named_captures(packets: DataFrame, per_file: bool) -> DataFrame:
+    file = F.col("_metadata.file_path") if per_file else F.lit(None).cast("string")
+    return packets.withColumn("capture_id", F.coalesce(capture_of(packets), file))
 
 
 def normalize_packets(raw: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def stream_scores(features: DataFrame, model: PipelineModel, keep=("frame_no",))
     return models.score(model, features, keep, "p")
 
 
-_TRANSFER = ("src string, dst string, port int, opened bigint, filename string, complete boolean, "
+_TRANSFER = ("capture_id string, src string, dst string, port int, opened bigint, filename string, complete boolean, "
              "blocks int, size bigint, frame_no bigint, payload binary")
 _COLUMNS = [c.strip().split(" ")[0] for c in _TRANSFER.split(",")]
 _STATE = "opened array<struct<port:int,frame_no:bigint,filename:string,last_seen:timestamp," \
@@ -72,7 +72,7 @@ def _advance(timeout_ms: int):
             for port_key in [k for k, t in held.items() if t["last_seen"].timestamp() * 1000 + timeout_ms <= now]:
                 transfer = held.pop(port_key)
                 if transfer["blocks"]:
-                    out.append(_row(key, port_key[2], transfer, False, transfer["frame_no"]))
+                    out.append(_row(key, port_key[-1], transfer, False, transfer["frame_no"]))
         else:
             events = pd.concat(list(batches)).sort_values("frame_no").to_dict("records")
             for event in events:
@@ -88,9 +88,9 @@ def _advance(timeout_ms: int):
                 held[slot]["blocks"][int(event["block"])] = bytes(event["data"])
                 held[slot]["last_seen"] = event["ts"]
                 if len(event["data"]) < TFTP_BLOCK_BYTES:
-                    out.append(_row(key, slot[2], held.pop(slot), True, event["frame_no"]))
+                    out.append(_row(key, slot[-1], held.pop(slot), True, event["frame_no"]))
         if held:
-            state.update(([dict(port=k[2], frame_no=t["frame_no"], filename=t["filename"], last_seen=t["last_seen"],
+            state.update(([dict(port=k[-1], frame_no=t["frame_no"], filename=t["filename"], last_seen=t["last_seen"],
                                 blocks=[dict(block=b, data=d) for b, d in t["blocks"].items()])
                            for k, t in held.items()],))
             first_due = min(t["last_seen"].timestamp() * 1000 for t in held.values()) + timeout_ms
@@ -109,7 +109,7 @@ def stream_transfers(packets: DataFrame, idle_minutes: int = 60, late: str = "10
     """
     timed = packets.withWatermark("ts", late)
     events = reassembly.tftp_events(timed, keep=("ts",))
-    return events.groupBy("src", "dst").applyInPandasWithState(
+    return events.groupBy(*reassembly.PAIR).applyInPandasWithState(
         _advance(idle_minutes * 60_000), _TRANSFER, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from egresslens.operators import detect, filters, match, models, objects, stats, usb
 from egresslens.operators.ordered import running
+from egresslens.operators.skew import spread_hot_keys
 from egresslens.plans import disk
 from egresslens.schemas import PACKETS, conform, layer
 
@@ -134,3 +135,21 @@ def test_auc_with_few_and_many_stretches(spark):
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
     for stretches in (2, 50):
         assert stats.roc_auc(stats.roc_counts(df, stretches=stretches)).first()["auc"] == pytest.approx(want)
+
+
+def test_hot_keys_on_either_side_meet_once(spark):
+    left = spark.createDataFrame([(i % 2, i) for i in range(60)], "k int, a int")
+    right = spark.createDataFrame([(0, i) for i in range(90)] + [(1, 1)], "k int, b int")
+    x, y = spread_hot_keys(left, right, ["k"], 20)
+    met = x.join(y, ["k", "salt"])
+    assert met.count() == met.select("a", "b").distinct().count() == 30 * 90 + 30
+    assert max(r["count"] for r in x.groupBy("k", "salt").count().collect()) < 30
+    assert max(r["count"] for r in y.groupBy("k", "salt").count().collect()) < 45
+
+
+def test_packets_are_told_apart_by_capture(spark):
+    kinds = "capture_id string, frame_no bigint"
+    first = spark.createDataFrame([("x", 1, 0.1), ("y", 1, 0.2), (None, 1, 0.3)], kinds + ", p1 double")
+    second = spark.createDataFrame([("x", 1, 0.4), (None, 1, 0.5)], kinds + ", p2 double")
+    got = {r["capture_id"]: (r["p1"], r["p2"]) for r in models.pair_scores(first, second).collect()}
+    assert got == {"x": (0.1, 0.4), "y": (0.2, None), None: (0.3, 0.5)}

@@ -76,6 +76,15 @@ def test_blocks(spark):
     assert got == {"one": bytes([3]) * 512 + bytes([4]) * 9, "incomplete_open": bytes([7]) * 512}
 
 
+def test_captures_with_equal_frame_numbers(spark):
+    one = [(1, "a", "s", 5, 69, "one", None, 0), (2, "a", "s", 5, 69, None, "1", 9)]
+    two = [(1, "b", "s", 5, 69, "two", None, 0), (2, "b", "s", 5, 69, None, "1", 4), (3, "a", "s", 5, 69, None, "2", 4)]
+    df = packets(spark, one).withColumn("capture_id", F.lit("x")).unionByName(
+        packets(spark, two).withColumn("capture_id", F.lit("y")))
+    got = {(r["capture_id"], r["original_filename"]): bytes(r["payload"]) for r in reassembly.rebuild_transfers(df, 20).collect()}
+    assert got == {("x", "one"): bytes([2]) * 9, ("y", "two"): bytes([2]) * 4}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     df = tftp_packets(spark, SF)
     path = str(tmp_path / "in")
@@ -83,7 +92,7 @@ def test_stream_equals_batch(spark, tmp_path):
     # Two files, older frames first.
     df.filter(F.col("frame_no") <= cut).coalesce(1).write.mode("append").parquet(path)
     df.filter(F.col("frame_no") > cut).coalesce(1).write.mode("append").parquet(path)
-    stream = stream_packets(spark, path, "parquet", PACKETS, files_per_trigger=1)
+    stream = stream_packets(spark, path, "parquet", PACKETS, files_per_trigger=1, capture_per_file=False)
     got = flows.run_available(flows.stream_transfers(stream, idle_minutes=10**6), "t").filter("complete")
     key = lambda r, name: (r["src"], r["opened"], r[name], bytes(r["payload"]))
     batch = reassembly.rebuild_transfers(df).filter("complete").collect()
