@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from egresslens import constants as C
+from egresslens.session import materialize
 
 
 def source() -> Column:
@@ -94,7 +95,8 @@ def type_prefix_filter(files: DataFrame, targets: DataFrame) -> DataFrame:
         )).alias("prefix"))
         .join(wanted, "prefix", "left_semi").select("ftype").distinct()
     )
-    kept = files.join(passed, "ftype", "left_semi")
+    # written first, so that the small list is known by size and the files stay where they are
+    kept = files.join(materialize(passed, "passed-types"), "ftype", "left_semi")
     if wanted.isEmpty():
         return files
     return kept.select(*files.columns)

@@ -93,11 +93,12 @@ def _(spark, sf):
 
 
 @query("f15_without_usb_files", """
-    SELECT DISTINCT file AS path FROM b_usb WHERE file NOT IN (SELECT file FROM b_usb WHERE line LIKE '%idVendor=%' AND line LIKE '%usb 1-1%' AND line_no % 50 = 0)""")
+    SELECT path FROM (SELECT file AS path FROM b_usb UNION SELECT path FROM b_files) WHERE path IS NOT NULL
+    AND path NOT IN (SELECT file FROM b_usb WHERE line LIKE '%idVendor=%' AND line LIKE '%usb 1-1%' AND file IS NOT NULL)""")
 def _(spark, sf):
     lines = bridge(spark, sf, "b_usb")
-    paths = lines.select(F.col("file").alias("path")).distinct()
-    return filters.without_usb_files(paths, usb.linux_usb_events(lines.filter("line_no % 50 = 0")))
+    paths = lines.select(F.col("file").alias("path")).union(_files(spark, sf).select("path")).distinct().dropna()
+    return filters.without_usb_files(paths, usb.linux_usb_events(lines))
 
 
 @query("f16_known_columns", "SELECT path, md5 FROM b_targets")
