@@ -184,9 +184,12 @@ def ctph(content: Column, minimum: int = 1) -> Column:
     return _over(ctph_digest, minimum)(content)
 
 
-def locality(content: Column, minimum: int = 1, table: np.ndarray | None = None) -> Column:
-    """Locality digest of a binary column; contents below ``minimum`` bytes get NULL."""
-    permutation = pearson_table() if table is None else np.asarray(table, dtype=np.uint8)
+def locality(content: Column, table: np.ndarray, minimum: int = 1) -> Column:
+    """Locality digest of a binary column; contents below ``minimum`` bytes get NULL.
+
+    ``table`` is the permutation of the tool whose digests these are compared with.
+    """
+    permutation = np.asarray(table, dtype=np.uint8)
     if sorted(permutation.tolist()) != list(range(256)):
         raise ValueError("the table must be a permutation of 0..255")
     return _over(lambda b: locality_digest(b, permutation), minimum)(content)

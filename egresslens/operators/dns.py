@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from egresslens import constants as C
 from egresslens.functions import text as X
 from egresslens.functions.times import millis_text
+from egresslens.session import materialize
 
 _ADDRESS_TYPES = (1, 28)
 
@@ -45,11 +46,22 @@ def _sorted_set(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 def shared_domains(packets: DataFrame) -> DataFrame:
     """Per distinct set of addresses, all domains seen with any of them.
 
-    Packets that carry the same addresses share one row, so a busy address costs one lookup.
+    Packets that carry the same addresses share one row. Equal sets of domains share a name; address
+    sets meet names only, and each combination of names is resolved once, so a busy address does not
+    pair all its address sets with all its domains.
     """
     sets = packets.select(_addresses(F.col("dns.rr")).alias("ips")).filter(F.size("ips") > 0).distinct()
-    pairs = sets.select("ips", F.explode("ips").alias("ip")).join(ip_domains(packets), "ip")
-    return _sorted_set(pairs.select("ips", "domain").distinct(), "ips", "domain", "domains")
+    known = materialize(
+        _sorted_set(ip_domains(packets), "ip", "domain", "domains")
+        .withColumn("name", F.md5(F.to_json("domains"))), "address-domains")
+    named = materialize(
+        sets.select("ips", F.explode("ips").alias("ip")).join(known.select("ip", "name"), "ip")
+        .groupBy("ips").agg(F.array_sort(F.collect_set("name")).alias("names")), "address-sets")
+    members = known.select("name", "domains").dropDuplicates(["name"])
+    resolved = (named.select("names").distinct().select("names", F.explode("names").alias("name"))
+                .join(members, "name").groupBy("names")
+                .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("domains")))).alias("domains")))
+    return named.join(resolved, "names").select("ips", "domains")
 
 
 def geo_lookup(addresses: DataFrame, ranges: DataFrame, key: str = "address") -> DataFrame:
@@ -73,12 +85,50 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), value)
 
 
-def geo_sets(packets: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Countries and networks per distinct set of addresses."""
+def ipv6_digits(ip: Column) -> Column:
+    """IPv6 text as its 32 hex digits, which sort like the addresses; NULL for anything else."""
+    tail = F.regexp_extract(ip, r":(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    octets = F.transform(F.split(tail, r"\."), lambda o: F.lpad(F.hex(o.cast("bigint")), 2, "0"))
+    quad = F.array_join(octets, "")
+    plain = F.when(tail == "", ip).otherwise(F.concat(
+        F.regexp_replace(ip, r"[\d.]+$", ""), F.substring(quad, 1, 4), F.lit(":"), F.substring(quad, 5, 4)))
+    halves = F.split(F.lower(plain), "::")
+    groups = lambda i: F.transform(
+        F.filter(F.split(F.coalesce(F.try_element_at(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != ""),
+        lambda g: F.lpad(g, 4, "0"))
+    head, rest = groups(1), groups(2)
+    missing = 8 - F.size(head) - F.size(rest)
+    digits = F.array_join(F.concat(head, F.array_repeat(F.lit("0000"), F.greatest(missing, F.lit(0))), rest), "")
+    shaped = plain.rlike("(?i)^(?!.*:::)(?!.*::.*::)(?!:[^:])(?!:$)([0-9a-f]{0,4}:)+([0-9a-f]{1,4})?$")
+    whole = F.when(F.size(halves) == 2, missing > 0).otherwise((missing == 0) & ~plain.endswith(":"))
+    return F.when(shaped & whole & (F.length(digits) == 32), digits)
+
+
+def geo_lookup_v6(addresses: DataFrame, ranges: DataFrame, key: str = "address") -> DataFrame:
+    """As ``geo_lookup`` for the 32 digits of IPv6 addresses and ranges whose ``lo`` and ``hi`` are IPv6 text.
+
+    A range is listed under the digits its ends have in common, an address under all its own
+    beginnings, so the join is on equality however wide a range is.
+    """
+    lo, hi = F.col("lo"), F.col("hi")
+    apart = F.filter(F.sequence(F.lit(1), F.lit(32)), lambda i: F.substr(lo, i, F.lit(1)) != F.substr(hi, i, F.lit(1)))
+    common = F.coalesce(F.try_element_at(apart, F.lit(1)), F.lit(33)) - 1
+    listed = ranges.select(ipv6_digits(lo).alias("lo"), ipv6_digits(hi).alias("hi"), "iso", "asn").dropna(
+        subset=["lo", "hi"]).withColumn("beginning", F.substr(lo, F.lit(1), common))
+    every = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda n: F.substr(F.col(key), F.lit(1), n))
+    begun = addresses.withColumn("beginning", F.explode(every))
+    return begun.join(listed, "beginning").filter(F.col(key).between(lo, hi)).select(*addresses.columns, "iso", "asn")
+
+
+def geo_sets(packets: DataFrame, ranges: DataFrame, ranges_v6: DataFrame | None = None) -> DataFrame:
+    """Countries and networks per distinct set of addresses; IPv6 ones are looked up in ``ranges_v6``."""
     sets = packets.select(_addresses(F.col("dns.rr")).alias("ips")).filter(F.size("ips") > 0).distinct()
     each = sets.select("ips", F.explode("ips").alias("ip"))
-    located = geo_lookup(
-        each.select("ip").distinct().withColumn("address", ipv4_number(F.col("ip"))).dropna(), ranges)
+    ips = each.select("ip").distinct()
+    located = geo_lookup(ips.withColumn("address", ipv4_number(F.col("ip"))).dropna(), ranges).drop("address")
+    if ranges_v6 is not None:
+        located = located.union(geo_lookup_v6(
+            ips.withColumn("address", ipv6_digits(F.col("ip"))).dropna(), ranges_v6).drop("address"))
     return each.join(located, "ip").groupBy("ips").agg(
         F.array_sort(F.collect_set("iso")).alias("countries"),
         F.array_sort(F.collect_set("asn")).alias("asns"))
@@ -118,7 +168,8 @@ def type_names(rr: Column) -> Column:
     return F.array_distinct(names)
 
 
-def response_features(packets: DataFrame, ranges: DataFrame | None = None, keep=("frame_no",)) -> DataFrame:
+def response_features(packets: DataFrame, ranges: DataFrame | None = None, keep=("frame_no",),
+                      ranges_v6: DataFrame | None = None) -> DataFrame:
     """One feature row per packet with records; only the two set lookups are joins."""
     held = packets.filter(F.size("dns.rr") > 0).select(*keep, "dns")
     rr = F.col("dns.rr")
@@ -128,7 +179,7 @@ def response_features(packets: DataFrame, ranges: DataFrame | None = None, keep=
         joined = joined.withColumns({"countries": F.array().cast("array<string>"),
                                      "asns": F.array().cast("array<string>")})
     else:
-        joined = joined.join(geo_sets(held, ranges), "ips", "left")
+        joined = joined.join(geo_sets(held, ranges, ranges_v6), "ips", "left")
     rr = F.col("rr")
     names = F.filter(F.transform(rr, lambda r: X.dns_name(r["name"])), lambda n: n.isNotNull())
     ttls = F.filter(F.transform(rr, lambda r: r["ttl"]), lambda t: t.isNotNull())

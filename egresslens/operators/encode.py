@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from egresslens import constants as C
 
@@ -121,17 +121,16 @@ class TargetEncoder:
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """Distinct labels with their rank from 0; labels are few by nature."""
-    return df.agg(F.array_sort(F.collect_set(column)).alias("labels")).select(
-        F.posexplode("labels").alias("code", column))
+    """Distinct labels with their rank from 0; only the distinct labels are ranked in one task."""
+    labels = df.select(column).dropna().distinct()
+    return labels.select((F.row_number().over(Window.orderBy(column)) - 1).alias("code"), column)
 
 
 def encode_labels(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Replace labels by their rank in sorted order."""
-    ordered = df.agg(F.array_sort(F.collect_set(column)).alias("labels")).scalar()
-    held = df.withColumn("__labels", ordered)
-    code = (F.array_position("__labels", F.col(column)) - 1).cast("int")
-    return held.withColumn(out or column, code).drop("__labels")
+    """Replace labels by their rank in sorted order; NULL stays NULL."""
+    codes = label_codes(df, column).select(F.col(column).alias("__label"), F.col("code").alias("__code"))
+    joined = df.join(codes, F.col(column) == F.col("__label"), "left").drop("__label")
+    return joined.withColumn(out or column, F.col("__code").cast("int")).drop("__code")
 
 
 def cast_categories(df: DataFrame, columns) -> DataFrame:

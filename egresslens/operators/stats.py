@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType, StringType
 
-ROC_STRETCHES = 64
+from egresslens.session import materialize
 
 
 def class_distribution(df: DataFrame, column: str = "class") -> DataFrame:
@@ -45,20 +45,18 @@ def class_weight(df: DataFrame, label: str = "y") -> DataFrame:
         F.count_if(F.col(label) == 1), F.lit(0))).alias("weight"))
 
 
-def roc_counts(scores: DataFrame, score: str = "p", label: str = "y",
-               stretches: int = ROC_STRETCHES) -> DataFrame:
+def roc_counts(scores: DataFrame, score: str = "p", label: str = "y", stretches: int | None = None) -> DataFrame:
     """Positives and negatives at, and at or above, each distinct score.
 
-    Scores are first reduced to distinct ones, then cut into stretches of about equal size at
-    approximate quantiles, so that no task sorts more than its share. Where the cuts fall does not
-    change the result.
+    Scores are first reduced to distinct ones, then cut into ranges (by default as many as a shuffle
+    has partitions) and written with the number of their range, so that no task sorts more than its
+    share. Where the cuts fall does not change the result.
     """
     per_score = scores.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    share = F.array(*[F.lit(i / stretches) for i in range(1, stretches)])
-    cuts = scores.agg(F.percentile_approx(score, share, F.lit(1000)).alias("cuts")).scalar()
-    placed = per_score.withColumn("__cuts", cuts).withColumn(
-        "stretch", F.size(F.filter("__cuts", lambda c: c > F.col("threshold")))).drop("__cuts")
+    falling = [F.desc("threshold")]
+    ranged = per_score.repartitionByRange(*([stretches] if stretches else []), *falling)
+    placed = materialize(ranged.withColumn("stretch", F.spark_partition_id()), "roc-ranges")
     sums = placed.groupBy("stretch").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     # At most one row per stretch from here on.
     above = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)

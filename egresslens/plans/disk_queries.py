@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from egresslens import constants as C
 
-from egresslens.functions.digests import ctph, locality
+from egresslens.functions.digests import ctph, locality, pearson_table
 from egresslens.operators import filters, fuzzy, match, usb
 from egresslens.plans import disk
 from egresslens.plans.bridges import bridge, contents, packets, table
@@ -285,33 +285,34 @@ def _content(spark, sf, condition):
 
 @query("x32_ssdeep_digest")
 def _(spark, sf):
-    return contents(spark, sf).select("doc_id", ctph(F.col("content"), C.SSDEEP_MIN_BYTES).alias("ssdeep"))
+    return contents(spark, sf).select("doc_id", ctph(F.col("content")).alias("ssdeep"))
 
 
 @query("x33_tlsh_digest")
 def _(spark, sf):
-    return contents(spark, sf).select("doc_id", locality(F.col("content"), C.TLSH_MIN_BYTES).alias("tlsh"))
+    return contents(spark, sf).select("doc_id", locality(F.col("content"), pearson_table()).alias("tlsh"))
 
 
 @query("j03_ssdeep_content_match")
 def ssdeep_content(spark, sf):
     digest = lambda df: materialize(df.select(
-        "doc_id", "path", ctph(F.col("content"), C.SSDEEP_MIN_BYTES).alias("ssdeep")), "digests")
+        "doc_id", "path", ctph(F.col("content")).alias("ssdeep")), "digests")
     return fuzzy.ssdeep_matches(digest(_content(spark, sf, "doc_id % 5 <> 0")), digest(_content(spark, sf, "doc_id % 5 = 0")))
 
 
 @query("j04_tlsh_content_match")
 def tlsh_content(spark, sf):
     digest = lambda df: materialize(df.select(
-        "doc_id", "path", locality(F.col("content"), C.TLSH_MIN_BYTES).alias("tlsh")), "digests")
+        "doc_id", "path", locality(F.col("content"), pearson_table()).alias("tlsh")), "digests")
     return fuzzy.tlsh_matches(digest(_content(spark, sf, "doc_id % 5 <> 0")), digest(_content(spark, sf, "doc_id % 5 = 0")))
 
 
 @query("disk_triage")
 def disk_triage(spark, sf):
     """Whole disk analysis with exact and similarity matching on content."""
-    files = readers.inventory(_content(spark, sf, "doc_id % 5 <> 0"), fuzzy=True)
-    targets = readers.target_rows(_content(spark, sf, "doc_id % 5 = 0").select("path", "content"), fuzzy=True)
+    files = readers.inventory(_content(spark, sf, "doc_id % 5 <> 0"), fuzzy=True, table=pearson_table())
+    targets = readers.target_rows(_content(spark, sf, "doc_id % 5 = 0").select("path", "content"), fuzzy=True,
+                                  table=pearson_table())
     devices = usb.usb_events(usb.linux_usb_events(bridge(spark, sf, "b_usb")))
     carried = conform(files, FILES).withColumnRenamed("path", "name")
     return disk.run(files, targets, carried, devices).matches

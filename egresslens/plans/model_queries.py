@@ -10,9 +10,10 @@ from egresslens.operators.objects import extract_objects
 from egresslens.plans import training
 from egresslens.plans.bridges import HOST, bridge, packets, table, tftp_packets
 from egresslens.plans.registry import query
+from egresslens.plans.traffic_queries import TRANSFERS_SQL
 from egresslens.session import work_path
 from egresslens.sources.readers import stream_packets
-from egresslens.schemas import PACKETS
+from egresslens.schemas import PACKETS, layer
 from egresslens.streaming import flows
 
 S = "b_scores"
@@ -181,6 +182,12 @@ def _(spark, sf):
     return encode.encode_labels(_scores(spark, sf), "lang", "code").select("frame_no", "code")
 
 
+@query("w08_encoded_labels", """
+    SELECT frame_no, lang, CASE WHEN lang IS NOT NULL THEN CAST(dense_rank() OVER (ORDER BY lang NULLS LAST) - 1 AS INT) END AS code FROM b_scores""")
+def _(spark, sf):
+    return encode.encode_labels(_scores(spark, sf), "lang", "code").select("frame_no", "lang", "code")
+
+
 @query("w08_label_codes", "SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INT) AS code FROM (SELECT DISTINCT lang FROM b_scores) d")
 def _(spark, sf):
     return encode.label_codes(_scores(spark, sf), "lang").select("lang", "code")
@@ -191,7 +198,23 @@ def _(spark, sf):
     return encode.weighted(_scores(spark, sf), "y").select("frame_no", "weight")
 
 
-@query("n09_synthetic_rows")
+def _share(name: str) -> str:
+    """``encode.hash_share`` of a text as SQL."""
+    return f"(CAST(('0x' || substr(md5({name}), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+_COPY = "CAST(frame_no AS VARCHAR) || ':' || CAST(copy_no AS VARCHAR)"
+
+
+@query("n09_synthetic_rows", f"""
+    WITH m AS (SELECT * FROM b_scores WHERE y = 1),
+    s AS (SELECT CAST(1000.0 AS DOUBLE) / count(*) AS rate, stddev_pop(chars) AS sc, stddev_pop(p1) AS sp FROM m),
+    n AS (SELECT m.*, s.sc, s.sp, CAST(floor(rate) AS INT) + CASE WHEN {_share("CAST(frame_no AS VARCHAR) || '-42-copies'")} < rate - floor(rate)
+                 THEN 1 ELSE 0 END AS copies FROM m, s),
+    r AS (SELECT n.*, CAST(unnest(range(1, copies + 1)) AS INT) AS copy_no FROM n)
+    SELECT frame_no, y, p1 + ({_share(_COPY + " || '-42-p1'")} - 0.5) * 2 * 0.1 * sp AS p1, p2, lang, source,
+           chars + ({_share(_COPY + " || '-42-chars'")} - 0.5) * 2 * 0.1 * sc AS chars, copy_no
+    FROM r""")
 def _(spark, sf):
     minority = _scores(spark, sf).filter("y = 1")
     return encode.synthetic_rows(minority, ["chars", "p1"], 1000, "frame_no")
@@ -286,10 +309,12 @@ def _(spark, sf):
 
 # --- streams -----------------------------------------------------------------------------------
 
-def _streamed(spark, df, name, schema=PACKETS, files: int = 4):
-    """A stream over a table, written in several files."""
+def _streamed(spark, df, name, schema=PACKETS, files: int = 4, closing=None):
+    """A stream over a table, written in several files in no order of time; ``closing`` comes behind them."""
     path = work_path(spark, name)
     df.repartition(files).write.parquet(path)
+    if closing is not None:
+        closing.write.mode("append").parquet(path)
     return stream_packets(spark, path, "parquet", schema, files_per_trigger=2, capture_per_file=False)
 
 
@@ -315,17 +340,26 @@ def streaming_outbound(spark, sf):
     SELECT make_timestamp(CAST(floor(epoch(ts) / 2592000) AS BIGINT) * 2592000 * 1000000) AS start, dst, CAST(sum(length) AS BIGINT) AS bytes
     FROM b_packets WHERE src = '{HOST}' GROUP BY 1, 2""")
 def _(spark, sf):
-    stream = _streamed(spark, packets(spark, sf), "stream-in")
-    windows = flows.windowed_outbound(stream, HOST, "30 days", "1 day")
-    out = flows.run_available(windows, "stream-windows", "complete")
-    last = out.agg(F.max("batch").alias("b")).scalar()
-    return out.filter(F.col("batch") == last).select(F.col("start").cast("timestamp_ntz").alias("start"), "dst", "bytes")
+    # Files come in no order of time, so rows may be as late as the input is long.
+    seen = packets(spark, sf)
+    closing = flows.end_of_input(seen, "8000 DAYS").withColumn(
+        "ip", layer("ip", src=F.lit(HOST), dst=F.lit("closing")))
+    stream = _streamed(spark, seen, "stream-in", closing=closing)
+    windows = flows.windowed_outbound(stream, HOST, "30 days", "7300 days")
+    out = flows.run_available(windows, "stream-windows")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "dst", "bytes")
 
 
-@query("r03_streaming_transfers")
+@query("r03_streaming_transfers", TRANSFERS_SQL + """
+    SELECT src, opened, CASE WHEN stop IS NULL THEN 'incomplete_' ELSE '' END || filename AS filename,
+           stop IS NOT NULL AS complete, CAST(blocks AS BIGINT) AS blocks, CAST(strlen(data) AS BIGINT) AS size, sha256(data) AS sha256
+    FROM whole""")
 def streaming_transfers(spark, sf):
-    stream = _streamed(spark, tftp_packets(spark, sf), "stream-in", files=1)
-    return flows.run_available(flows.stream_transfers(stream), "stream-tftp").drop("batch", "payload")
+    seen = tftp_packets(spark, sf)
+    stream = _streamed(spark, seen, "stream-in", closing=flows.end_of_input(seen, "8000 DAYS"))
+    ended = flows.run_available(flows.stream_transfers(stream, 60 * 24 * 365, "7300 days"), "stream-tftp")
+    return ended.select("src", "opened", "filename", "complete", F.col("blocks").cast("bigint").alias("blocks"), "size",
+                        F.sha2("payload", 256).alias("sha256"))
 
 
 @query("r04_streaming_scores")

@@ -356,6 +356,23 @@ def _(spark, sf):
     return dns.geo_lookup(addresses, bridge(spark, sf, "b_geo"))
 
 
+_ADDRESS_6 = """'2001:db8:' || CAST(c_nationkey AS VARCHAR) || CASE WHEN c_custkey % 3 = 0 THEN ':0:0:0:0:' ELSE '::' END || CAST(c_custkey % 10000 AS VARCHAR)"""
+
+
+@query("j09_geo_lookup_v6", f"""
+    SELECT DISTINCT {_ADDRESS_6} AS ip, substr(n_name, 1, 2) AS iso, 'AS' || CAST(n_regionkey AS VARCHAR) AS asn
+    FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey % 2 = 0""")
+def _(spark, sf):
+    ip = F.concat(F.lit("2001:db8:"), F.col("c_nationkey").cast("string"),
+                  F.when(F.col("c_custkey") % 3 == 0, ":0:0:0:0:").otherwise("::"), (F.col("c_custkey") % 10000).cast("string"))
+    addresses = table(spark, sf, "customer").select(ip.alias("ip")).distinct().withColumn("address", dns.ipv6_digits(F.col("ip")))
+    key = F.col("n_nationkey").cast("string")
+    ranges = table(spark, sf, "nation").filter("n_nationkey % 2 = 0").select(
+        F.concat(F.lit("2001:DB8:"), key, F.lit("::")).alias("lo"), F.concat(F.lit("2001:db8:"), key, F.lit(":ffff:ffff:ffff:ffff:ffff")).alias("hi"),
+        F.substring("n_name", 1, 2).alias("iso"), F.concat(F.lit("AS"), F.col("n_regionkey").cast("string")).alias("asn"))
+    return dns.geo_lookup_v6(addresses, ranges).select("ip", "iso", "asn")
+
+
 def _ranges(spark, sf):
     # One range per nation over the second octet of the record addresses.
     base = 198 * 16777216 + 51 * 65536

@@ -282,7 +282,7 @@ def _(spark, sf):
 
 # --- transfers ---------------------------------------------------------------------------------
 
-_TRANSFERS = """
+TRANSFERS_SQL = """
     WITH ends AS (SELECT conv_id, min(block) FILTER (WHERE strlen(text) < 512) AS stop FROM b_tftp GROUP BY conv_id),
     whole AS (
       SELECT b.conv_id, e.stop, any_value(b.src) AS src, any_value(b.filename) AS filename,
@@ -292,7 +292,7 @@ _TRANSFERS = """
 """
 
 
-@query("w05_tftp_transfers", _TRANSFERS + """
+@query("w05_tftp_transfers", TRANSFERS_SQL + """
     SELECT src, opened, CASE WHEN stop IS NULL THEN 'incomplete_' ELSE '' END || filename AS original_filename,
            stop IS NOT NULL AS complete, CAST(blocks AS BIGINT) AS blocks, CAST(strlen(data) AS BIGINT) AS size, sha256(data) AS sha256
     FROM whole""")
@@ -331,7 +331,7 @@ def _(spark, sf):
     return blocks.select("conv_id", F.to_json("blocks").alias("blocks"))
 
 
-@query("d15_tftp_reconstructed", _TRANSFERS + f"""
+@query("d15_tftp_reconstructed", TRANSFERS_SQL + f"""
     SELECT 'TFTP' AS proto, CASE WHEN stop IS NULL THEN 'incomplete_' ELSE '' END || filename AS filename,
            CASE WHEN stop IS NULL THEN opened ELSE last_frame END AS frame_no, '{C.NOTE_TFTP_REBUILT}' AS note FROM whole""")
 def _(spark, sf):

@@ -96,18 +96,21 @@ def _base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]*$", 0)
 
 
-def target_rows(contents: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """Target list of ``(path, content)`` rows: digests of any content, and the type."""
+def target_rows(contents: DataFrame, fuzzy: bool = False, table=None) -> DataFrame:
+    """Target list of ``(path, content)`` rows: digests of any content, and the type.
+
+    Locality digests need the permutation ``table`` of the tool they are compared with.
+    """
     data = F.col("content")
     size = F.octet_length(data).cast("bigint")
     ssdeep = ctph(data) if fuzzy else F.lit(None)
-    tlsh = locality(data) if fuzzy else F.lit(None)
+    tlsh = locality(data, table) if fuzzy and table is not None else F.lit(None)
     return conform(contents, TARGETS, sha256=sha256(data), md5=F.md5(data), ssdeep=ssdeep, tlsh=tlsh,
                    ftype=detect_type(_base_name(F.col("path")), size, data))
 
 
-def targets_from_directory(spark: SparkSession, path: str, fuzzy: bool = False) -> DataFrame:
-    return target_rows(read_files(spark, path), fuzzy)
+def targets_from_directory(spark: SparkSession, path: str, fuzzy: bool = False, table=None) -> DataFrame:
+    return target_rows(read_files(spark, path), fuzzy, table)
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,13 +129,17 @@ def zip_members(archives: DataFrame) -> DataFrame:
         _members, "archive string, path string, content binary")
 
 
-def targets_from_zip(spark: SparkSession, path: str, fuzzy: bool = False) -> DataFrame:
-    return target_rows(zip_members(read_files(spark, path)), fuzzy)
+def targets_from_zip(spark: SparkSession, path: str, fuzzy: bool = False, table=None) -> DataFrame:
+    return target_rows(zip_members(read_files(spark, path)), fuzzy, table)
 
 
-def inventory(contents: DataFrame, fuzzy: bool = False) -> DataFrame:
+def inventory(contents: DataFrame, fuzzy: bool = False, table=None, ssdeep_from: int = 1,
+              tlsh_from: int = 1) -> DataFrame:
     """Described files of ``(path, size, content[, deleted, partition_offset, ftype])``.
 
+    Contents below ``ssdeep_from`` or ``tlsh_from`` bytes get no such digest; locality digests need
+    the permutation ``table`` of the tool they are compared with.
+
     Deleted paths are tagged; empty content has no digests. Content is dropped here, before any
     shuffle. Both passes over allocated and deleted files are one scan.
     """
@@ -144,8 +151,8 @@ def inventory(contents: DataFrame, fuzzy: bool = False) -> DataFrame:
     return conform(
         contents.filter(F.col("size") > 0), FILES, path=path, deleted=removed, ftype=kind,
         sha256=content_sha256(data), md5=content_md5(data),
-        ssdeep=ctph(data, C.SSDEEP_MIN_BYTES) if fuzzy else F.lit(None),
-        tlsh=locality(data, C.TLSH_MIN_BYTES) if fuzzy else F.lit(None))
+        ssdeep=ctph(data, ssdeep_from) if fuzzy else F.lit(None),
+        tlsh=locality(data, table, tlsh_from) if fuzzy and table is not None else F.lit(None))
 
 
 def describe_saved(contents: DataFrame) -> DataFrame:

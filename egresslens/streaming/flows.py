@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from egresslens.constants import TFTP_BLOCK_BYTES
 
 from egresslens.operators import detect, filters, match, models, objects, reassembly, totals
+from egresslens.schemas import PACKETS, conform, layer
 from egresslens.session import work_path
 
 
@@ -50,52 +51,87 @@ def stream_scores(features: DataFrame, model: PipelineModel, keep=("frame_no",))
 _TRANSFER = ("capture_id string, src string, dst string, port int, opened bigint, filename string, complete boolean, "
              "blocks int, size bigint, frame_no bigint, payload binary")
 _COLUMNS = [c.strip().split(" ")[0] for c in _TRANSFER.split(",")]
-_STATE = "opened array<struct<port:int,frame_no:bigint,filename:string,last_seen:timestamp," \
-         "blocks:array<struct<block:bigint,data:binary>>>>"
+_EVENT = ["frame_no", "at", "sport", "dport", "is_request", "is_short", "filename", "block", "data"]
+_STATE = ("opened array<struct<port:int,frame_no:bigint,filename:string,last_seen:bigint,"
+          "blocks:array<struct<block:bigint,data:binary>>>>, "
+          "waiting array<struct<frame_no:bigint,at:bigint,sport:int,dport:int,is_request:boolean,is_short:boolean,"
+          "filename:string,block:bigint,data:binary>>")
 
 
-def _row(pair, port, transfer, complete: bool, frame_no) -> tuple:
+def _row(pair, port, transfer, frame_no=None) -> tuple:
+    """Output row of a transfer, complete when it has a closing frame."""
     data = b"".join(transfer["blocks"][b] for b in sorted(transfer["blocks"]))
+    complete = frame_no is not None
     name = transfer["filename"] if complete else f"incomplete_{transfer['filename']}"
-    return (*pair, port, transfer["frame_no"], name, complete, len(transfer["blocks"]), len(data), frame_no, data)
+    return (*pair, port, transfer["frame_no"], name, complete, len(transfer["blocks"]), len(data),
+            frame_no if complete else transfer["frame_no"], data)
 
 
-def _advance(timeout_ms: int):
-    """State update of one address pair: open transfers with their blocks, nothing else."""
+def _apply(pair: tuple, events: list[dict], held: dict, idle_ms: int, now: int) -> list[tuple]:
+    """Rows of the transfers that ``events`` (in frame order) and the time ``now`` end.
+
+    ``held`` maps (pair, port) to an open transfer and is updated in place. A transfer idle for
+    ``idle_ms`` before the next event of its pair, or before ``now``, ends as incomplete.
+    """
+    out, opened = [], {key: transfer["frame_no"] for key, transfer in held.items()}
+
+    def expire(time: int) -> None:
+        for key in [k for k, t in held.items() if t["last_seen"] + idle_ms <= time]:
+            del opened[key]
+            transfer = held.pop(key)
+            if transfer["blocks"]:
+                out.append(_row(pair, key[-1], transfer))
+
+    def arriving():
+        for event in events:
+            expire(event["at"])
+            if event["is_request"]:
+                held[(*pair, event["sport"])] = dict(
+                    frame_no=event["frame_no"], filename=event["filename"], last_seen=event["at"], blocks={})
+            yield dict(zip(reassembly.PAIR, pair), **event)
+
+    for port, _, event, closes in reassembly.replay(arriving(), opened):
+        transfer = held[(*pair, port)]
+        transfer["blocks"][event["block"]] = event["data"]
+        transfer["last_seen"] = max(transfer["last_seen"], event["at"])
+        if closes:
+            out.append(_row(pair, port, held.pop((*pair, port)), event["frame_no"]))
+    expire(now)
+    return out
+
+
+def _advance(idle_ms: int):
+    """State update of one address pair: its open transfers and the events the watermark has not passed."""
+    def events_of(pdf: pd.DataFrame, now: int) -> Iterator[dict]:
+        for event in pdf[_EVENT].astype(object).where(pdf[_EVENT].notna(), None).to_dict("records"):
+            event["at"] = now if event["at"] is None else int(event["at"])
+            for name in ("frame_no", "sport", "dport", "block"):
+                event[name] = None if event[name] is None else int(event[name])
+            event["data"] = None if event["data"] is None else bytes(event["data"])
+            event["is_request"], event["is_short"] = bool(event["is_request"]), bool(event["is_short"])
+            yield event
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        open_rows, waiting_rows = state.get if state.exists else ([], [])
+        waiting = [row.asDict(True) for row in waiting_rows]
         held = {(*key, t["port"]): dict(frame_no=t["frame_no"], filename=t["filename"], last_seen=t["last_seen"],
                                         blocks={b["block"]: bytes(b["data"]) for b in t["blocks"]})
-                for t in (t.asDict(True) for t in (state.get[0] if state.exists else []))}
-        out = []
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs()
-            for port_key in [k for k, t in held.items() if t["last_seen"].timestamp() * 1000 + timeout_ms <= now]:
-                transfer = held.pop(port_key)
-                if transfer["blocks"]:
-                    out.append(_row(key, port_key[-1], transfer, False, transfer["frame_no"]))
-        else:
-            events = pd.concat(list(batches)).sort_values("frame_no").to_dict("records")
-            for event in events:
-                if event["is_request"]:
-                    slot = (*key, event["sport"])
-                    held[slot] = dict(frame_no=event["frame_no"], filename=event["filename"],
-                                      last_seen=event["ts"], blocks={})
-                    continue
-                ports = [(*key, event["dport"]), (*key, event["sport"])]
-                slot = next((p for p in ports if p in held), None) or next(iter(held), None)
-                if slot is None:
-                    continue
-                held[slot]["blocks"][int(event["block"])] = bytes(event["data"])
-                held[slot]["last_seen"] = event["ts"]
-                if len(event["data"]) < TFTP_BLOCK_BYTES:
-                    out.append(_row(key, slot[-1], held.pop(slot), True, event["frame_no"]))
-        if held:
-            state.update(([dict(port=k[-1], frame_no=t["frame_no"], filename=t["filename"], last_seen=t["last_seen"],
-                                blocks=[dict(block=b, data=d) for b, d in t["blocks"].items()])
-                           for k, t in held.items()],))
-            first_due = min(t["last_seen"].timestamp() * 1000 for t in held.values()) + timeout_ms
-            state.setTimeoutTimestamp(int(max(first_due, state.getCurrentWatermarkMs() + 1)))
-        else:
+                for t in (row.asDict(True) for row in open_rows)}
+        if not state.hasTimedOut:
+            for pdf in batches:
+                waiting.extend(events_of(pdf, now))
+        ready = sorted((e for e in waiting if e["at"] <= now), key=lambda e: e["frame_no"])
+        waiting = [e for e in waiting if e["at"] > now]
+        out = _apply(key, ready, held, idle_ms, now)
+        if held or waiting:
+            state.update((
+                [dict(port=k[-1], frame_no=t["frame_no"], filename=t["filename"], last_seen=t["last_seen"],
+                      blocks=[dict(block=b, data=d) for b, d in t["blocks"].items()]) for k, t in held.items()],
+                waiting))
+            due = min([e["at"] for e in waiting] + [t["last_seen"] + idle_ms for t in held.values()])
+            state.setTimeoutTimestamp(max(due, now + 1))
+        elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=_COLUMNS)
     return update
@@ -104,15 +140,29 @@ def _advance(timeout_ms: int):
 def stream_transfers(packets: DataFrame, idle_minutes: int = 60, late: str = "10 minutes") -> DataFrame:
     """TFTP transfers of a stream; one idle past the timeout ends as incomplete.
 
-    State is kept per address pair because the third assignment rule looks at all of its open
-    transfers; it holds the blocks of those only.
+    Packets may arrive in any order within ``late``: events wait in the state until the watermark has
+    passed them and are then taken in frame order, by the rules of the batch form. State is kept per
+    address pair because the third assignment rule looks at all of its open transfers; it holds the
+    waiting events and the blocks of open transfers. What still waits when input ends comes out once a
+    later packet moves the watermark, for instance ``end_of_input``. Packets without a time count as on time.
     """
     timed = packets.withWatermark("ts", late)
-    events = reassembly.tftp_events(timed, keep=("ts",))
+    events = reassembly.tftp_events(timed, keep=("ts",)).withColumns({
+        "at": F.unix_millis("ts"), "is_short": F.coalesce(F.octet_length("data") < TFTP_BLOCK_BYTES, F.lit(False))})
     return events.groupBy(*reassembly.PAIR).applyInPandasWithState(
         _advance(idle_minutes * 60_000), _TRANSFER, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def end_of_input(packets: DataFrame, after: str) -> DataFrame:
+    """One packet later than all of ``packets`` by ``after`` (an interval), to be sent behind them.
+
+    It is a write request between blank addresses: it moves the watermark and brings no row itself.
+    """
+    last = packets.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts"))
+    return conform(last.filter("ts is not null"), PACKETS, frame_no=F.lit(0),
+                   ip=layer("ip", src=F.lit(""), dst=F.lit("")), tftp=layer("tftp", opcode=F.lit("2"), filename=F.lit("")))
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is there, through a table in the shared folder, and return that table."""
     spark = stream.sparkSession

@@ -3,10 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from egresslens.operators import detect, filters, match, models, objects, stats, usb
+from egresslens.operators import detect, dns, filters, match, models, objects, stats, usb
 from egresslens.operators.ordered import running
 from egresslens.operators.skew import spread_hot_keys
-from egresslens.plans import disk
+from egresslens.plans import disk, training
 from egresslens.schemas import PACKETS, conform, layer
 
 HOST = "10.0.0.1"
@@ -153,3 +153,39 @@ def test_packets_are_told_apart_by_capture(spark):
     second = spark.createDataFrame([("x", 1, 0.4), (None, 1, 0.5)], kinds + ", p2 double")
     got = {r["capture_id"]: (r["p1"], r["p2"]) for r in models.pair_scores(first, second).collect()}
     assert got == {"x": (0.1, 0.4), "y": (0.2, None), None: (0.3, 0.5)}
+
+
+def test_ipv6_digits_equal_the_standard_library(spark):
+    import ipaddress
+    good = ["::", "::1", "1::", "2001:db8::ff00:42:8329", "2001:DB8:0:0:1:0:0:1", "fe80::1:2:3:4:5:6", "::ffff:192.0.2.1",
+            "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:1.2.3.4"]
+    bad = ["", ":", ":::", "1::2::3", "1:2:3", "12345::", "g::1", "1:2:3:4:5:6:7:8:9", "10.0.0.1", "1:2:3:4:5:6:7:", ":1:2:3:4:5:6:7", None]
+    df = spark.createDataFrame([(ip,) for ip in good + bad], "ip string")
+    got = {r["ip"]: r["d"] for r in df.select("ip", dns.ipv6_digits(F.col("ip")).alias("d")).collect()}
+    assert {ip: got[ip] for ip in good} == {ip: f"{int(ipaddress.IPv6Address(ip)):032x}" for ip in good}
+    assert [ip for ip in bad if got[ip] is not None] == []
+
+
+def test_ipv6_ranges_of_any_width(spark):
+    ranges = spark.createDataFrame([("2001:db8::", "2001:db8::ff", "A", "x"), ("::", "ffff::", "B", "y"),
+                                    ("2001:db8::fe", "2001:db8::1:0", "C", "z"), ("nothing", "::1", "D", "w")],
+                                   "lo string, hi string, iso string, asn string")
+    addresses = spark.createDataFrame([("2001:db8::fe",), ("2001:db8::100",), ("ffff::1",)], "ip string").withColumn(
+        "address", dns.ipv6_digits(F.col("ip")))
+    got = sorted((r["ip"], r["iso"]) for r in dns.geo_lookup_v6(addresses, ranges).collect())
+    assert got == [("2001:db8::100", "B"), ("2001:db8::100", "C"), ("2001:db8::fe", "A"), ("2001:db8::fe", "B"), ("2001:db8::fe", "C")]
+
+
+def test_address_sets_meet_all_domains_of_their_addresses(spark):
+    rows = [("a.one.com", ["1.1.1.1", "2.2.2.2"]), ("b.two.com", ["1.1.1.1"]), ("c.three.com", ["2.2.2.2"]), ("d.four.com", ["3.3.3.3"])]
+    df = spark.createDataFrame(rows, "q string, ips array<string>").select(F.struct(
+        F.col("q").alias("qname"), F.transform("ips", lambda i: F.struct(F.lit(1).alias("type"), i.alias("rdata"))).alias("rr")).alias("dns"))
+    got = {tuple(r["ips"]): r["domains"] for r in dns.shared_domains(df).collect()}
+    assert got == {("1.1.1.1", "2.2.2.2"): ["one.com", "three.com", "two.com"], ("1.1.1.1",): ["one.com", "two.com"],
+                   ("2.2.2.2",): ["one.com", "three.com"], ("3.3.3.3",): ["four.com"]}
+
+
+def test_synthetic_rows_have_keys_of_their_own(spark):
+    part = spark.createDataFrame([(i, 1 if i % 2 else 0, float(i)) for i in range(1, 21)], "frame_no bigint, class int, x double")
+    keys = [r["frame_no"] for r in training.augmented(part, ["x"], 40, "frame_no").collect()]
+    assert len(keys) == len(set(keys)) == 60

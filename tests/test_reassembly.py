@@ -85,15 +85,29 @@ def test_captures_with_equal_frame_numbers(spark):
     assert got == {("x", "one"): bytes([2]) * 9, ("y", "two"): bytes([2]) * 4}
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def streamed(spark, parts, path, **options):
+    """Transfers of a stream whose files are the given tables, in this order."""
+    for df in parts:
+        df.coalesce(1).write.mode("append").parquet(path)
+    stream = stream_packets(spark, path, "parquet", PACKETS, files_per_trigger=1, capture_per_file=False)
+    return flows.run_available(flows.stream_transfers(stream, **options), "t").collect()
+
+
+def test_stream_equals_batch_with_late_files_first(spark, tmp_path):
     df = tftp_packets(spark, SF)
-    path = str(tmp_path / "in")
     cut = df.agg(F.percentile_approx("frame_no", 0.5)).first()[0]
-    # Two files, older frames first.
-    df.filter(F.col("frame_no") <= cut).coalesce(1).write.mode("append").parquet(path)
-    df.filter(F.col("frame_no") > cut).coalesce(1).write.mode("append").parquet(path)
-    stream = stream_packets(spark, path, "parquet", PACKETS, files_per_trigger=1, capture_per_file=False)
-    got = flows.run_available(flows.stream_transfers(stream, idle_minutes=10**6), "t").filter("complete")
-    key = lambda r, name: (r["src"], r["opened"], r[name], bytes(r["payload"]))
-    batch = reassembly.rebuild_transfers(df).filter("complete").collect()
-    assert sorted(key(r, "filename") for r in got.collect()) == sorted(key(r, "original_filename") for r in batch)
+    got = streamed(spark, [df.filter(F.col("frame_no") > cut), df.filter(F.col("frame_no") <= cut),
+                           flows.end_of_input(df, "8000 DAYS")],
+                   str(tmp_path / "in"), idle_minutes=60 * 24 * 365, late="7300 days")
+    batch = reassembly.rebuild_transfers(df).collect()
+    key = lambda r, name: (r["src"], r["opened"], r[name], r["complete"], bytes(r["payload"]))
+    assert sorted(key(r, "filename") for r in got) == sorted(key(r, "original_filename") for r in batch)
+
+
+def test_stream_ends_idle_transfers(spark, tmp_path):
+    events = [(1, "a", "s", 5, 69, "one", None, 0), (2, "a", "s", 5, 69, None, "1", 512),
+              (3, "a", "s", 5, 69, None, "2", 512), (7000, "a", "s", 5, 69, None, "3", 4)]
+    df = packets(spark, events).withColumn("ts", F.timestamp_seconds("frame_no"))
+    got = streamed(spark, [df, flows.end_of_input(df, "1 DAY")], str(tmp_path / "in"), idle_minutes=60)
+    assert [(r["filename"], r["complete"], r["blocks"], bytes(r["payload"])) for r in got] == [
+        ("incomplete_one", False, 2, bytes([2]) * 512 + bytes([3]) * 512)]
