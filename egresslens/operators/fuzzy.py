@@ -28,8 +28,8 @@ def _signatures(df: DataFrame, column: str) -> DataFrame:
     block = F.expr(f"try_cast(regexp_extract({column}, '^([0-9]+):', 1) AS bigint)")
     return df.select(column).dropna().distinct().filter(F.col(column).rlike(pattern)).select(
         F.col(column).alias("digest"), F.inline(F.array(
-            F.struct(block.alias("block"), cut(1 + 1).alias("sig")),
-            F.struct((block * 2).alias("block"), cut(2 + 1).alias("sig")))))
+            F.struct(block.alias("block"), cut(2).alias("sig")),
+            F.struct((block * 2).alias("block"), cut(3).alias("sig")))))
 
 
 def _grams(signatures: DataFrame) -> DataFrame:
@@ -166,21 +166,33 @@ def _pieces(threshold: int, budget: int) -> list[tuple[int, int]]:
 
 
 def _changes(spark, widths, budget: int) -> DataFrame:
-    """Ways to change up to ``budget`` codes of a piece of each width by a total of ``budget``."""
+    """Ways to change up to ``budget`` codes of a piece of each width, with the distance (up to ``budget``) they add."""
     rows = []
     for width in widths:
         for size in range(budget + 1):
             for where in combinations(range(2 * width), size):
                 for by in product([d for d in range(-budget, budget + 1) if d], repeat=size):
-                    if sum(6 if abs(d) == 3 else abs(d) for d in by) <= budget:
+                    cost = sum(6 if abs(d) == 3 else abs(d) for d in by)
+                    if cost <= budget:
                         slots = [(2 * w, d) for w, d in zip(where, by)] + [(0, 0)] * (budget - size)
-                        rows.append((width, *[x for slot in slots for x in slot]))
+                        rows.append((width, cost, *[x for slot in slots for x in slot]))
     names = ", ".join(f"shift{k} int, by{k} int" for k in range(budget))
-    return spark.createDataFrame(rows, f"width int, {names}")
+    return spark.createDataFrame(rows, f"width int, cost int, {names}")
 
 
-def _near_values(targets: DataFrame, pieces, budget: int) -> DataFrame:
-    """Targets under every value of each piece that differs by at most the budget."""
+def _length_gaps(threshold: int, pieces: int) -> list[tuple[int, int]]:
+    """Gaps of the length code that a match may have, each with the budget of a piece that it leaves."""
+    rest = lambda gap: threshold - (gap if gap <= 1 else 12 * gap)
+    near = [gap for gap in range(129) if rest(gap) >= 0]
+    signed = {step % 256: rest(gap) // pieces for gap in near for step in (gap, -gap)}
+    return sorted(signed.items())
+
+
+def _near_values(targets: DataFrame, pieces, budget: int, threshold: int) -> DataFrame:
+    """Targets under every value of each piece and every length code that a match may have.
+
+    A gap in length uses up part of the threshold, so the further the length, the nearer the values.
+    """
     value = lambda start, size: _number(F.substring("body", start, size))
     cut = targets.select(*_PACKED, F.posexplode(F.array(*[
         F.struct(value(s, n).alias("value"), F.lit(n).alias("width")) for s, n in pieces])).alias("piece", "p"))
@@ -190,7 +202,11 @@ def _near_values(targets: DataFrame, pieces, budget: int) -> DataFrame:
     code = lambda k: shift("shiftright", F.col("value"), k).bitwiseAND(F.lit(3)) + F.col(f"by{k}")
     valid = reduce(lambda x, y: x & y, [code(k).between(0, 3) for k in range(budget)])
     moved = sum((shift("shiftleft", F.col(f"by{k}").cast("bigint"), k) for k in range(budget)), F.col("value"))
-    return rows.filter(valid).select(*_PACKED, "piece", moved.alias("value"))
+    gaps = F.array(*[F.struct(F.lit(gap).alias("gap"), F.lit(left).alias("left"))
+                     for gap, left in _length_gaps(threshold, len(pieces))])
+    usable = F.filter(gaps, lambda g: g["left"] >= F.col("cost"))
+    return rows.filter(valid).select(*_PACKED, "piece", moved.alias("value"), F.explode(usable).alias("g")).withColumn(
+        "near_len", (F.col("len") + F.col("g.gap")) % 256).drop("g")
 
 
 def tlsh_distances(files: DataFrame, targets: DataFrame, max_distance: int = C.TLSH_MAX_DISTANCE,
@@ -198,22 +214,23 @@ def tlsh_distances(files: DataFrame, targets: DataFrame, max_distance: int = C.T
     """``(file_digest, target_digest, distance)`` of all pairs within the distance.
 
     Each body is cut into pieces; two bodies within the distance have a piece that is almost
-    equal. Targets are listed under every almost equal value of each piece, files under their own
-    values, and the exact distance is part of the join condition, so only matches leave the join.
-    A larger budget (up to 3) lists each target more often and compares fewer pairs: use it for
-    large inventories.
+    equal, and their length codes are near. Targets are listed under every almost equal value of each
+    piece with every near length, files under their own values and length, and the exact distance is
+    part of the join condition, so only matches leave the join. A larger budget (up to 3) lists each
+    target more often and compares fewer pairs: use it for large inventories.
     """
     if not 1 <= budget <= _MAX_BUDGET:
         raise ValueError(f"budget must be 1..{_MAX_BUDGET}")
     pieces = _pieces(max_distance, budget)
+    keys = ["piece", "value", "near_len"]
     a, b = _packed(files, column), _packed(targets, column)
     value = lambda start, size: _number(F.substring("body", start, size))
-    left = a.select(*_PACKED, F.posexplode(F.array(*[value(s, n) for s, n in pieces])).alias("piece", "value"))
-    left, right = spread_hot_keys(left, _near_values(b, pieces, budget), ["piece", "value"], rows_per_task)
+    left = a.select(*_PACKED, F.col("len").alias("near_len"),
+                    F.posexplode(F.array(*[value(s, n) for s, n in pieces])).alias("piece", "value"))
+    left, right = spread_hot_keys(left, _near_values(b, pieces, budget, max_distance), keys, rows_per_task)
     distance = tlsh_distance(left, right)
     close = (_body_distance(left, right) <= max_distance) & (distance <= max_distance)
-    same = ((left["piece"] == right["piece"]) & (left["value"] == right["value"])
-            & (left["salt"] == right["salt"]))
+    same = reduce(lambda x, y: x & y, [left[k] == right[k] for k in [*keys, "salt"]])
     found = left.join(right, same & close).select(
         left["id"].alias("a"), right["id"].alias("b"), distance.cast("bigint").alias("distance")).distinct()
     named = lambda df, key, name: df.select(F.col("id").alias(key), F.col("digest").alias(name))

@@ -32,8 +32,10 @@ def exact_match_types(files: DataFrame, targets: DataFrame) -> DataFrame:
     flagged = files
     for column in ("sha256", "md5"):
         known = target_values(targets, column).select(F.col(column).alias("__t"))
-        flagged = flagged.join(known, F.col(column) == F.col("__t"), "left").withColumn(
-            f"__{column}", F.col("__t").isNotNull()).drop("__t")
+        # rows without a digest would all meet in one task; a text that no digest equals spreads them
+        own = F.coalesce(F.col(column), F.concat(F.lit("~"), F.xxhash64("path").cast("string")))
+        flagged = flagged.withColumn("__own", own).join(known, F.col("__own") == F.col("__t"), "left").withColumn(
+            f"__{column}", F.col("__t").isNotNull()).drop("__t", "__own")
     kind = F.when(F.col("__sha256"), "sha256").when(F.col("__md5"), "md5")
     return flagged.withColumn("match_type", kind).drop("__sha256", "__md5").filter(
         F.col("match_type").isNotNull())

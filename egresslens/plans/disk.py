@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from egresslens import constants as C
-from egresslens.operators import filters, fuzzy, match
+from egresslens.operators import filters, fuzzy, match, usb as devices
 from egresslens.session import materialize
 from egresslens.sources import sinks
 
@@ -41,6 +41,19 @@ def match_files(files: DataFrame, targets: DataFrame, min_score: int = C.SSDEEP_
     return match.first_per_path(found, keys)
 
 
+def run_with_logs(files: DataFrame, targets: DataFrame, objects: DataFrame, log_lines: DataFrame,
+                  registry_keys: DataFrame | None = None, **options) -> DiskTriage:
+    """As ``run``, with device records from log lines ``(file, line_no, line)`` and extracted registry keys.
+
+    Files that yielded a record leave the hash stream; keys name theirs in a column ``file``, where they have one.
+    """
+    linux = materialize(devices.linux_usb_events(log_lines), "log-devices")
+    sources = linux.select("file")
+    if registry_keys is not None and "file" in registry_keys.columns:
+        sources = sources.unionByName(registry_keys.select("file"))
+    return run(files, targets, objects, devices.usb_events(linux, registry_keys), sources, **options)
+
+
 def run(files: DataFrame, targets: DataFrame, objects: DataFrame, usb: DataFrame,
         usb_sources: DataFrame | None = None, **options) -> DiskTriage:
     """``objects`` are carried files, ``usb`` device records, ``usb_sources`` the files they came from."""

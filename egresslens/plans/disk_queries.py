@@ -318,6 +318,26 @@ def disk_triage(spark, sf):
     return disk.run(files, targets, carried, devices).matches
 
 
+@query("disk_triage_exact", """
+    WITH logs AS (SELECT '/' || source || '/' || CAST(doc_id AS VARCHAR) AS file FROM documents WHERE doc_id % 5 = 1 AND doc_id % 3 = 0),
+    f AS (SELECT * FROM b_files WHERE size > 0 AND path NOT IN (SELECT file FROM logs)
+          AND EXISTS (SELECT 1 FROM b_targets t WHERE starts_with(b_files.ftype, t.ftype)))
+    SELECT path, CASE WHEN sha256 IN (SELECT sha256 FROM b_targets WHERE sha256 IS NOT NULL) THEN 'sha256' ELSE 'md5' END AS match_type,
+           CAST((SELECT count(*) FROM logs) AS BIGINT) AS devices
+    FROM f WHERE sha256 IN (SELECT sha256 FROM b_targets WHERE sha256 IS NOT NULL) OR md5 IN (SELECT md5 FROM b_targets)""")
+def disk_triage_exact(spark, sf):
+    """Whole disk analysis on ready-made digests; some files of the inventory are logs that name a device."""
+    logs = table(spark, sf, "documents").filter("doc_id % 5 = 1").select(
+        F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("file"),
+        F.lit(0).cast("bigint").alias("line_no"),
+        F.when(F.col("doc_id") % 3 == 0, "Jan  3 10:11:12 h kernel: usb 1-1: idVendor=07, idProduct=08").otherwise(
+            "Jan  3 10:11:12 h sshd: none").alias("line"))
+    files = _files(spark, sf)
+    triage = disk.run_with_logs(files, _targets(spark, sf), files.withColumnRenamed("path", "name"), logs, use_fuzzy=False)
+    devices = triage.usb.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return triage.matches.select("path", "match_type").withColumn("devices", devices)
+
+
 # --- sources -----------------------------------------------------------------------------------
 
 _DAMAGED = "CASE WHEN sub_no = 3 THEN 0 ELSE length END"

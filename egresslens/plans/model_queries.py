@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from egresslens import constants as C
 from egresslens.operators import dns, encode, models, stats
 from egresslens.operators.objects import extract_objects
-from egresslens.plans import training
+from egresslens.plans import network, training
 from egresslens.plans.bridges import HOST, bridge, packets, table, tftp_packets
 from egresslens.plans.registry import query
 from egresslens.plans.traffic_queries import TRANSFERS_SQL
@@ -307,6 +307,32 @@ def _(spark, sf):
     return models.score(PipelineModel.load(path), stage.test, ["frame_no"], "p")
 
 
+@query("k09_saved_stage", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS differences FROM labels")
+def _(spark, sf):
+    """Scores of all labelled rows by the trained stage and by the one read back, and how many differ."""
+    stage, path = _first_stage(spark, sf), work_path(spark, "stage")
+    training.save_stage(stage, path)
+    loaded = training.load_stage(spark, path)
+    rows = models.cyclic_lexical(_lexical(spark, sf))
+    score = lambda s, name: s.scores(s.preprocessor.transform(rows), ["frame_no"]).withColumnRenamed("p", name)
+    both = score(stage, "trained").join(score(loaded, "loaded"), "frame_no")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(
+        ~F.col("trained").eqNullSafe(F.col("loaded")) | F.lit(loaded.threshold != stage.threshold)).alias("differences"))
+
+
+@query("d16_triage_model_findings", f"""
+    SELECT CAST(count(*) AS BIGINT) AS queries, CAST(0 AS BIGINT) AS differences FROM b_dns WHERE src = '{HOST}' AND qname IS NOT NULL""")
+def _(spark, sf):
+    """Network triage with both stages: DNS queries judged, and model findings that differ from the count in the totals."""
+    seen = packets(spark, sf, "b_dns")
+    stages = _first_stage(spark, sf), _second_stage(spark, sf)
+    triage = network.run(seen, HOST, stages=stages)
+    found = triage.findings.agg(F.count_if(F.col("note") == C.NOTE_DNS_MODEL).alias("n")).scalar()
+    judged = training.judge(*stages, *network.dns_features(triage.packets))
+    return judged.agg(F.count(F.lit(1)).alias("queries")).select(
+        "queries", F.abs(triage.totals.select("dns_model_tunnels").scalar() - found).cast("bigint").alias("differences"))
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 def _streamed(spark, df, name, schema=PACKETS, files: int = 4, closing=None):
