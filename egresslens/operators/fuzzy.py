@@ -188,8 +188,12 @@ def _length_gaps(threshold: int, pieces: int) -> list[tuple[int, int]]:
     return sorted(signed.items())
 
 
-def _near_values(targets: DataFrame, pieces, budget: int, threshold: int) -> DataFrame:
-    """Targets under every value of each piece and every length code that a match may have.
+def _stretch(length: Column, step: int) -> Column:
+    return F.floor(length / step).cast("int")
+
+
+def _near_values(targets: DataFrame, pieces, budget: int, threshold: int, step: int) -> DataFrame:
+    """Targets under every value of each piece and every stretch of length codes that a match may have.
 
     A gap in length uses up part of the threshold, so the further the length, the nearer the values.
     """
@@ -205,29 +209,31 @@ def _near_values(targets: DataFrame, pieces, budget: int, threshold: int) -> Dat
     gaps = F.array(*[F.struct(F.lit(gap).alias("gap"), F.lit(left).alias("left"))
                      for gap, left in _length_gaps(threshold, len(pieces))])
     usable = F.filter(gaps, lambda g: g["left"] >= F.col("cost"))
-    return rows.filter(valid).select(*_PACKED, "piece", moved.alias("value"), F.explode(usable).alias("g")).withColumn(
-        "near_len", (F.col("len") + F.col("g.gap")) % 256).drop("g")
+    stretches = F.array_distinct(F.transform(usable, lambda g: _stretch((F.col("len") + g["gap"]) % 256, step)))
+    return rows.filter(valid).select(*_PACKED, "piece", moved.alias("value"), F.explode(stretches).alias("stretch"))
 
 
 def tlsh_distances(files: DataFrame, targets: DataFrame, max_distance: int = C.TLSH_MAX_DISTANCE,
-                   column: str = "tlsh", budget: int = 2, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   column: str = "tlsh", budget: int = 2, length_step: int = 8,
+                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(file_digest, target_digest, distance)`` of all pairs within the distance.
 
     Each body is cut into pieces; two bodies within the distance have a piece that is almost
     equal, and their length codes are near. Targets are listed under every almost equal value of each
-    piece with every near length, files under their own values and length, and the exact distance is
-    part of the join condition, so only matches leave the join. A larger budget (up to 3) lists each
-    target more often and compares fewer pairs: use it for large inventories.
+    piece in every stretch of ``length_step`` codes that may hold a match, files under their own, and
+    the exact distance is part of the join condition, so only matches leave the join. A larger budget
+    (up to 3) and shorter stretches list each target more often and compare fewer pairs: use them for
+    large inventories.
     """
     if not 1 <= budget <= _MAX_BUDGET:
         raise ValueError(f"budget must be 1..{_MAX_BUDGET}")
     pieces = _pieces(max_distance, budget)
-    keys = ["piece", "value", "near_len"]
+    keys = ["piece", "value", "stretch"]
     a, b = _packed(files, column), _packed(targets, column)
     value = lambda start, size: _number(F.substring("body", start, size))
-    left = a.select(*_PACKED, F.col("len").alias("near_len"),
+    left = a.select(*_PACKED, _stretch(F.col("len"), length_step).alias("stretch"),
                     F.posexplode(F.array(*[value(s, n) for s, n in pieces])).alias("piece", "value"))
-    left, right = spread_hot_keys(left, _near_values(b, pieces, budget, max_distance), keys, rows_per_task)
+    left, right = spread_hot_keys(left, _near_values(b, pieces, budget, max_distance, length_step), keys, rows_per_task)
     distance = tlsh_distance(left, right)
     close = (_body_distance(left, right) <= max_distance) & (distance <= max_distance)
     same = reduce(lambda x, y: x & y, [left[k] == right[k] for k in [*keys, "salt"]])

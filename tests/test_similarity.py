@@ -91,9 +91,9 @@ def test_tlsh_join_equals_brute_force(spark):
     right = sorted({mutated(rng, rng.choice(base), rng.randint(0, 25)) for _ in range(40)})
     frame = lambda rows: spark.createDataFrame([(r,) for r in rows] * 2 + [(None,), ("bad",)], "tlsh string")
     # The small bound makes frequent pieces hot.
-    for budget, bound in ((1, 3), (2, 100_000)):
+    for budget, step, bound in ((1, 8, 3), (2, 1, 100_000)):
         got = {tuple(r) for r in fuzzy.tlsh_distances(
-            frame(left), frame(right), 50, budget=budget, rows_per_task=bound).collect()}
+            frame(left), frame(right), 50, budget=budget, length_step=step, rows_per_task=bound).collect()}
         want = {(a, b, slow_distance(a, b)) for a in left for b in right if slow_distance(a, b) <= 50}
         assert got == want and want
 
