@@ -9,13 +9,19 @@ Classes are the connected parts of links.
 
 Exact copies are one node from the start. A key of up to ``small`` nodes brings all its pairs. A
 larger key (a passage that many texts share, or a large family) brings each node beside the key's
-first node, and its nodes are dealt again under every two of their large keys, by the same rule; so
-no group is ever paired with itself, and nothing is capped. Two texts with similarity 0.8 by
-five-word runs share a key with a probability above 0.999999.
+first node, and its nodes are dealt again under every two of their large keys, by the same rule.
+What a large key still holds in several classes is dealt once more by k-mers (``crowd_links``): in
+one order of all k-mers, rare ones first, two texts of similarity 0.8 have one in common among the
+first fifth of each, so a k-mer of up to ``small`` texts brings all pairs in different classes. More
+frequent ones bring each text beside the first of about its length, and then every pair still in
+different classes: a group is paired with itself only as far as links do not hold it together. Two
+texts with similarity 0.8 by five-word runs share a key with a probability above 0.999999, and those
+that share one end in one class.
 
 Defined results: rows without a word (null, empty, blank) stand alone. Texts under five words have
 no k-mer and meet exact copies only. The class id is the smallest doc_id of the class (null when it
-has none); of repeated rows one is kept. Other columns play no part.
+has none); of repeated rows one is kept. Other columns play no part. Pairs that are in one class
+already are not compared again for ``n_links``, which counts the links that were looked for.
 """
 
 from dataclasses import dataclass
@@ -25,12 +31,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from egresslens.llm.common import HashMemo, map_batches
+from egresslens.operators.skew import spread_hot_keys
 from egresslens.session import materialize
 
 KMER = 5
 FIRST, SECOND, THIRD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: K-mers hashed in one go; cells of a band that are held at once.
 WIDE, DENSE = 1 << 21, 1 << 22
+#: Places of the table that orders k-mers by frequency; those that share one are ordered as if equally frequent.
+TALLIES = 1 << 21
+#: Texts of a k-mer on either side of one task; words by which texts are about of one length.
+CROWD, LENGTHS = 2_000, 1.1
 
 
 @dataclass(frozen=True)
@@ -132,8 +143,8 @@ def _bucketed(rows: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
     return pairs.union(led), large.select("key", "node", "n_words")
 
 
-def candidates(rows: DataFrame, params: Params) -> DataFrame:
-    """Distinct pairs of nodes (a < b) that may be links, from sketched rows."""
+def candidates(rows: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs of nodes (a < b) that may be links, from sketched rows, and the rows of large keys."""
     keyed = rows.select("node", "n_words", F.explode("keys").alias("key")).distinct()
     pairs, large = _bucketed(keyed, params)
     both = (large.groupBy("node", "n_words").agg(F.sort_array(F.collect_set("key")).alias("keys"))
@@ -142,7 +153,116 @@ def candidates(rows: DataFrame, params: Params) -> DataFrame:
                 "flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))"
             )).alias("key")))
     finer, _ = _bucketed(both, params)
-    return pairs.union(finer).distinct()
+    return pairs.union(finer).distinct(), large
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """So many of the first of n k-mers, in any common order, meet those of each text of that Jaccard similarity."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def _code_kmers(codes: bytes) -> np.ndarray:
+    return labelled_kmers(np.frombuffer(codes, np.uint32).astype(np.uint64))
+
+
+def _tallied(crowd: DataFrame) -> np.ndarray:
+    """How many k-mers of the texts fall on each place of a table of fixed size."""
+    def run(batches):
+        counts = np.zeros(TALLIES, np.int64)
+        for batch in batches:
+            found = [_code_kmers(codes) for codes in batch.column(0).to_pylist()]
+            if found:
+                counts += np.bincount((np.concatenate(found) % np.uint64(TALLIES)).astype(np.int64), minlength=TALLIES)
+        places = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(counts[places])], names=["place", "n"])
+
+    sums = (map_batches(crowd.select("codes"), run, "place long, n long").groupBy("place")
+            .agg(F.sum("n").alias("n")).toArrow())
+    out = np.zeros(TALLIES, np.int64)
+    out[sums.column("place").to_numpy()] = sums.column("n").to_numpy()
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def prefix_keys(crowd: DataFrame, params: Params) -> DataFrame:
+    """(key, node, n_words, root): the first k-mers of each text, rare ones first, without those of one text."""
+    shared = crowd.sparkSession.sparkContext.broadcast(_tallied(crowd))
+
+    def run(batches):
+        tallies = shared.value
+        for batch in batches:
+            keys = []
+            for codes in batch.column(3).to_pylist():
+                kmers = _code_kmers(codes)
+                often = tallies[(kmers % np.uint64(TALLIES)).astype(np.int64)]
+                first = np.lexsort((kmers, often))[:prefix_size(len(kmers), params.similarity)]
+                keys.append(kmers[first][often[first] > 1].view(np.int64))
+            offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(offsets, flat)],
+                                             names=["node", "n_words", "root", "keys"])
+
+    rows = map_batches(crowd.select("node", "n_words", "root", "codes"), run,
+                       "node binary, n_words int, root binary, keys array<bigint>")
+    return rows.select(F.explode("keys").alias("key"), "node", "n_words", "root")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _apart(left: str, right: str, params: Params) -> Column:
+    """Texts of different classes whose lengths allow a link."""
+    short, long = (f(f"{left}.n_words", f"{right}.n_words") for f in (F.least, F.greatest))
+    return (F.col(f"{left}.root") != F.col(f"{right}.root")) & (short >= params.similarity * long)
+
+
+def _ordered(left: str, right: str) -> list[Column]:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+def crowd_links(rows: DataFrame, large: DataFrame, links: DataFrame, roots: DataFrame,
+                params: Params) -> tuple[DataFrame, DataFrame]:
+    """Links and roots with those between texts of large keys that are in different classes."""
+    held = _rooted(large.select("key", "node"), roots)
+    split = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    nodes = held.join(split, "key", "left_semi").select("node", "root").distinct()
+    crowd = materialize(rows.select("node", "n_words", "codes").dropDuplicates(["node"]).join(nodes, "node"), "crowd")
+    if crowd.isEmpty():
+        return links, roots
+    keyed = materialize(prefix_keys(crowd, params), "crowd-keys")
+    sizes = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
+             .filter("x < y").select("key", "n"))
+    shared = materialize(keyed.join(sizes, "key"), "crowd-shared")
+    few = shared.filter(F.col("n") <= params.small)
+    few = (few.alias("l").join(few.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))
+                               & _apart("l", "r", params))
+           .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
+    many = shared.filter(F.col("n") > params.small).drop("n").withColumn(
+        "band", F.floor(F.log("n_words") / np.log(LENGTHS)))
+    first = many.groupBy("key", "band").agg(F.min(F.struct("node", "root", "n_words")).alias("l"))
+    led = (many.alias("r").join(first, ["key", "band"]).filter(_apart("l", "r", params))
+           .select(*_ordered("l.node", "r.node")))
+    links, roots = _linked(few.union(led), rows, links, params) or (links, roots)
+
+    many = materialize(_rooted(many.select("key", "node", "n_words"), roots), "crowd-many")
+    most = (many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+            .agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+            .select("key", F.col("most.root").alias("most")))
+    every = many.join(most, "key").withColumn("other", F.col("root") != F.col("most")).drop("most")
+    left, right = spread_hot_keys(every.filter("other"), every, ["key"], CROWD)
+    rest = (left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt"))
+                                 & _apart("l", "r", params) & (~F.col("r.other") | (F.col("l.node") < F.col("r.node"))))
+            .select(*_ordered("l.node", "r.node")))
+    return _linked(rest, rows, links, params) or (links, roots)
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, links: DataFrame, params: Params) -> tuple[DataFrame, DataFrame] | None:
+    """Links and roots with the links among more pairs; None when there are none."""
+    more = materialize(verified(materialize(pairs.distinct(), "crowd-pairs"), rows, params), "crowd-links")
+    if more.isEmpty():
+        return None
+    links = links.union(more).distinct()
+    return links, components(links)
 
 
 def edit_limit(similarity: float, longest: int) -> int:
@@ -309,9 +429,9 @@ def components(links: DataFrame) -> DataFrame:
 def classes(documents: DataFrame, params: Params = Params()) -> DataFrame:
     """One row per document: doc_id, node, class_id, n_links (other texts its text is linked to), kept."""
     rows = materialize(sketched(documents, params), "sketches")
-    pairs = materialize(candidates(rows.select("node", "n_words", "keys"), params), "pairs")
-    links = materialize(verified(pairs, rows, params), "verified")
-    roots = components(links)
+    pairs, large = candidates(rows.select("node", "n_words", "keys"), params)
+    links = materialize(verified(materialize(pairs, "pairs"), rows, params), "verified")
+    links, roots = crowd_links(rows, large, links, components(links), params)
     degree = (links.select(F.col("a").alias("node")).union(links.select("b"))
               .groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
     nodes = (rows.groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -146,6 +146,39 @@ def test_near_duplicates(spark):
     assert order_minhash.classes(rows(spark, [])).count() == 0
 
 
+def test_near_copies_inside_a_crowd(spark):
+    """Pairs of near copies among texts that share a long passage; every pair of similarity 0.8 must end in one class."""
+    draw = random.Random(4)
+    passage = [f"p{i}" for i in range(300)]
+    texts = []
+    for n in range(300):
+        one = passage + [f"v{draw.randrange(10 ** 7)}" for _ in range(100)]
+        two = list(one)
+        for at in draw.sample(range(400), 8):
+            two[at] = f"u{draw.randrange(10 ** 7)}"
+        texts += [one, two]
+    runs = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = [n for n in range(0, len(texts), 2) if len(runs[n] & runs[n + 1]) >= 0.8 * len(runs[n] | runs[n + 1])]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(rows(spark, [" ".join(t) for t in texts])).collect()}
+    missed = [n for n in near if got[n] != got[n + 1]]
+    assert len(near) > 200 and not missed, f"{len(missed)} of {len(near)} pairs missed"
+    assert len(set(got.values())) >= len(texts) // 2
+
+
+def test_texts_of_frequent_runs_only(spark):
+    """Texts of lines that many texts hold: no rare run tells them apart, and the first of a length may be no link."""
+    draw = random.Random(8)
+    lines = [" ".join(f"l{i}w{k}" for k in range(10)) for i in range(60)]
+    texts = []
+    for n in range(60):
+        one = draw.sample(lines, 20)
+        two = list(one)
+        two[draw.randrange(20)] = draw.choice(lines)
+        texts += [" ".join(one), " ".join(two)]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(rows(spark, texts)).collect()}
+    assert all(got[n] == got[n + 1] for n in range(0, len(texts), 2))
+
+
 def test_decontamination(spark):
     passage = [f"p{i}" for i in range(14)]
     bench = spark.createDataFrame([(1, " ".join(passage)), (2, "Short ITEM here"), (None, "no id item"), (3, None), (3, "")],
