@@ -9,9 +9,9 @@ words, seen or not, add up to one.
 A document's state starts at zero and is carried from window to window to its end; nothing is cut.
 Documents run side by side in lanes, one after the other within a lane.
 
-Counts cover all training documents. The network is fitted on ``share`` of them (at least ``least``):
-first on one shard by truncated backpropagation, then from there on every shard at once, and the
-weights are averaged; the number of shards grows with the corpus.
+Counts cover all training documents, and the network is fitted on all of them, dealt into shards of
+about ``shard`` documents: first on one shard by truncated backpropagation, then from there one pass
+over every shard at once, and the weights are averaged. The rule is the same at every size.
 
 Words beyond the ``known`` most frequent are looked up by a join, so what is broadcast has a fixed size.
 
@@ -44,8 +44,6 @@ class Params:
     width: int = 32
     tails: int = 32
     known: int = 262_144
-    share: float = 0.02
-    least: int = 1000
     shard: int = 1000
     lanes: int = 64
     window: int = 32
@@ -320,14 +318,12 @@ def fit(docs: list[np.ndarray], size: int, params: Params, weights: dict | None
 
 
 def train(documents: DataFrame, lex: Lexicon, params: Params) -> np.ndarray:
-    """Weights fitted on a share of the texts (doc_id, text)."""
-    total = documents.count()
-    share = max(params.share, params.least / max(total, 1))
-    shards = max(1, round(min(share, 1.0) * total / params.shard))
+    """Weights fitted on all texts (doc_id, text)."""
+    shards = max(1, -(-documents.count() // params.shard))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    sample = materialize(documents.select("text", draw.alias("draw")).filter(F.col("draw") < share).select(
-        "text", "draw", F.least(F.floor(F.col("draw") / share * shards), F.lit(shards - 1)).cast("int").alias("shard")),
-        "lm-sample")
+    dealt = materialize(documents.select("text", draw.alias("draw")).select(
+        "text", "draw", F.least(F.floor(F.col("draw") * shards), F.lit(shards - 1)).cast("int").alias("shard")),
+        "lm-shards")
     context = documents.sparkSession.sparkContext
     shared = context.broadcast(lex)
 
@@ -346,20 +342,18 @@ def train(documents: DataFrame, lex: Lexicon, params: Params) -> np.ndarray:
         texts = [t for b in batches for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_pydict({"w": [fitted(texts, None).tobytes()]})
 
-    one = sample.filter("shard = 0").repartition(1).sortWithinPartitions("draw").select("text")
+    one = dealt.filter("shard = 0").repartition(1).sortWithinPartitions("draw").select("text")
     row = map_batches(one, base, "w binary").first()
     weights = np.frombuffer(row["w"], np.float32) if row else flat(fresh_weights(params))
-    if shards == 1:
-        return weights
     begun = context.broadcast(weights)
 
     def refine(group: pa.Table) -> pa.Table:
         texts = group.sort_by("draw").column("text").to_pylist()
         return pa.table({"w": pa.array([fitted(texts, begun.value)], pa.list_(pa.float32()))})
 
-    averaged = (sample.groupBy("shard").applyInArrow(refine, "w array<float>")
+    averaged = (dealt.groupBy("shard").applyInArrow(refine, "w array<float>")
                 .select(F.posexplode("w").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).toArrow())
-    out = np.empty(len(weights), np.float32)
+    out = weights.copy()
     out[averaged.column("i").to_numpy()] = averaged.column("x").to_numpy()
     return out
 

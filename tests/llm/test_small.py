@@ -265,3 +265,19 @@ def test_language_model(spark):
     assert sum(got[i]["score"] for i in (10, 20, 30)) > sum(got[i]["base_score"] for i in (10, 20, 30))
     lex_free = gru_lm.language_model_scores(docs.limit(2), F.lit(True), params).collect()
     assert all(r["n_known"] == 0 for r in lex_free)
+
+
+def test_language_model_learns_from_every_text(spark):
+    """Whichever tenth of the training texts changes, the network does too, while counts stay the same."""
+    params = gru_lm.Params(heads=8, width=4, tails=4, known=12, lanes=8, epochs=1)
+    docs = spark.range(1500).selectExpr("id AS doc_id", "concat_ws(' ', 'ka lo mi', id % 3, 'ta') AS text")
+    lex = gru_lm.lexicon(gru_lm.count_words(docs, params), params)
+    weights = gru_lm.train(docs, lex, params)
+    tenth = lambda text: F.floor(F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 30)) / (1 << 30) * 10)
+    # A changed text keeps its place in the order of the draw, so only what is learned from it can differ.
+    moved = docs.select("doc_id", F.explode(F.expr("transform(sequence(3, 80), k -> trim(repeat('ta ', k)))")).alias("other"), "text")
+    moved = moved.filter(tenth("other") == tenth("text")).groupBy("doc_id").agg(F.min("other").alias("other")).cache()
+    for part in (1, 9):
+        changed = docs.join(moved, "doc_id", "left").select("doc_id", F.when(
+            tenth("text") == part, F.coalesce("other", "text")).otherwise(F.col("text")).alias("text"))
+        assert not np.array_equal(weights, gru_lm.train(changed, lex, params)), part
