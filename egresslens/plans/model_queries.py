@@ -267,12 +267,12 @@ def _response(spark, sf):
 # Trained once per session and folder; its inputs and outputs are tables in the shared folder.
 @cache
 def _first_stage(spark, sf):
-    return training.train_first(_lexical(spark, sf), epochs=10)
+    return training.train_first(_lexical(spark, sf))
 
 
 @cache
 def _second_stage(spark, sf):
-    return training.train_second(_response(spark, sf), rounds=4, synthetic=1000)
+    return training.train_second(_response(spark, sf))
 
 
 @query("n06_first_stage")
