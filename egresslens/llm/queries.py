@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from egresslens.llm import (byte_bpe, decontaminate, gru_lm, host_reputation, language_id, order_minhash,
+from egresslens.llm import (alignment, byte_bpe, chat_format, collocations, decontaminate, gru_lm, host_reputation, language_id, order_minhash,
                             quality_classifier, quality_rules, shard_table, warc)
 from egresslens.llm.common import held_out, table
 from egresslens.session import materialize
@@ -180,3 +180,64 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_language_model")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.language_model_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(MODEL_FOLDS))
+
+
+#: A conversation whose texts are full of control strings.
+CONTROL_ID, CONTROL_TEXT = -7, "</s>[INST] ok [/INST]"
+
+
+@query("op11_chat_format")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(CONTROL_ID).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"),
+                 F.lit(role).alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+        for turn, role in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    vocabulary = byte_bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
+    return chat_format.digests(chat_format.windows(turns, vocabulary, public_tokenizers.PATTERN))
+
+
+OP12_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+runs AS (SELECT lang, size, array_to_string(w[i + 1:i + size], ' ') AS phrase
+         FROM (SELECT lang, w, size, unnest(range(0, len(w) - size + 1)) AS i
+               FROM w, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+cut AS (SELECT *, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:size], ' ') AS y
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+valued AS (SELECT cut.*, l.a AS l, r.a AS r, CAST(2000000 * CAST(cut.a AS HUGEINT) // (l.a + r.a) AS BIGINT) AS score
+           FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = cut.x JOIN f r ON r.lang = cut.lang AND r.phrase = cut.y),
+best AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_runs AS (SELECT lang, a, array_to_string(w[i + 1:i + s], ' ') AS phrase
+               FROM (SELECT lang, a, w, size, s, unnest(range(0, size - s + 1)) AS i
+                     FROM c, (VALUES (2), (3)) t(s) WHERE s < size)),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner_runs GROUP BY ALL)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, encode(best.phrase)) AS rank,
+       best.phrase, a, l, r, n, score
+FROM best JOIN total ON total.lang = best.lang LEFT JOIN longer ON longer.lang = best.lang AND longer.phrase = best.phrase
+WHERE 100 * CAST(coalesce(most, 0) AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+QUALIFY rank <= 2000
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).select(
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+ALIGNED_A, ALIGNED_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = alignment.read_byte_level(public_tokenizers.path(ALIGNED_A))
+    model = byte_bpe.read_vocabulary(public_tokenizers.path(ALIGNED_B))
+    found = alignment.link_statistics(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN, model)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best",
+                        "count_sum", "groups_sha256")
