@@ -1,18 +1,13 @@
 """Structured Streaming forms of the operators."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from egresslens.constants import TFTP_BLOCK_BYTES
 
 from egresslens.operators import detect, filters, match, models, objects, reassembly, totals
+from egresslens.operators.ordered import running
 from egresslens.schemas import PACKETS, conform, layer
-from egresslens.session import work_path
+from egresslens.session import materialize, work_path
 
 
 def stream_findings(packets: DataFrame, host: str) -> DataFrame:
@@ -50,107 +45,104 @@ def stream_scores(features: DataFrame, model: PipelineModel, keep=("frame_no",))
 
 _TRANSFER = ("capture_id string, src string, dst string, port int, opened bigint, filename string, complete boolean, "
              "blocks int, size bigint, frame_no bigint, payload binary")
-_COLUMNS = [c.strip().split(" ")[0] for c in _TRANSFER.split(",")]
-_EVENT = ["frame_no", "at", "sport", "dport", "is_request", "is_short", "filename", "block", "data"]
-_STATE = ("opened array<struct<port:int,frame_no:bigint,filename:string,last_seen:bigint,"
-          "blocks:array<struct<block:bigint,data:binary>>>>, "
-          "waiting array<struct<frame_no:bigint,at:bigint,sport:int,dport:int,is_request:boolean,is_short:boolean,"
-          "filename:string,block:bigint,data:binary>>")
-
+_EVENT = ("capture_id string, frame_no bigint, src string, dst string, sport int, dport int, is_request boolean, "
+          "filename string, block bigint, data binary, at bigint")
+_MARK = "watermark bigint, since bigint"
+#: Before all times, in milliseconds.
+_NEVER = -(1 << 62)
 
-def _row(pair, port, transfer, frame_no=None) -> tuple:
-    """Output row of a transfer, complete when it has a closing frame."""
-    data = b"".join(transfer["blocks"][b] for b in sorted(transfer["blocks"]))
-    complete = frame_no is not None
-    name = transfer["filename"] if complete else f"incomplete_{transfer['filename']}"
-    return (*pair, port, transfer["frame_no"], name, complete, len(transfer["blocks"]), len(data),
-            frame_no if complete else transfer["frame_no"], data)
 
+class TransferStream:
+    """TFTP transfers of a stream, through tables below ``path``; for ``foreachBatch``.
 
-def _apply(pair: tuple, events: list[dict], held: dict, idle_ms: int, now: int) -> list[tuple]:
-    """Rows of the transfers that ``events`` (in frame order) and the time ``now`` end.
+    Each batch appends its events under its number, together with the latest packet time so far. A pair's events
+    form a session until it is silent for ``idle``. When the watermark, the latest time less ``late``, has passed
+    the end of a session, the session goes through the batch form once and its transfers are written under the number
+    of the batch that moved the watermark; an open transfer ends there as incomplete. Packets may come in any
+    order within ``late``; later ones are left out, as are events behind the watermark of the batch before.
 
-    ``held`` maps (pair, port) to an open transfer and is updated in place. A transfer idle for
-    ``idle_ms`` before the next event of its pair, or before ``now``, ends as incomplete.
+    There is no state but the tables. A batch that runs again overwrites its own tables with the same rows, since what it
+    reads of others is fixed before it starts. Times are read without payloads; payloads are read once, when their session
+    ends. Packets without a time count as on time.
     """
-    out, opened = [], {key: transfer["frame_no"] for key, transfer in held.items()}
-
-    def expire(time: int) -> None:
-        for key in [k for k, t in held.items() if t["last_seen"] + idle_ms <= time]:
-            del opened[key]
-            transfer = held.pop(key)
-            if transfer["blocks"]:
-                out.append(_row(pair, key[-1], transfer))
-
-    def arriving():
-        for event in events:
-            expire(event["at"])
-            if event["is_request"]:
-                held[(*pair, event["sport"])] = dict(
-                    frame_no=event["frame_no"], filename=event["filename"], last_seen=event["at"], blocks={})
-            yield dict(zip(reassembly.PAIR, pair), **event)
-
-    for port, _, event, closes in reassembly.replay(arriving(), opened):
-        transfer = held[(*pair, port)]
-        transfer["blocks"][event["block"]] = event["data"]
-        transfer["last_seen"] = max(transfer["last_seen"], event["at"])
-        if closes:
-            out.append(_row(pair, port, held.pop((*pair, port)), event["frame_no"]))
-    expire(now)
-    return out
-
-
-def _advance(idle_ms: int):
-    """State update of one address pair: its open transfers and the events the watermark has not passed."""
-    def events_of(pdf: pd.DataFrame, now: int) -> Iterator[dict]:
-        for event in pdf[_EVENT].astype(object).where(pdf[_EVENT].notna(), None).to_dict("records"):
-            event["at"] = now if event["at"] is None else int(event["at"])
-            for name in ("frame_no", "sport", "dport", "block"):
-                event[name] = None if event[name] is None else int(event[name])
-            event["data"] = None if event["data"] is None else bytes(event["data"])
-            event["is_request"], event["is_short"] = bool(event["is_request"]), bool(event["is_short"])
-            yield event
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.getCurrentWatermarkMs()
-        open_rows, waiting_rows = state.get if state.exists else ([], [])
-        waiting = [row.asDict(True) for row in waiting_rows]
-        held = {(*key, t["port"]): dict(frame_no=t["frame_no"], filename=t["filename"], last_seen=t["last_seen"],
-                                        blocks={b["block"]: bytes(b["data"]) for b in t["blocks"]})
-                for t in (row.asDict(True) for row in open_rows)}
-        if not state.hasTimedOut:
-            for pdf in batches:
-                waiting.extend(events_of(pdf, now))
-        ready = sorted((e for e in waiting if e["at"] <= now), key=lambda e: e["frame_no"])
-        waiting = [e for e in waiting if e["at"] > now]
-        out = _apply(key, ready, held, idle_ms, now)
-        if held or waiting:
-            state.update((
-                [dict(port=k[-1], frame_no=t["frame_no"], filename=t["filename"], last_seen=t["last_seen"],
-                      blocks=[dict(block=b, data=d) for b, d in t["blocks"].items()]) for k, t in held.items()],
-                waiting))
-            due = min([e["at"] for e in waiting] + [t["last_seen"] + idle_ms for t in held.values()])
-            state.setTimeoutTimestamp(max(due, now + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=_COLUMNS)
-    return update
-
-
-def stream_transfers(packets: DataFrame, idle_minutes: int = 60, late: str = "10 minutes") -> DataFrame:
-    """TFTP transfers of a stream; one idle past the timeout ends as incomplete.
-
-    Packets may arrive in any order within ``late``: events wait in the state until the watermark has
-    passed them and are then taken in frame order, by the rules of the batch form. State is kept per
-    address pair because the third assignment rule looks at all of its open transfers; it holds the
-    waiting events and the blocks of open transfers. What still waits when input ends comes out once a
-    later packet moves the watermark, for instance ``end_of_input``. Packets without a time count as on time.
+
+    def __init__(self, spark: SparkSession, path: str, idle: str = "60 minutes", late: str = "10 minutes") -> None:
+        self.spark, self.path = spark, path
+        self.idle, self.late = (self._millis(x) for x in (idle, late))
+
+    def _millis(self, interval: str) -> int:
+        since = F.unix_millis(F.expr(f"timestamp_millis(0) + INTERVAL {interval}"))
+        return self.spark.range(1).select(since.alias("ms")).first()["ms"]
+
+    def _read(self, table: str, schema: str, batches: str) -> DataFrame:
+        """Rows of a table whose batch number meets a condition."""
+        return self.spark.read.schema(schema + ", batch bigint").parquet(f"{self.path}/{table}").filter(batches)
+
+    def _write(self, df: DataFrame, table: str, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={number}")
+
+    def _mark(self, number: int) -> Row | None:
+        """Watermark after a batch and the first batch whose events were not done then."""
+        if number < 0:
+            return None
+        return self._read("marks", _MARK, f"batch <= {number}").orderBy(F.desc("batch")).first()
+
+    def __call__(self, packets: DataFrame, number: int) -> None:
+        before = self._mark(number - 1)
+        passed = before["watermark"] if before else _NEVER
+        packets.persist()
+        latest = packets.agg(F.unix_millis(F.max("ts")).alias("at")).first()["at"]
+        watermark = max(passed, _NEVER if latest is None else latest - self.late)
+        events = reassembly.tftp_events(packets, keep=("ts",)).withColumn(
+            "at", F.coalesce(F.unix_millis("ts"), F.lit(max(watermark, 0)))).drop("ts")
+        self._write(events.filter(F.col("at") > passed), "events", number)
+        packets.unpersist()
+        since = before["since"] if before else 0
+        sessions = self._sessions(f"batch BETWEEN {since} AND {number}")
+        waiting = sessions.filter(F.col("ends") >= watermark).agg(F.min("batch").alias("b")).first()["b"]
+        self._release(sessions.filter((F.col("ends") >= passed) & (F.col("ends") < watermark)), number)
+        # The mark comes last: until it is there the batch has not happened.
+        self._write(self.spark.createDataFrame([(watermark, number + 1 if waiting is None else waiting)], _MARK), "marks", number)
+
+    def _sessions(self, batches: str) -> DataFrame:
+        """Events without payload, with the start of their session and the time by which it ends."""
+        order = ["at", "frame_no"]
+        events = self._read("events", _EVENT, batches).select(*reassembly.PAIR, *order, "batch")
+        timed = running(events, reassembly.PAIR, order, lasts={"before": F.col("at")}, inclusive=False, width=self.idle)
+        fresh = F.col("before").isNull() | (F.col("at") - F.col("before") > self.idle)
+        named = running(timed, reassembly.PAIR, order, lasts={"session": F.when(fresh, F.col("at"))}, width=self.idle)
+        named = materialize(named.drop("before"), "stream-sessions")
+        ends = named.groupBy(*reassembly.PAIR, "session").agg((F.max("at") + self.idle).alias("ends"))
+        return named.join(ends, [*reassembly.PAIR, "session"])
+
+    def _release(self, ended: DataFrame, number: int) -> None:
+        """Transfers of the sessions that have ended, by the batch form; sessions of a pair are kept apart."""
+        ended = materialize(ended, "stream-ended")
+        key = [*reassembly.PAIR, "frame_no"]
+        events = self._read("events", _EVENT, f"batch <= {number}").join(ended.select(*key, "batch", "session"), [*key, "batch"])
+        apart = F.concat("capture_id", F.lit("\n"), F.col("session").cast("string"))
+        events = materialize(events.withColumn("capture_id", apart).drop("session", "batch", "at"), "stream-events")
+        capture = F.regexp_extract(F.col("capture_id"), r"(?s)^(.*)\n-?\d+$", 1)
+        self._write(reassembly.transfers_of(events).withColumn("capture_id", F.nullif(capture, F.lit(""))).select(
+            "capture_id", "src", "dst", "port", "opened", F.col("original_filename").alias("filename"), "complete",
+            F.col("blocks").cast("int").alias("blocks"), "size", "frame_no", "payload"), "transfers", number)
+
+    def transfers(self) -> DataFrame:
+        """The transfers that have ended so far, with the batch that ended them."""
+        return self._read("transfers", _TRANSFER, "true")
+
+
+def run_transfers(packets: DataFrame, name: str, idle: str = "60 minutes", late: str = "10 minutes") -> DataFrame:
+    """Process the packets that are there and return the transfers that have ended; see ``TransferStream``.
+
+    What still waits when input ends comes out once a later packet moves the watermark, for instance ``end_of_input``.
     """
-    timed = packets.withWatermark("ts", late)
-    events = reassembly.tftp_events(timed, keep=("ts",)).withColumns({
-        "at": F.unix_millis("ts"), "is_short": F.coalesce(F.octet_length("data") < TFTP_BLOCK_BYTES, F.lit(False))})
-    return events.groupBy(*reassembly.PAIR).applyInPandasWithState(
-        _advance(idle_minutes * 60_000), _TRANSFER, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    path = work_path(packets.sparkSession, name)
+    sink = TransferStream(packets.sparkSession, path, idle, late)
+    query = (packets.writeStream.option("checkpointLocation", f"{path}/state")
+             .foreachBatch(sink).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return sink.transfers()
 
 
 def end_of_input(packets: DataFrame, after: str) -> DataFrame:
