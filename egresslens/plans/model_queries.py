@@ -10,7 +10,7 @@ from egresslens.operators.objects import extract_objects
 from egresslens.plans import network, training
 from egresslens.plans.bridges import HOST, bridge, packets, table, tftp_packets
 from egresslens.plans.registry import query
-from egresslens.plans.traffic_queries import TRANSFERS_SQL
+from egresslens.plans.traffic_queries import TRANSFERS_SQL, mixed_packets, stateless_sql
 from egresslens.session import work_path
 from egresslens.sources.readers import stream_packets
 from egresslens.schemas import PACKETS, layer
@@ -345,13 +345,16 @@ def _streamed(spark, df, name, schema=PACKETS, files: int = 4, closing=None):
 
 
 @query("r01_streaming_findings", f"""
-    SELECT frame_no, note FROM (SELECT frame_no, '{C.NOTE_HTTP_LARGE}' AS note FROM b_http WHERE src = '{HOST}' AND TRY_CAST(content_length AS BIGINT) >= {C.LARGE_UPLOAD_BYTES}) a
-    UNION ALL SELECT frame_no, CASE WHEN upper(request_command) = 'STOR' AND src = '{HOST}' THEN '{C.NOTE_FTP_STOR}' ELSE '{C.NOTE_FTP_SEEN}' END
-      FROM b_ftp WHERE upper(request_command) IN ('STOR', 'RETR')""")
+    SELECT frame_no, proto, filename, note FROM ({stateless_sql()}) one_packet
+    UNION ALL SELECT frame_no, CASE WHEN turn % 4 = 3 THEN 'SMTP' ELSE 'HTTP' END,
+      CASE turn % 4 WHEN 2 THEN role || '.bin' WHEN 3 THEN CASE WHEN conv_id % 2 = 0 THEN role || '.eml' END ELSE role || '.txt' END,
+      CASE turn % 4 WHEN 0 THEN '{C.NOTE_HTTP_MULTIPART}' WHEN 1 THEN '{C.NOTE_HTTP_PEELED}' WHEN 2 THEN '{C.NOTE_HTTP_RESPONSE}'
+        ELSE '{C.NOTE_SMTP_ATTACHMENT}' END FROM b_mime""")
 def streaming_findings(spark, sf):
-    both = packets(spark, sf, "b_http").unionByName(packets(spark, sf, "b_ftp"))
-    found = flows.stream_findings(_streamed(spark, both, "stream-in"), HOST)
-    return flows.run_available(found.select("frame_no", "note"), "stream-findings").drop("batch")
+    """Findings of all channels; names made from a digest are left out here."""
+    found = flows.stream_findings(_streamed(spark, mixed_packets(spark, sf), "stream-in"), HOST)
+    named = F.when(~F.startswith("filename", F.lit("smtp_attach_")), F.col("filename"))
+    return flows.run_available(found.select("frame_no", "proto", named.alias("filename"), "note"), "stream-findings").drop("batch")
 
 
 @query("r02_running_outbound", f"SELECT dst, CAST(sum(length) AS BIGINT) AS bytes FROM b_packets WHERE src = '{HOST}' GROUP BY dst")

@@ -9,6 +9,7 @@ from egresslens.operators.ordered import numbered
 from egresslens.plans import network
 from egresslens.plans.bridges import CRLF, HOST, bridge, packets, tftp_packets
 from egresslens.plans.registry import query
+from egresslens.schemas import FINDING
 
 H = f"'{HOST}'"
 LIMIT = C.LARGE_UPLOAD_BYTES
@@ -64,7 +65,7 @@ def _(spark, sf):
 # --- counters ----------------------------------------------------------------------------------
 
 
-def _mixed(spark, sf):
+def mixed_packets(spark, sf):
     names = ["b_packets", "b_http", "b_ftp", "b_smb", "b_dns", "b_mime"]
     parts = [packets(spark, sf, n) for n in names] + [tftp_packets(spark, sf)]
     out = parts[0]
@@ -96,7 +97,7 @@ def _mixed(spark, sf):
       CAST((SELECT count(*) FROM b_mime WHERE turn % 4 = 3 AND role <> 'user' AND src = {H}) AS BIGINT) AS smtp_rcpt_to,
       CAST((SELECT count(*) FROM b_mime WHERE turn % 4 = 3) AS BIGINT) AS smtp_attachments_saved""")
 def _(spark, sf):
-    return totals.totals(_mixed(spark, sf), HOST)
+    return totals.totals(mixed_packets(spark, sf), HOST)
 
 
 @query("a02_http_methods", """
@@ -372,7 +373,7 @@ def _(spark, sf):
     UNION ALL SELECT frame_no, proto, proto || ' file upload command (' || command || ') from host'
       || coalesce(' filename: ' || filename, '') || CASE WHEN content_length IS NOT NULL THEN '{C.NOTE_SMB_LARGE}' ELSE '' END FROM ({_SMB}) s""")
 def all_findings(spark, sf):
-    return detect.findings(_mixed(spark, sf), *detect.stateless_detectors(HOST)).select("frame_no", "proto", "note")
+    return detect.findings(mixed_packets(spark, sf), *detect.stateless_detectors(HOST)).select("frame_no", "proto", "note")
 
 
 @query("t02_sample_findings", f"SELECT frame_no, note FROM ({_D1}) d ORDER BY frame_no LIMIT 20")
@@ -402,26 +403,116 @@ def _(spark, sf):
     return packets(spark, sf, "b_http").select("frame_no", "ts").orderBy("ts", "frame_no")
 
 
-@query("network_triage")
+# --- everything together -----------------------------------------------------------------------
+
+def _finding_row(source: str, **columns: str) -> str:
+    """SELECT of one finding per row of ``source`` with all columns of a finding, those not given NULL."""
+    kinds = {"bigint": "BIGINT", "string": "STRING", "double": "DOUBLE", "int": "INTEGER"}
+    listed = [f"CAST({columns.get(f.name, 'NULL')} AS {kinds[f.dataType.simpleString()]}) AS {f.name}" for f in FINDING.fields]
+    return f"SELECT {', '.join(listed)} FROM {source}"
+
+
+_ENDS = dict(src="src", dst="dst", frame_no="frame_no")
+
+
+def stateless_sql(where: str = "true") -> str:
+    """Findings of single packets over the mixed packets, as SQL; ``where`` is a condition on their addresses."""
+    tftp = f"(SELECT min(frame_no) - 1 AS frame_no, src, dst, filename FROM b_tftp WHERE src = {H} GROUP BY conv_id, src, dst, filename) t"
+    smb_note = (f"proto || ' file upload command (' || command || ') from host' || coalesce(' filename: ' || filename, '') "
+                f"|| CASE WHEN content_length IS NOT NULL THEN '{C.NOTE_SMB_LARGE}' ELSE '' END")
+    stored = f"upper(request_command) = 'STOR' AND src = {H}"
+    return " UNION ALL ".join([
+        _finding_row(f"({_D1}) d1", **_ENDS, proto="'HTTP'", method="method", content_length="content_length", note="note"),
+        _finding_row(f"b_ftp WHERE upper(request_command) IN ('STOR', 'RETR') AND {where}", **_ENDS, proto="'FTP'",
+                     command="upper(request_command)", filename="request_arg",
+                     note=f"CASE WHEN {stored} THEN '{C.NOTE_FTP_STOR}' ELSE '{C.NOTE_FTP_SEEN}' END"),
+        _finding_row(f"b_dns WHERE qr = '0' AND length(rtrim(qname, '.')) > 50 AND {where}", **_ENDS, proto="'DNS'",
+                     qname="rtrim(qname, '.')", note=f"'{C.NOTE_DNS_LONG}'"),
+        _finding_row(f"b_mime WHERE turn % 4 = 2 AND {where}", **_ENDS, proto="'HTTP'", filename="role || '.bin'",
+                     note=f"'{C.NOTE_HTTP_DISPOSITION}'"),
+        _finding_row(tftp, **_ENDS, proto="'TFTP'", command="'WRQ'", filename="filename", note=f"'{C.NOTE_TFTP_WRQ}'"),
+        _finding_row(f"({_SMB}) s", **_ENDS, proto="proto", command="command", filename="filename",
+                     content_length="content_length", note=smb_note)])
+
+
+#: Carried files of the mixed packets, with the name each is saved under, and transfers from the host likewise.
+_CARRIED_SQL = TRANSFERS_SQL.rstrip() + rf""",
+    mail AS ({_MAIL}),
+    files AS (
+      SELECT frame_no, src, dst, 'HTTP' AS proto, role || CASE WHEN turn % 4 = 2 THEN '.bin' ELSE '.txt' END AS name,
+             encode(CASE WHEN turn % 4 = 1 THEN regexp_replace(text, '^[\r\n]+|[\r\n]+$', '', 'g') ELSE text END) AS payload,
+             CASE turn % 4 WHEN 0 THEN '{C.NOTE_HTTP_MULTIPART}' WHEN 1 THEN '{C.NOTE_HTTP_PEELED}' ELSE '{C.NOTE_HTTP_RESPONSE}' END AS note
+      FROM b_mime WHERE turn % 4 < 3
+      UNION ALL
+      SELECT frame_no, src, dst, 'SMTP', coalesce(named, 'smtp_attach_' || substr(sha256(payload), 1, 8) || '.bin'), payload,
+             '{C.NOTE_SMTP_ATTACHMENT}' FROM mail
+      UNION ALL
+      SELECT CASE WHEN stop IS NULL THEN opened ELSE last_frame END, src, NULL, 'TFTP',
+             CASE WHEN stop IS NULL THEN 'incomplete_' ELSE '' END || filename, encode(data), NULL FROM whole),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY proto, name ORDER BY frame_no) - 1 AS copy FROM files WHERE src = {H}),
+    carried AS (SELECT *, CASE WHEN copy = 0 THEN name ELSE
+      regexp_replace(name, '(\.[^.]+)$', '(' || CAST(copy AS STRING) || ')\1') END AS saved FROM ranked)"""
+
+_LENGTHS = """
+    lens AS (
+      SELECT src, dst, length FROM b_packets UNION ALL SELECT src, dst, length FROM b_http
+      UNION ALL SELECT src, dst, length FROM b_ftp UNION ALL SELECT src, dst, NULL FROM b_smb
+      UNION ALL SELECT src, dst, NULL FROM b_dns UNION ALL SELECT src, dst, strlen(text) FROM b_mime
+      UNION ALL SELECT src, dst, strlen(text) FROM b_tftp
+      UNION ALL SELECT DISTINCT src, dst, 60 + 0 * conv_id FROM b_tftp)"""
+
+_SENT = f"(SELECT CAST(sum(length) AS BIGINT) AS b FROM lens WHERE src = {H})"
+_TRIAGE_SQL = f"""{_CARRIED_SQL}, {_LENGTHS},
+    found AS ({stateless_sql(f"src = {H}")}
+      UNION ALL {_finding_row("carried WHERE proto <> 'TFTP'", **_ENDS, proto="proto", filename="name", saved_as="saved", note="note")}
+      UNION ALL {_finding_row("carried WHERE proto = 'TFTP'", frame_no="frame_no", proto="proto", filename="saved", note=f"'{C.NOTE_TFTP_REBUILT}'")}
+      UNION ALL {_finding_row(f"{_SENT} t WHERE b > 5 * 1024 * 1024", proto="'FLOW'", note=f"'{C.NOTE_FLOW}' || CASE WHEN b < 1048576 * 1024 THEN format('{{:.1f}}MB', b / 1048576.0) ELSE format('{{:.1f}}GB', b / 1073741824.0) END")})
+"""
+
+
+@query("network_triage", _TRIAGE_SQL + "SELECT * FROM found")
 def _(spark, sf):
-    return network.run(_mixed(spark, sf), HOST).findings
+    return network.run(mixed_packets(spark, sf), HOST).findings
+
+
+def _counted(condition: str, table: str, counted: str = "count(*)") -> str:
+    return f"(SELECT {counted} FROM {table} WHERE {condition})"
+
+
+_TOTALS = {
+    "frames": _counted(f"src = {H}", "lens"), "bytes_from_host": f"(SELECT b FROM {_SENT} x)", "bytes_to_host": "0",
+    "http_posts": _counted(f"upper(request_method) = 'POST' AND src = {H}", "b_http") + " + " + _counted(f"turn % 4 < 2 AND src = {H}", "b_mime"),
+    "http_puts": _counted(f"upper(request_method) = 'PUT' AND src = {H}", "b_http"),
+    "ftp_stor": _counted(f"upper(request_command) = 'STOR' AND src = {H}", "b_ftp"),
+    "tftp_wrq": _counted(f"src = {H}", "b_tftp", "count(DISTINCT conv_id)"),
+    "smb_write_create": _counted(f"src = {H} AND n IN (1, 2, 4, 5)", "b_smb"),
+    "dns_queries": _counted(f"qr = '0' AND src = {H}", "b_dns"),
+    "dns_suspected_tunnel": _counted(f"qr = '0' AND length(rtrim(qname, '.')) > 50 AND src = {H}", "b_dns"),
+    "smtp_frames": _counted(f"turn % 4 = 3 AND src = {H}", "b_mime"),
+    "smtp_mail_from": _counted(f"turn % 4 = 3 AND role = 'user' AND src = {H}", "b_mime"),
+    "smtp_rcpt_to": _counted(f"turn % 4 = 3 AND role <> 'user' AND src = {H}", "b_mime"),
+    "smtp_attachments_saved": _counted(f"turn % 4 = 3 AND src = {H}", "b_mime"),
+}
+_JSON = ", ".join(f"""'"{f.name}":' || CAST(to_json({f.name}) AS STRING)""" for f in FINDING.fields)
 
 
-_REPORT_HEAD = f"""
-    SELECT 'TopDest' AS "Section", dst AS "Key", CAST(CAST(sum(length) AS BIGINT) AS STRING) AS "Value" FROM b_ftp WHERE src = {H} GROUP BY dst
-    UNION ALL SELECT 'Totals', 'ftp_stor', CAST(count(*) AS STRING) FROM b_ftp WHERE src = {H} AND upper(request_command) = 'STOR'
-    UNION ALL SELECT 'Totals', 'frames', CAST(count(*) AS STRING) FROM b_ftp WHERE src = {H}
-    UNION ALL SELECT 'Totals', 'bytes_from_host', CAST(CAST(sum(length) AS BIGINT) AS STRING) FROM b_ftp WHERE src = {H}
-    UNION ALL SELECT 'ParsedSavedFiles', 'count', '0'
-    UNION ALL SELECT 'SuspiciousRequests', 'count', CAST(
-      count(*) FILTER (WHERE upper(request_command) IN ('STOR', 'RETR')) + CAST(sum(length) > 5 * 1024 * 1024 AS INT) AS STRING) FROM b_ftp WHERE src = {H}"""
+def _report_rows(section: str, key: str, value: str, source: str) -> str:
+    return f"""SELECT {section} AS "Section", {key} AS "Key", {value} AS "Value" FROM {source}"""
 
 
-@query("k01_long_report", _REPORT_HEAD)
+@query("k01_long_report", _TRIAGE_SQL + " UNION ALL ".join([
+    *[_report_rows("'Totals'", f"'{name}'", f"CAST({sql} AS STRING)", "(SELECT 1) one") for name, sql in _TOTALS.items()],
+    f"SELECT * FROM ({_report_rows(chr(39) + 'TopDest' + chr(39), 'dst', 'CAST(CAST(sum(length) AS BIGINT) AS STRING)', f'lens WHERE src = {H} GROUP BY dst')}"
+    " ORDER BY coalesce(sum(length), 0) DESC, dst LIMIT 50) t",
+    _report_rows("'SuspiciousRequests'", "'count'", "CAST(count(*) AS STRING)", "found"),
+    _report_rows("'SuspReq'", "CAST(frame_no AS STRING)",
+                 f"'{{' || array_to_string(list_filter([{_JSON}], lambda x: x IS NOT NULL AND x NOT LIKE '%:null'), ',') || '}}'", "found"),
+    _report_rows("'ParsedSavedFiles'", "'count'", "CAST(count(*) AS STRING)", "carried"),
+    _report_rows("'ParsedFile'", "name", "'saved_as=' || saved || '; ' || CAST(octet_length(payload) AS STRING) || ' bytes; sha256=' "
+                 f"|| sha256(payload) || '; type={C.TYPE_UNKNOWN}'", "carried")]))
 def _(spark, sf):
-    report = network.run(packets(spark, sf, "b_ftp"), HOST).report()
-    shown = ["frames", "bytes_from_host", "ftp_stor"]
-    return report.filter((F.col("Section") != "SuspReq") & ((F.col("Section") != "Totals") | F.col("Key").isin(shown)))
+    """The whole report over all kinds of packets."""
+    return network.run(mixed_packets(spark, sf), HOST).report()
 
 
 @query("w00_numbered", """

@@ -1,12 +1,13 @@
 """Inputs: packets, target lists, labelled data sets, files, archives, reports, logs."""
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from egresslens import constants as C
@@ -17,6 +18,7 @@ from egresslens.functions.digests import ctph, locality
 from egresslens.functions.filetype import detect_type, signature_type
 from egresslens.functions.mime import peel
 from egresslens.schemas import FILES, NETWORK_MATCH, RAW_PACKETS, REPORT, TARGETS, capture_of, conform
+from egresslens.session import materialize
 
 #: Where a log text is cut into lines.
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -55,35 +57,77 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
     return conform(spark.read.option("header", True).csv(path), TARGETS)
 
 
+#: How CSV text of a number is written, whole or not; anything else makes a column text (or true and false).
+WHOLE_NUMBER = r"^\s*[+-]?\d{1,18}\s*$"
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf(inity)?)\s*$"
+TRUTH = r"(?i)^\s*(true|false)\s*$"
+_FILE, _HEADER = "__file", "__header"
+
+
+def labelled_text(spark: SparkSession, paths, label: str) -> DataFrame | None:
+    """Rows of CSV files of one class, all columns text; None where no file has a line.
+
+    Columns are found by name: the first line of each file is its header. Files are joined with their header
+    in Spark; the driver sees each different header once.
+    """
+    skip = {"ignoreCorruptFiles": True, "ignoreMissingFiles": True}
+    file = F.col("_metadata.file_path").alias(_FILE)
+    line = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    headers = (spark.read.options(**skip).text(paths).select(file, "value", line.alias("at"))
+               .groupBy(_FILE).agg(F.min_by("value", "at").alias(_HEADER)))
+    headers = materialize(headers, "headers")
+    layouts = sorted(row[0] for row in headers.select(_HEADER).distinct().collect())
+    if not layouts:
+        return None
+    names = [next(csv.reader([layout])) if layout else [""] for layout in layouts]
+    width = max(map(len, names))
+    places = ", ".join(f"`{i}` string" for i in range(width))
+    rows = (spark.read.options(header=True, enforceSchema=True, escape='"', **skip).schema(places).csv(paths)
+            .select(*[f"`{i}`" for i in range(width)], file).join(headers, _FILE))
+    columns = list(dict.fromkeys(n for layout in names for n in layout if n))
+
+    def found(name: str) -> Column:
+        value = F.lit(None).cast("string")
+        for layout, held in zip(layouts, names):
+            if name in held:
+                value = F.when(F.col(_HEADER) == layout, F.col(f"`{held.index(name)}`")).otherwise(value)
+        return F.nullif(value, F.lit(""))
+
+    given = found("class") if "class" in columns else F.lit(None)
+    return rows.select(*[found(n).alias(n) for n in columns if n != "class"],
+                       F.coalesce(given, F.lit(label)).alias("class"))
+
+
+def typed_columns(rows: DataFrame, keep=("class",)) -> DataFrame:
+    """Text columns as the narrowest of whole numbers, numbers and truth values that all their values are; else text."""
+    columns = [c for c in rows.columns if c not in keep]
+    if not columns:
+        return rows
+    kinds = {"bigint": WHOLE_NUMBER, "double": NUMBER, "boolean": TRUTH}
+    fits = rows.agg(*[F.coalesce(F.bool_and(F.col(f"`{c}`").rlike(pattern)), F.lit(False)).alias(f"{i} {kind}")
+                      for i, c in enumerate(columns) for kind, pattern in kinds.items()]).first()
+    chosen = {c: next((k for k in kinds if fits[f"{i} {k}"]), "string") for i, c in enumerate(columns)}
+    return rows.select(*[F.trim(f"`{c}`").cast(chosen[c]).alias(c) if chosen.get(c, "string") != "string" else F.col(f"`{c}`")
+                         for c in rows.columns])
+
+
 def load_labelled(spark: SparkSession, paths, label: str) -> DataFrame:
     """CSV files of one class; ``class`` is added, or its gaps are filled. Damaged files are skipped.
 
-    Columns are found by name: the first line of each file is its header, files with the same header
-    are read together, and all are united by column name. Files without a line are skipped.
+    Columns are found by name and united over all files; a column has one type, which all of its values fit.
+    Files without a line are skipped.
     """
-    def headers(path: str) -> list[list[str]]:
-        line = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-        first = (spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(path)
-                 .select(F.col("_metadata.file_path").alias("file"), "value", line.alias("at"))
-                 .groupBy("file").agg(F.min_by("value", "at").alias("header"))
-                 .groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header"))
-        return [row["files"] for row in first.collect()]
-
-    def load(files: list[str]) -> DataFrame:
-        df = (spark.read.option("header", True).option("inferSchema", True)
-              .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).csv(files))
-        given = F.col("class").cast("string") if "class" in df.columns else F.lit(None)
-        return df.withColumn("class", F.coalesce(given, F.lit(label)))
-
-    loaded = [load(files) for p in ([paths] if isinstance(paths, str) else paths) for files in headers(p)]
-    if not loaded:
-        return spark.createDataFrame([], "class string")
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), loaded)
+    rows = labelled_text(spark, paths, label)
+    return spark.createDataFrame([], "class string") if rows is None else typed_columns(rows)
 
 
 def load_category(spark: SparkSession, benign, malicious) -> DataFrame:
-    return load_labelled(spark, benign, "benign").unionByName(
-        load_labelled(spark, malicious, "malicious"), allowMissingColumns=True)
+    """Both classes; a column has the same type in both."""
+    parts = [labelled_text(spark, benign, "benign"), labelled_text(spark, malicious, "malicious")]
+    parts = [p for p in parts if p is not None]
+    if not parts:
+        return spark.createDataFrame([], "class string")
+    return typed_columns(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -194,9 +238,39 @@ def log_lines(texts: DataFrame) -> DataFrame:
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of log files; bytes that are not UTF-8 are dropped."""
-    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return log_lines(whole.select(F.col("path").alias("file"), lossy_utf8(F.col("content")).alias("text")))
+    """``(file, line_no, line)`` of log files of any size, as ``log_lines`` of their whole texts.
+
+    Bytes that are not UTF-8 are dropped, and so is a byte order mark. Spark cuts large files into splits; a split holds
+    the records, ended by a line feed, that start in it. Lines are counted per split, the counts are added up in
+    order of the splits' offsets, and the lines of all splits are numbered side by side.
+    """
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset")]
+    records = (spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+               .select(*split, F.monotonically_increasing_id().alias("at"), F.octet_length("value").alias("size"),
+                       lossy_utf8(F.col("value").cast("binary")).alias("text")))
+    ended = F.split(F.regexp_replace("text", "\r$", ""), LINE_ENDS)
+    counts = materialize(records.groupBy("file", "offset").agg(
+        F.sum(F.size(ended)).alias("lines"), F.sum(F.col("size") + 1).alias("bytes")), "log-splits")
+    earlier = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("file", "offset", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
+    sizes = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("length")))
+    # Records and their line feeds make up the file, or one byte more when the last has none; a mark has three.
+    files = materialize(sizes.join(counts.groupBy("file").agg(
+        F.max("offset").alias("last"), F.sum("lines").alias("lines"), (F.sum("bytes")).alias("bytes")), "file", "left")
+        .select("file", "last", "lines", (F.col("bytes") - F.col("length")).isin(1, -2).alias("cut")), "log-files")
+    inside = Window.partitionBy("file", "offset").orderBy("at")
+    placed = records.join(before, ["file", "offset"]).join(files.select("file", "last", "cut"), "file")
+    final = (F.col("offset") == F.col("last")) & F.col("cut") & F.lead("at").over(inside).isNull()
+    placed = placed.select("file", F.when(final, F.split("text", LINE_ENDS)).otherwise(ended).alias("pieces"), (
+        F.col("before") + F.coalesce(F.sum(F.size(ended)).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).alias("first"))
+    lines = placed.select("file", "first", F.posexplode("pieces").alias("place", "line")).select(
+        "file", (F.col("first") + F.col("place")).cast("bigint").alias("line_no"), "line")
+    # What follows the last line feed is a line too, and an empty file is one.
+    rest = files.filter(~F.coalesce("cut", F.lit(False))).select(
+        "file", F.coalesce("lines", F.lit(0)).cast("bigint").alias("line_no"), F.lit("").alias("line"))
+    return lines.unionByName(rest)
 
 
 def preview(df: DataFrame, k: int = 5) -> DataFrame:
