@@ -3,13 +3,15 @@
 Texts become one long row of word numbers per flush, with a border between pieces. Prefix sums of
 word hash times a power of an odd base, in 64 bits, give the fingerprint of any run of words as a
 difference of two prefixes; language and length are mixed in. Levels prune each other: a pair can be
-frequent only if both words are, a run of three or four only if its pairs are. Each level is counted
-by fingerprint in the tasks and by a shuffle; the frequent ones set bits in a table of fixed size that
-goes to the next level by broadcast. A full table prunes less and changes no result.
+frequent only if both words are, a run of three or four only if its pairs are. Each level is counted by
+the upper 40 bits of its fingerprints, in the tasks and after a shuffle, in which a task sends the sorted
+fingerprints of a range as one block of differences and counts. The frequent ones set bits in a
+table of fixed size that goes to the next level by broadcast. Fingerprints that fall together and a
+full table only prune less and change no result.
 
 The last pass looks at runs whose fingerprint is marked: within a flush the words of all
 occurrences of a fingerprint are compared, so a pointer (document and word place) stands for one
-phrase; its text is read at the pointer, and counts are added by fingerprint and text. Two phrases of
+phrase; its text is read at the pointer, and a shuffle adds up counts by text and keeps a pointer. Two phrases of
 one fingerprint part there, and one that is rare after all is dropped. Only such phrases become text.
 
 Scores are cut points of a phrase: 2,000,000 * a / (l + r), rounded down, in decimals of 38 digits.
@@ -37,6 +39,8 @@ CLEANED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_ENDS.encode() +
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 NO_LANG = "und"
+#: Bits of a 64-bit fingerprint that the levels leave out; ranges of the rest at least, so that differences fit 32 bits.
+DROPPED, RANGES = 24, 256
 #: Parts in which the phrases of a language are ranked before they are ranked together.
 SALTS = 64
 
@@ -52,6 +56,9 @@ class Params:
     #: Words of a flush; a longer text is a flush of its own. Bits of the table of a level.
     flush: int = 1_000_000
     bits: int = 1 << 27
+    #: Fingerprints gathered in a task before they are sent; bytes of text to a range of them.
+    gathered: int = 4_000_000
+    spread: int = 1 << 22
 
 
 class Numbers(dict):
@@ -116,7 +123,7 @@ class Flush:
 
 
 def _marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & np.uint64(64 * len(table) - 1)
+    place = (keys >> np.uint64(DROPPED)) & np.uint64(64 * len(table) - 1)
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -150,16 +157,55 @@ def candidate_runs(flush: Flush, tables: list[np.ndarray], sizes: tuple[int, ...
         yield size, keys, np.flatnonzero(whole)
 
 
-def frequent_keys(rows: DataFrame, shared, sizes: tuple[int, ...], params: Params) -> DataFrame:
-    """Fingerprints of runs of these sizes that occur often enough; may hold fingerprints that rare phrases share."""
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], ranges: int) -> pa.RecordBatch:
+    """(range, block) rows: first key, differences by byte plane, and counts up to 255 of the keys of each range."""
+    keys, n = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    keys, n = keys[at], np.minimum(np.add.reduceat(n, at), 255).astype(np.uint8)
+    width = np.uint64(64 - DROPPED - ranges.bit_length() + 1)
+    place = (keys >> width).astype(np.int32)
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    steps = np.diff(keys, prepend=keys[:1]).astype(np.uint32)
+    blocks = []
+    for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+        own = steps[begin:end].copy()
+        own[0] = 0
+        blocks.append(keys[begin].tobytes() + own.view(np.uint8).reshape(-1, 4).T.tobytes() + n[begin:end].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(place[starts]), pa.array(blocks, pa.binary())], names=["place", "block"])
+
+
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = (len(block) - 8) // 5
+    planes = np.frombuffer(block, np.uint8, 4 * size, 8).reshape(4, size)
+    steps = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.uint64)
+    return np.frombuffer(block, np.uint64, 1) + np.cumsum(steps), np.frombuffer(block, np.uint8, size, 8 + 4 * size)
+
+
+def frequent_keys(rows: DataFrame, shared, sizes: tuple[int, ...], ranges: int, params: Params) -> DataFrame:
+    """Upper bits of fingerprints of runs of these sizes that occur often enough, with those that rare phrases share."""
     def run(batches):
+        held, waiting = [], 0
         for flush, _ in _flushes(batches, params):
             for _, keys, places in candidate_runs(flush, shared.value, sizes):
-                key, n = np.unique(keys[places], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+                if len(places):
+                    held.append(np.unique(keys[places] >> np.uint64(DROPPED), return_counts=True))
+                    waiting += len(held[-1][0])
+            if waiting >= params.gathered:
+                yield _packed(held, ranges)
+                held, waiting = [], 0
+        if held:
+            yield _packed(held, ranges)
 
-    return (map_batches(rows, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= params.least).select("key"))
+    def added(group: pa.Table) -> pa.Table:
+        keys, n = (np.concatenate(x) for x in zip(*map(_unpacked, group.column("block").to_pylist())))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order].astype(np.int64)
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return pa.table({"key": pa.array(keys[at][np.add.reduceat(n, at) >= params.least].astype(np.int64))})
+
+    return map_batches(rows, run, "place int, block binary").groupBy("place").applyInArrow(added, "key long")
 
 
 def bit_table(keys: DataFrame, bits: int) -> np.ndarray:
@@ -178,8 +224,10 @@ def counted_phrases(documents: DataFrame, params: Params = Params()) -> DataFram
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG))
     rows = documents.select("doc_id", "text", lang.alias("lang"))
     context, tables = documents.sparkSession.sparkContext, []
+    nbytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    ranges = max(RANGES, 1 << (int(nbytes) // params.spread).bit_length())
     for sizes in [(1,), (2,), tuple(range(3, params.longest + 1))]:
-        found = frequent_keys(rows, context.broadcast(list(tables)), sizes, params)
+        found = frequent_keys(rows, context.broadcast(list(tables)), sizes, ranges, params)
         tables.append(bit_table(found, params.bits))
     shared = context.broadcast(tables)
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -189,17 +237,16 @@ def counted_phrases(documents: DataFrame, params: Params = Params()) -> DataFram
         for flush, ids in _flushes(batches, params):
             number = np.cumsum(flush.words != 0) - 1
             first = number[flush.begins] + (flush.words[flush.begins] == 0)
-            out = {"key": [], "lang": [], "size": [], "phrase": [], "n": [], "doc_id": [], "place": []}
+            out = {"lang": [], "size": [], "phrase": [], "n": [], "doc_id": [], "place": []}
             totals = np.bincount(flush.lang, flush.words != 0)
             for code, lang in enumerate(dict.fromkeys(flush.langs)):
-                for name, value in zip(out, (0, lang, 0, "", int(totals[code]), None, None)):
+                for name, value in zip(out, (lang, 0, "", int(totals[code]), None, None)):
                     out[name].append(value)
             for size in range(1, params.longest + 1):
                 keys, whole = flush.fingerprints(size)
                 table = tables[min(size, len(tables)) - 1]
                 at, n = flush.phrases(size, keys, np.flatnonzero(whole & _marked(table, keys)))
                 doc = flush.doc[at]
-                out["key"] += keys[at].view(np.int64).tolist()
                 out["size"] += [size] * len(at)
                 out["n"] += n.tolist()
                 out["place"] += (number[at] - first[doc]).tolist()
@@ -208,15 +255,15 @@ def counted_phrases(documents: DataFrame, params: Params = Params()) -> DataFram
                     out["lang"].append(flush.langs[d])
                     out["doc_id"].append(ids[d])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
-                [("key", pa.int64()), ("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()),
-                 ("n", pa.int64()), ("doc_id", id_type), ("place", pa.int64())]))
+                [("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()),
+                 ("doc_id", id_type), ("place", pa.int64())]))
 
     id_type = to_arrow_type(documents.schema["doc_id"].dataType)
-    pointed = map_batches(rows, run, f"key long, lang string, size int, phrase string, n long, doc_id {kind}, place long")
-    pointer = F.min(F.when(F.col("place").isNotNull(), F.struct("doc_id", "place")))
-    counted = pointed.groupBy("key", "lang", "size", "phrase").agg(F.sum("n").alias("n"), pointer.alias("first"))
-    return counted.filter((F.col("n") >= params.least) | (F.col("size") == 0)).select(
-        "lang", "size", "phrase", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"))
+    pointed = map_batches(rows, run, f"lang string, size int, phrase string, n long, doc_id {kind}, place long")
+    # Any occurrence may be the one pointed at; both parts come from one row.
+    return (pointed.groupBy("lang", "size", "phrase").agg(
+        F.sum("n").alias("n"), F.first("doc_id").alias("doc_id"), F.first("place").alias("place"))
+        .filter((F.col("n") >= params.least) | (F.col("size") == 0)))
 
 
 def _part(start: Column, size: Column) -> Column:
