@@ -69,9 +69,9 @@ def roc_counts(scores: DataFrame, score: str = "p", label: str = "y", stretches:
 
 
 def roc_curve(counts: DataFrame) -> DataFrame:
-    """``(threshold, tpr, fpr, j)`` for each distinct score of ``roc_counts``."""
+    """``(threshold, tpr, fpr, j)`` for each distinct score of ``roc_counts``; a rate over no rows is NULL."""
     whole = lambda c: counts.agg(F.sum(c).alias("t")).scalar()
-    tpr, fpr = F.col("tp") / whole("pos"), F.col("fp") / whole("neg")
+    tpr, fpr = F.try_divide("tp", whole("pos")), F.try_divide("fp", whole("neg"))
     return counts.select("threshold", tpr.alias("tpr"), fpr.alias("fpr"), (tpr - fpr).alias("j"))
 
 

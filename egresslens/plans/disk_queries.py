@@ -389,6 +389,30 @@ def _(spark, sf):
     return loaded.select(F.col("frame_no").cast("bigint").alias("frame_no"), "p1", "class")
 
 
+_TWO_TYPES = "SELECT CASE WHEN y = 1 THEN CAST(frame_no AS STRING) ELSE 'x' || CAST(frame_no AS STRING) END AS key, frame_no % 7 AS n, CASE y WHEN 1 THEN 'malicious' ELSE 'benign' END AS class FROM b_scores"
+
+
+def _files_of_two_types(spark, sf):
+    """A column that is a number in one set of files and text in the other, at different places."""
+    path = work_path(spark, "two-types")
+    scores = bridge(spark, sf, "b_scores").withColumn("n", F.col("frame_no") % 7)
+    sinks.write_csv(scores.filter("y = 1").select(F.col("frame_no").alias("key"), "n"), f"{path}/malicious")
+    sinks.write_csv(scores.filter("y <> 1").select("n", F.concat(F.lit("x"), F.col("frame_no").cast("string")).alias("key")),
+                    f"{path}/benign")
+    return path
+
+
+@query("s04_columns_of_two_types", _TWO_TYPES.replace("CASE y WHEN 1 THEN 'malicious' ELSE 'benign' END", "'any'"))
+def _(spark, sf):
+    return readers.load_labelled(spark, _files_of_two_types(spark, sf) + "/*/*.csv", "any").select("key", "n", "class")
+
+
+@query("s05_columns_of_two_types", _TWO_TYPES)
+def _(spark, sf):
+    path = _files_of_two_types(spark, sf)
+    return readers.load_category(spark, path + "/benign/*.csv", path + "/malicious/*.csv").select("key", "n", "class")
+
+
 @query("s05_category_load", "SELECT CASE y WHEN 1 THEN 'malicious' ELSE 'benign' END AS class, CAST(count(*) AS BIGINT) AS n FROM b_scores GROUP BY 1")
 def _(spark, sf):
     from egresslens.operators.stats import class_distribution
@@ -461,6 +485,23 @@ def _(spark, sf):
         (F.max("line_no") + 1).alias("lines"), F.max(F.length("line")).cast("bigint").alias("longest"))
 
 
+@query("s10_log_files", r"""
+    WITH lines AS (
+      SELECT source, unnest(string_split_regex(coalesce(text, '') || chr(10), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')[:-2]) AS line
+      FROM documents)
+    SELECT source, CAST(count(*) AS BIGINT) + 1 AS lines, CAST(count(*) AS BIGINT) + 1 AS numbers, CAST(count(*) AS BIGINT) AS last,
+           CAST(sum(length(line)) AS BIGINT) AS chars, CAST(max(length(line)) AS BIGINT) AS longest FROM lines GROUP BY source""")
+def _(spark, sf):
+    """Whole documents as log files, one a source, read in splits; every line has a number of its own."""
+    path = work_path(spark, "logs")
+    docs = table(spark, sf, "documents").select("source", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("source").write.option("lineSep", "\n").partitionBy("source").text(path)
+    lines = readers.read_log_lines(spark, path)
+    return lines.groupBy(F.regexp_extract("file", "source=([^/]+)", 1).alias("source")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("line_no").alias("numbers"), F.max("line_no").alias("last"),
+        F.sum(F.length("line")).cast("bigint").alias("chars"), F.max(F.length("line")).cast("bigint").alias("longest"))
+
+
 @query("s11_saved_objects", r"""
     SELECT CAST(frame_no AS STRING) || '_cleaned.bin' AS filename, CAST(strlen(regexp_replace(text, '^[\r\n]+|[\r\n]+$', '', 'g')) AS BIGINT) AS size,
       sha256(regexp_replace(text, '^[\r\n]+|[\r\n]+$', '', 'g')) AS sha256 FROM b_mime""")

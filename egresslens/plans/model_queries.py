@@ -1,6 +1,7 @@
 """Registered queries over distributions, encoding, evaluation, models and streams."""
 
 from functools import cache
+import json
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from egresslens.plans import network, training
 from egresslens.plans.bridges import HOST, bridge, packets, table, tftp_packets
 from egresslens.plans.registry import query
 from egresslens.plans.traffic_queries import TRANSFERS_SQL, mixed_packets, stateless_sql
-from egresslens.session import work_path
+from egresslens.session import materialize, work_path
 from egresslens.sources.readers import stream_packets
 from egresslens.schemas import PACKETS, layer
 from egresslens.streaming import flows
@@ -292,10 +293,51 @@ def _(spark, sf):
     return models.learning_curve(stage.model, stage.val.withColumn("weight", F.lit(1.0)))
 
 
+def _first_rows(spark, sf):
+    """All labelled rows, ready for the first stage."""
+    return _first_stage(spark, sf).preprocessor.transform(models.cyclic_lexical(_lexical(spark, sf)))
+
+
 @query("n15_batch_scoring")
 def _(spark, sf):
-    stage = _first_stage(spark, sf)
-    return stage.scores(stage.test, ["frame_no"])
+    """Scores of all labelled rows."""
+    return _first_stage(spark, sf).scores(_first_rows(spark, sf), ["frame_no"])
+
+
+def forward_pass(model, features: list[str]):
+    """Probability of class 1 by the net of a first stage, as arithmetic on its written weights."""
+    net = model.stages[-1]
+    weights, sizes = net.weights.toArray().tolist(), net.getLayers()
+    layer, at = F.array(*[F.col(f).cast("double") for f in features]), 0
+    for ins, outs in zip(sizes, sizes[1:]):
+        columns = [weights[at + i * outs:at + (i + 1) * outs] for i in range(ins)]  # one column of weights an input
+        bias = weights[at + ins * outs:at + (ins + 1) * outs]
+        at += (ins + 1) * outs
+        rows = F.from_json(F.lit(json.dumps([{"w": w, "b": b} for w, b in zip(zip(*columns), bias)])),
+                           "array<struct<w: array<double>, b: double>>")
+        below = layer
+        layer = F.transform(rows, lambda r: F.aggregate(F.zip_with(below, r["w"], lambda x, w: x * w), r["b"], lambda a, x: a + x))
+        if outs != sizes[-1]:
+            layer = F.transform(layer, lambda x: 1 / (1 + F.exp(-x)))
+    return 1 / (1 + F.exp(F.get(layer, F.lit(0)) - F.get(layer, F.lit(1))))
+
+
+_ALL_SAME = "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS differences FROM labels JOIN documents USING (doc_id)"
+
+
+def _differing(one, other):
+    """Rows that either side scores, and those whose scores are not the same within rounding."""
+    both = one.withColumnRenamed("p", "p1").join(other.withColumnRenamed("p", "p2"), "frame_no", "full")
+    apart = ~F.coalesce(F.abs(F.col("p1") - F.col("p2")) < 1e-9, F.col("p1").isNull() & F.col("p2").isNull())
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(apart).alias("differences"))
+
+
+@query("n15_forward_pass", _ALL_SAME)
+def _(spark, sf):
+    """Scores of all labelled rows against the forward pass worked out in SQL arithmetic."""
+    stage, rows = _first_stage(spark, sf), materialize(_first_rows(spark, sf), "first-rows")
+    by_hand = rows.select("frame_no", forward_pass(stage.model, stage.preprocessor.features).alias("p"))
+    return _differing(stage.scores(rows, ["frame_no"]), by_hand)
 
 
 @query("k09_saved_model")
@@ -304,7 +346,7 @@ def _(spark, sf):
     stage = _first_stage(spark, sf)
     path = work_path(spark, "model")
     stage.model.write().overwrite().save(path)
-    return models.score(PipelineModel.load(path), stage.test, ["frame_no"], "p")
+    return models.score(PipelineModel.load(path), _first_rows(spark, sf), ["frame_no"], "p")
 
 
 @query("k09_saved_stage", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS differences FROM labels")
@@ -399,14 +441,24 @@ def streaming_transfers(spark, sf):
                         F.sha2("payload", 256).alias("sha256"))
 
 
+def _streamed_scores(spark, sf):
+    stage, path = _first_stage(spark, sf), work_path(spark, "stream-features")
+    rows = _first_rows(spark, sf).select("frame_no", *stage.preprocessor.features)
+    rows.write.parquet(path)
+    features = spark.readStream.schema(rows.schema).parquet(path)
+    return flows.run_available(flows.stream_scores(features, stage.model), "stream-scores").drop("batch")
+
+
 @query("r04_streaming_scores")
 def _(spark, sf):
-    stage = _first_stage(spark, sf)
-    path = work_path(spark, "stream-features")
-    columns = ["frame_no", *stage.preprocessor.features]
-    stage.test.select(*columns).write.parquet(path)
-    features = spark.readStream.schema(stage.test.select(*columns).schema).parquet(path)
-    return flows.run_available(flows.stream_scores(features, stage.model), "stream-scores").drop("batch")
+    """Scores of all labelled rows, from a stream."""
+    return _streamed_scores(spark, sf)
+
+
+@query("r04_streamed_as_batch", _ALL_SAME)
+def _(spark, sf):
+    """Scores of all labelled rows from a stream, against those of the batch form."""
+    return _differing(_streamed_scores(spark, sf), _first_stage(spark, sf).scores(_first_rows(spark, sf), ["frame_no"]))
 
 
 @query("r05_streaming_matches", """
