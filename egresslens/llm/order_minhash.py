@@ -9,8 +9,9 @@ Classes are the connected parts of links.
 
 Exact copies are one node from the start. A key of up to ``small`` nodes brings all its pairs. A
 larger key (a passage that many texts share, or a large family) brings each node beside the key's
-first node, and its nodes are dealt again under every two of their large keys, by the same rule.
-What a large key still holds in several classes is dealt once more by k-mers (``crowd_links``): in
+first node: beside one of its leaders at first, beside the others where that does not hold the key
+together, and nodes of keys still in several classes are dealt again under every two of those keys.
+What a large key then still holds in several classes is dealt once more by k-mers (``crowd_links``): in
 one order of all k-mers, rare ones first, two texts of similarity 0.8 have one in common among the
 first fifth of each, so a k-mer of up to ``small`` texts brings all pairs in different classes. More
 frequent ones bring each text beside the first of about its length, and then every pair still in
@@ -127,33 +128,88 @@ def sketched(documents: DataFrame, params: Params) -> DataFrame:
     return map_batches(rows, run, f"doc_id {kind}, node binary, n_words int, keys array<bigint>, codes binary")
 
 
-def _bucketed(rows: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that (key, node, n_words) rows bring, and the rows of large keys."""
-    sizes = (rows.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, node, n_words) rows of keys of two nodes or more, with the key's smallest node as ``leader`` and its size ``n``."""
+    sizes = (keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
              .filter("n > 1"))
-    shared = materialize(rows.join(sizes, "key"), "shared-keys")
+    return materialize(keyed.join(sizes, "key"), "shared-keys")
+
+
+def small_pairs(shared: DataFrame, params: Params) -> DataFrame:
+    """All pairs (a < b) of keys of up to ``small`` nodes whose lengths allow a link."""
     small = shared.filter(F.col("n") <= params.small).select("key", "node", "n_words")
     left, right = small.alias("l"), small.alias("r")
     short, long = F.least("l.n_words", "r.n_words"), F.greatest("l.n_words", "r.n_words")
-    pairs = (left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))
-                       & (short >= params.similarity * long))
-             .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
-    large = shared.filter(F.col("n") > params.small)
-    led = large.filter("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    return pairs.union(led), large.select("key", "node", "n_words")
-
-
-def candidates(rows: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs of nodes (a < b) that may be links, from sketched rows, and the rows of large keys."""
-    keyed = rows.select("node", "n_words", F.explode("keys").alias("key")).distinct()
-    pairs, large = _bucketed(keyed, params)
+    return (left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))
+                      & (short >= params.similarity * long))
+            .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
+
+
+def led_pairs(shared: DataFrame, params: Params) -> DataFrame:
+    """Pairs (leader, node) of larger keys."""
+    return shared.filter((F.col("n") > params.small) & (F.col("node") > F.col("leader"))).select(
+        F.col("leader").alias("a"), F.col("node").alias("b"))
+
+
+def between_classes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The distinct pairs whose nodes are in different classes by now."""
+    root = lambda name, alias: roots.select(F.col("node").alias(name), F.col("root").alias(alias))
+    return (pairs.distinct().join(root("a", "__x"), "a", "left").join(root("b", "__y"), "b", "left")
+            .filter(F.coalesce("__x", "a") != F.coalesce("__y", "b")).select("a", "b"))
+
+
+def split_keys(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, n_words, ...) rows, with ``root``, of the keys whose nodes are in several classes."""
+    held = _rooted(rows, roots)
+    split = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    return held.join(split, "key", "left_semi")
+
+
+def candidates(rows: DataFrame, params: Params) -> DataFrame:
+    """Shared keys of sketched rows."""
+    return shared_keys(rows.select("node", "n_words", F.explode("keys").alias("key")).distinct())
+
+
+def finer_pairs(large: DataFrame, params: Params) -> DataFrame:
+    """Pairs in different classes that share two of the larger keys that links do not hold together, dealt by the same rule."""
     both = (large.groupBy("node", "n_words").agg(F.sort_array(F.collect_set("key")).alias("keys"))
             .filter(F.size("keys") > 1)
             .select("node", "n_words", F.explode(F.expr(
                 "flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))"
             )).alias("key")))
-    finer, _ = _bucketed(both, params)
-    return pairs.union(finer).distinct(), large
+    shared = shared_keys(both)
+    return small_pairs(shared, params).union(led_pairs(shared, params))
+
+
+class Links:
+    """Verified links in written tables, and the classes they make so far.
+
+    Classes are joined from (node, root) and the new links only; links of earlier steps are kept for their count.
+    """
+
+    def __init__(self, rows: DataFrame, params: Params) -> None:
+        self.codes = rows.select("node", "codes")
+        self.params, self.found = params, []
+        self.roots = rows.sparkSession.createDataFrame([], "node binary, root binary")
+
+    def add(self, pairs: DataFrame) -> None:
+        """Verify candidate pairs between classes and join the classes of those that are links."""
+        pairs = materialize(between_classes(pairs, self.roots) if self.found else pairs.distinct(), "pairs")
+        more = materialize(verified(pairs, self.codes, self.params), "verified")
+        if more.isEmpty():
+            return
+        held = self.roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        self.roots = components(held.union(more) if self.found else more)
+        self.found.append(more)
+
+    def degrees(self) -> DataFrame:
+        """(node, n_links) of linked nodes."""
+        every = self.roots.sparkSession.createDataFrame([], "a binary, b binary")
+        for more in self.found:
+            every = every.union(more)
+        every = every.distinct()
+        return (every.select(F.col("a").alias("node")).union(every.select("b"))
+                .groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -220,15 +276,12 @@ def _ordered(left: str, right: str) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def crowd_links(rows: DataFrame, large: DataFrame, links: DataFrame, roots: DataFrame,
-                params: Params) -> tuple[DataFrame, DataFrame]:
-    """Links and roots with those between texts of large keys that are in different classes."""
-    held = _rooted(large.select("key", "node"), roots)
-    split = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    nodes = held.join(split, "key", "left_semi").select("node", "root").distinct()
+def crowd_links(rows: DataFrame, split: DataFrame, links: Links, params: Params) -> None:
+    """Add the links between texts of large keys that are in different classes. split: rows of such keys."""
+    nodes = split.select("node", "root").distinct()
     crowd = materialize(rows.select("node", "n_words", "codes").dropDuplicates(["node"]).join(nodes, "node"), "crowd")
     if crowd.isEmpty():
-        return links, roots
+        return
     keyed = materialize(prefix_keys(crowd, params), "crowd-keys")
     sizes = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
              .filter("x < y").select("key", "n"))
@@ -242,27 +295,19 @@ def crowd_links(rows: DataFrame, large: DataFrame, links: DataFrame, roots: Data
     first = many.groupBy("key", "band").agg(F.min(F.struct("node", "root", "n_words")).alias("l"))
     led = (many.alias("r").join(first, ["key", "band"]).filter(_apart("l", "r", params))
            .select(*_ordered("l.node", "r.node")))
-    links, roots = _linked(few.union(led), rows, links, params) or (links, roots)
+    links.add(few.union(led))
 
-    many = materialize(_rooted(many.select("key", "node", "n_words"), roots), "crowd-many")
+    many = materialize(_rooted(many.select("key", "node", "n_words"), links.roots), "crowd-many")
     most = (many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
             .agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
             .select("key", F.col("most.root").alias("most")))
+    if most.isEmpty():
+        return
     every = many.join(most, "key").withColumn("other", F.col("root") != F.col("most")).drop("most")
     left, right = spread_hot_keys(every.filter("other"), every, ["key"], CROWD)
-    rest = (left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt"))
-                                 & _apart("l", "r", params) & (~F.col("r.other") | (F.col("l.node") < F.col("r.node"))))
-            .select(*_ordered("l.node", "r.node")))
-    return _linked(rest, rows, links, params) or (links, roots)
-
-
-def _linked(pairs: DataFrame, rows: DataFrame, links: DataFrame, params: Params) -> tuple[DataFrame, DataFrame] | None:
-    """Links and roots with the links among more pairs; None when there are none."""
-    more = materialize(verified(materialize(pairs.distinct(), "crowd-pairs"), rows, params), "crowd-links")
-    if more.isEmpty():
-        return None
-    links = links.union(more).distinct()
-    return links, components(links)
+    links.add(left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt"))
+                                   & _apart("l", "r", params) & (~F.col("r.other") | (F.col("l.node") < F.col("r.node"))))
+              .select(*_ordered("l.node", "r.node")))
 
 
 def edit_limit(similarity: float, longest: int) -> int:
@@ -378,9 +423,9 @@ def _banded(a: np.ndarray, b: np.ndarray, width: int) -> int:
 
 def verified(pairs: DataFrame, rows: DataFrame, params: Params) -> DataFrame:
     """The candidate pairs that are links."""
-    codes = rows.select("node", "codes").dropDuplicates(["node"])
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
-    codes = materialize(codes.join(wanted, "node", "left_semi"), "candidate-codes")
+    codes = materialize(rows.select("node", "codes").join(wanted, "node", "left_semi").dropDuplicates(["node"]),
+                        "candidate-codes")
     both = (pairs.join(codes.select(F.col("node").alias("b"), F.col("codes").alias("right")), "b")
             .join(codes.select(F.col("node").alias("a"), F.col("codes").alias("left")), "a")
             .select("a", "b", "left", "right"))
@@ -426,14 +471,31 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
+def linked_classes(rows: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of linked nodes and (node, n_links), from sketched rows.
+
+    Pairs of small keys and one leader a node come first; what they hold together is not looked at again.
+    """
+    links = Links(rows, params)
+    shared = candidates(rows.select("node", "n_words", "keys"), params)
+    led = led_pairs(shared, params)
+    nearest = led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links.add(small_pairs(shared, params).union(nearest))
+    large = shared.filter(F.col("n") > params.small).select("key", "node", "n_words", "leader", "n")
+    split = materialize(split_keys(large, links.roots), "split-keys")
+    if not split.isEmpty():
+        links.add(led_pairs(split, params).join(nearest, ["a", "b"], "left_anti"))
+        split = materialize(split_keys(split.drop("root"), links.roots), "split-keys")
+    if not split.isEmpty():
+        links.add(finer_pairs(split, params))
+        crowd_links(rows, split_keys(split.drop("root"), links.roots), links, params)
+    return links.roots, links.degrees()
+
+
 def classes(documents: DataFrame, params: Params = Params()) -> DataFrame:
     """One row per document: doc_id, node, class_id, n_links (other texts its text is linked to), kept."""
     rows = materialize(sketched(documents, params), "sketches")
-    pairs, large = candidates(rows.select("node", "n_words", "keys"), params)
-    links = materialize(verified(materialize(pairs, "pairs"), rows, params), "verified")
-    links, roots = crowd_links(rows, large, links, components(links), params)
-    degree = (links.select(F.col("a").alias("node")).union(links.select("b"))
-              .groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
+    roots, degree = linked_classes(rows, params)
     nodes = (rows.groupBy("node").agg(F.min("doc_id").alias("least"))
              .join(roots, "node", "left").join(degree, "node", "left")
              .select("node", "least", F.coalesce("root", "node").alias("root"),
