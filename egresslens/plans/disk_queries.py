@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from egresslens import constants as C
 
 from egresslens.functions.digests import ctph, locality, pearson_table
-from egresslens.operators import filters, fuzzy, match, usb
+from egresslens.operators import duplicates, filters, fuzzy, match, usb
 from egresslens.plans import disk
 from egresslens.plans.bridges import bridge, contents, packets, table
 from egresslens.plans.registry import query
@@ -502,6 +502,24 @@ def _(spark, sf):
         F.sum(F.length("line")).cast("bigint").alias("chars"), F.max(F.length("line")).cast("bigint").alias("longest"))
 
 
+@query("u04_near_duplicates", r"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    t AS MATERIALIZED (SELECT array_to_string(w, ' ') AS node, any_value(w) AS w FROM w WHERE len(w) > 0 GROUP BY 1),
+    s AS MATERIALIZED (SELECT DISTINCT node, array_to_string(w[i:i + 4], ' ') AS s
+          FROM t, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i)),
+    n AS (SELECT node, count(*) AS n FROM s GROUP BY 1),
+    common AS (SELECT x.node AS a, y.node AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.node <> y.node GROUP BY ALL),
+    pairs AS MATERIALIZED (SELECT a, b FROM common JOIN n p ON p.node = a JOIN n q ON q.node = b WHERE 10 * c >= 8 * (p.n + q.n - c)),
+    walk AS (SELECT node AS a, node AS b FROM t UNION SELECT walk.a, pairs.b FROM walk JOIN pairs ON pairs.a = walk.b),
+    root AS (SELECT a AS node, min(b) AS root FROM walk GROUP BY a),
+    classed AS (SELECT doc_id, coalesce(root, 'alone' || CAST(row_number() OVER () AS STRING)) AS class FROM w LEFT JOIN root ON array_to_string(w, ' ') = node)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY class) AS class_id, count(*) OVER (PARTITION BY class) AS class_size FROM classed""")
+def near_duplicates(spark, sf):
+    """Classes of documents whose runs of five words are similar by 0.8 or more."""
+    return duplicates.near_duplicates(table(spark, sf, "documents"), "doc_id").select("doc_id", "class_id", "class_size")
+
+
 @query("s11_saved_objects", r"""
     SELECT CAST(frame_no AS STRING) || '_cleaned.bin' AS filename, CAST(strlen(regexp_replace(text, '^[\r\n]+|[\r\n]+$', '', 'g')) AS BIGINT) AS size,
       sha256(regexp_replace(text, '^[\r\n]+|[\r\n]+$', '', 'g')) AS sha256 FROM b_mime""")
