@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from egresslens import constants as C
 from egresslens.functions import text as X
 from egresslens.functions.times import millis_text
+from egresslens.operators.intervals import most_specific
 from egresslens.session import materialize
 
 _ADDRESS_TYPES = (1, 28)
@@ -65,17 +66,8 @@ def shared_domains(packets: DataFrame) -> DataFrame:
 
 
 def geo_lookup(addresses: DataFrame, ranges: DataFrame, key: str = "address") -> DataFrame:
-    """Country and network of integer addresses by inclusive ranges ``(lo, hi, iso, asn)``.
-
-    Ranges are listed under every 65,536-wide stretch they touch, so the join is on equality.
-    Pass distinct addresses.
-    """
-    stretch = lambda c: F.floor(F.col(c) / 65536)
-    listed = ranges.select("lo", "hi", "iso", "asn",
-                           F.explode(F.sequence(stretch("lo"), stretch("hi"))).alias("stretch"))
-    inside = F.col(key).between(F.col("lo"), F.col("hi"))
-    return addresses.withColumn("stretch", stretch(key)).join(listed, "stretch").filter(inside).select(
-        *addresses.columns, "iso", "asn")
+    """Country and network of integer addresses by inclusive ranges ``(lo, hi, iso, asn)``, the narrowest where they nest."""
+    return most_specific(addresses, ranges, key, ["iso", "asn"])
 
 
 def ipv4_number(ip: Column) -> Column:
@@ -105,19 +97,9 @@ def ipv6_digits(ip: Column) -> Column:
 
 
 def geo_lookup_v6(addresses: DataFrame, ranges: DataFrame, key: str = "address") -> DataFrame:
-    """As ``geo_lookup`` for the 32 digits of IPv6 addresses and ranges whose ``lo`` and ``hi`` are IPv6 text.
-
-    A range is listed under the digits its ends have in common, an address under all its own
-    beginnings, so the join is on equality however wide a range is.
-    """
-    lo, hi = F.col("lo"), F.col("hi")
-    apart = F.filter(F.sequence(F.lit(1), F.lit(32)), lambda i: F.substr(lo, i, F.lit(1)) != F.substr(hi, i, F.lit(1)))
-    common = F.coalesce(F.try_element_at(apart, F.lit(1)), F.lit(33)) - 1
-    listed = ranges.select(ipv6_digits(lo).alias("lo"), ipv6_digits(hi).alias("hi"), "iso", "asn").dropna(
-        subset=["lo", "hi"]).withColumn("beginning", F.substr(lo, F.lit(1), common))
-    every = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda n: F.substr(F.col(key), F.lit(1), n))
-    begun = addresses.withColumn("beginning", F.explode(every))
-    return begun.join(listed, "beginning").filter(F.col(key).between(lo, hi)).select(*addresses.columns, "iso", "asn")
+    """As ``geo_lookup`` for the 32 digits of IPv6 addresses and ranges whose ``lo`` and ``hi`` are IPv6 text."""
+    digits = ranges.select(ipv6_digits(F.col("lo")).alias("lo"), ipv6_digits(F.col("hi")).alias("hi"), "iso", "asn")
+    return most_specific(addresses, digits, key, ["iso", "asn"])
 
 
 def geo_sets(packets: DataFrame, ranges: DataFrame, ranges_v6: DataFrame | None = None) -> DataFrame:

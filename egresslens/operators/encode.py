@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from egresslens import constants as C
+from egresslens.session import materialize
 
 STATELESS_SPLIT = {"train": 0.7, "val": 0.2, "test": 0.1}
 STATEFUL_SPLIT = {"train": 0.6, "val": 0.2, "test": 0.2}
@@ -121,9 +122,19 @@ class TargetEncoder:
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """Distinct labels with their rank from 0; only the distinct labels are ranked in one task."""
-    labels = df.select(column).dropna().distinct()
-    return labels.select((F.row_number().over(Window.orderBy(column)) - 1).alias("code"), column)
+    """Distinct labels with their rank from 0.
+
+    Labels are dealt by ranges of their order and ranked within each; the ranges' sizes are added up in order, one row a
+    range, so any number of labels is ranked side by side.
+    """
+    labels = df.select(column).dropna().distinct().repartitionByRange(column).withColumn("__part", F.spark_partition_id())
+    labels = materialize(labels, "labels")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = labels.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select(
+        "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__shift"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(column)) - 1
+    return labels.withColumn("__rank", rank).join(shift, "__part").select(
+        (F.col("__rank") + F.col("__shift")).cast("int").alias("code"), column)
 
 
 def encode_labels(df: DataFrame, column: str, out: str | None = None) -> DataFrame:

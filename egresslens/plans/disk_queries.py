@@ -16,6 +16,7 @@ from egresslens.plans.registry import query
 from egresslens.schemas import FILES, conform, require_columns
 from egresslens.session import materialize, work_path
 from egresslens.sources import readers, sinks
+from egresslens.sources.files import read_content_files, write_content_files
 
 _COLUMNS = ["path", "size", "sha256", "md5", "deleted", "partition_offset", "ftype"]
 _F = ", ".join(f"f.{c}" for c in _COLUMNS)
@@ -610,6 +611,28 @@ def _(spark, sf):
     return back.select(F.concat(F.lit("/"), F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
+@query("k08_content_files", "SELECT path, sha256 FROM b_files f SEMI JOIN b_targets t ON f.md5 = t.md5")
+def _(spark, sf):
+    """Content of the matched files as files, read back."""
+    path = work_path(spark, "content-files")
+    found = match.hash_match(_files(spark, sf), _targets(spark, sf), "md5")
+    write_content_files(found.select("path").join(contents(spark, sf).select("path", "content"), "path"), path)
+    return read_content_files(spark, path).select(
+        F.concat(F.lit("/"), F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("k10_object_files", "SELECT frame_no, sha256(text) AS sha256 FROM b_mime WHERE turn % 4 = 0")
+def _(spark, sf):
+    """Carried files as files named by their frame, read back."""
+    from egresslens.operators.objects import extract_objects
+    path = work_path(spark, "object-files")
+    carried = extract_objects(packets(spark, sf, "b_mime"), "multipart")
+    write_content_files(carried.select(F.concat(F.col("frame_no").cast("string"), F.lit("/"), F.col("original_filename")).alias("path"),
+                                       F.col("payload").alias("content")), path)
+    return read_content_files(spark, path).select(
+        F.regexp_extract("path", "^([0-9]+)/", 1).cast("bigint").alias("frame_no"), F.sha2("content", 256).alias("sha256"))
+
+
 @query("k10_saved_objects", "SELECT frame_no, role || '.txt' AS original_filename, sha256(text) AS sha256 FROM b_mime WHERE turn % 4 = 0")
 def _(spark, sf):
     from egresslens.operators.objects import extract_objects

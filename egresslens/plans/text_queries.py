@@ -356,6 +356,24 @@ def _(spark, sf):
     return dns.geo_lookup(addresses, bridge(spark, sf, "b_geo"))
 
 
+_NESTED_RANGES = """SELECT lo, hi, iso, asn FROM b_geo
+    UNION ALL SELECT CAST(r_regionkey * 20 AS BIGINT), CAST(r_regionkey * 20 + 45 AS BIGINT), substr(r_name, 1, 2), 'wide' FROM region
+    UNION ALL SELECT CAST(n_nationkey * 4 + 1 AS BIGINT), CAST(n_nationkey * 4 + 2 AS BIGINT), 'in', CAST(n_nationkey AS STRING) FROM nation WHERE n_nationkey % 3 = 0
+    UNION ALL SELECT CAST(0 AS BIGINT), CAST(1000000 AS BIGINT), 'all', 'all' FROM region WHERE r_regionkey = 0"""
+
+
+@query("j09_nested_ranges", f"""
+    WITH r AS ({_NESTED_RANGES})
+    SELECT c_custkey AS address, iso, asn FROM customer JOIN r ON c_custkey BETWEEN lo AND hi
+    QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY hi - lo, lo, iso, asn) = 1""")
+def _(spark, sf):
+    """The narrowest of nested and overlapping ranges around every customer key."""
+    for name in ("region", "nation"):
+        table(spark, sf, name).createOrReplaceTempView(name)
+    bridge(spark, sf, "b_geo").createOrReplaceTempView("b_geo")
+    return dns.geo_lookup(table(spark, sf, "customer").select(F.col("c_custkey").alias("address")), spark.sql(_NESTED_RANGES))
+
+
 _ADDRESS_6 = """'2001:db8:' || CAST(c_nationkey AS VARCHAR) || CASE WHEN c_custkey % 3 = 0 THEN ':0:0:0:0:' ELSE '::' END || CAST(c_custkey % 10000 AS VARCHAR)"""
 
 

@@ -267,7 +267,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     ).alias("first"))
     lines = placed.select("file", "first", F.posexplode("pieces").alias("place", "line")).select(
         "file", (F.col("first") + F.col("place")).cast("bigint").alias("line_no"), "line")
-    # What follows the last line feed is a line too, and an empty file is one.
+    # What follows the last line feed is a line too. Spark's file readers pass empty files over.
     rest = files.filter(~F.coalesce("cut", F.lit(False))).select(
         "file", F.coalesce("lines", F.lit(0)).cast("bigint").alias("line_no"), F.lit("").alias("line"))
     return lines.unionByName(rest)
