@@ -2,8 +2,8 @@
 
 Labelled pages give each host counts of good and all outcomes. Beta-binomial priors pull a host
 towards its registered domain, a domain towards its suffix and a suffix towards the whole, each with
-the strength that the spread between groups of that level shows (moments of the one-way layout). A
-page is allowed when the lower bound of its host's posterior, mean less ``z`` deviations, reaches
+the strength that the spread of a level's groups around their own parents shows (moments of the nested
+layout). A page is allowed when the lower bound of its host's posterior, mean less ``z`` deviations, reaches
 ``least``.
 
 Hosts are counted before they are joined, so the tables of hosts, domains and suffixes are small
@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from egresslens.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEVELS = ("suffix", "domain", "host")
+#: Level to the one above it.
+LEVELS = {"suffix": None, "domain": "suffix", "host": "domain"}
 
 
 @dataclass(frozen=True)
@@ -61,18 +62,25 @@ def suffix_of(host: str = "host") -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def strength(groups: DataFrame, params: Params) -> float:
-    """Strength of the prior from groups with ``n`` outcomes, ``good`` of them, by moments."""
+def strength(groups: DataFrame, parent: str | None, params: Params) -> float:
+    """Strength of the prior from groups with ``n`` outcomes, ``good`` of them, by the moments of the nested layout.
+
+    Groups are spread around their own parent, so parents that differ do not make their groups look spread.
+    """
     rate = F.col("good") / F.col("n")
-    row = groups.filter("n > 0").agg(
+    above = F.col(parent) if parent else F.lit("")
+    parents = groups.filter("n > 0").groupBy(above.alias("parent")).agg(
         F.count(F.lit(1)).alias("g"), F.sum("n").alias("n"), F.sum("good").alias("good"),
-        F.sum(F.col("good") * rate).alias("a"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
-    if row["g"] < 2 or row["n"] <= row["g"]:
+        F.sum(F.col("good") * rate).alias("a"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    row = parents.agg(
+        F.sum("g").alias("g"), F.count(F.lit(1)).alias("d"), F.sum("n").alias("n"), F.sum("good").alias("good"),
+        F.sum("a").alias("a"), F.sum(F.col("good") * rate).alias("above"), F.sum(F.col("nn") / F.col("n")).alias("nn")).first()
+    if not row["d"] or row["g"] == row["d"] or row["n"] <= row["g"]:
         return params.strongest
-    n, mean = float(row["n"]), row["good"] / row["n"]
-    between = (row["a"] - n * mean * mean) / (row["g"] - 1)
-    within = (row["good"] - row["a"]) / (n - row["g"])
-    size = (n - row["nn"] / n) / (row["g"] - 1)
+    free = row["g"] - row["d"]
+    between = (row["a"] - row["above"]) / free
+    within = (row["good"] - row["a"]) / (row["n"] - row["g"])
+    size = (row["n"] - row["nn"]) / free
     spread = between + (size - 1) * within
     share = (between - within) / spread if spread > 0 else 0.0
     return min(params.strongest, max(params.weakest, 1 / share - 1)) if share > 0 else params.strongest
@@ -91,7 +99,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, params: Params = Params())
     tables = {level: materialize(hosts.groupBy(*{"domain": ("domain", "suffix")}.get(level, (level,))).agg(
         F.sum("n").alias("n"), F.sum("good").alias("good")), level) for level in ("suffix", "domain")}
     tables["host"] = hosts
-    pulls = {level: strength(tables[level], params) for level in LEVELS}
+    pulls = {level: strength(tables[level], parent, params) for level, parent in LEVELS.items()}
     whole = tables["suffix"].agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     mean = (whole["good"] + 0.5) / (whole["n"] + 1) if whole["n"] else 0.5
 

@@ -106,6 +106,12 @@ def passes(policy: str) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
 
 
+def sole_rule(policy: str) -> Column:
+    """The rule of a policy that alone removes a ledger row, else null."""
+    bits = F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy])))
+    return F.coalesce(*[F.when(bits == mask((rule,)), F.lit(rule)) for rule in POLICIES[policy]])
+
+
 def ablations(book: DataFrame, policy: str) -> DataFrame:
     """Per rule of a policy: rows that fail it, rows that only it removes, rows kept with and without it.
 

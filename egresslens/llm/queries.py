@@ -121,20 +121,30 @@ m AS (
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
          length(regexp_replace(x, '\P{L}+', '', 'g')) AS letters, length(regexp_replace(x, '\P{Lu}+', '', 'g')) AS uppers
-  FROM w LEFT JOIN covered USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR 5 * n_symbols > n_words OR (2 * uppers > letters AND letters > 0)) AS kept
-FROM m
+  FROM w LEFT JOIN covered USING (r)),
+f AS (SELECT *, n_words < 20 AS few, 100 * n_repeat_words > 30 * n_words AS repeated,
+             word_chars < 2 * n_words OR word_chars > 20 * n_words AS odd, 5 * n_symbols > n_words AS symbols,
+             2 * uppers > letters AND letters > 0 AS shouting FROM m),
+one AS (SELECT *, CASE WHEN few::INT + repeated::INT + odd::INT + symbols::INT + shouting::INT = 1 THEN
+          CASE WHEN few THEN 'few_words' WHEN repeated THEN 'repeated_words' WHEN odd THEN 'word_length'
+               WHEN symbols THEN 'symbols' ELSE 'shouting' END END AS sole_rule FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR repeated AS base_failed,
+       NOT (few OR repeated OR odd OR symbols OR shouting) AS kept, sole_rule,
+       CASE WHEN sole_rule IS NOT NULL THEN count(*) OVER (PARTITION BY sole_rule) END AS removed_alone
+FROM one
 """
 
 
 @query("op1_quality_rules", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger under the base rules and the policy; for a document that one rule alone removes, the rule and, from the
+    ablation of the policy, how many documents it removes alone."""
     book = materialize(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger")
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes(POLICY).alias("kept"))
+    alone = quality_rules.ablations(book, POLICY).select(F.col("rule").alias("sole_rule"), "removed_alone")
+    # One row a rule, whatever the documents.
+    return book.withColumn("sole_rule", quality_rules.sole_rule(POLICY)).join(F.broadcast(alone), "sole_rule", "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes(POLICY).alias("kept"), "sole_rule", "removed_alone")
 
 
 ALLOW = ["com/", "www.example.com/en/"]

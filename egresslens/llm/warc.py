@@ -131,12 +131,22 @@ def _head(parts: Iterator[bytes], held: bytes) -> tuple[str, dict[str, str], byt
     return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, rest
 
 
+def _length(fields: dict[str, str]) -> int:
+    try:
+        return int(fields["content-length"])
+    except (KeyError, ValueError) as error:
+        raise Damaged("no readable Content-Length") from error
+
+
 def read_record(parts: Iterator[bytes]) -> dict:
     """Read and verify one record."""
     version, fields, held = _head(parts, b"")
     if not version.startswith("WARC/"):
         raise Damaged(f"no WARC record: {version[:20]!r}")
-    left = int(fields["content-length"])
+    missing = {"warc-type", "warc-record-id", "warc-block-digest", "warc-payload-digest"} - fields.keys()
+    if missing:
+        raise Damaged(f"a record without {', '.join(sorted(missing))}")
+    left = _length(fields)
     whole = hashlib.sha1()
 
     def block():
@@ -163,7 +173,7 @@ def read_record(parts: Iterator[bytes]) -> dict:
     if fields["warc-block-digest"] != "sha1:" + base64.b32encode(whole.digest()).decode():
         raise Damaged("the block does not have its digest")
     digest = fields["warc-payload-digest"].removeprefix("sha1:")
-    kind, told = fields["warc-type"], int(http["content-length"])
+    kind, told = fields["warc-type"], _length(http)
     if kind == "response" and (digest != base64.b32encode(payload.digest()).decode() or size != told):
         raise Damaged("the payload does not have its digest or length")
     if kind == "revisit" and size:
@@ -202,7 +212,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     raise Damaged(f"{path} has {found} records, not {n}")
 
     listed = manifest.select("path", "n_records", "root")
-    spread = listed.repartition(max(1, min(listed.count(), 2000)), "path")
+    spread = listed.repartition(max(1, listed.count()), "path")
     return map_batches(spread, run, "page_id long, payload_bytes long, payload_digest string, record_type string, "
                                     "refers_to long, url string")
 
