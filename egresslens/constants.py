@@ -7,10 +7,7 @@ FLOW_THRESHOLD_MB = 5
 UNCERTAINTY_MARGIN = 0.15
 SSDEEP_MIN_SCORE = 90
 TLSH_MAX_DISTANCE = 50
-SSDEEP_MIN_BYTES = 4096
-TLSH_MIN_BYTES = 256
 TFTP_BLOCK_BYTES = 512
-TYPE_HEADER_BYTES = 4096
 TARGET_ENCODING_SMOOTHING = 20.0
 SYNTHETIC_ROWS = {"train": 40_000, "val": 10_000, "test": 10_000}
 REPORT_TOP_DESTINATIONS = 50

@@ -7,6 +7,10 @@ from pyspark.sql import Column, functions as F
 from egresslens import constants as C
 
 
+#: Bytes that the longest signature looks at.
+HEADER_BYTES = max(len(prefix) for prefix, _ in C.SIGNATURES) // 2
+
+
 def _starts_with(header: Column, hex_prefix: str) -> Column:
     prefix = F.unhex(F.lit(hex_prefix))
     return F.substring(header, 1, len(hex_prefix) // 2) == prefix
@@ -14,7 +18,7 @@ def _starts_with(header: Column, hex_prefix: str) -> Column:
 
 def signature_type(data: Column) -> Column:
     """Type by signature only; unknown content is an octet stream."""
-    header = F.substring(data, 1, C.TYPE_HEADER_BYTES)
+    header = F.substring(data, 1, HEADER_BYTES)
     return reduce(
         lambda rest, rule: F.when(_starts_with(header, rule[0]), rule[1]).otherwise(rest),
         reversed(C.SIGNATURES),

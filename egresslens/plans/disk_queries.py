@@ -602,6 +602,47 @@ def _(spark, sf):
     return report.groupBy("part").agg(F.count(F.lit(1)).alias("blocks"))
 
 
+def _block(**fields: str) -> str:
+    """SQL of the lines of one block of the text report, with the rule below."""
+    lines = [f"'{label.replace('_', ' '):<11}: ' || coalesce(CAST({value} AS STRING), 'N/A')" for label, value in fields.items()]
+    return " || chr(10) || ".join([*lines, f"'{sinks.RULE}'"])
+
+
+def _head(part: int, title: str, table: str, none: str) -> str:
+    return f"""SELECT {part} AS part, 0 AS step, '' AS key, '{title}' || chr(10) || '{sinks.RULE}'
+      || CASE WHEN (SELECT count(*) FROM {table}) = 0 THEN chr(10) || '{none}' ELSE '' END AS text"""
+
+
+_MATCH_BLOCK = _block(Path="path", Size="CAST(size AS STRING) || ' bytes'", Modified="NULL", Type="ftype", SHA256="sha256",
+                      MD5="md5", Match_Type="mt")
+
+
+@query("k07_report_text", f"""
+    WITH m AS (SELECT *, CASE WHEN sha256 IN (SELECT sha256 FROM b_targets WHERE sha256 IS NOT NULL) THEN 'sha256' ELSE 'md5' END AS mt
+      FROM b_files WHERE sha256 IN (SELECT sha256 FROM b_targets WHERE sha256 IS NOT NULL) OR md5 IN (SELECT md5 FROM b_targets)),
+    n AS (SELECT * FROM b_files WHERE sha256 IN (SELECT sha256 FROM b_targets WHERE sha256 IS NOT NULL)),
+    u AS (SELECT * FROM b_usb WHERE line LIKE '%usb 1-1: idVendor%'),
+    ma AS (SELECT * FROM m WHERE NOT deleted), md AS (SELECT * FROM m WHERE deleted)
+    SELECT 0 AS part, 0 AS step, '' AS key, 'FORENSIC ANALYSIS REPORT' || chr(10) || 'SUMMARY' || chr(10) || '{sinks.RULE}' || chr(10)
+      || 'Matching allocated files : ' || (SELECT count(*) FROM ma) || chr(10) || 'Matching deleted files   : ' || (SELECT count(*) FROM md)
+      || chr(10) || 'Suspicious network events: ' || (SELECT count(*) FROM n) || chr(10) || 'USB history entries      : '
+      || (SELECT count(*) FROM u) || chr(10) || '{sinks.RULE}' AS text
+    UNION ALL {_head(1, 'ALLOCATED FILE MATCHES', 'ma', 'No matching allocated file matches found.')}
+    UNION ALL {_head(2, 'DELETED FILE MATCHES', 'md', 'No matching deleted file matches found.')}
+    UNION ALL {_head(3, 'NETWORK EXFILTRATION MATCHES', 'n', 'No suspicious network events found.')}
+    UNION ALL {_head(4, 'USB HISTORY', 'u', 'No USB activity detected.')}
+    UNION ALL SELECT CASE WHEN deleted THEN 2 ELSE 1 END, 1, path, {_MATCH_BLOCK} FROM m
+    UNION ALL SELECT 3, 1, path, {_block(Name='path', Size='size', SHA256='sha256', File_Type='ftype')} FROM n""")
+def _(spark, sf):
+    """The text of the report: summary, matches and network events in full, of the USB history its head."""
+    files, targets = conform(_files(spark, sf), FILES), _targets(spark, sf)
+    found = disk.match_files(files, targets, use_fuzzy=False)
+    carried = match.network_matches(files, targets).withColumnRenamed("path", "name")
+    devices = usb.usb_events(usb.linux_usb_events(bridge(spark, sf, "b_usb")))
+    report = disk.DiskTriage(files, found, carried, devices).text_report()
+    return report.filter("part < 4 OR step = 0").select("part", "step", "key", "text")
+
+
 @query("k08_matched_content", "SELECT path, sha256 FROM b_files f SEMI JOIN b_targets t ON f.md5 = t.md5")
 def _(spark, sf):
     path = work_path(spark, "content")
