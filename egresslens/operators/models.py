@@ -12,7 +12,7 @@ from egresslens import constants as C
 from egresslens.functions.times import encode_cyclic
 from egresslens.operators import encode, stats
 from egresslens.operators.detect import finding
-from egresslens.operators.ordered import left_join_on
+from egresslens.operators.ordered import left_join_on, running
 from egresslens.session import materialize
 
 
@@ -67,30 +67,82 @@ def first_stage(features: list[str], label: str = "class", epochs: int = 100, se
 
 
 def second_stage(features: list[str], label: str = "class", weight: str = "weight",
-                 validation: str = "is_val", rounds: int = 100, seed: int = 42) -> Pipeline:
-    """Boosted trees on the response features; training stops when validation gets worse."""
-    return Pipeline(stages=[
+                 validation: str = "is_val", rounds: int = 100, seed: int = 42, tolerance: float = 0.01) -> Pipeline:
+    """Boosted trees on the response features; training stops when the loss on validation rows gains less than ``tolerance``.
+
+    A negative tolerance trains all rounds, so that the area under the ROC curve alone decides how many count.
+    """
+    pipeline = Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
         GBTClassifier(labelCol=label, weightCol=weight, validationIndicatorCol=validation,
                       maxIter=rounds, maxDepth=8, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-                      minInstancesPerNode=50, stepSize=0.1, seed=seed)])
+                      minInstancesPerNode=50, stepSize=0.1, seed=seed, validationTol=max(tolerance, 0.0))])
+    if tolerance < 0:
+        boosted = pipeline.getStages()[-1]
+        boosted.clear(boosted.validationIndicatorCol)
+    return pipeline
 
 
 def positive_probability(column: str = "probability") -> Column:
     return F.element_at(vector_to_array(F.col(column)), 2)
 
 
-def score(model: PipelineModel, features: DataFrame, keep, out: str) -> DataFrame:
-    """Probability of the positive class; works on batch and stream alike."""
-    return model.transform(features).select(*keep, positive_probability().alias(out))
-
-
-def learning_curve(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Loss after each boosting round."""
-    assembled = model.stages[0].transform(df)
-    losses = model.stages[-1].evaluateEachIteration(assembled)
-    return df.sparkSession.createDataFrame(
-        [(i + 1, float(v)) for i, v in enumerate(losses)], "round int, loss double")
+def staged_margins(model: PipelineModel, features: DataFrame, out: str = "margins") -> DataFrame:
+    """Add the margins of boosted trees after each round, in one pass: every tree is a column, added up in order."""
+    boosted = model.stages[-1]
+    rows = model.stages[0].transform(features)
+    names = [f"__tree{i}" for i in range(len(boosted.trees))]
+    for name, tree in zip(names, boosted.trees):
+        rows = tree.copy().setPredictionCol(name).transform(rows)
+    each = F.array(*[F.col(name) * F.lit(float(weight)) for name, weight in zip(names, boosted.treeWeights)])
+    upto = F.transform(F.sequence(F.lit(1), F.lit(len(names))), lambda k: F.aggregate(
+        F.slice("__each", F.lit(1), k), F.lit(0.0), lambda a, x: a + x))
+    return rows.withColumn("__each", each).withColumn(out, upto).drop("__each", *names)
+
+
+def score(model: PipelineModel, features: DataFrame, keep, out: str, rounds: int | None = None) -> DataFrame:
+    """Probability of the positive class; works on batch and stream alike. ``rounds`` uses so many boosted trees only."""
+    if rounds is None:
+        return model.transform(features).select(*keep, positive_probability().alias(out))
+    margin = F.element_at("__margins", rounds)
+    return staged_margins(model, features, "__margins").select(*keep, (1 / (1 + F.exp(-2 * margin))).alias(out))
+
+
+#: Steps of the probability by which the margins of a round are cut for the rank sums.
+AUC_STEPS = 4096
+
+
+def staged_auc(margins: DataFrame, label: str = "class") -> DataFrame:
+    """(round, auc) from ``(margins, label)`` rows: rank sums of all rounds from one sorted aggregate, ties by half.
+
+    The margins of a round are cut into steps of their probability; negatives below a step are added up over the steps,
+    those below a margin inside its step. A round over rows of one class has no area.
+    """
+    rows = margins.select(F.col(label).cast("bigint").alias("y"), F.posexplode("margins").alias("place", "margin"))
+    counts = rows.groupBy((F.col("place") + 1).alias("round"), "margin").agg(
+        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    step = F.floor(AUC_STEPS / (1 + F.exp(-2 * F.col("margin"))))
+    ranked = running(counts.withColumn("step", step), ["round"], ["step", "margin"], sums={"below": F.col("neg")}, width=1,
+                     inclusive=False)
+    area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    return ranked.groupBy("round").agg(F.try_divide(area, F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
+def best_round(curve: DataFrame) -> int | None:
+    """The first round of the largest area, or None where no round has one."""
+    row = curve.filter("auc is not null").agg(F.max_by("round", F.struct("auc", -F.col("round"))).alias("round")).first()
+    return row["round"]
+
+
+def learning_curve(model: PipelineModel, df: DataFrame, train: DataFrame | None = None, label: str = "class") -> DataFrame:
+    """Loss and area under the ROC curve after each boosting round, on ``df``, and the loss on ``train`` where it is given."""
+    spark, boosted = df.sparkSession, model.stages[-1]
+    losses = lambda rows: [float(v) for v in boosted.evaluateEachIteration(model.stages[0].transform(rows))]
+    own = losses(df)
+    seen = losses(train) if train is not None else [None] * len(own)
+    rows = spark.createDataFrame([(i + 1, v, t) for i, (v, t) in enumerate(zip(own, seen))],
+                                 "round int, loss double, train_loss double")
+    return rows.join(staged_auc(staged_margins(model, df), label), "round", "left")
 
 
 def cyclic_lexical(features: DataFrame) -> DataFrame:

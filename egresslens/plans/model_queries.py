@@ -289,8 +289,9 @@ def second_stage(spark, sf):
 
 @query("n16_learning_curve")
 def _(spark, sf):
+    """Both losses and the area on the validation split by round."""
     stage = _second_stage(spark, sf)
-    return models.learning_curve(stage.model, stage.val.withColumn("weight", F.lit(1.0)))
+    return models.learning_curve(stage.model, stage.val.withColumn("weight", F.lit(1.0)), stage.train)
 
 
 def _first_rows(spark, sf):
