@@ -11,8 +11,8 @@ full table only prune less and change no result.
 
 The last pass looks at runs whose fingerprint is marked: within a flush the words of all
 occurrences of a fingerprint are compared, so a pointer (document and word place) stands for one
-phrase; its text is read at the pointer, and a shuffle adds up counts by text and keeps a pointer. Two phrases of
-one fingerprint part there, and one that is rare after all is dropped. Only such phrases become text.
+phrase; its text is read at the pointer, and a shuffle of compressed blocks, one a range of fingerprints, adds up counts
+by fingerprint and text and keeps a pointer. Two phrases of one fingerprint part there, and one that is rare after all is dropped. Only such phrases become text.
 
 Scores are cut points of a phrase: 2,000,000 * a / (l + r), rounded down, in decimals of 38 digits.
 
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 import xxhash
@@ -54,10 +55,11 @@ class Params:
     scale: int = 2_000_000
     top: int = 2000
     #: Words of a flush; a longer text is a flush of its own. Bits of the table of a level.
-    flush: int = 1_000_000
-    bits: int = 1 << 27
-    #: Fingerprints gathered in a task before they are sent; bytes of text to a range of them.
-    gathered: int = 4_000_000
+    flush: int = 250_000
+    bits: int = 1 << 26
+    #: Fingerprints, and phrases, gathered in a task before they are sent; bytes of text to a range of them.
+    gathered: int = 1_000_000
+    gathered_phrases: int = 600_000
     spread: int = 1 << 22
 
 
@@ -144,17 +146,17 @@ def _flushes(batches, params: Params):
         yield Flush(texts, langs), ids
 
 
-def candidate_runs(flush: Flush, tables: list[np.ndarray], sizes: tuple[int, ...]):
-    """(size, keys, places): runs whose parts of the level below are all marked."""
+def candidate_runs(flush: Flush, below: tuple[int, np.ndarray] | None, sizes: tuple[int, ...]):
+    """(keys, places) of each size: runs whose parts are all marked. below: size of the parts and their table."""
     for size in sizes:
         keys, whole = flush.fingerprints(size)
-        if tables:
-            part, table = len(tables), tables[-1]
-            below, ok = flush.fingerprints(part)
-            ok &= _marked(table, below)
+        if below:
+            part, table = below
+            parts, ok = flush.fingerprints(part)
+            ok &= _marked(table, parts)
             for j in range(size - part + 1):
                 whole = whole & ok[j:j + len(whole)]
-        yield size, keys, np.flatnonzero(whole)
+        yield keys, np.flatnonzero(whole)
 
 
 def _packed(held: list[tuple[np.ndarray, np.ndarray]], ranges: int) -> pa.RecordBatch:
@@ -188,7 +190,7 @@ def frequent_keys(rows: DataFrame, shared, sizes: tuple[int, ...], ranges: int,
     def run(batches):
         held, waiting = [], 0
         for flush, _ in _flushes(batches, params):
-            for _, keys, places in candidate_runs(flush, shared.value, sizes):
+            for keys, places in candidate_runs(flush, shared.value, sizes):
                 if len(places):
                     held.append(np.unique(keys[places] >> np.uint64(DROPPED), return_counts=True))
                     waiting += len(held[-1][0])
@@ -227,43 +229,84 @@ def counted_phrases(documents: DataFrame, params: Params = Params()) -> DataFram
     nbytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     ranges = max(RANGES, 1 << (int(nbytes) // params.spread).bit_length())
     for sizes in [(1,), (2,), tuple(range(3, params.longest + 1))]:
-        found = frequent_keys(rows, context.broadcast(list(tables)), sizes, ranges, params)
+        below = context.broadcast((len(tables), tables[-1]) if tables else None)
+        found = frequent_keys(rows, below, sizes, ranges, params)
         tables.append(bit_table(found, params.bits))
     shared = context.broadcast(tables)
     kind = documents.schema["doc_id"].dataType.simpleString()
+    fields = [("key", pa.uint64()), ("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()),
+              ("n", pa.int64()), ("doc_id", to_arrow_type(documents.schema["doc_id"].dataType)), ("place", pa.int64())]
 
     def run(batches):
-        tables = shared.value
+        held, waiting = [], 0
         for flush, ids in _flushes(batches, params):
-            number = np.cumsum(flush.words != 0) - 1
-            first = number[flush.begins] + (flush.words[flush.begins] == 0)
-            out = {"lang": [], "size": [], "phrase": [], "n": [], "doc_id": [], "place": []}
-            totals = np.bincount(flush.lang, flush.words != 0)
-            for code, lang in enumerate(dict.fromkeys(flush.langs)):
-                for name, value in zip(out, (lang, 0, "", int(totals[code]), None, None)):
-                    out[name].append(value)
-            for size in range(1, params.longest + 1):
-                keys, whole = flush.fingerprints(size)
-                table = tables[min(size, len(tables)) - 1]
-                at, n = flush.phrases(size, keys, np.flatnonzero(whole & _marked(table, keys)))
-                doc = flush.doc[at]
-                out["size"] += [size] * len(at)
-                out["n"] += n.tolist()
-                out["place"] += (number[at] - first[doc]).tolist()
-                for d, begin in zip(doc.tolist(), (at - flush.begins[doc]).tolist()):
-                    out["phrase"].append(b" ".join(flush.texts[d][begin:begin + size]).decode())
-                    out["lang"].append(flush.langs[d])
-                    out["doc_id"].append(ids[d])
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
-                [("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()),
-                 ("doc_id", id_type), ("place", pa.int64())]))
-
-    id_type = to_arrow_type(documents.schema["doc_id"].dataType)
-    pointed = map_batches(rows, run, f"lang string, size int, phrase string, n long, doc_id {kind}, place long")
-    # Any occurrence may be the one pointed at; both parts come from one row.
-    return (pointed.groupBy("lang", "size", "phrase").agg(
-        F.sum("n").alias("n"), F.first("doc_id").alias("doc_id"), F.first("place").alias("place"))
-        .filter((F.col("n") >= params.least) | (F.col("size") == 0)))
+            held.append(pa.table(_pointed(flush, ids, shared.value, params), pa.schema(fields)))
+            waiting += len(held[-1])
+            if waiting >= params.gathered_phrases:
+                held = [_added(held)]
+                if 2 * len(held[0]) >= params.gathered_phrases:
+                    yield _blocks(held.pop(), ranges)
+                waiting = sum(map(len, held))
+        if held:
+            yield _blocks(_added(held), ranges)
+
+    def whole(group: pa.Table) -> pa.Table:
+        table = _added([pa.ipc.open_stream(block).read_all() for block in group.column("block").to_pylist()])
+        kept = pc.or_(pc.greater_equal(table["n"], params.least), pc.equal(table["size"], 0))
+        return table.filter(kept).select([name for name, _ in fields[1:]])
+
+    return map_batches(rows, run, "place int, block binary").groupBy("place").applyInArrow(
+        whole, f"lang string, size int, phrase string, n long, doc_id {kind}, place long")
+
+
+def _pointed(flush: Flush, ids: list, tables: list[np.ndarray], params: Params) -> dict[str, list]:
+    """Marked phrases of a flush with their number and a pointer, and the number of words of each language as size 0."""
+    number = np.cumsum(flush.words != 0) - 1
+    first = number[flush.begins] + (flush.words[flush.begins] == 0)
+    totals = np.bincount(flush.lang, flush.words != 0)
+    langs = list(dict.fromkeys(flush.langs))
+    out = {"key": [0] * len(langs), "lang": list(langs), "size": [0] * len(langs), "phrase": [""] * len(langs),
+           "n": [int(n) for n in totals], "doc_id": [None] * len(langs), "place": [None] * len(langs)}
+    for size in range(1, params.longest + 1):
+        keys, whole = flush.fingerprints(size)
+        at, n = flush.phrases(size, keys, np.flatnonzero(whole & _marked(tables[min(size, len(tables)) - 1], keys)))
+        doc = flush.doc[at]
+        out["key"] += keys[at].tolist()
+        out["size"] += [size] * len(at)
+        out["n"] += n.tolist()
+        out["place"] += (number[at] - first[doc]).tolist()
+        for d, begin in zip(doc.tolist(), (at - flush.begins[doc]).tolist()):
+            out["phrase"].append(b" ".join(flush.texts[d][begin:begin + size]).decode())
+            out["lang"].append(flush.langs[d])
+            out["doc_id"].append(ids[d])
+    return out
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """One row per fingerprint and text: counts added up, the first pointer kept."""
+    names = tables[0].schema.names
+    table = pa.concat_tables(tables).combine_chunks()
+    return (table.group_by(["key", "lang", "size", "phrase"], use_threads=False)
+            .aggregate([("n", "sum"), ("doc_id", "first"), ("place", "first")])
+            .rename_columns(["key", "lang", "size", "phrase", "n", "doc_id", "place"]).select(names))
+
+
+def _blocks(table: pa.Table, ranges: int) -> pa.RecordBatch:
+    """(range, block) rows: the rows of each range of fingerprints, sorted by text and compressed."""
+    place = (table["key"].to_numpy() >> np.uint64(65 - ranges.bit_length())).astype(np.int32)
+    table = table.append_column("range", pa.array(place)).sort_by([(n, "ascending") for n in ("range", "lang", "size", "phrase")])
+    place = table["range"].to_numpy()
+    table = table.drop_columns(["range"]).combine_chunks()
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    blocks = []
+    for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table.slice(begin, end - begin))
+        blocks.append(sink.getvalue().to_pybytes())
+    del table
+    pa.default_memory_pool().release_unused()
+    return pa.RecordBatch.from_arrays([pa.array(place[starts]), pa.array(blocks, pa.binary())], names=["place", "block"])
 
 
 def _part(start: Column, size: Column) -> Column:
