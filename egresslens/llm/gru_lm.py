@@ -3,14 +3,15 @@
 Tokens are lower-cased words and one end. Every word belongs to one output class: the most frequent
 words ("heads") to classes of ``width`` words by rank, all others to classes by their last bytes. The
 network predicts the class from its state by one softmax, a head by a second softmax within its
-class, and another word by its smoothed share of the class's counts, so the probabilities of all
-words, seen or not, add up to one.
+class, and another word by its smoothed share of the class's counts. With 1,024 heads or more the
+probabilities of all words seen in training and of one unseen word a tail class add up to one; with fewer,
+classes without a word keep what little the softmax gives them.
 
 A document's state starts at zero and is carried from window to window to its end; nothing is cut.
 Documents run side by side in lanes, one after the other within a lane.
 
 Counts cover all training documents, and the network is fitted on all of them, dealt into shards of
-about ``shard`` documents: first on one shard by truncated backpropagation, then from there one pass
+about ``shard`` bytes: first on one shard by truncated backpropagation, then from there one pass
 over every shard at once, and the weights are averaged. The rule is the same at every size.
 
 Words beyond the ``known`` most frequent are looked up by a join, so what is broadcast has a fixed size.
@@ -44,16 +45,21 @@ class Params:
     width: int = 32
     tails: int = 32
     known: int = 262_144
-    shard: int = 1000
-    lanes: int = 64
-    window: int = 32
+    #: Bytes of text to a shard; documents are dealt whole.
+    shard: int = 24 << 20
+    lanes: int = 256
+    window: int = 16
     rate: float = 0.01
     epochs: int = 3
     seed: int = 7
 
+    def __post_init__(self) -> None:
+        if self.heads % self.width:
+            raise ValueError("heads must fill their classes")
+
     @property
     def head_classes(self) -> int:
-        return -(-self.heads // self.width)
+        return self.heads // self.width
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -198,53 +204,86 @@ def _sigmoid(x):
 
 
 def run_window(w: dict, inputs, starts, state, keep: bool = False):
-    """States after each step of a window, and what the way back needs."""
+    """States after each step of a window, and what the way back needs: per step the state before, both gates, the new
+    value and its recurrent part."""
     steps, lanes = inputs.shape
     h = state.shape[1]
     states = np.empty((steps, lanes, h), np.float32)
-    memory = []
+    memory = np.empty((4, steps, lanes, h), np.float32) if keep else None
+    gates = np.empty((steps, lanes, 2 * h), np.float32) if keep else None
+    given = w["inputs"][inputs]
+    fresh = starts.any(axis=1)
     recurrent = w["state"]
     for t in range(steps):
-        if starts[t].any():
+        if fresh[t]:
             state = state * ~starts[t][:, None]
-        a = w["inputs"][inputs[t]]
-        g = state @ recurrent
+        a, g = given[t], state @ recurrent
         zr = _sigmoid(a[:, :2 * h] + g[:, :2 * h])
-        z, r = zr[:, :h], zr[:, h:]
-        n = np.tanh(a[:, 2 * h:] + r * g[:, 2 * h:])
-        new = n + z * (state - n)
+        n = np.tanh(a[:, 2 * h:] + zr[:, h:] * g[:, 2 * h:])
         if keep:
-            memory.append((state, z, r, n, g[:, 2 * h:]))
-        states[t] = state = new
-    return states, memory
+            memory[0, t], memory[1, t], memory[2, t], gates[t] = state, n, g[:, 2 * h:], zr
+        state = np.add(n, zr[:, :h] * (state - n), out=states[t])
+    return states, (memory, gates)
 
 
 def class_of(targets: np.ndarray, params: Params) -> np.ndarray:
     return np.where(targets < params.heads, targets // params.width, params.head_classes + targets - params.heads)
 
 
-def by_head_class(targets: np.ndarray, params: Params):
-    """(class, places of its targets) for the head classes that occur."""
-    places = np.flatnonzero(targets < params.heads)
-    places = places[np.argsort(targets[places], kind="stable")]
-    groups = targets[places] // params.width
-    for part in np.split(places, np.flatnonzero(np.diff(groups)) + 1) if len(places) else []:
-        yield int(targets[part[0]] // params.width), part
-
-
-def _log_softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x, own):
+    """Softmax in place of ``x`` and its logarithm at ``own``."""
+    x -= x.max(axis=1, keepdims=True)
+    found = x[own]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    x /= total[:, None]
+    return x, found - np.log(total)
+
+
+class HeadTargets:
+    """The targets that are heads, sorted, with the softmax of each within its class and the log of its own share."""
+
+    def __init__(self, w: dict, states: np.ndarray, targets: np.ndarray, size: int, params: Params) -> None:
+        self.params = params
+        places = np.flatnonzero(targets < params.heads)
+        self.places = places = places[np.argsort(targets[places], kind="stable")]
+        words, self.states = targets[places], states[places]
+        kinds = words // params.width
+        self.own = np.arange(len(places)), words - kinds * params.width
+        self.begins = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))[:len(places)]
+        self.kinds = kinds[self.begins]
+        self.parts = list(zip(self.kinds.tolist(), self.begins.tolist(), [*self.begins[1:].tolist(), len(places)]))
+        logits = np.empty((len(places), params.width), np.float32)
+        for k, begin, end in self.parts:
+            rows = slice(k * params.width, (k + 1) * params.width)
+            np.matmul(self.states[begin:end], w["heads"][rows].T, out=logits[begin:end])
+            logits[begin:end] += w["head_bias"][rows]
+            if (k + 1) * params.width > size:  # words that do not exist
+                logits[begin:end, size - k * params.width:] = -np.inf
+        self.shares, self.found = _softmax(logits, self.own) if len(places) else (logits, np.empty(0, np.float32))
+
+    def back(self, w: dict, g: dict, dh: np.ndarray, n: int) -> None:
+        """Add the gradients of the weights and of the states."""
+        pull = self.shares
+        pull[self.own] -= 1
+        pull /= n
+        down = np.empty_like(self.states)
+        for k, begin, end in self.parts:
+            rows = slice(k * self.params.width, (k + 1) * self.params.width)
+            np.matmul(pull[begin:end].T, self.states[begin:end], out=g["heads"][rows])
+            np.matmul(pull[begin:end], w["heads"][rows], out=down[begin:end])
+        if len(self.places):
+            g["head_bias"].reshape(-1, self.params.width)[self.kinds] = np.add.reduceat(pull, self.begins)
+        dh[self.places] += down
 
 
 def log_likelihoods(w: dict, states: np.ndarray, targets: np.ndarray, size: int, params: Params) -> np.ndarray:
     """Natural log of class and, for heads, of the word in its class. size: heads that exist."""
-    logs = _log_softmax(states @ w["classes"] + w["class_bias"])
-    out = logs[np.arange(len(targets)), class_of(targets, params)]
-    for k, part in by_head_class(targets, params):
-        words = slice(k * params.width, min((k + 1) * params.width, size))
-        inner = _log_softmax(states[part] @ w["heads"][words].T + w["head_bias"][words])
-        out[part] += inner[np.arange(len(part)), targets[part] - k * params.width]
+    logits = states @ w["classes"]
+    logits += w["class_bias"]
+    _, out = _softmax(logits, (np.arange(len(targets)), class_of(targets, params)))
+    heads = HeadTargets(w, states, targets, size, params)
+    out[heads.places] += heads.found
     return out
 
 
@@ -252,45 +291,54 @@ def gradients(w: dict, inputs, targets, starts, valid, state, size: int, params:
     """Loss (nats a token), gradients and last state of one window of truncated backpropagation."""
     steps, lanes = inputs.shape
     h = params.state
-    states, memory = run_window(w, inputs, starts, state, keep=True)
+    states, (memory, gates) = run_window(w, inputs, starts, state, keep=True)
     g = {k: np.zeros_like(v) for k, v in w.items()}
-    at = valid.ravel()
+    every = bool(valid.all())
+    at = slice(None) if every else valid.ravel()
     hs, ys = states.reshape(-1, h)[at], targets.ravel()[at]
     n = max(1, len(ys))
-    logs = _log_softmax(hs @ w["classes"] + w["class_bias"])
-    rows, kinds = np.arange(len(ys)), class_of(ys, params)
-    loss = -logs[rows, kinds].sum()
-    push = np.exp(logs)
-    push[rows, kinds] -= 1
+    logits = hs @ w["classes"]
+    logits += w["class_bias"]
+    own = np.arange(len(ys)), class_of(ys, params)
+    push, found = _softmax(logits, own)
+    loss = -found.sum()
+    push[own] -= 1
     push /= n
     g["classes"], g["class_bias"] = hs.T @ push, push.sum(axis=0)
     dh = push @ w["classes"].T
-    for k, part in by_head_class(ys, params):
-        words = slice(k * params.width, min((k + 1) * params.width, size))
-        inner = _log_softmax(hs[part] @ w["heads"][words].T + w["head_bias"][words])
-        own = np.arange(len(part)), ys[part] - k * params.width
-        loss -= inner[own].sum()
-        pull = np.exp(inner)
-        pull[own] -= 1
-        pull /= n
-        g["heads"][words], g["head_bias"][words] = pull.T @ hs[part], pull.sum(axis=0)
-        dh[part] += pull @ w["heads"][words]
-    outer = np.zeros((steps * lanes, h), np.float32)
-    outer[at] = dh
+    heads = HeadTargets(w, hs, ys, size, params)
+    loss -= heads.found.sum()
+    heads.back(w, g, dh, n)
+    outer = dh
+    if not every:
+        outer = np.zeros((steps * lanes, h), np.float32)
+        outer[at] = dh
     outer = outer.reshape(steps, lanes, h)
     d_inputs = np.empty((steps, lanes, 3 * h), np.float32)
+    d_state = np.empty((steps, lanes, 3 * h), np.float32)
+    before, new, gn = memory[0], memory[1], memory[2]
+    z, r = gates[:, :, :h], gates[:, :, h:]
+    # What does not depend on the way back is worked out for all steps at once.
+    to_n, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), gn * r * (1 - r)
+    turned, fresh = np.ascontiguousarray(w["state"].T), starts.any(axis=1)
     back = np.zeros((lanes, h), np.float32)
     for t in range(steps - 1, -1, -1):
-        before, z, r, new, gn = memory[t]
         d = outer[t] + back
-        da_n = d * (1 - z) * (1 - new * new)
-        da_z = d * (before - new) * z * (1 - z)
-        da_r = da_n * gn * r * (1 - r)
-        dg = np.concatenate([da_z, da_r, da_n * r], axis=1)
-        d_inputs[t] = np.concatenate([da_z, da_r, da_n], axis=1)
-        g["state"] += before.T @ dg
-        back = (d * z + dg @ w["state"].T) * ~starts[t][:, None]
-    np.add.at(g["inputs"], inputs.ravel(), d_inputs.reshape(-1, 3 * h))
+        da, dg = d_inputs[t], d_state[t]
+        da_n = np.multiply(d, to_n[t], out=da[:, 2 * h:])
+        np.multiply(d, to_z[t], out=da[:, :h])
+        np.multiply(da_n, to_r[t], out=da[:, h:2 * h])
+        dg[:, :2 * h] = da[:, :2 * h]
+        np.multiply(da_n, r[t], out=dg[:, 2 * h:])
+        back = d * z[t] + dg @ turned
+        if fresh[t]:
+            back *= ~starts[t][:, None]
+    g["state"] = before.reshape(-1, h).T @ d_state.reshape(-1, 3 * h)
+    symbols = inputs.ravel()
+    order = np.argsort(symbols, kind="stable")
+    symbols = symbols[order]
+    begins = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+    g["inputs"][symbols[begins]] = np.add.reduceat(d_inputs.reshape(-1, 3 * h)[order], begins)
     return float(loss) / n, g, states[-1]
 
 
@@ -309,17 +357,19 @@ def fit(docs: list[np.ndarray], size: int, params: Params, weights: dict | None
             _, g, last = gradients(w, inputs, targets, starts, valid, state[:inputs.shape[1]], size, params)
             state = last
             step += 1
-            scale = rate * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
+            scale = np.float32(rate * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step))
             for k in w:
-                first[k] += 0.1 * (g[k] - first[k])
-                second[k] += 0.001 * (g[k] * g[k] - second[k])
-                w[k] -= (scale * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
+                first[k] += np.float32(0.1) * (g[k] - first[k])
+                np.multiply(g[k], g[k], out=g[k])
+                second[k] += np.float32(0.001) * (g[k] - second[k])
+                w[k] -= scale * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
     return w
 
 
 def train(documents: DataFrame, lex: Lexicon, params: Params) -> np.ndarray:
     """Weights fitted on all texts (doc_id, text)."""
-    shards = max(1, -(-documents.count() // params.shard))
+    nbytes = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    shards = max(1, -(-nbytes // params.shard))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     dealt = materialize(documents.select("text", draw.alias("draw")).select(
         "text", "draw", F.least(F.floor(F.col("draw") * shards), F.lit(shards - 1)).cast("int").alias("shard")),
@@ -359,7 +409,7 @@ def train(documents: DataFrame, lex: Lexicon, params: Params) -> np.ndarray:
 
 
 def document_scores(texts: list, places: Places, lex: Lexicon, w: dict, params: Params):
-    """Per text: tokens, known tokens, log10 of their smoothed counts, network part, and the other words."""
+    """Per text: tokens, known tokens, log10 of their smoothed counts, network part, and the other words by number."""
     docs, known, base, part, rare = [], [], np.zeros(len(texts)), np.zeros(len(texts)), []
     for i, text in enumerate(texts):
         words = tokens(text)
@@ -371,7 +421,7 @@ def document_scores(texts: list, places: Places, lex: Lexicon, w: dict, params:
         base[i] = logs.sum()
         part[i] = logs[tail[found]].sum() - lex.tail_total[symbols[tail] - params.heads].sum()
         known.append(int(found.sum()))
-        rare.append([words[j] for j in np.flatnonzero(~found)])
+        rare.append(Counter(words[j] for j in np.flatnonzero(~found)))
         docs.append(symbols.astype(np.int32))
     lanes = Lanes(docs, 256, params)
     state = np.zeros((lanes.targets.shape[1], params.state), np.float32)
@@ -400,8 +450,9 @@ def score(documents: DataFrame, counts: DataFrame, lex: Lexicon, weights: np.nda
             return pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([b.column(i) for b in held_rows]) for i in range(3)]
                 + [pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array(base), pa.array(part),
-                   pa.array(rare, pa.list_(pa.binary()))],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "part", "rare"])
+                   pa.array([list(x) for x in rare], pa.list_(pa.binary())),
+                   pa.array([list(x.values()) for x in rare], pa.list_(pa.int64()))],
+                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "part", "rare", "times"])
 
         for batch in batches:
             held_rows.append(batch)
@@ -415,11 +466,15 @@ def score(documents: DataFrame, counts: DataFrame, lex: Lexicon, weights: np.nda
 
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", held.alias("held_out"), "text")
     scored = materialize(map_batches(rows, run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, "
-                                                "base double, part double, rare array<binary>"), "lm-scores")
-    rare = (scored.select("row", F.explode("rare").alias("word")).join(counts.select("word", "n"), "word", "left")
-            .groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("logs")))
+                                                "base double, part double, rare array<binary>, times array<long>"), "lm-scores")
+    # A word stands once a text here, however often it occurs in it.
+    rare = (scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
+            .select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+            .join(counts.select("word", "n"), "word", "left")
+            .groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more"),
+                                F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("logs")))
     logs = F.coalesce("logs", F.lit(0.0))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    return scored.drop("rare", "times").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(lex.total).cast("long").alias("train_tokens"),
         (F.col("base") + logs - F.col("n_tokens") * lex.base_total).alias("base_score"),
