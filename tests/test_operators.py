@@ -8,6 +8,7 @@ from egresslens.operators.ordered import running
 from egresslens.operators.skew import spread_hot_keys
 from egresslens.plans import disk, training
 from egresslens.schemas import PACKETS, conform, layer
+from egresslens.session import materialize
 
 HOST = "10.0.0.1"
 
@@ -189,3 +190,34 @@ def test_synthetic_rows_have_keys_of_their_own(spark):
     part = spark.createDataFrame([(i, 1 if i % 2 else 0, float(i)) for i in range(1, 21)], "frame_no bigint, class int, x double")
     keys = [r["frame_no"] for r in training.augmented(part, ["x"], 40, "frame_no").collect()]
     assert len(keys) == len(set(keys)) == 60
+
+
+def test_response_features_read_the_packets_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(name):
+        read.add(1)
+        return name
+
+    rows = [(i, f"a.d{i % 3}.com", [f"10.0.0.{j}" for j in range(i % 4)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "frame_no bigint, q string, ips array<string>").repartition(3).select("frame_no", F.struct(
+        seen("q").alias("qname"), F.transform("ips", lambda i: F.struct(F.lit(1).alias("type"), i.alias("rdata"), F.lit(5).cast("bigint").alias("ttl"),
+                                                                        F.col("q").alias("name"))).alias("rr")).alias("dns"))
+    ranges = spark.createDataFrame([(167772160, 167772161, "A", "x")], "lo bigint, hi bigint, iso string, asn string")
+    got = {r["frame_no"]: (r["distinct_domains"], r["unique_country"], r["distinct_ip"]) for r in dns.response_features(df, ranges).collect()}
+    domains = '["d0.com","d1.com","d2.com"]'
+    assert got == {i: (domains, '["A"]', i % 4) for i in range(40) if i % 4}
+    assert read.value == 30
+
+
+def test_address_sets_are_not_broadcast(spark):
+    """Their files say little of their size in memory."""
+    rows = spark.range(1000).select(F.col("id").alias("frame_no"), F.struct(F.lit("a.b.com").alias("qname"), F.array(F.struct(
+        F.lit(1).alias("type"), F.concat(F.lit("10.0.0."), (F.col("id") % 9).cast("string")).alias("rdata"))).alias("rr")).alias("dns"))
+    packets = materialize(rows, "few-bytes")
+    ranges = spark.createDataFrame([(167772160, 167772161, "A", "x")], "lo bigint, hi bigint, iso string, asn string")
+    for made in (dns.shared_domains(packets), dns.geo_sets(packets, ranges)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        held = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "[ip#" in line]
+        assert held == []
