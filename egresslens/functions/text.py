@@ -20,11 +20,9 @@ def strip(col: Column) -> Column:
 def entropy(col: Column, digits: int = 10) -> Column:
     """Shannon entropy (bits) of the characters; 0 for an empty text."""
     # Each distinct character is cut out once; what the text loses is its count.
-    def add(acc: Column, ch: Column) -> Column:
-        share = (F.length(col) - F.length(F.replace(col, ch))) / F.length(col)
-        return acc - let(share, lambda p: p * F.log2(p))
-
-    bits = F.aggregate(F.array_distinct(F.split(col, "")), F.lit(0.0), add)
+    share = lambda ch: (F.length(col) - F.length(F.replace(col, ch))) / F.length(col)
+    shares = F.transform(F.array_distinct(F.split(col, "")), share)
+    bits = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.when(col.isNull() | (col == ""), F.lit(0.0)).otherwise(F.round(bits, digits) + F.lit(0.0))
 
 
