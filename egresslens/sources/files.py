@@ -12,7 +12,7 @@ import uuid
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 FORMAT = "content_files"
@@ -92,10 +92,41 @@ def write_content_files(rows: DataFrame, path: str) -> None:
     rows.select("path", "content").write.format(FORMAT).mode("append").save(path)
 
 
+#: Bytes of contents that a reading task hands on at once.
+_BATCH_BYTES = 8_000_000
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's file readers pass a path over for the name of one of its steps."""
+    return any(step.startswith(".") or (step.startswith("_") and "=" not in step) for step in name.split("/"))
+
+
 def read_content_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, content)`` of files written so, with their paths below the folders of the tasks.
 
-    Spark's file readers pass empty files over.
+    Each folder is listed and read by a task of its own, so that no names of files pass through the driver. Empty and
+    hidden files are passed over, as by Spark's file readers.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.select(F.regexp_extract("path", r"/part-\d+-[0-9a-f]{32}/(.*)$", 1).alias("path"), "content")
+    store, root = _place(path.rstrip("/"))
+    below = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    folders = sorted(f.base_name for f in below if f.type == fs.FileType.Directory and f.base_name.startswith("part-"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _place(path.rstrip("/"))
+        for folder in (f"{root}/{folders[i]}" for batch in batches for i in batch.column(0).to_pylist()):
+            names, contents, held = [], [], 0
+            for info in store.get_file_info(fs.FileSelector(folder, recursive=True)):
+                name = info.path[len(folder) + 1:]
+                if info.type != fs.FileType.File or not info.size or _hidden(name):
+                    continue
+                if held and held + info.size > _BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+                    names, contents, held = [], [], 0
+                with store.open_input_stream(info.path) as file:
+                    names.append(name)
+                    contents.append(file.read())
+                held += info.size
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    return spark.range(0, len(folders), 1, max(len(folders), 1)).mapInArrow(read, "path string, content binary")

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from egresslens.session import shared_dir
 from egresslens.sources.files import read_content_files, safe_path, write_content_files
 
 
@@ -34,3 +35,14 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
         write_content_files(df, str(tmp_path / "out"))
     left = [f for _, _, files in os.walk(tmp_path) for f in files]
     assert left == []
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """No name of a file passes through the driver, however many there are; hidden files stay out."""
+    rows = spark.range(300).select(F.concat("id", F.lit("/a.txt")).alias("path"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
+    hidden = spark.createDataFrame([(".h/a", b"1"), ("b/_h", b"2"), ("_k=1/b", b"3")], rows.schema)
+    write_content_files(rows.union(hidden).repartition(3), str(tmp_path / "out"))
+    found = read_content_files(spark, str(tmp_path / "out"))
+    assert found.inputFiles() == []
+    got = {r["path"]: bytes(r["content"]) for r in found.collect()}
+    assert got == {f"{i}/a.txt": str(i).encode() for i in range(300)} | {"_k=1/b": b"3"}
