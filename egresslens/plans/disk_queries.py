@@ -428,12 +428,23 @@ def _(spark, sf):
     return both.select(F.col("frame_no").cast("bigint").alias("frame_no"), "chars", "p1")
 
 
+def _folder_name(value):
+    """A value as a step of a path, spelled as Spark names the folders of a partition."""
+    named = F.coalesce(F.nullif(value, F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    for char in "%\"#'*/:=?\\{[]^\x7f":
+        named = F.replace(named, F.lit(char), F.lit(f"%{ord(char):02X}"))
+    return named
+
+
 @query("s06_directory_targets", """
     SELECT source, CAST(count(*) AS BIGINT) AS files, max(sha256(text || chr(10))) AS sha256, min(md5(text || chr(10))) AS md5 FROM documents GROUP BY source""")
 def _(spark, sf):
     path = work_path(spark, "tree")
-    docs = table(spark, sf, "documents").select("source", F.col("doc_id").alias("id"), "text")
-    docs.repartition("source", "id").write.partitionBy("source", "id").text(path)
+    docs = table(spark, sf, "documents").groupBy("source", F.col("doc_id").alias("id")).agg(
+        F.array_join(F.collect_list(F.coalesce("text", F.lit(""))), "\n").alias("lines"))
+    name = F.concat(F.lit("source="), _folder_name(F.col("source")), F.lit("/id="), _folder_name(F.col("id").cast("string")), F.lit(".txt"))
+    # A folder for every document would be moved by the driver one by one.
+    write_content_files(docs.select(name.alias("path"), F.encode(F.concat("lines", F.lit("\n")), "UTF-8").alias("content")), path)
     listed = readers.targets_from_directory(spark, path)
     return listed.groupBy(F.regexp_extract("path", "source=([^/]+)", 1).alias("source")).agg(
         F.count(F.lit(1)).alias("files"), F.max("sha256").alias("sha256"), F.min("md5").alias("md5"))

@@ -46,3 +46,16 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
     assert found.inputFiles() == []
     got = {r["path"]: bytes(r["content"]) for r in found.collect()}
     assert got == {f"{i}/a.txt": str(i).encode() for i in range(300)} | {"_k=1/b": b"3"}
+
+
+def test_a_directory_of_targets_is_moved_by_task(spark, tmp_path):
+    from egresslens.plans import disk_queries  # noqa: F401
+    from egresslens.plans.registry import QUERIES
+    rows = [(i, f"s/{i % 2}", f"text {i}") for i in range(200)] + [(7, None, None), (300, "", "x"), (301, "s=%", "a"), (301, "s=%", "a")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(os.listdir(shared_dir(spark)))
+    got = {r["source"]: r["files"] for r in QUERIES["s06_directory_targets"](spark, str(tmp_path)).collect()}
+    assert got == {"s%2F0": 100, "s%2F1": 100, "__HIVE_DEFAULT_PARTITION__": 2, "s%3D%25": 1}
+    tree = next(n for n in set(os.listdir(shared_dir(spark))) - before if n.startswith("tree-"))
+    folders = [d for _, found, _ in os.walk(os.path.join(shared_dir(spark), tree)) for d in found]
+    assert len(folders) < 40
