@@ -1,12 +1,14 @@
 """Similarity matching of digests without comparing every file with every target.
 
-Both joins work on distinct digests, so any number of copies counts once, and both pair two
-digests only when they share a key that every match must share: nothing is lost.
+Both joins work on distinct digests, so any number of copies counts once, and both compare two
+digests only when they meet under a key that every match must share: nothing is lost.
 """
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from egresslens import constants as C
@@ -90,6 +92,9 @@ _PLANES = ["g1a", "g1b", "g2a", "g2b", "g3a", "g3b"]
 _PACKED = ["id", "check", "len", "q1", "q2", *_PLANES]
 _EVEN_BITS = 0x55555555
 _MAX_BUDGET = 3
+#: Digests of either side of a cell, and of a tile of it.
+PAIR_ROWS = 25_000
+_TILE = (32, 8192)
 
 
 def _number(text: Column) -> Column:
@@ -127,118 +132,103 @@ def _packed(df: DataFrame, column: str) -> DataFrame:
     return materialize(cut.select(F.monotonically_increasing_id().alias("id"), "*", *planes), "packed")
 
 
-def _body_distance(left: DataFrame, right: DataFrame) -> Column:
-    """Sum of the code differences; one of three weighs six, any other its own size."""
-    total = F.lit(0)
-    for half in "ab":
-        x = [left[f"g{k}{half}"].bitwiseXOR(right[f"g{k}{half}"]) for k in (1, 2, 3)]
-        total += sum(F.bit_count(p) for p in x) + 3 * F.bit_count(x[0].bitwiseAND(x[1]).bitwiseAND(x[2]))
-    return total
-
-
-def _header_distance(left: DataFrame, right: DataFrame) -> Column:
-    def ring(name: str, size: int) -> Column:
-        gap = F.abs(left[name] - right[name])
-        return F.least(gap, size - gap)
+def _length_gaps(threshold: int) -> list[int]:
+    """Gaps of the length code that a match may have."""
+    near = [gap for gap in range(129) if (gap if gap <= 1 else 12 * gap) <= threshold]
+    return sorted({step % 256 for gap in near for step in (gap, -gap)})
 
-    length = ring("len", 256)
-    quartile = lambda name: F.when(ring(name, 16) <= 1, ring(name, 16)).otherwise((ring(name, 16) - 1) * 12)
-    return (F.when(length <= 1, length).otherwise(length * 12) + quartile("q1") + quartile("q2")
-            + (left["check"] != right["check"]).cast("int"))
-
-
-def tlsh_distance(left: DataFrame, right: DataFrame) -> Column:
-    """Distance of two packed digests as an expression over both sides of a join."""
-    return _header_distance(left, right) + _body_distance(left, right)
 
+def _stretch(length: Column, step: int) -> Column:
+    return F.floor(length / step).cast("int")
 
-def _pieces(threshold: int, budget: int) -> list[tuple[int, int]]:
-    """Start and length (hex digits) of the pieces of a body.
 
-    With n pieces, two bodies within the threshold differ by at most ``threshold // n`` in at
-    least one of them.
-    """
-    n = threshold // (budget + 1) + 1
-    if n > _HEX_BODY:
-        raise ValueError(f"distance {threshold} needs a budget above {budget}")
-    cuts = [_HEX_BODY * i // n for i in range(n + 1)]
-    return [(a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
-
-
-def _changes(spark, widths, budget: int) -> DataFrame:
-    """Ways to change up to ``budget`` codes of a piece of each width, with the distance (up to ``budget``) they add."""
-    rows = []
-    for width in widths:
-        for size in range(budget + 1):
-            for where in combinations(range(2 * width), size):
-                for by in product([d for d in range(-budget, budget + 1) if d], repeat=size):
-                    cost = sum(6 if abs(d) == 3 else abs(d) for d in by)
-                    if cost <= budget:
-                        slots = [(2 * w, d) for w, d in zip(where, by)] + [(0, 0)] * (budget - size)
-                        rows.append((width, cost, *[x for slot in slots for x in slot]))
-    names = ", ".join(f"shift{k} int, by{k} int" for k in range(budget))
-    return spark.createDataFrame(rows, f"width int, cost int, {names}")
-
-
-def _length_gaps(threshold: int, pieces: int) -> list[tuple[int, int]]:
-    """Gaps of the length code that a match may have, each with the budget of a piece that it leaves."""
-    rest = lambda gap: threshold - (gap if gap <= 1 else 12 * gap)
-    near = [gap for gap in range(129) if rest(gap) >= 0]
-    signed = {step % 256: rest(gap) // pieces for gap in near for step in (gap, -gap)}
-    return sorted(signed.items())
+def _ring(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    gap = np.abs(a.astype(np.int64) - b)
+    return np.minimum(gap, size - gap)
 
 
-def _stretch(length: Column, step: int) -> Column:
-    return F.floor(length / step).cast("int")
+def _distances(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """Distances of packed digests, row by row; a code difference of three weighs six, any other its own size."""
+    length = _ring(a["len"], b["len"], 256)
+    total = np.where(length <= 1, length, length * 12) + (a["check"] != b["check"])
+    for name in ("q1", "q2"):
+        gap = _ring(a[name], b[name], 16)
+        total += np.where(gap <= 1, gap, (gap - 1) * 12)
+    for half in "ab":
+        x = [a[f"g{k}{half}"] ^ b[f"g{k}{half}"] for k in (1, 2, 3)]
+        total += sum(np.bitwise_count(p).astype(np.int64) for p in x) + 3 * np.bitwise_count(x[0] & x[1] & x[2]).astype(np.int64)
+    return total
 
 
-def _near_values(targets: DataFrame, pieces, budget: int, threshold: int, step: int) -> DataFrame:
-    """Targets under every value of each piece and every stretch of length codes that a match may have.
+def _close_pairs(files: dict[str, np.ndarray], targets: dict[str, np.ndarray], max_distance: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, distance) of the pairs within the distance, tile by tile.
 
-    A gap in length uses up part of the threshold, so the further the length, the nearer the values.
+    The middle plane alone is a lower bound that most pairs exceed; the others are compared as a whole.
     """
-    value = lambda start, size: _number(F.substring("body", start, size))
-    cut = targets.select(*_PACKED, F.posexplode(F.array(*[
-        F.struct(value(s, n).alias("value"), F.lit(n).alias("width")) for s, n in pieces])).alias("piece", "p"))
-    changes = _changes(targets.sparkSession, sorted({n for _, n in pieces}), budget)
-    rows = cut.select(*_PACKED, "piece", "p.value", "p.width").join(changes, "width")
-    shift = lambda name, value, k: F.call_function(name, value, F.col(f"shift{k}"))
-    code = lambda k: shift("shiftright", F.col("value"), k).bitwiseAND(F.lit(3)) + F.col(f"by{k}")
-    valid = reduce(lambda x, y: x & y, [code(k).between(0, 3) for k in range(budget)])
-    moved = sum((shift("shiftleft", F.col(f"by{k}").cast("bigint"), k) for k in range(budget)), F.col("value"))
-    gaps = F.array(*[F.struct(F.lit(gap).alias("gap"), F.lit(left).alias("left"))
-                     for gap, left in _length_gaps(threshold, len(pieces))])
-    usable = F.filter(gaps, lambda g: g["left"] >= F.col("cost"))
-    stretches = F.array_distinct(F.transform(usable, lambda g: _stretch((F.col("len") + g["gap"]) % 256, step)))
-    return rows.filter(valid).select(*_PACKED, "piece", moved.alias("value"), F.explode(stretches).alias("stretch"))
+    pick = lambda rows, at: {n: v[at] for n, v in rows.items()}
+    for i in range(0, len(files["id"]), _TILE[0]):
+        some = pick(files, slice(i, i + _TILE[0]))
+        for j in range(0, len(targets["id"]), _TILE[1]):
+            tile = pick(targets, slice(j, j + _TILE[1]))
+            least = np.bitwise_count(some["g2a"][:, None] ^ tile["g2a"]) + np.bitwise_count(some["g2b"][:, None] ^ tile["g2b"])
+            x, y = np.nonzero(least <= max_distance)
+            if len(x):
+                one, other = pick(some, x), pick(tile, y)
+                found = _distances(one, other)
+                near = found <= max_distance
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(one["id"][near]), pa.array(other["id"][near]), pa.array(found[near])],
+                                                     names=["a", "b", "distance"])
+
+
+def _compare(max_distance: int):
+    """Pairs of rows sorted by cell, targets (side 0) before files; the targets of one cell are held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            rows = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ["stretch", "salt", "side", *_PACKED]}
+            rows |= {n: rows[n].view(np.uint64) for n in _PLANES}  # bits are counted without a sign
+            turn = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+            for n in ("stretch", "salt", "side"):
+                turn |= np.diff(rows[n]) != 0
+            starts = [0, *(np.flatnonzero(turn) + 1).tolist()] if batch.num_rows else []
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                now = (rows["stretch"][start], rows["salt"][start])
+                if now != cell:
+                    cell, held = now, []
+                part = {n: rows[n][start:end] for n in _PACKED}
+                if rows["side"][start] == 0:
+                    held.append(part)
+                elif held:
+                    held = [{n: np.concatenate([h[n] for h in held]) for n in _PACKED}]
+                    yield from _close_pairs(part, held[0], max_distance)
+    return run
 
 
 def tlsh_distances(files: DataFrame, targets: DataFrame, max_distance: int = C.TLSH_MAX_DISTANCE,
                    column: str = "tlsh", budget: int = 2, length_step: int = 8,
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   rows_per_task: int = PAIR_ROWS) -> DataFrame:
     """``(file_digest, target_digest, distance)`` of all pairs within the distance.
 
-    Each body is cut into pieces; two bodies within the distance have a piece that is almost
-    equal, and their length codes are near. Targets are listed under every almost equal value of each
-    piece in every stretch of ``length_step`` codes that may hold a match, files under their own, and
-    the exact distance is part of the join condition, so only matches leave the join. A larger budget
-    (up to 3) and shorter stretches list each target more often and compare fewer pairs: use them for
-    large inventories.
+    The length codes of two digests within the distance are near. Files are dealt by stretches of ``length_step`` codes,
+    targets into every stretch that may hold a match, and both into cells of at most about ``rows_per_task`` rows a side,
+    in which all pairs are compared, a tile at a time. Memory is that of one cell; the pairs of a stretch grow with files
+    times targets. ``budget`` (1 to 3) is accepted as before and changes nothing.
     """
     if not 1 <= budget <= _MAX_BUDGET:
         raise ValueError(f"budget must be 1..{_MAX_BUDGET}")
-    pieces = _pieces(max_distance, budget)
-    keys = ["piece", "value", "stretch"]
     a, b = _packed(files, column), _packed(targets, column)
-    value = lambda start, size: _number(F.substring("body", start, size))
-    left = a.select(*_PACKED, _stretch(F.col("len"), length_step).alias("stretch"),
-                    F.posexplode(F.array(*[value(s, n) for s, n in pieces])).alias("piece", "value"))
-    left, right = spread_hot_keys(left, _near_values(b, pieces, budget, max_distance, length_step), keys, rows_per_task)
-    distance = tlsh_distance(left, right)
-    close = (_body_distance(left, right) <= max_distance) & (distance <= max_distance)
-    same = reduce(lambda x, y: x & y, [left[k] == right[k] for k in [*keys, "salt"]])
-    found = left.join(right, same & close).select(
-        left["id"].alias("a"), right["id"].alias("b"), distance.cast("bigint").alias("distance")).distinct()
+    near = F.array(*[F.lit(gap) for gap in _length_gaps(max_distance)])
+    stretches = F.array_distinct(F.transform(near, lambda gap: _stretch((F.col("len") + gap) % 256, length_step)))
+    left, right = spread_hot_keys(a.select(*_PACKED, _stretch(F.col("len"), length_step).alias("stretch")),
+                                  b.select(*_PACKED, F.explode(stretches).alias("stretch")), ["stretch"], rows_per_task)
+    cells = [F.col(c) for c in ("stretch", "salt")]
+    rows = right.withColumn("side", F.lit(0)).unionByName(left.withColumn("side", F.lit(1)))
+    # A number of its own: Spark would put cells together by their few bytes.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, *cells).sortWithinPartitions(*cells, "side")
+    found = dealt.select("stretch", "salt", "side", *_PACKED).mapInArrow(
+        _compare(max_distance), "a bigint, b bigint, distance bigint")
     named = lambda df, key, name: df.select(F.col("id").alias(key), F.col("digest").alias(name))
     return found.join(named(a, "a", "file_digest"), "a").join(named(b, "b", "target_digest"), "b").select(
         "file_digest", "target_digest", "distance")
