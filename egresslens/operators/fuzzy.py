@@ -94,7 +94,7 @@ _EVEN_BITS = 0x55555555
 _MAX_BUDGET = 3
 #: Digests of either side of a cell, and of a tile of it.
 PAIR_ROWS = 25_000
-_TILE = (32, 8192)
+_TILE = (8, 8192)
 
 
 def _number(text: Column) -> Column:

@@ -125,3 +125,18 @@ def test_ssdeep_join_equals_brute_force(spark):
     got = {tuple(r) for r in fuzzy.ssdeep_scores(frame(left), frame(right), 90, rows_per_task=5).collect()}
     want = {(a, b, score(a, b)) for a in left for b in right if score(a, b) >= 90}
     assert got == want and want
+
+
+def test_targets_of_the_locality_join_are_listed_a_few_times(spark, monkeypatch):
+    rng = random.Random(11)
+    digests = [("".join(rng.choice("0123456789ABCDEF") for _ in range(70)),) for _ in range(30)]
+    listed, spread = [], fuzzy.spread_hot_keys
+
+    def counted(left, right, *args):
+        listed.append((left.count(), right.count()))
+        return spread(left, right, *args)
+    monkeypatch.setattr(fuzzy, "spread_hot_keys", counted)
+    frame = spark.createDataFrame(digests, "tlsh string")
+    got = {tuple(r) for r in fuzzy.tlsh_distances(frame, frame, 50).collect()}
+    assert got >= {(d, d, 0) for d, in digests}
+    assert listed[0][0] == 30 and listed[0][1] <= 90
