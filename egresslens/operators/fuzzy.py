@@ -34,11 +34,17 @@ def _signatures(df: DataFrame, column: str) -> DataFrame:
             F.struct((block * 2).alias("block"), cut(3).alias("sig")))))
 
 
-def _grams(signatures: DataFrame) -> DataFrame:
-    """Distinct signatures by each run of seven characters they contain."""
+def _numbered(signatures: DataFrame) -> DataFrame:
+    """Distinct signatures long enough to match, with a number that stands for each in the join; written once."""
+    long = signatures.select("block", "sig").distinct().filter(F.length("sig") >= WINDOW)
+    return materialize(long.select(F.monotonically_increasing_id().alias("id"), "*"), "numbered")
+
+
+def _grams(numbered: DataFrame, number: str, size: str) -> DataFrame:
+    """Signatures by each run of seven characters they contain, as their number and length."""
     starts = F.sequence(F.lit(1), F.length("sig") - WINDOW + 1)
-    return signatures.select("block", "sig").distinct().filter(F.length("sig") >= WINDOW).select(
-        "block", "sig",
+    return numbered.select(
+        "block", F.col("id").alias(number), F.length("sig").alias(size),
         F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("sig", i, F.lit(WINDOW))))).alias("gram"))
 
 
@@ -58,14 +64,16 @@ def ssdeep_scores(files: DataFrame, targets: DataFrame, min_score: int = C.SSDEE
     which is the join key. Signatures too different in length are dropped inside the join.
     """
     left, right = (materialize(_signatures(df, column), "signatures") for df in (files, targets))
-    lg, rg = spread_hot_keys(_grams(left).withColumnRenamed("sig", "sig_a"),
-                             _grams(right).withColumnRenamed("sig", "sig_b"), ["block", "gram"], rows_per_task)
-    total = F.length("sig_a") + F.length("sig_b")
-    reach = total * ((101 - min_score) / 100 + 1 / DIGEST_CHARS)
-    near = F.abs(F.length("sig_a") - F.length("sig_b")) <= reach
+    ln, rn = _numbered(left), _numbered(right)
+    lg, rg = spread_hot_keys(_grams(ln, "a", "size_a"), _grams(rn, "b", "size_b"), ["block", "gram"], rows_per_task)
+    reach = (F.col("size_a") + F.col("size_b")) * ((101 - min_score) / 100 + 1 / DIGEST_CHARS)
+    near = F.abs(F.col("size_a") - F.col("size_b")) <= reach
     same = (lg["block"] == rg["block"]) & (lg["gram"] == rg["gram"]) & (lg["salt"] == rg["salt"])
-    pairs = lg.join(rg, same & near).select(
-        lg["block"], "sig_a", "sig_b").distinct()
+    # A pair shares many runs, so it is numbers that meet; each pair is given its texts once. The runs are many times
+    # larger than the files of the signatures, by which Spark would broadcast them.
+    pairs = lg.hint("merge").join(rg, same & near).select("a", "b").distinct()
+    pairs = pairs.join(ln.select(F.col("id").alias("a"), "block", F.col("sig").alias("sig_a")), "a").join(
+        rn.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").select("block", "sig_a", "sig_b")
     scored = pairs.withColumn("score", indel_score("sig_a", "sig_b", "block")).filter(
         F.col("score") >= min_score)
     by_left = left.select(F.col("digest").alias("file_digest"), "block", F.col("sig").alias("sig_a"))

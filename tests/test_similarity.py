@@ -140,3 +140,18 @@ def test_targets_of_the_locality_join_are_listed_a_few_times(spark, monkeypatch)
     got = {tuple(r) for r in fuzzy.tlsh_distances(frame, frame, 50).collect()}
     assert got >= {(d, d, 0) for d, in digests}
     assert listed[0][0] == 30 and listed[0][1] <= 90
+
+
+def test_numbers_stand_for_signatures_in_the_piecewise_join(spark, monkeypatch):
+    """A signature is listed under each of its runs; its text is not, nor is a side broadcast by the size of its file."""
+    seen, spread = [], fuzzy.spread_hot_keys
+
+    def watched(left, right, *args):
+        seen.extend([set(left.columns), set(right.columns)])
+        return spread(left, right, *args)
+    monkeypatch.setattr(fuzzy, "spread_hot_keys", watched)
+    text = "abcdefghijklmnopqrstuvwxyz"
+    frame = lambda *rows: spark.createDataFrame([(r,) for r in rows], "ssdeep string")
+    found = fuzzy.ssdeep_scores(frame(f"1536:{text}:{text[:9]}", "bad", None), frame(f"1536:{text}Z:{text[:9]}", f"3072:{text}:x"), 90)
+    assert {tuple(r) for r in found.collect()} == {(f"1536:{text}:{text[:9]}", f"1536:{text}Z:{text[:9]}", 100)}
+    assert seen == [{"block", "gram", "a", "size_a"}, {"block", "gram", "b", "size_b"}]
