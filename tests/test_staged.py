@@ -1,11 +1,13 @@
 """Boosted trees round by round against plain loops."""
 
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from egresslens.operators import models
+from egresslens.plans import training
 
 ROUNDS = 4
 
@@ -66,3 +68,22 @@ def test_learning_curve(trained):
     assert [r["round"] for r in curve] == list(range(1, len(model.stages[-1].trees) + 1))
     assert all(0 < r["auc"] <= 1 and r["loss"] > 0 and r["train_loss"] > 0 for r in curve)
     assert curve[-1]["train_loss"] < curve[0]["train_loss"]
+
+
+def test_trees_are_asked_once_and_only_those_that_count(trained):
+    df, model = trained
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(models.score(model, df, ["frame_no"], "p", 2)).count("UDF(features") == 2
+    assert "UDF(features" not in plan(models.staged_auc(models.staged_margins(model, df)))
+    stage = training.Stage(model, None, df, df, df, threshold=0.5, rounds=2)
+    assert all("UDF(features" not in plan(rows) for rows in stage.evaluate().values())
+
+
+def test_margins_are_sums_in_the_order_of_the_trees(trained):
+    df, model = trained
+    rows = models.staged_margins(model, df).select("features", "margins").collect()
+    boosted = model.stages[-1]
+    for row in rows[:50]:
+        values = [tree.predict(row["features"]) * weight for tree, weight in zip(boosted.trees, boosted.treeWeights)]
+        assert row["margins"] == list(itertools.accumulate(values))
+    assert models.staged_margins(model, df.limit(0)).collect() == []
