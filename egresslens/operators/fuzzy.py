@@ -155,44 +155,77 @@ def _ring(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(gap, size - gap)
 
 
-def _distances(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
-    """Distances of packed digests, row by row; a code difference of three weighs six, any other its own size."""
+def _head_distances(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """The share of length and quartile codes in the distances of packed digests."""
     length = _ring(a["len"], b["len"], 256)
-    total = np.where(length <= 1, length, length * 12) + (a["check"] != b["check"])
+    total = np.where(length <= 1, length, length * 12)
     for name in ("q1", "q2"):
         gap = _ring(a[name], b[name], 16)
-        total += np.where(gap <= 1, gap, (gap - 1) * 12)
+        total = total + np.where(gap <= 1, gap, (gap - 1) * 12)
+    return total
+
+
+def _distances(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """Distances of packed digests, row by row; a code difference of three weighs six, any other its own size."""
+    total = _head_distances(a, b) + (a["check"] != b["check"])
     for half in "ab":
         x = [a[f"g{k}{half}"] ^ b[f"g{k}{half}"] for k in (1, 2, 3)]
         total += sum(np.bitwise_count(p).astype(np.int64) for p in x) + 3 * np.bitwise_count(x[0] & x[1] & x[2]).astype(np.int64)
     return total
 
 
-def _close_pairs(files: dict[str, np.ndarray], targets: dict[str, np.ndarray], max_distance: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, distance) of the pairs within the distance, tile by tile.
+def _pick(rows: dict[str, np.ndarray], at) -> dict[str, np.ndarray]:
+    return {n: v[at] for n, v in rows.items()}
+
+
+def _by_head(rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Rows in the order of their length and quartile codes, where each such head starts, and how many rows it has."""
+    head = rows["len"].astype(np.int64) << 8 | rows["q1"].astype(np.int64) << 4 | rows["q2"]
+    order = np.argsort(head, kind="stable")
+    _, starts, sizes = np.unique(head[order], return_index=True, return_counts=True)
+    return _pick(rows, order), starts, sizes
+
+
+def _close_pairs(files: dict[str, np.ndarray], targets: tuple, max_distance: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, distance) of the pairs within the distance; ``targets`` are ordered by head.
 
-    The middle plane alone is a lower bound that most pairs exceed; the others are compared as a whole.
+    Files of one head meet the targets of the heads near enough, tile by tile. There the distance of the heads and the
+    middle plane are a lower bound that most pairs exceed; the others are compared as a whole.
     """
-    pick = lambda rows, at: {n: v[at] for n, v in rows.items()}
-    for i in range(0, len(files["id"]), _TILE[0]):
-        some = pick(files, slice(i, i + _TILE[0]))
-        for j in range(0, len(targets["id"]), _TILE[1]):
-            tile = pick(targets, slice(j, j + _TILE[1]))
-            least = np.bitwise_count(some["g2a"][:, None] ^ tile["g2a"]) + np.bitwise_count(some["g2b"][:, None] ^ tile["g2b"])
-            x, y = np.nonzero(least <= max_distance)
-            if len(x):
-                one, other = pick(some, x), pick(tile, y)
-                found = _distances(one, other)
-                near = found <= max_distance
-                if near.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(one["id"][near]), pa.array(other["id"][near]), pa.array(found[near])],
-                                                     names=["a", "b", "distance"])
+    files, file_starts, file_sizes = _by_head(files)
+    targets, starts, sizes = targets
+    heads = _pick({n: targets[n] for n in ("len", "q1", "q2")}, starts)
+    for first, n in zip(file_starts.tolist(), file_sizes.tolist()):
+        apart = _head_distances({name: files[name][first:first + 1] for name in heads}, heads)
+        near = np.flatnonzero(apart <= max_distance)
+        if not len(near):
+            continue
+        some = sizes[near]
+        # Places of all rows of these heads, one range after the other.
+        places = np.arange(some.sum()) + np.repeat(starts[near] - np.cumsum(some) + some, some)
+        left = np.repeat(np.minimum(max_distance - apart[near], 255).astype(np.uint8), some)
+        middle = [targets[plane][places] for plane in ("g2a", "g2b")]
+        for i in range(first, first + n, _TILE[0]):
+            own = _pick(files, slice(i, min(i + _TILE[0], first + n)))
+            for j in range(0, len(places), _TILE[1]):
+                tile = slice(j, j + _TILE[1])
+                least = (np.bitwise_count(own["g2a"][:, None] ^ middle[0][tile])
+                         + np.bitwise_count(own["g2b"][:, None] ^ middle[1][tile]))
+                x, y = np.nonzero(least <= left[tile])
+                if len(x):
+                    one, other = _pick(own, x), _pick(targets, places[tile][y])
+                    found = _distances(one, other)
+                    close = found <= max_distance
+                    if close.any():
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(one["id"][close]), pa.array(other["id"][close]), pa.array(found[close])],
+                            names=["a", "b", "distance"])
 
 
 def _compare(max_distance: int):
     """Pairs of rows sorted by cell, targets (side 0) before files; the targets of one cell are held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
+        cell, held, ordered = None, [], None
         for batch in batches:
             rows = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ["stretch", "salt", "side", *_PACKED]}
             rows |= {n: rows[n].view(np.uint64) for n in _PLANES}  # bits are counted without a sign
@@ -203,13 +236,14 @@ def _compare(max_distance: int):
             for start, end in zip(starts, [*starts[1:], batch.num_rows]):
                 now = (rows["stretch"][start], rows["salt"][start])
                 if now != cell:
-                    cell, held = now, []
+                    cell, held, ordered = now, [], None
                 part = {n: rows[n][start:end] for n in _PACKED}
                 if rows["side"][start] == 0:
                     held.append(part)
                 elif held:
-                    held = [{n: np.concatenate([h[n] for h in held]) for n in _PACKED}]
-                    yield from _close_pairs(part, held[0], max_distance)
+                    if ordered is None:
+                        ordered = _by_head({n: np.concatenate([h[n] for h in held]) for n in _PACKED})
+                    yield from _close_pairs(part, ordered, max_distance)
     return run
 
 
@@ -220,8 +254,8 @@ def tlsh_distances(files: DataFrame, targets: DataFrame, max_distance: int = C.T
 
     The length codes of two digests within the distance are near. Files are dealt by stretches of ``length_step`` codes,
     targets into every stretch that may hold a match, and both into cells of at most about ``rows_per_task`` rows a side,
-    in which all pairs are compared, a tile at a time. Memory is that of one cell; the pairs of a stretch grow with files
-    times targets. ``budget`` (1 to 3) is accepted as before and changes nothing.
+    in which files meet the targets whose length and quartile codes are near enough together, a tile at a time. Memory is
+    that of one cell; the pairs of a stretch grow with files times targets. ``budget`` (1 to 3) is accepted as before and changes nothing.
     """
     if not 1 <= budget <= _MAX_BUDGET:
         raise ValueError(f"budget must be 1..{_MAX_BUDGET}")
@@ -234,7 +268,7 @@ def tlsh_distances(files: DataFrame, targets: DataFrame, max_distance: int = C.T
     rows = right.withColumn("side", F.lit(0)).unionByName(left.withColumn("side", F.lit(1)))
     # A number of its own: Spark would put cells together by their few bytes.
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, *cells).sortWithinPartitions(*cells, "side")
+    dealt = rows.repartition(tasks, *cells).sortWithinPartitions(*cells, "side", "len", "q1", "q2")
     found = dealt.select("stretch", "salt", "side", *_PACKED).mapInArrow(
         _compare(max_distance), "a bigint, b bigint, distance bigint")
     named = lambda df, key, name: df.select(F.col("id").alias(key), F.col("digest").alias(name))

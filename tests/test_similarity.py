@@ -155,3 +155,28 @@ def test_numbers_stand_for_signatures_in_the_piecewise_join(spark, monkeypatch):
     found = fuzzy.ssdeep_scores(frame(f"1536:{text}:{text[:9]}", "bad", None), frame(f"1536:{text}Z:{text[:9]}", f"3072:{text}:x"), 90)
     assert {tuple(r) for r in found.collect()} == {(f"1536:{text}:{text[:9]}", f"1536:{text}Z:{text[:9]}", 100)}
     assert seen == [{"block", "gram", "a", "size_a"}, {"block", "gram", "b", "size_b"}]
+
+
+def test_digests_of_far_heads_are_not_compared(spark, monkeypatch):
+    """Length and quartile codes alone part most pairs; the others are found as by brute force, over the ends of the codes too."""
+    rng = random.Random(13)
+    body = "".join(rng.choice("0123456789ABCDEF") for _ in range(64))
+    heads = [f"{rng.randrange(4):02X}{rng.choice('01EF')}{rng.choice('0F')}{rng.choice('048CF')}{rng.choice('048CF')}" for _ in range(120)]
+    digests = sorted({h + mutated(rng, "0" * 6 + body, rng.randint(0, 6))[6:] for h in heads})
+    frame = spark.createDataFrame([(d,) for d in digests], "tlsh string")
+    rows = fuzzy._packed(frame, "tlsh").toPandas()
+    packed = {n: rows[n].to_numpy().view(np.uint64) if n in fuzzy._PLANES else rows[n].to_numpy() for n in fuzzy._PACKED}
+    compared, count = [], np.bitwise_count
+
+    def counted(bits):
+        compared.append(bits.size)
+        return count(bits)
+    monkeypatch.setattr(fuzzy.np, "bitwise_count", counted)
+    name = dict(zip(rows["id"], rows["digest"]))
+    for bound in (50, 0, 400):
+        compared.clear()
+        batches = list(fuzzy._close_pairs(packed, fuzzy._by_head(packed), bound))
+        got = {(name[a], name[b], d) for batch in batches for a, b, d in zip(*(c.to_pylist() for c in batch.columns))}
+        assert got == {(a, b, slow_distance(a, b)) for a in digests for b in digests if slow_distance(a, b) <= bound}
+        if bound == 0:
+            assert sum(compared) < len(digests) ** 2
