@@ -34,22 +34,26 @@ def words(text: Column) -> Column:
 
 def shingles(held: Column, k: int) -> Column:
     """Distinct hashes of the runs of ``k`` words; one of all words where there are fewer."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(held) - k + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(held, i, F.lit(k)))))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(held) - k, F.lit(0)))
+    # Words one by one: a slice would copy each run. Places behind the last word are NULL and do not change the hash.
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(held, i + j) for j in range(k)])))
 
 
 def prefix_index(texts: DataFrame, similarity: float) -> DataFrame:
     """(shingle, node, n, place) of the first shingles of every text ``(node, shingles)``, rare ones first.
 
-    Entries of a single text are left out.
+    Entries of a single text are left out. Such shingles are the rarest and stand before all others, so their number is
+    enough to place the others, and they are not sent to their texts.
     """
     rows = texts.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-    ranked = rows.join(often, "shingle").groupBy("node", "n").agg(
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    ranked = rows.join(shared, "shingle").groupBy("node", "n").agg(
         F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ranked"))
-    size = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    first = ranked.select("node", "n", F.posexplode(F.slice("ranked", F.lit(1), size.cast("int"))).alias("place", "s"))
-    return first.filter("s.often > 1").select(F.col("s.shingle").alias("shingle"), "node", "n", "place")
+    size = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    alone = F.col("n") - F.size("ranked")
+    first = ranked.select("node", "n", alone.alias("alone"), F.posexplode(
+        F.slice("ranked", F.lit(1), F.greatest(size - alone, F.lit(0)))).alias("at", "s"))
+    return first.select(F.col("s.shingle").alias("shingle"), "node", "n", (F.col("alone") + F.col("at")).alias("place"))
 
 
 def _may_reach(left: str, right: str, similarity: float) -> Column:

@@ -1,8 +1,11 @@
 """Near-duplicate classes against all pairs of small texts."""
 
+import collections
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from egresslens.operators import duplicates
 
@@ -66,3 +69,30 @@ def test_a_family_costs_its_size(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     rows = duplicates.near_duplicates(df, "id").collect()
     assert {r["class_id"] for r in rows} == {0} and sum(r["n_links"] for r in rows) < 2 * 20 * 400
+
+
+def test_index_of_shared_shingles_equals_a_plain_one(spark):
+    draw = random.Random(17)
+    lists = {i: draw.sample(range(60), draw.randint(1, 30)) + [1000 + 100 * i + j for j in range(draw.randint(0, 12))] for i in range(25)}
+    texts = spark.createDataFrame([(str(i).encode(), held) for i, held in lists.items()], "node binary, shingles array<bigint>")
+    often = collections.Counter(x for held in lists.values() for x in held)
+    want = set()
+    for i, held in lists.items():
+        n = len(held)
+        first = sorted(held, key=lambda x: (often[x], x))[:n - math.ceil(n * 0.8 - 1e-9) + 1]
+        want |= {(x, str(i).encode(), n, place) for place, x in enumerate(first) if often[x] > 1}
+    index = duplicates.prefix_index(texts, 0.8)
+    assert index.columns == ["shingle", "node", "n", "place"]
+    assert {(r[0], bytes(r[1]), r[2], r[3]) for r in index.collect()} == want
+    # Shingles of one text are left out below the join, before rows go to their texts.
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "> 1)" in plan[plan.index("Join"):]
+
+
+def test_shingles_are_hashes_of_whole_runs(spark):
+    rows = spark.createDataFrame([(["a", "b", "c", "a", "b", "c"],), (["a", "b"],), ([],)], "w array<string>")
+    got = rows.select(duplicates.shingles(F.col("w"), 3).alias("s"), F.xxhash64("w").alias("whole"),
+                      F.array(*[F.xxhash64(F.slice("w", i, 3)) for i in (1, 2, 3)]).alias("runs")).collect()
+    assert got[0]["s"] == got[0]["runs"] and got[1]["s"] == [got[1]["whole"]] and got[2]["s"] == [got[2]["whole"]]
+    plan = rows.select(duplicates.shingles(F.col("w"), 3))._jdf.queryExecution().analyzed().toString()
+    assert "slice(" not in plan
