@@ -12,7 +12,9 @@ full table only prune less and change no result.
 The last pass looks at runs whose fingerprint is marked: within a flush the words of all
 occurrences of a fingerprint are compared, so a pointer (document and word place) stands for one
 phrase; its text is read at the pointer, and a shuffle of compressed blocks, one a range of fingerprints, adds up counts
-by fingerprint and text and keeps a pointer. Two phrases of one fingerprint part there, and one that is rare after all is dropped. Only such phrases become text.
+by text and keeps a pointer. The fingerprint only picks the range and is not sent: two phrases of one fingerprint part by
+their text, and one that is rare after all is dropped. Only such phrases become text. A task adds up what it has before it
+sends it; a block is written column by column, numbers as byte planes.
 
 Scores are cut points of a phrase: 2,000,000 * a / (l + r), rounded down, in decimals of 38 digits.
 
@@ -42,6 +44,7 @@ BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 NO_LANG = "und"
 #: Bits of a 64-bit fingerprint that the levels leave out; ranges of the rest at least, so that differences fit 32 bits.
 DROPPED, RANGES = 24, 256
+PACKER = pa.Codec("zstd")
 #: Parts in which the phrases of a language are ranked before they are ranked together.
 SALTS = 64
 
@@ -58,8 +61,8 @@ class Params:
     flush: int = 250_000
     bits: int = 1 << 26
     #: Fingerprints, and phrases, gathered in a task before they are sent; bytes of text to a range of them.
-    gathered: int = 1_000_000
-    gathered_phrases: int = 600_000
+    gathered: int = 3_000_000
+    gathered_phrases: int = 1_200_000
     spread: int = 1 << 22
 
 
@@ -159,13 +162,17 @@ def candidate_runs(flush: Flush, below: tuple[int, np.ndarray] | None, sizes: tu
         yield keys, np.flatnonzero(whole)
 
 
+def _capped(n: np.ndarray) -> np.ndarray:
+    return np.minimum(n, 255).astype(np.uint8)
+
+
 def _packed(held: list[tuple[np.ndarray, np.ndarray]], ranges: int) -> pa.RecordBatch:
     """(range, block) rows: first key, differences by byte plane, and counts up to 255 of the keys of each range."""
     keys, n = (np.concatenate(x) for x in zip(*held))
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    keys, n = keys[at], np.minimum(np.add.reduceat(n, at), 255).astype(np.uint8)
+    keys, n = keys[at], _capped(np.add.reduceat(n, at, dtype=np.int64))
     width = np.uint64(64 - DROPPED - ranges.bit_length() + 1)
     place = (keys >> width).astype(np.int32)
     starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
@@ -174,15 +181,17 @@ def _packed(held: list[tuple[np.ndarray, np.ndarray]], ranges: int) -> pa.Record
     for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
         own = steps[begin:end].copy()
         own[0] = 0
-        blocks.append(keys[begin].tobytes() + own.view(np.uint8).reshape(-1, 4).T.tobytes() + n[begin:end].tobytes())
+        blocks.append(keys[begin].tobytes() + np.uint32(end - begin).tobytes() + PACKER.compress(
+            own.view(np.uint8).reshape(-1, 4).T.tobytes() + n[begin:end].tobytes(), asbytes=True))
     return pa.RecordBatch.from_arrays([pa.array(place[starts]), pa.array(blocks, pa.binary())], names=["place", "block"])
 
 
 def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = (len(block) - 8) // 5
-    planes = np.frombuffer(block, np.uint8, 4 * size, 8).reshape(4, size)
+    size = int(np.frombuffer(block, np.uint32, 1, 8)[0])
+    plain = PACKER.decompress(block[12:], 5 * size)
+    planes = np.frombuffer(plain, np.uint8, 4 * size).reshape(4, size)
     steps = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.uint64)
-    return np.frombuffer(block, np.uint64, 1) + np.cumsum(steps), np.frombuffer(block, np.uint8, size, 8 + 4 * size)
+    return np.frombuffer(block, np.uint64, 1) + np.cumsum(steps), np.frombuffer(plain, np.uint8, size, 4 * size)
 
 
 def frequent_keys(rows: DataFrame, shared, sizes: tuple[int, ...], ranges: int, params: Params) -> DataFrame:
@@ -192,8 +201,9 @@ def frequent_keys(rows: DataFrame, shared, sizes: tuple[int, ...], ranges: int,
         for flush, _ in _flushes(batches, params):
             for keys, places in candidate_runs(flush, shared.value, sizes):
                 if len(places):
-                    held.append(np.unique(keys[places] >> np.uint64(DROPPED), return_counts=True))
-                    waiting += len(held[-1][0])
+                    found, n = np.unique(keys[places] >> np.uint64(DROPPED), return_counts=True)
+                    held.append((found, _capped(n)))
+                    waiting += len(found)
             if waiting >= params.gathered:
                 yield _packed(held, ranges)
                 held, waiting = [], 0
@@ -234,45 +244,47 @@ def counted_phrases(documents: DataFrame, params: Params = Params()) -> DataFram
         tables.append(bit_table(found, params.bits))
     shared = context.broadcast(tables)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    fields = [("key", pa.uint64()), ("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()),
-              ("n", pa.int64()), ("doc_id", to_arrow_type(documents.schema["doc_id"].dataType)), ("place", pa.int64())]
+    fields = pa.schema([("range", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()),
+                        ("doc_id", to_arrow_type(documents.schema["doc_id"].dataType)), ("place", pa.int64())])
 
     def run(batches):
         held, waiting = [], 0
         for flush, ids in _flushes(batches, params):
-            held.append(pa.table(_pointed(flush, ids, shared.value, params), pa.schema(fields)))
+            held.append(pa.table(_pointed(flush, ids, shared.value, ranges, params), fields))
             waiting += len(held[-1])
             if waiting >= params.gathered_phrases:
                 held = [_added(held)]
                 if 2 * len(held[0]) >= params.gathered_phrases:
-                    yield _blocks(held.pop(), ranges)
+                    yield _blocks(held.pop())
                 waiting = sum(map(len, held))
         if held:
-            yield _blocks(_added(held), ranges)
+            yield _blocks(_added(held))
 
     def whole(group: pa.Table) -> pa.Table:
-        table = _added([pa.ipc.open_stream(block).read_all() for block in group.column("block").to_pylist()])
-        kept = pc.or_(pc.greater_equal(table["n"], params.least), pc.equal(table["size"], 0))
-        return table.filter(kept).select([name for name, _ in fields[1:]])
+        place = group.column("place")[0].as_py()
+        table = _added([_rows(place, block, fields) for block in group.column("block").to_pylist()])
+        total = pc.equal(table["phrase"], "")
+        table = table.filter(pc.or_(pc.greater_equal(table["n"], params.least), total))
+        size = pc.if_else(pc.equal(table["phrase"], ""), 0, pc.add(pc.count_substring(table["phrase"], " "), 1))
+        return table.append_column("size", size.cast(pa.int32())).select(["lang", "size", "phrase", "n", "doc_id", "place"])
 
     return map_batches(rows, run, "place int, block binary").groupBy("place").applyInArrow(
         whole, f"lang string, size int, phrase string, n long, doc_id {kind}, place long")
 
 
-def _pointed(flush: Flush, ids: list, tables: list[np.ndarray], params: Params) -> dict[str, list]:
-    """Marked phrases of a flush with their number and a pointer, and the number of words of each language as size 0."""
+def _pointed(flush: Flush, ids: list, tables: list[np.ndarray], ranges: int, params: Params) -> dict[str, list]:
+    """Marked phrases of a flush with their number and a pointer, and the number of words of each language with no phrase."""
     number = np.cumsum(flush.words != 0) - 1
     first = number[flush.begins] + (flush.words[flush.begins] == 0)
     totals = np.bincount(flush.lang, flush.words != 0)
     langs = list(dict.fromkeys(flush.langs))
-    out = {"key": [0] * len(langs), "lang": list(langs), "size": [0] * len(langs), "phrase": [""] * len(langs),
+    out = {"range": [0] * len(langs), "lang": list(langs), "phrase": [""] * len(langs),
            "n": [int(n) for n in totals], "doc_id": [None] * len(langs), "place": [None] * len(langs)}
     for size in range(1, params.longest + 1):
         keys, whole = flush.fingerprints(size)
         at, n = flush.phrases(size, keys, np.flatnonzero(whole & _marked(tables[min(size, len(tables)) - 1], keys)))
         doc = flush.doc[at]
-        out["key"] += keys[at].tolist()
-        out["size"] += [size] * len(at)
+        out["range"] += (keys[at] >> np.uint64(65 - ranges.bit_length())).tolist()
         out["n"] += n.tolist()
         out["place"] += (number[at] - first[doc]).tolist()
         for d, begin in zip(doc.tolist(), (at - flush.begins[doc]).tolist()):
@@ -283,36 +295,78 @@ def _pointed(flush: Flush, ids: list, tables: list[np.ndarray], params: Params)
 
 
 def _added(tables: list[pa.Table]) -> pa.Table:
-    """One row per fingerprint and text: counts added up, the first pointer kept."""
+    """One row per language and text: counts added up, the first pointer kept."""
     names = tables[0].schema.names
-    table = pa.concat_tables(tables).combine_chunks()
-    return (table.group_by(["key", "lang", "size", "phrase"], use_threads=False)
+    return (pa.concat_tables(tables).group_by(["range", "lang", "phrase"], use_threads=False)
             .aggregate([("n", "sum"), ("doc_id", "first"), ("place", "first")])
-            .rename_columns(["key", "lang", "size", "phrase", "n", "doc_id", "place"]).select(names))
-
-
-def _blocks(table: pa.Table, ranges: int) -> pa.RecordBatch:
-    """(range, block) rows: the rows of each range of fingerprints, sorted by text and compressed."""
-    place = (table["key"].to_numpy() >> np.uint64(65 - ranges.bit_length())).astype(np.int32)
-    table = table.append_column("range", pa.array(place)).sort_by([(n, "ascending") for n in ("range", "lang", "size", "phrase")])
+            .rename_columns(["range", "lang", "phrase", "n", "doc_id", "place"]).select(names))
+
+
+def _written(column: pa.Array) -> bytes:
+    """Whole numbers and texts as byte planes of numbers or lengths after the nulls, and the texts; others as Arrow writes them."""
+    missing = column.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+    if pa.types.is_integer(column.type):
+        return missing + column.fill_null(0).cast(pa.int64()).to_numpy().view(np.uint8).reshape(-1, 8).T.tobytes()
+    if pa.types.is_string(column.type):
+        column = column.fill_null("")
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+        text = column.buffers()[2][int(ends[0]):int(ends[-1])].to_pybytes() if ends[-1] > ends[0] else b""
+        return missing + np.diff(ends).view(np.uint8).reshape(-1, 4).T.tobytes() + text
+    return pa.record_batch([column], ["x"]).serialize().to_pybytes()
+
+
+def _read(plain: pa.Buffer, kind: pa.DataType, rows: int) -> pa.Array:
+    """The column that ``_written`` made bytes."""
+    if not (pa.types.is_integer(kind) or pa.types.is_string(kind)):
+        return pa.ipc.read_record_batch(plain, pa.schema([("x", kind)])).column(0)
+    missing = np.frombuffer(plain, np.uint8, rows).astype(bool)
+    width = 8 if pa.types.is_integer(kind) else 4
+    planes = np.frombuffer(plain, np.uint8, width * rows, rows).reshape(width, rows)
+    numbers = np.ascontiguousarray(planes.T).view(f"i{width}").ravel()
+    if pa.types.is_integer(kind):
+        return pa.array(numbers, mask=missing).cast(kind)
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(numbers, dtype=np.int32)])
+    texts = pa.StringArray.from_buffers(rows, pa.py_buffer(ends), plain.slice((width + 1) * rows))
+    return pc.if_else(pa.array(~missing), texts, None) if missing.any() else texts
+
+
+def _blocks(table: pa.Table) -> pa.RecordBatch:
+    """(range, block) rows: the rows of each range of fingerprints, sorted by text; each column is compressed by itself."""
+    table = table.sort_by([(n, "ascending") for n in ("range", "lang", "phrase")]).combine_chunks()
     place = table["range"].to_numpy()
-    table = table.drop_columns(["range"]).combine_chunks()
     starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    columns = [table[name].chunk(0) for name in table.schema.names[1:]]
+    del table
     blocks = []
     for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_table(table.slice(begin, end - begin))
-        blocks.append(sink.getvalue().to_pybytes())
-    del table
+        plain = [_written(column.slice(begin, end - begin)) for column in columns]
+        packed = [PACKER.compress(x, asbytes=True) for x in plain]
+        sizes = [end - begin, *map(len, plain), *map(len, packed)]
+        blocks.append(np.array(sizes, np.int64).tobytes() + b"".join(packed))
     pa.default_memory_pool().release_unused()
     return pa.RecordBatch.from_arrays([pa.array(place[starts]), pa.array(blocks, pa.binary())], names=["place", "block"])
 
 
+def _rows(place: int, block: bytes, fields: pa.Schema) -> pa.Table:
+    """The rows of a block of the range ``place``."""
+    own = list(fields)[1:]
+    rows, *sizes = np.frombuffer(block, np.int64, 1 + 2 * len(own)).tolist()
+    at, columns = 8 * (1 + 2 * len(own)), [pa.array(np.full(rows, place, np.int32))]
+    for field, plain, packed in zip(own, sizes, sizes[len(own):]):
+        columns.append(_read(PACKER.decompress(block[at:at + packed], plain), field.type, rows))
+        at += packed
+    return pa.table(columns, fields)
+
+
 def _part(start: Column, size: Column) -> Column:
     return F.array_join(F.slice("words", start, size), " ")
 
 
+def _words(text: str) -> Column:
+    """How many words a phrase has; blanks stand between words only."""
+    return F.length(text) - F.length(F.replace(F.col(text), F.lit(" "), F.lit(""))) + 1
+
+
 def scored(counted: DataFrame, params: Params = Params()) -> DataFrame:
     """(lang, phrase, a, l, r, n, score, size) of phrases of two words or more that no longer one covers.
 
@@ -322,13 +376,16 @@ def scored(counted: DataFrame, params: Params = Params()) -> DataFrame:
     runs = counted.filter("size > 0").select("lang", "phrase", "n")
     phrases = counted.filter("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
-    cuts = cuts.select("lang", "phrase", "size", "a", "k", _part(F.lit(1), F.col("k")).alias("left"),
+    # A cut carries its two parts only; they hold the phrase, its size and the place of the cut.
+    cuts = cuts.select("lang", "a", _part(F.lit(1), F.col("k")).alias("left"),
                        _part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
     cuts = (cuts.join(runs.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l")), ["lang", "left"])
             .join(runs.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r")), ["lang", "right"]))
+    cuts = cuts.select("lang", F.concat_ws(" ", "left", "right").alias("phrase"), "a", "l", "r", _words("left").alias("k"))
     value = F.expr(f"cast({params.scale} as decimal(38,0)) * cast(a as decimal(38,0)) "
                    "div (cast(l as decimal(38,0)) + cast(r as decimal(38,0)))")
-    best = (cuts.groupBy("lang", "phrase", "size", "a").agg(F.min(F.struct(value.alias("score"), "k", "l", "r")).alias("cut")))
+    best = (cuts.groupBy("lang", "phrase").agg(F.min(F.struct(value.alias("score"), "k", "l", "r", "a")).alias("cut"))
+            .select("lang", "phrase", "cut.*", _words("phrase").alias("size")))
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda size: F.transform(
         F.sequence(F.lit(1), F.col("size") - size + 1), lambda at: F.array_join(F.slice("words", at, size), " "))))
     longer = (phrases.filter("size > 2").select("lang", "a", F.explode(inner).alias("phrase"))
@@ -336,7 +393,7 @@ def scored(counted: DataFrame, params: Params = Params()) -> DataFrame:
     covers = (F.coalesce("longer", F.lit(0)).cast("decimal(38,0)") * 100
               >= F.col("a").cast("decimal(38,0)") * params.covered)
     return (best.join(longer, ["lang", "phrase"], "left").filter(~covers).join(totals, "lang")
-            .select("lang", "phrase", "a", "cut.l", "cut.r", F.col("total").alias("n"), "cut.score", "size"))
+            .select("lang", "phrase", "a", "l", "r", F.col("total").alias("n"), "score", "size"))
 
 
 def top(phrases: DataFrame, params: Params = Params()) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -175,6 +176,39 @@ def test_blocks_of_fingerprints_give_back_their_counts():
     assert (found[:-1] < found[1:]).all() and batch.num_rows == len(set((keys >> np.uint64(32)).tolist()))
 
 
+def test_blocks_of_phrases_are_small_and_give_back_their_rows():
+    draw = random.Random(8)
+    rows = 20_000
+    phrases = sorted({" ".join(draw.choices(["the", "é", "x\x00y", "cat", "on"], k=2)) + f" w{i}" for i in range(rows)})
+    kinds = {pa.int64(): lambda i: 10 * i, pa.string(): lambda i: f"d{i}", pa.float64(): lambda i: i / 7}
+    for kind, made in kinds.items():
+        ids = [None if i % 50 == 0 else made(draw.randrange(2000)) for i in range(rows)]
+        table = pa.table({"range": pa.array([draw.randrange(8) for _ in range(rows)], pa.int32()),
+                          "lang": [draw.choice(["de", "en", ""]) for _ in range(rows)], "phrase": phrases[1:] + [""],
+                          "n": [draw.choice([1, 1, 1, 2, 1 << 40]) for _ in range(rows)], "doc_id": pa.array(ids, kind),
+                          "place": [None if i % 70 == 0 else draw.randrange(400) for i in range(rows)]})
+        batch = collocations._blocks(table)
+        assert batch.column("place").to_pylist() == list(range(8))
+        got = pa.concat_tables(collocations._rows(place, block, table.schema)
+                               for place, block in zip(*(c.to_pylist() for c in batch.columns)))
+        order = lambda t: sorted(t.to_pylist(), key=lambda r: r["phrase"])
+        assert got.schema == table.schema and order(got) == order(table)
+        if pa.types.is_integer(kind):  # with eight bytes of a fingerprint in each row it would be more
+            assert sum(len(b) for b in batch.column("block").to_pylist()) < 11 * rows
+
+
+def test_a_cut_is_scored_from_its_two_parts(spark):
+    """The joins of cuts carry no whole phrase beside its parts; sizes and places of cuts come back."""
+    counted = spark.createDataFrame(
+        [("en", 0, "", 900)] + [("en", 1, w, n) for w, n in (("a", 100), ("b", 80), ("c", 50), ("d", 40))]
+        + [("en", 2, "a b", 60), ("en", 2, "b c", 45), ("en", 2, "c d", 40), ("en", 3, "a b c", 31)],
+        "lang string, size int, phrase string, n long")
+    found = collocations.scored(counted)
+    got = {r["phrase"]: (r["a"], r["l"], r["r"], r["n"], r["score"], r["size"]) for r in found.collect()}
+    assert got == {"a b": (60, 100, 80, 900, 666666, 2), "b c": (45, 80, 50, 900, 692307, 2),
+                   "c d": (40, 50, 40, 900, 888888, 2), "a b c": (31, 100, 45, 900, 427586, 3)}
+
+
 # --- alignment ---------------------------------------------------------------------------------
 
 TEXTS = [None, "", "one", "  two  spaces ", "▁x", "😀😀 x", " " * 700 + "x", "é" * 300, "=-" * 400, "\x00a\n\n b\t c ",
