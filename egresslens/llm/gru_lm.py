@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from egresslens.llm.common import map_batches
@@ -33,8 +34,10 @@ from egresslens.session import materialize
 
 END = b"\n"
 SMOOTH = 0.1
-#: Distinct words held before a partial count is passed on; tokens scored in one go.
-COUNTED, SCORED = 200_000, 2_000_000
+#: Words held before a partial count is passed on; tokens scored in one go.
+COUNTED, SCORED = 2_000_000, 2_000_000
+#: How far below the shift of a softmax a value may lie; its exponential and its neighbours keep their digits.
+SHIFT = 40
 FIELDS = ("inputs", "state", "classes", "class_bias", "heads", "head_bias")
 
 
@@ -68,6 +71,17 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row and how many each text has: ``tokens`` without the ends."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    parts = pc.ascii_split_whitespace(texts)
+    words, sizes = parts.flatten().cast(pa.binary()), parts.value_lengths().to_numpy()
+    none = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    if none.any():  # their only part is empty
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    return words, sizes - none
+
+
 def tail_class(word: bytes, tails: int) -> int:
     return zlib.crc32(word[-3:]) % tails
 
@@ -75,22 +89,26 @@ def tail_class(word: bytes, tails: int) -> int:
 def count_words(documents: DataFrame, params: Params) -> DataFrame:
     """(word, tail, n) over all texts; partial counts are made before the shuffle."""
     def run(batches):
-        counter = Counter()
+        held, size, texts = [], 0, 0
 
         def passed():
-            words = list(counter)
+            words, n = pc.value_counts(pa.chunked_array(held, pa.binary())).flatten()
+            words = [*words.to_pylist(), END]
             return pa.RecordBatch.from_pydict({
                 "word": pa.array(words, pa.binary()),
                 "tail": pa.array([tail_class(w, params.tails) for w in words], pa.int32()),
-                "n": pa.array(counter.values(), pa.int64())})
+                "n": pa.array([*n.to_pylist(), texts], pa.int64())})
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counter.update(tokens(text))
-                if len(counter) >= COUNTED:
-                    yield passed()
-                    counter.clear()
-        yield passed()
+            words, sizes = split_words(batch.column(0))
+            held.append(words)
+            size += len(words)
+            texts += len(sizes)
+            if size >= COUNTED:
+                yield passed()
+                held, size, texts = [], 0, 0
+        if texts:
+            yield passed()
 
     return (map_batches(documents.select("text"), run, "word binary, tail int, n long")
             .groupBy("word", "tail").agg(F.sum("n").alias("n")))
@@ -116,17 +134,31 @@ class Lexicon:
     def places(self) -> "Places":
         return Places(self)
 
+    def symbols(self, ranks: np.ndarray) -> np.ndarray:
+        known = self.symbol[ranks] if len(self.words) else 0
+        return np.where(ranks >= 0, known, self.params.heads - 1 - ranks).astype(np.int32)
+
 
 class Places(dict):
     """Word to its rank, or to -1 - tail class where the word is not among the known."""
 
     def __init__(self, lexicon: Lexicon) -> None:
         super().__init__(zip(lexicon.words, range(len(lexicon.words))))
-        self.tails = lexicon.params.tails
+        self.tails, self.words = lexicon.params.tails, pa.array(lexicon.words, pa.binary())
 
     def __missing__(self, word: bytes) -> int:
         return -1 - tail_class(word, self.tails)
 
+    def ranks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+        """The numbers of all tokens of the texts in a row, how many each text has, and the words that are not known."""
+        words, sizes = split_words(texts)
+        found = pc.index_in(words, value_set=self.words)
+        ranks, unknown = found.fill_null(-1).to_numpy().astype(np.int64), found.is_null()
+        others = words.filter(unknown).dictionary_encode()
+        numbers = np.array([self[w] for w in others.dictionary.to_pylist()], np.int64)
+        ranks[unknown.to_numpy(zero_copy_only=False)] = numbers[others.indices.to_numpy()]
+        return np.insert(ranks, np.cumsum(sizes), self[END]), sizes + 1, others
+
 
 def lexicon(counts: DataFrame, params: Params) -> Lexicon:
     """From written counts; the driver gets ``known`` words and a row per tail class."""
@@ -152,14 +184,19 @@ def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in FIELDS])
 
 
-def unflat(values: np.ndarray, params: Params) -> dict[str, np.ndarray]:
+def views(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Arrays of the shapes of ``like`` in the memory of ``values``, in the order of ``flat``."""
     out, at = {}, 0
-    for key, like in fresh_weights(params).items():
-        out[key] = np.asarray(values[at:at + like.size], np.float32).reshape(like.shape)
-        at += like.size
+    for key in FIELDS:
+        out[key] = values[at:at + like[key].size].reshape(like[key].shape)
+        at += like[key].size
     return out
 
 
+def unflat(values: np.ndarray, params: Params) -> dict[str, np.ndarray]:
+    return views(np.array(values, np.float32), fresh_weights(params))
+
+
 class Lanes:
     """Documents side by side: inputs, targets, starts and document numbers as (time, lane) arrays.
 
@@ -199,54 +236,81 @@ class Lanes:
             yield self.inputs[cut], self.targets[cut], self.starts[cut], self.doc[cut], valid
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _sigmoid_of_negative(x: np.ndarray) -> None:
+    """The sigmoid of ``-x`` in place."""
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
+def _by_gate(state: np.ndarray) -> np.ndarray:
+    """The recurrent weights as (gate, from, to)."""
+    h = len(state)
+    return np.ascontiguousarray(state.reshape(h, 3, h).transpose(1, 0, 2))
 
 
 def run_window(w: dict, inputs, starts, state, keep: bool = False):
-    """States after each step of a window, and what the way back needs: per step the state before, both gates, the new
-    value and its recurrent part."""
+    """States after each step of a window, and what the way back needs: both gates and the new value, per step the
+    state before and the recurrent part of the new value. Each is one stretch of memory a step."""
     steps, lanes = inputs.shape
     h = state.shape[1]
     states = np.empty((steps, lanes, h), np.float32)
-    memory = np.empty((4, steps, lanes, h), np.float32) if keep else None
-    gates = np.empty((steps, lanes, 2 * h), np.float32) if keep else None
-    given = w["inputs"][inputs]
+    pulled = np.empty((steps if keep else 1, lanes, h), np.float32)
+    sign = np.repeat(np.array([-1, -1, 1], np.float32), h)
+    given, recurrent = (w["inputs"] * sign).reshape(-1, h), _by_gate(w["state"] * sign)
+    gates = np.take(given, 3 * inputs + np.arange(3, dtype=inputs.dtype)[:, None, None], axis=0)
     fresh = starts.any(axis=1)
-    recurrent = w["state"]
+    begun, sums, part = state, np.empty((2, lanes, h), np.float32), np.empty((lanes, h), np.float32)
     for t in range(steps):
         if fresh[t]:
             state = state * ~starts[t][:, None]
-        a, g = given[t], state @ recurrent
-        zr = _sigmoid(a[:, :2 * h] + g[:, :2 * h])
-        n = np.tanh(a[:, 2 * h:] + zr[:, h:] * g[:, 2 * h:])
-        if keep:
-            memory[0, t], memory[1, t], memory[2, t], gates[t] = state, n, g[:, 2 * h:], zr
-        state = np.add(n, zr[:, :h] * (state - n), out=states[t])
-    return states, (memory, gates)
+        zr, n, gn = gates[:2, t], gates[2, t], pulled[t if keep else 0]
+        zr += np.matmul(state, recurrent[:2], out=sums)
+        _sigmoid_of_negative(zr)
+        np.matmul(state, recurrent[2], out=gn)
+        n += np.multiply(zr[1], gn, out=part)
+        np.tanh(n, out=n)
+        np.subtract(state, n, out=part)
+        part *= zr[0]
+        state = np.add(n, part, out=states[t])
+    if not keep:
+        return states, None
+    before = np.concatenate([begun[None], states[:-1]])
+    for t in np.flatnonzero(fresh):
+        before[t] *= ~starts[t][:, None]
+    return states, (gates, before, pulled)
 
 
 def class_of(targets: np.ndarray, params: Params) -> np.ndarray:
     return np.where(targets < params.heads, targets // params.width, params.head_classes + targets - params.heads)
 
 
-def _softmax(x, own):
-    """Softmax in place of ``x`` and its logarithm at ``own``."""
-    x -= x.max(axis=1, keepdims=True)
+def _exponents(x: np.ndarray, own):
+    """Exponentials in place of ``x``, their sum in each row, and the logarithm of the share at ``own``.
+
+    One shift serves all rows where none lies far below it; a row's largest value is at least its own one."""
     found = x[own]
+    top = x.max(initial=0)
+    if top - found.min(initial=0) > SHIFT:
+        top = x.max(axis=1, keepdims=True)
+    x -= top
     np.exp(x, out=x)
-    total = x.sum(axis=1)
-    x /= total[:, None]
-    return x, found - np.log(total)
+    total = x @ np.ones(x.shape[1], np.float32)
+    return x, total, found - np.ravel(top) - np.log(total)
+
+
+def _sorting(symbols: np.ndarray, params: Params) -> np.ndarray:
+    """The order of symbols; short numbers are sorted by digits."""
+    return np.argsort(symbols.astype(np.min_scalar_type(params.heads + params.tails)), kind="stable")
 
 
 class HeadTargets:
-    """The targets that are heads, sorted, with the softmax of each within its class and the log of its own share."""
+    """The targets that are heads, sorted, with the exponentials of each within its class, their sum and the log of its own share."""
 
     def __init__(self, w: dict, states: np.ndarray, targets: np.ndarray, size: int, params: Params) -> None:
         self.params = params
         places = np.flatnonzero(targets < params.heads)
-        self.places = places = places[np.argsort(targets[places], kind="stable")]
+        self.places = places = places[_sorting(targets[places], params)]
         words, self.states = targets[places], states[places]
         kinds = words // params.width
         self.own = np.arange(len(places)), words - kinds * params.width
@@ -257,16 +321,16 @@ class HeadTargets:
         for k, begin, end in self.parts:
             rows = slice(k * params.width, (k + 1) * params.width)
             np.matmul(self.states[begin:end], w["heads"][rows].T, out=logits[begin:end])
-            logits[begin:end] += w["head_bias"][rows]
             if (k + 1) * params.width > size:  # words that do not exist
                 logits[begin:end, size - k * params.width:] = -np.inf
-        self.shares, self.found = _softmax(logits, self.own) if len(places) else (logits, np.empty(0, np.float32))
+        logits += w["head_bias"].reshape(-1, params.width)[kinds]
+        self.shares, self.total, self.found = _exponents(logits, self.own)
 
     def back(self, w: dict, g: dict, dh: np.ndarray, n: int) -> None:
         """Add the gradients of the weights and of the states."""
         pull = self.shares
-        pull[self.own] -= 1
-        pull /= n
+        pull *= (1 / (n * self.total))[:, None]
+        pull[self.own] -= np.float32(1 / n)
         down = np.empty_like(self.states)
         for k, begin, end in self.parts:
             rows = slice(k * self.params.width, (k + 1) * self.params.width)
@@ -281,7 +345,7 @@ def log_likelihoods(w: dict, states: np.ndarray, targets: np.ndarray, size: int,
     """Natural log of class and, for heads, of the word in its class. size: heads that exist."""
     logits = states @ w["classes"]
     logits += w["class_bias"]
-    _, out = _softmax(logits, (np.arange(len(targets)), class_of(targets, params)))
+    _, _, out = _exponents(logits, (np.arange(len(targets)), class_of(targets, params)))
     heads = HeadTargets(w, states, targets, size, params)
     out[heads.places] += heads.found
     return out
@@ -291,8 +355,8 @@ def gradients(w: dict, inputs, targets, starts, valid, state, size: int, params:
     """Loss (nats a token), gradients and last state of one window of truncated backpropagation."""
     steps, lanes = inputs.shape
     h = params.state
-    states, (memory, gates) = run_window(w, inputs, starts, state, keep=True)
-    g = {k: np.zeros_like(v) for k, v in w.items()}
+    states, (gates, before, gn) = run_window(w, inputs, starts, state, keep=True)
+    g = views(np.zeros(sum(v.size for v in w.values()), np.float32), w)
     every = bool(valid.all())
     at = slice(None) if every else valid.ravel()
     hs, ys = states.reshape(-1, h)[at], targets.ravel()[at]
@@ -300,11 +364,12 @@ def gradients(w: dict, inputs, targets, starts, valid, state, size: int, params:
     logits = hs @ w["classes"]
     logits += w["class_bias"]
     own = np.arange(len(ys)), class_of(ys, params)
-    push, found = _softmax(logits, own)
+    push, total, found = _exponents(logits, own)
     loss = -found.sum()
-    push[own] -= 1
-    push /= n
-    g["classes"], g["class_bias"] = hs.T @ push, push.sum(axis=0)
+    push *= (1 / (n * total))[:, None]
+    push[own] -= np.float32(1 / n)
+    np.matmul(hs.T, push, out=g["classes"])
+    np.matmul(np.ones(len(ys), np.float32), push, out=g["class_bias"])
     dh = push @ w["classes"].T
     heads = HeadTargets(w, hs, ys, size, params)
     loss -= heads.found.sum()
@@ -314,55 +379,68 @@ def gradients(w: dict, inputs, targets, starts, valid, state, size: int, params:
         outer = np.zeros((steps * lanes, h), np.float32)
         outer[at] = dh
     outer = outer.reshape(steps, lanes, h)
-    d_inputs = np.empty((steps, lanes, 3 * h), np.float32)
-    d_state = np.empty((steps, lanes, 3 * h), np.float32)
-    before, new, gn = memory[0], memory[1], memory[2]
-    z, r = gates[:, :, :h], gates[:, :, h:]
+    z, r, new = gates
     # What does not depend on the way back is worked out for all steps at once.
     to_n, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), gn * r * (1 - r)
-    turned, fresh = np.ascontiguousarray(w["state"].T), starts.any(axis=1)
-    back = np.zeros((lanes, h), np.float32)
+    turned, fresh = np.ascontiguousarray(_by_gate(w["state"]).transpose(0, 2, 1)), starts.any(axis=1)
+    d_inputs, d_pulled = np.empty((3, steps, lanes, h), np.float32), np.empty((steps, lanes, h), np.float32)
+    back, sums = np.zeros((lanes, h), np.float32), np.empty((3, lanes, h), np.float32)
     for t in range(steps - 1, -1, -1):
-        d = outer[t] + back
-        da, dg = d_inputs[t], d_state[t]
-        da_n = np.multiply(d, to_n[t], out=da[:, 2 * h:])
-        np.multiply(d, to_z[t], out=da[:, :h])
-        np.multiply(da_n, to_r[t], out=da[:, h:2 * h])
-        dg[:, :2 * h] = da[:, :2 * h]
-        np.multiply(da_n, r[t], out=dg[:, 2 * h:])
-        back = d * z[t] + dg @ turned
+        d = outer[t]
+        d += back
+        da, dg = d_inputs[:, t], d_pulled[t]
+        np.multiply(d, to_n[t], out=da[2])
+        np.multiply(d, to_z[t], out=da[0])
+        np.multiply(da[2], to_r[t], out=da[1])
+        np.multiply(da[2], r[t], out=dg)
+        np.matmul(da[:2], turned[:2], out=sums[:2])
+        np.matmul(dg, turned[2], out=sums[2])
+        np.multiply(d, z[t], out=back)
+        for part in sums:
+            back += part
         if fresh[t]:
             back *= ~starts[t][:, None]
-    g["state"] = before.reshape(-1, h).T @ d_state.reshape(-1, 3 * h)
+    for k, part in enumerate((d_inputs[0], d_inputs[1], d_pulled)):
+        g["state"][:, k * h:(k + 1) * h] = before.reshape(-1, h).T @ part.reshape(-1, h)
     symbols = inputs.ravel()
-    order = np.argsort(symbols, kind="stable")
+    order = _sorting(symbols, params)
     symbols = symbols[order]
     begins = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
-    g["inputs"][symbols[begins]] = np.add.reduceat(d_inputs.reshape(-1, 3 * h)[order], begins)
+    by_symbol = d_inputs.reshape(3, -1, h).transpose(1, 0, 2).reshape(-1, 3 * h)[order]
+    g["inputs"][symbols[begins]] = np.add.reduceat(by_symbol, begins)
     return float(loss) / n, g, states[-1]
 
 
 def fit(docs: list[np.ndarray], size: int, params: Params, weights: dict | None = None, epochs: int | None = None,
         rate: float | None = None) -> dict[str, np.ndarray]:
     """Adam over windows; the state is carried on between windows, gradients are not."""
-    w = {k: v.copy() for k, v in (weights or fresh_weights(params)).items()}
+    begun = weights or fresh_weights(params)
+    values = flat(begun)
+    w = views(values, begun)
     if not docs:
         return w
-    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    first, second, change, root = (np.zeros_like(values) for _ in range(4))
     step, rate = 0, rate or params.rate
     lanes = Lanes(docs, params.lanes, params)
     for _ in range(epochs or params.epochs):
         state = np.zeros((lanes.targets.shape[1], params.state), np.float32)
         for inputs, targets, starts, _doc, valid in lanes.windows(params.window):
             _, g, last = gradients(w, inputs, targets, starts, valid, state[:inputs.shape[1]], size, params)
-            state = last
+            state, g = last, flat(g)
             step += 1
             scale = np.float32(rate * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step))
-            for k in w:
-                first[k] += np.float32(0.1) * (g[k] - first[k])
-                np.multiply(g[k], g[k], out=g[k])
-                second[k] += np.float32(0.001) * (g[k] - second[k])
-                w[k] -= scale * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
+            np.subtract(g, first, out=change)
+            change *= np.float32(0.1)
+            first += change
+            np.multiply(g, g, out=change)
+            change -= second
+            change *= np.float32(0.001)
+            second += change
+            np.sqrt(second, out=root)
+            root += np.float32(1e-8)
+            np.multiply(first, scale, out=change)
+            change /= root
+            values -= change
     return w
 
 
@@ -377,19 +455,18 @@ def train(documents: DataFrame, lex: Lexicon, params: Params) -> np.ndarray:
     context = documents.sparkSession.sparkContext
     shared = context.broadcast(lex)
 
-    def fitted(texts: list, start: np.ndarray | None) -> np.ndarray:
+    def fitted(texts: list[pa.Array], start: np.ndarray | None) -> np.ndarray:
         known = shared.value
-        places, symbol = known.places(), known.symbol
-        docs = []
-        for text in texts:
-            ranks = np.fromiter(map(places.__getitem__, tokens(text)), np.int64)
-            docs.append(np.where(ranks >= 0, symbol[ranks], params.heads - 1 - ranks).astype(np.int32))
+        places, docs = known.places(), []
+        for part in texts:
+            ranks, sizes, _ = places.ranks(part)
+            docs += np.split(known.symbols(ranks), np.cumsum(sizes))[:-1]
         if start is None:
             return flat(fit(docs, known.size, params))
         return flat(fit(docs, known.size, params, unflat(start, params), 1, params.rate / 3))
 
     def base(batches):
-        texts = [t for b in batches for t in b.column(0).to_pylist()]
+        texts = [b.column(0) for b in batches]
         yield pa.RecordBatch.from_pydict({"w": [fitted(texts, None).tobytes()]})
 
     one = dealt.filter("shard = 0").repartition(1).sortWithinPartitions("draw").select("text")
@@ -398,7 +475,7 @@ def train(documents: DataFrame, lex: Lexicon, params: Params) -> np.ndarray:
     begun = context.broadcast(weights)
 
     def refine(group: pa.Table) -> pa.Table:
-        texts = group.sort_by("draw").column("text").to_pylist()
+        texts = group.sort_by("draw").column("text").chunks
         return pa.table({"w": pa.array([fitted(texts, begun.value)], pa.list_(pa.float32()))})
 
     averaged = (dealt.groupBy("shard").applyInArrow(refine, "w array<float>")
@@ -408,21 +485,30 @@ def train(documents: DataFrame, lex: Lexicon, params: Params) -> np.ndarray:
     return out
 
 
-def document_scores(texts: list, places: Places, lex: Lexicon, w: dict, params: Params):
+def document_scores(texts: list | pa.Array, places: Places, lex: Lexicon, w: dict, params: Params):
     """Per text: tokens, known tokens, log10 of their smoothed counts, network part, and the other words by number."""
-    docs, known, base, part, rare = [], [], np.zeros(len(texts)), np.zeros(len(texts)), []
-    for i, text in enumerate(texts):
-        words = tokens(text)
-        ranks = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-        found = ranks >= 0
-        symbols = np.where(found, lex.symbol[ranks] if len(lex.words) else 0, params.heads - 1 - ranks)
-        logs = lex.log_count[ranks[found]]
-        tail = symbols >= params.heads
-        base[i] = logs.sum()
-        part[i] = logs[tail[found]].sum() - lex.tail_total[symbols[tail] - params.heads].sum()
-        known.append(int(found.sum()))
-        rare.append(Counter(words[j] for j in np.flatnonzero(~found)))
-        docs.append(symbols.astype(np.int32))
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    ranks, sizes, others = places.ranks(texts)
+    begins, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    found, symbols = ranks >= 0, lex.symbols(ranks)
+    logs = np.zeros(len(ranks))
+    logs[found] = lex.log_count[ranks[found]]
+    base, known = np.add.reduceat(logs, begins), np.add.reduceat(found, begins, dtype=np.int64)
+    tail = symbols >= params.heads
+    logs[~tail] = 0
+    logs[tail] -= lex.tail_total[symbols[tail] - params.heads]
+    part = np.add.reduceat(logs, begins)
+    # Each word that is not known stands once a text, with how often it occurs in it.
+    found[begins + sizes - 1] = True
+    kinds = max(1, len(others.dictionary))
+    keys, times = np.unique(row[~found] * kinds + others.indices.to_numpy(), return_counts=True)
+    words, times = others.dictionary.take(pa.array(keys % kinds)).to_pylist(), times.tolist()
+    cuts = np.searchsorted(keys // kinds, np.arange(len(sizes) + 1)).tolist()
+    rare = [Counter(dict(zip(words[i:j], times[i:j]))) for i, j in zip(cuts, cuts[1:])]
+    if places[END] < 0:
+        for each in rare:
+            each[END] = 1
+    docs = np.split(symbols, begins[1:])
     lanes = Lanes(docs, 256, params)
     state = np.zeros((lanes.targets.shape[1], params.state), np.float32)
     for inputs, targets, starts, doc, valid in lanes.windows(64):
@@ -431,7 +517,7 @@ def document_scores(texts: list, places: Places, lex: Lexicon, w: dict, params:
         at = valid.ravel()
         logs = log_likelihoods(w, states.reshape(-1, params.state)[at], targets.ravel()[at], lex.size, params)
         part += np.bincount(doc.ravel()[at], logs.astype(np.float64), len(texts)) / np.log(10)
-    return [len(d) for d in docs], known, base, part, rare
+    return sizes.tolist(), known.tolist(), base, part, rare
 
 
 def score(documents: DataFrame, counts: DataFrame, lex: Lexicon, weights: np.ndarray, held: Column,
@@ -446,7 +532,7 @@ def score(documents: DataFrame, counts: DataFrame, lex: Lexicon, weights: np.nda
         held_rows, texts, size = [], [], 0
 
         def passed():
-            n, found, base, part, rare = document_scores(texts, places, known, w, params)
+            n, found, base, part, rare = document_scores(pa.concat_arrays(texts), places, known, w, params)
             return pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([b.column(i) for b in held_rows]) for i in range(3)]
                 + [pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array(base), pa.array(part),
@@ -456,7 +542,7 @@ def score(documents: DataFrame, counts: DataFrame, lex: Lexicon, weights: np.nda
 
         for batch in batches:
             held_rows.append(batch)
-            texts += batch.column(3).to_pylist()
+            texts.append(batch.column(3))
             size += batch.column(3).nbytes
             if size >= 6 * SCORED:
                 yield passed()

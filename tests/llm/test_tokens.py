@@ -366,3 +366,37 @@ def test_gradients_equal_finite_differences(known):
                 moved[name][place] += step
                 sides.append(loss(moved))
             assert g[name][place] == pytest.approx((sides[0] - sides[1]) / 2e-2, abs=2e-4), (name, place)
+
+
+@pytest.mark.parametrize("known", [10, 6, 0])
+def test_batches_of_texts_have_the_numbers_of_their_tokens(known):
+    params, lex, _ = small_net(known) if known else (*small_net(1)[:1], None, None)
+    lex = lex or gru_lm.Lexicon([], np.zeros(0, int), np.zeros(0, int), 0, 0, np.zeros(3), np.zeros(3), params)
+    places = lex.places()
+    texts = [None, "", " \t ", "a B  zz\x0bzz\x1cq É\x85é", "\n\r\x0c", "h new new a", " \x1f ", "H"]
+    ranks, sizes, others = places.ranks(pa.array(texts, pa.string()))
+    want = [gru_lm.tokens(t) for t in texts]
+    assert ranks.tolist() == [places[w] for words in want for w in words] and sizes.tolist() == [len(w) for w in want]
+    assert others.to_pylist() == [w for words in want for w in words[:-1] if places[w] < 0]
+    sliced = pa.array(["gone", *texts], pa.string()).slice(1)
+    assert places.ranks(sliced)[0].tolist() == ranks.tolist()
+
+
+def test_words_are_counted_by_batch(spark):
+    texts = ["A a b", None, "", " ", "b\x0bc\x1cd é É", "a"] * 3
+    params = gru_lm.Params()
+    counts = gru_lm.count_words(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), params)
+    plain = Counter(w for t in texts for w in gru_lm.tokens(t))
+    assert {bytes(r["word"]): (r["tail"], r["n"]) for r in counts.collect()} == {
+        w: (gru_lm.tail_class(w, params.tails), n) for w, n in plain.items()}
+
+
+def test_softmax_with_one_shift_keeps_rows_far_below_it():
+    x = np.array([[300, 299, 0], [-300, -301, -302], [1, 2, -np.inf]], np.float32)
+    own = np.arange(3), np.array([1, 2, 0])
+    for rows in (slice(0, 3), slice(2, 3), slice(0, 0)):
+        y = x[rows].astype(float)
+        want = y[np.arange(len(y)), own[1][rows]] - np.log(np.exp(y - y.max(axis=1, keepdims=True)).sum(axis=1)) - y.max(axis=1)
+        shares, total, found = gru_lm._exponents(x[rows].copy(), (np.arange(len(y)), own[1][rows]))
+        assert found == pytest.approx(want, abs=1e-4)
+        assert (shares / total[:, None]).sum(axis=1) == pytest.approx(np.ones(len(y)), abs=1e-5)
