@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 import regex
 
-from egresslens.llm.common import MEMO_ENTRIES, map_batches
+from egresslens.llm.common import Memo, map_batches
 
 
 def read_ranks(data: bytes) -> list[bytes]:
@@ -37,7 +37,7 @@ class Vocabulary:
         self.rank = {token: i for i, token in enumerate(tokens)}
         if any(bytes([b]) not in self.rank for b in range(256)):
             raise ValueError("every byte must be a token")
-        self.fits: dict[int, bool] = {}
+        self.fits = Memo(lambda key: self._border_holds(key >> 32, key & 0xFFFFFFFF))
 
     @cached_property
     def halves(self) -> list[tuple[int, int] | None]:
@@ -79,13 +79,7 @@ class Vocabulary:
 
     def neighbours(self, left: int, right: int) -> bool:
         """Whether merging leaves a border between the two tokens."""
-        key = left << 32 | right
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) >= MEMO_ENTRIES:
-                self.fits.clear()
-            known = self.fits[key] = self._border_holds(left, right)
-        return known
+        return self.fits[left << 32 | right]
 
     def _border_holds(self, left: int, right: int) -> bool:
         # Undo the younger of the two merges at the border; a pair that could have merged before its
@@ -130,20 +124,14 @@ class Vocabulary:
         return out
 
 
-class PieceMemo(dict):
+class PieceMemo(Memo):
     """Piece of text to its ids, as 32-bit numbers in bytes."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__()
-        self.vocabulary = vocabulary
+        super().__init__(lambda piece: np.array(vocabulary.encode_piece(piece.encode()), np.int32).tobytes())
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.vocabulary.encode_piece(piece.encode()), np.int32).tobytes()
-        if len(piece) < 64:  # long pieces hardly come back
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return super().__missing__(piece) if len(piece) < 64 else self.make(piece)  # long pieces hardly come back
 
 
 class Codec:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 TEXTS_PER_BATCH = 1000
 #: Entries of a memo in a Python worker; a full memo is emptied, which costs time and no results.
 MEMO_ENTRIES = 400_000
+#: Entries of each half of a ``Memo``.
+HALF_MEMO = 60_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +33,30 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-class HashMemo(dict):
-    """Token to 64-bit hash, computed once per token."""
+class Memo(dict):
+    """Key to what ``make`` gives for it (never None), remembered for the keys asked for lately.
 
-    def __missing__(self, token):
-        if len(self) >= MEMO_ENTRIES:
+    A full memo becomes the older half, from which keys that are asked for again are taken over; the older half before
+    it is dropped. Frequent keys stay so, and a worker holds twice ``HALF_MEMO`` entries at most.
+    """
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= HALF_MEMO:
+            self.older = dict(self)
             self.clear()
-        value = self[token] = xxhash.xxh64_intdigest(token)
+        self[key] = value
         return value
+
+
+class HashMemo(Memo):
+    """Token to 64-bit hash."""
+
+    def __init__(self) -> None:
+        super().__init__(xxhash.xxh64_intdigest)

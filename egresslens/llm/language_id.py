@@ -28,8 +28,8 @@ from egresslens.session import materialize
 
 ORDER = 4
 UNIT, BLANK, OTHER = 16, 32, 0xFFFF
-#: Characters scored in one go.
-CHUNK = 500_000
+#: Characters of a text that are scored in one go, and of the texts that are scored together.
+CHUNK, TOGETHER = 500_000, 100_000
 UNKNOWN = "und"
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 
@@ -159,7 +159,7 @@ class Model:
                 piece = grams(padded[start:start + CHUNK + ORDER - 1])
                 held.append((i, piece))
                 size += len(piece)
-                if size >= CHUNK:
+                if size >= TOGETHER:
                     flush()
                     held, size = [], 0
         if held:

@@ -190,7 +190,8 @@ class Links:
     def __init__(self, rows: DataFrame, params: Params) -> None:
         self.codes = rows.select("node", "codes")
         self.params, self.found = params, []
-        self.roots = rows.sparkSession.createDataFrame([], "node binary, root binary")
+        # no rows, from a table: rows given by the driver would start Python workers of another kind beside these
+        self.roots = rows.select("node", F.col("node").alias("root")).limit(0)
 
     def add(self, pairs: DataFrame) -> None:
         """Verify candidate pairs between classes and join the classes of those that are links."""
@@ -204,7 +205,7 @@ class Links:
 
     def degrees(self) -> DataFrame:
         """(node, n_links) of linked nodes."""
-        every = self.roots.sparkSession.createDataFrame([], "a binary, b binary")
+        every = self.codes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         for more in self.found:
             every = every.union(more)
         every = every.distinct()
@@ -374,8 +375,9 @@ def _furthest(a: np.ndarray, b: np.ndarray, width: int) -> int:
     padded[width:width + m] = b
     near = np.lib.stride_tricks.sliding_window_view(padded, n)[:2 * width + 1]
     stops = np.full((2 * width + 1, n + 1), n, np.int32)
-    stops[:, :n] = np.where(near != a, np.arange(n, dtype=np.int32), np.int32(n))
-    stops = np.minimum.accumulate(stops[:, ::-1], axis=1)[:, ::-1]
+    np.copyto(stops[:, :n], np.arange(n, dtype=np.int32), where=near != a)
+    for stop in stops:  # one diagonal at a time, the band is held once
+        stop[:] = np.minimum.accumulate(stop[::-1])[::-1]
     diagonals = np.arange(2 * width + 1)
     ends = np.minimum(n, m - (diagonals - width))
     reach = np.full(2 * width + 1, -1)
