@@ -2,7 +2,8 @@
 
 A task writes its files below a staging folder of its own; nothing is visible before the job commits.
 Then the driver moves one folder a task into place and removes the staging folder, in which
-tasks that failed or ran twice have left theirs. A job that fails leaves nothing.
+tasks that failed or ran twice have left theirs. A job that fails leaves nothing: its staging folder is
+moved away before it is removed, and tasks that still run make no folder without it.
 """
 
 from collections.abc import Iterator
@@ -47,14 +48,20 @@ class _Writer(DataSourceArrowWriter):
                 name = safe_path(path or "")
                 names[name] = again = names.get(name, -1) + 1
                 target = f"{root}/{_STAGING}/{self.job}/{folder}/{name}" + (f"~{again}" if again else "")
-                above = target.rsplit("/", 1)[0]
-                if above not in made:
-                    store.create_dir(above)
-                    made.add(above)
+                self._make_above(store, target, root, made)
                 with store.open_output_stream(target) as out:
                     out.write(content or b"")
         return _Written(folder if names else None)
 
+    def _make_above(self, store: fs.FileSystem, target: str, root: str, made: set[str]) -> None:
+        """The folders of a file, one after the other below the job's own, which only the driver makes."""
+        above = f"{root}/{_STAGING}/{self.job}"
+        for step in target[len(above) + 1:].split("/")[:-1]:
+            above = f"{above}/{step}"
+            if above not in made:
+                store.create_dir(above, recursive=False)
+                made.add(above)
+
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = _place(self.path)
         for message in messages:
@@ -67,7 +74,9 @@ class _Writer(DataSourceArrowWriter):
 
     def _clear(self, store: fs.FileSystem, root: str) -> None:
         if store.get_file_info(f"{root}/{_STAGING}").type != fs.FileType.NotFound:
-            store.delete_dir(f"{root}/{_STAGING}")
+            gone = f"{root}/{_STAGING}-{uuid.uuid4().hex}"
+            store.move(f"{root}/{_STAGING}", gone)
+            store.delete_dir(gone)
 
 
 class ContentFiles(DataSource):
@@ -79,7 +88,10 @@ class ContentFiles(DataSource):
         return "path string, content binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], uuid.uuid4().hex)
+        writer = _Writer(self.options["path"], uuid.uuid4().hex)
+        store, root = _place(writer.path)
+        store.create_dir(f"{root}/{_STAGING}/{writer.job}")
+        return writer
 
 
 def write_content_files(rows: DataFrame, path: str) -> None:

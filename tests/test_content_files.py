@@ -1,11 +1,14 @@
 """Contents as files: all of them after a commit, none after a failure."""
 
 import os
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from egresslens.session import shared_dir
+from egresslens.sources import files
 from egresslens.sources.files import read_content_files, safe_path, write_content_files
 
 
@@ -37,6 +40,20 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     assert left == []
 
 
+def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path, monkeypatch):
+    monkeypatch.setattr(files.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    writer = files.ContentFiles({"path": str(tmp_path / "out")}).writer(None, False)
+
+    def batches():
+        yield pa.RecordBatch.from_pydict({"path": ["a/b"], "content": [b"1"]})
+        writer.abort([])
+        yield pa.RecordBatch.from_pydict({"path": ["c/d", "e"], "content": [b"2", b"3"]})
+
+    with pytest.raises(OSError):
+        writer.write(batches())
+    assert [f for _, _, names in os.walk(tmp_path) for f in names] == []
+
+
 def test_files_are_listed_by_tasks(spark, tmp_path):
     """No name of a file passes through the driver, however many there are; hidden files stay out."""
     rows = spark.range(300).select(F.concat("id", F.lit("/a.txt")).alias("path"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
