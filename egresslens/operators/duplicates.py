@@ -11,12 +11,20 @@ with itself: each text of an index entry meets the entry's first text; what that
 and only texts of an entry that are in different classes by then meet each other, in salted shares. A
 family of near copies costs its size. Nothing is capped, and no class misses a text.
 
+Texts are written once, as their words; shingles are made from them where they are read, as they take more room. To be
+counted, shingles go to the tasks of their ranges in blocks, each with its text, and only shared ones come back as rows.
+
 Defined results: null texts and texts without a word stand alone; equal word lists are one text; repeated
 rows are in one class. ``class_id`` is the smallest key of the class.
 """
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from egresslens.functions.text import let
 from egresslens.operators.components import components, rooted
 from egresslens.operators.skew import spread_hot_keys
 from egresslens.session import materialize
@@ -25,6 +33,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Texts of an index entry on either side of one task.
 ROWS_PER_TASK = 2_000
+#: Shingles that one task counts, and those that are dealt at once.
+COUNTED, DEALT = 1_000_000, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -39,16 +49,81 @@ def shingles(held: Column, k: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(held, i + j) for j in range(k)])))
 
 
+def _deal(ids: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, parts: int) -> Iterator[tuple]:
+    """(part, first id, steps from id to id, shingles) of the shingles in each of ``parts`` ranges of equal width.
+
+    Steps have as few bytes as the largest needs; they are taken modulo 2 ** 64, so ids may come in any order.
+    """
+    part = ((shingles.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+    shingles, owners = shingles[order], np.repeat(ids, sizes)[order].view(np.uint64)
+    ends = np.bincount(part.astype(np.int64), minlength=parts).cumsum()
+    for i, (start, end) in enumerate(zip([0, *ends[:-1]], ends)):
+        if start < end:
+            steps = np.diff(owners[start:end], prepend=owners[start])
+            yield i, int(owners[start].view(np.int64)), steps.astype(np.min_scalar_type(steps.max())).tobytes(), shingles[start:end].tobytes()
+
+
+def _shared(blocks: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, id, often) of the shingles that come more than once in the blocks of ``_deal``."""
+    held = [(np.frombuffer(runs, np.int64), first, steps) for first, steps, runs in blocks]
+    if not held:
+        return (np.empty(0, np.int64),) * 3
+    shingles = np.concatenate([runs for runs, _, _ in held])
+    ids = np.concatenate([
+        (np.frombuffer(steps, f"u{len(steps) // len(runs)}").cumsum(dtype=np.uint64) + np.array(first).astype(np.uint64)).view(np.int64)
+        for runs, first, steps in held])
+    order = np.argsort(shingles)
+    shingles, ids = shingles[order], ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
+    often = np.diff(starts, append=len(shingles))
+    often = np.repeat(often, often)
+    kept = often > 1
+    return shingles[kept], ids[kept], often[kept]
+
+
+def shared_shingles(texts: DataFrame, parts: int) -> DataFrame:
+    """(shingle, id, often) of the shingles of ``(id, shingles)`` that more than one text has, counted by ``parts`` tasks."""
+    def deal(batches):
+        held, n = [], 0
+        for batch in batches:
+            lists = batch.column("shingles")
+            sizes = np.diff(lists.offsets.to_numpy())
+            held.append((batch.column("id").to_numpy(), sizes, lists.flatten().to_numpy()))
+            n += len(held[-1][2])
+            if n >= DEALT:
+                yield from blocks(held)
+                held, n = [], 0
+        if n:
+            yield from blocks(held)
+
+    def blocks(held):
+        rows = list(_deal(*(np.concatenate(x) for x in zip(*held)), parts))
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (
+            pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "first", "steps", "runs"])
+
+    def count(batches):
+        found = _shared(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("first", "steps", "runs"))))
+        for at in range(0, len(found[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000]) for x in found], names=["shingle", "id", "often"])
+
+    dealt = texts.select("id", "shingles").mapInArrow(deal, "part int, first bigint, steps binary, runs binary")
+    return dealt.repartition(parts, "part").mapInArrow(count, "shingle bigint, id bigint, often bigint")
+
+
 def prefix_index(texts: DataFrame, similarity: float) -> DataFrame:
     """(shingle, node, n, place) of the first shingles of every text ``(node, shingles)``, rare ones first.
 
     Entries of a single text are left out. Such shingles are the rarest and stand before all others, so their number is
-    enough to place the others, and they are not sent to their texts.
+    enough to place the others, and they are not sent to their texts. Texts may bring a number ``id`` and their size ``n``.
     """
-    rows = texts.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    ranked = rows.join(shared, "shingle").groupBy("node", "n").agg(
-        F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ranked"))
+    if "id" not in texts.columns:
+        numbered = texts.withColumns({"n": F.size("shingles"), "id": F.monotonically_increasing_id()})
+        texts = materialize(numbered, "numbered-texts")
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    shared = shared_shingles(texts, max(1, -(-total // COUNTED))).filter("often > 1")
+    ranked = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ranked"))
+    ranked = texts.select("id", "node", "n").join(ranked, "id")
     size = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
     alone = F.col("n") - F.size("ranked")
     first = ranked.select("node", "n", alone.alias("alone"), F.posexplode(
@@ -81,9 +156,16 @@ def near_duplicates(documents: DataFrame, key: str, text: str = "text", similari
                     rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(key, class_id, class_size, n_links) of every row; ``n_links`` counts the similar texts that were looked for."""
     named = documents.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
-    named = materialize(named.select("key", F.unhex(F.md5(F.concat_ws(" ", "words"))).alias("node"),
-                                     F.when(F.size("words") > 0, shingles(F.col("words"), k)).alias("shingles")), "shingles")
-    texts = materialize(named.filter("shingles is not null").dropDuplicates(["node"]).select("node", "shingles"), "texts")
+    joined = F.concat_ws(" ", "words")
+    named = materialize(named.select(
+        "key", F.unhex(F.md5(joined)).alias("node"), F.when(F.size("words") > 0, joined).alias("text"),
+        F.size(shingles(F.col("words"), k)).alias("n"), F.monotonically_increasing_id().alias("id")), "named")
+    whole = named.filter("text is not null")
+    # Of equal texts the first row counts; the others are few or many, but only numbers.
+    several = whole.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    repeats = materialize(whole.select("id", "node").join(several, "node").filter("id > first").select("id"), "repeats")
+    runs = let(F.split("text", " "), lambda held: shingles(held, k))
+    texts = whole.join(repeats, "id", "left_anti").select("id", "node", "n", runs.alias("shingles"))
     index = materialize(prefix_index(texts, similarity), "prefix-index")
 
     leaders = index.groupBy("shingle").agg(F.min(F.struct("node", "n", "place")).alias("l"))
@@ -106,8 +188,8 @@ def near_duplicates(documents: DataFrame, key: str, text: str = "text", similari
     every = links.union(more)
     degree = (every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
     # Rows without a word are classes of their own, told apart by their place in the written table.
-    alone = F.concat(F.lit("row"), F.monotonically_increasing_id().cast("string")).cast("binary")
-    rows = rooted(named.select("key", F.when(F.col("shingles").isNull(), alone).otherwise(F.col("node")).alias("node")), roots)
+    alone = F.concat(F.lit("row"), F.col("id").cast("string")).cast("binary")
+    rows = rooted(named.select("key", F.when(F.col("text").isNull(), alone).otherwise(F.col("node")).alias("node")), roots)
     rows = materialize(rows.join(degree, "node", "left"), "classed")
     classes = rows.groupBy("root").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(classes, "root").select(

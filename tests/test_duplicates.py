@@ -4,6 +4,7 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,33 @@ def test_shingles_are_hashes_of_whole_runs(spark):
     assert got[0]["s"] == got[0]["runs"] and got[1]["s"] == [got[1]["whole"]] and got[2]["s"] == [got[2]["whole"]]
     plan = rows.select(duplicates.shingles(F.col("w"), 3))._jdf.queryExecution().analyzed().toString()
     assert "slice(" not in plan
+
+
+def test_shingles_are_counted_in_blocks(spark, monkeypatch):
+    """Ids in any order and far apart, shingles of either sign; every shingle is sent once, without a row of its own."""
+    monkeypatch.setattr(duplicates, "DEALT", 40)
+    draw = random.Random(8)
+    pool = [draw.randrange(-2**63, 2**63) for _ in range(300)]
+    lists = {draw.choice([7, 1 << 33, 5 << 40, 2**62]) + i: draw.sample(pool, draw.randint(0, 20)) for i in range(60)}
+    often = collections.Counter(x for held in lists.values() for x in held)
+    want = {(x, i, often[x]) for i, held in lists.items() for x in held if often[x] > 1}
+    ids, sizes = np.array(list(lists)), np.array([len(held) for held in lists.values()])
+    runs = np.array([x for held in lists.values() for x in held])
+    for parts in (1, 3, 300):
+        blocks = list(duplicates._deal(ids, sizes, runs, parts))
+        by_part = [duplicates._shared(b[1:] for b in blocks if b[0] == part) for part in range(parts)]
+        assert {tuple(map(int, row)) for found in by_part for row in zip(*found)} == want
+    texts = spark.createDataFrame(list(lists.items()), "id long, shingles array<bigint>").repartition(2)
+    found = duplicates.shared_shingles(texts, 3)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_written_without_shingles(spark, monkeypatch):
+    kept, materialize = {}, duplicates.materialize
+    monkeypatch.setattr(duplicates, "materialize", lambda df, name: kept.setdefault(name, materialize(df, name)))
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "A  b c d e f g"), (3, None), (3, "")], "id long, text string")
+    rows = duplicates.near_duplicates(df, "id").collect()
+    assert sorted((r["id"], r["class_id"], r["class_size"]) for r in rows) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (3, 3, 1)]
+    whole = [name for name, table in kept.items() if "shingles" in table.columns and table.count()]
+    assert whole == [] and kept["repeats"].count() == 1
