@@ -87,3 +87,10 @@ def test_margins_are_sums_in_the_order_of_the_trees(trained):
         values = [tree.predict(row["features"]) * weight for tree, weight in zip(boosted.trees, boosted.treeWeights)]
         assert row["margins"] == list(itertools.accumulate(values))
     assert models.staged_margins(model, df.limit(0)).collect() == []
+
+
+def test_margins_are_added_by_batch(trained):
+    """No list grows round by round, which would copy it as often as there are trees."""
+    df, model = trained
+    plan = models.staged_margins(model, df)._jdf.queryExecution().analyzed().toString()
+    assert "concat(" not in plan and plan.count("_running_sums(") == 1
