@@ -49,6 +49,11 @@ def shingles(held: Column, k: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(held, i + j) for j in range(k)])))
 
 
+def _runs(k: int) -> Column:
+    """The shingles of a ``text`` of words with one blank between them."""
+    return let(F.split("text", " "), lambda held: shingles(held, k))
+
+
 def _deal(ids: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, parts: int) -> Iterator[tuple]:
     """(part, first id, steps from id to id, shingles) of the shingles in each of ``parts`` ranges of equal width.
 
@@ -142,10 +147,13 @@ def _pair(left: str, right: str) -> list[Column]:
     return [F.least(f"{left}.node", f"{right}.node").alias("a"), F.greatest(f"{left}.node", f"{right}.node").alias("b")]
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose Jaccard similarity reaches the bound."""
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:
+    """The pairs (a, b) of texts ``(node, text)`` whose Jaccard similarity reaches the bound.
+
+    Shingles are made behind the join, which may have to send all texts.
+    """
     lists = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    lists = materialize(lists.select("node", "shingles"), "compared-texts")
+    lists = materialize(lists.select("node", _runs(k).alias("shingles")), "compared-texts")
     side = lambda name: lists.select(F.col("node").alias(name), F.col("shingles").alias(f"in_{name}"))
     both = F.size(F.array_intersect("in_a", "in_b"))
     whole = F.size("in_a") + F.size("in_b") - both
@@ -164,14 +172,13 @@ def near_duplicates(documents: DataFrame, key: str, text: str = "text", similari
     # Of equal texts the first row counts; the others are few or many, but only numbers.
     several = whole.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     repeats = materialize(whole.select("id", "node").join(several, "node").filter("id > first").select("id"), "repeats")
-    runs = let(F.split("text", " "), lambda held: shingles(held, k))
-    texts = whole.join(repeats, "id", "left_anti").select("id", "node", "n", runs.alias("shingles"))
-    index = materialize(prefix_index(texts, similarity), "prefix-index")
+    texts = whole.join(repeats, "id", "left_anti").select("id", "node", "n", "text")
+    index = materialize(prefix_index(texts.select("id", "node", "n", _runs(k).alias("shingles")), similarity), "prefix-index")
 
     leaders = index.groupBy("shingle").agg(F.min(F.struct("node", "n", "place")).alias("l"))
     led = index.alias("r").join(leaders, "shingle").filter((F.col("r.node") != F.col("l.node")) & _may_reach("l", "r", similarity))
     tried = materialize(led.select(*_pair("l", "r")).distinct(), "led-pairs")
-    links = materialize(similar(tried, texts, similarity), "led-links")
+    links = materialize(similar(tried, texts, similarity, k), "led-links")
     roots = materialize(components(links), "roots")
 
     held = rooted(index, roots)
@@ -181,7 +188,7 @@ def near_duplicates(documents: DataFrame, key: str, text: str = "text", similari
     apart = ((F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.salt") == F.col("r.salt"))
              & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & _may_reach("l", "r", similarity))
     rest = left.alias("l").join(right.alias("r"), apart).select(*_pair("l", "r")).distinct()
-    more = materialize(similar(materialize(rest.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, similarity), "links")
+    more = materialize(similar(materialize(rest.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, similarity, k), "links")
     if not more.isEmpty():
         roots = components(roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
 
